@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Whitespace that separates words: space and \t \n \v \f \r.
 SPACES = np.zeros(256, bool)
@@ -54,6 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nullable(df: DataFrame) -> T.StructType:
+    """The schema of df, with all columns nullable."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+
+
 def crc_mod(column: str, m: int):
     """crc32 of a column as text, modulo m; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m

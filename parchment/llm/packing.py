@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, nullable, table
 
 LENGTH, END = 1024, 0
 #: Tokens of a shard, and a seed's highest-weighted terms that query the index.
@@ -64,8 +64,6 @@ class Ids(dict):
 
 def tokenise(docs: DataFrame, scratch: Scratch, id: str, text: str, vocabulary: str | None) -> tuple[DataFrame, DataFrame]:
     """(doc, ids) with 16-bit ids and the end id for each row, and (token, df, n, tokens) of the corpus."""
-    kind = docs.schema[id].dataType
-
     def run(batches):
         ids, df, n, size = Ids(vocabulary), np.zeros(1 << 16, np.int64), 0, 0
         end = np.array([END], np.uint16).tobytes()
@@ -79,10 +77,10 @@ def tokenise(docs: DataFrame, scratch: Scratch, id: str, text: str, vocabulary:
                 yield pa.RecordBatch.from_arrays([batch.column(id)[i : i + 512], pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["doc", "ids", "df"])
         # The task's document frequencies ride along as one row.
         facts = np.concatenate([df, [n, size]]).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(id).type) if n else pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([facts], pa.binary())], names=["doc", "ids", "df"]) if n else pa.RecordBatch.from_arrays([pa.array([], a) for a in (pa.int64(), pa.binary(), pa.binary())], names=["doc", "ids", "df"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(id).type), pa.nulls(1, pa.binary()), pa.array([facts], pa.binary())], names=["doc", "ids", "df"])
 
-    schema = docs.select(F.col(id).alias("doc"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("df")).schema
-    del kind
+    schema = nullable(docs.select(F.col(id).alias("doc"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("df")))
     both = scratch.put(docs.select(id, text).mapInArrow(run, schema), "tokens")
 
     def add(batches):
@@ -107,7 +105,6 @@ class Index:
         doc, term = key >> 16, key & 0xFFFF
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / mean))
         order = np.lexsort((doc, -weight, doc))
-        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
         shared = np.bincount(term, minlength=1 << 16)[term[order]] > 1  # terms of one document find no neighbour
         rank = np.cumsum(shared) - 1
         first = np.searchsorted(doc[order], np.arange(len(docs)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, Scratch, parts, slices, table, text_bytes, word_spans
@@ -56,12 +56,12 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     return np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
 
 
-def fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs without `text`, with a column fp (long); a column of that name is replaced.
+def fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = False) -> DataFrame:
+    """docs, without `text` unless keep_text, with a column fp (long); a column of that name is replaced.
 
     Null, empty and blank texts have fingerprint 0; fewer words than a shingle are hashed as one sequence.
     """
-    keep = [c for c in docs.columns if c not in (text, "fp")]
+    keep = [c for c in docs.columns if c != "fp" and (keep_text or c != text)]
     schema = docs.select(*keep, F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches):
@@ -182,9 +182,9 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document, in its own connected component of linked fingerprints.
+    """(doc_id, fp, component_id, component): one row per document, in its connected component of linked fingerprints.
 
-    component_id is the smallest doc_id of the component. Equal fingerprints are linked, those of empty texts
+    component_id is the smallest doc_id of the component, component its smallest fingerprint. Equal fingerprints are linked, those of empty texts
     (0) included. Repeated rows stay; null ids belong to a component but never name it, unless it has no other.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
@@ -193,9 +193,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     nodes = components(links(distinct.select("fp"), scratch, radius, tile), scratch)
     members = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.put(members.join(names, "component").select("fp", "component_id"), "named")
+    named = scratch.put(members.join(names, "component").select("fp", "component_id", "component"), "named")
     scratch.drop("sizes", "distinct", "big", "tiles", "pairs")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The row with the smallest id of each component of near_duplicates(docs), all columns as they are.
+
+    Of repeated rows one stays; a component without ids keeps one of its rows."""
+    found = near_duplicates(docs, id, text, **options)
+    n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")), F.col(id) == F.col("_id"), "left_semi")
+    # Ids that are null or not unique: rows are told apart by id, fingerprint and content.
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.fp").alias("_fp"))
+    rest = docs.select(F.struct(*(c for c in docs.columns if c not in (id, text))).alias("rest"), F.col(id).alias("i"), F.col(text).alias("t")) if len(docs.columns) > 2 else docs.select(F.lit(0).alias("rest"), F.col(id).alias("i"), F.col(text).alias("t"))
+    near = fingerprint(rest, "t", options.get("shingle", SHINGLE), options.get("seed", SEED), keep_text=True).join(first, F.col("i").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("i", "fp").orderBy("t"))).where("k = 1")
+    return near.select(*(F.col("i").alias(c) if c == id else F.col("t").alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

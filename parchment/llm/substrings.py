@@ -162,14 +162,15 @@ def repeated_windows(texts: list[bytes], anchor: np.ndarray, before: np.ndarray,
     return got, least[got], most[got]
 
 
-def _scan(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFrame:
-    """(row, doc, z, h, sh, pos, ll, rl): compressed bytes and anchors of each row; row is unique."""
-    schema = docs.select(F.lit(0).cast("long").alias("row"), F.col(id).alias("doc"), F.lit(None).cast("binary").alias("z"), *(F.lit(None).cast("array<long>").alias(c) for c in ("h", "sh")), *(F.lit(None).cast("array<int>").alias(c) for c in ("pos", "ll", "rl"))).schema
+def _scan(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+    """(row, doc, z, h, sh, pos, ll, rl): the other columns, compressed bytes and anchors of each row; row is unique."""
+    docs = docs.select(F.struct(*([c for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("none")])).alias("doc"), F.col(text).alias("text"))
+    schema = docs.select(F.lit(0).cast("long").alias("row"), "doc", F.lit(None).cast("binary").alias("z"), *(F.lit(None).cast("array<long>").alias(c) for c in ("h", "sh")), *(F.lit(None).cast("array<int>").alias(c) for c in ("pos", "ll", "rl"))).schema
 
     def run(batches):
         hashes, squeeze, row = RollingHash(11), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 40
         for batch in batches:
-            data, offsets = text_bytes(batch.column(text))
+            data, offsets = text_bytes(batch.column("text"))
             z, found, view = [], [], memoryview(np.ascontiguousarray(data))
             for r, columns in row_anchors(data, offsets, hashes, length, gram):
                 z.append(squeeze.compress(view[offsets[r] : offsets[r + 1]]))
@@ -177,10 +178,10 @@ def _scan(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFr
             ends = pa.array(np.concatenate([[0], np.cumsum([len(c[0]) for c in found])]), pa.int32())
             pos, h, ll, rl, sh = (np.concatenate([c[k] for c in found]) if found else np.zeros(0, np.int64) for k in range(5))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64) if kind == pa.int64() else x, kind)) for x, kind in ((h, pa.int64()), (sh, pa.int64()), (pos, pa.int32()), (ll, pa.int32()), (rl, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(z))), batch.column(id), pa.array(z, pa.binary()), *lists], names=["row", "doc", "z", "h", "sh", "pos", "ll", "rl"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(z))), batch.column("doc"), pa.array(z, pa.binary()), *lists], names=["row", "doc", "z", "h", "sh", "pos", "ll", "rl"])
             row += len(z)
 
-    return docs.select(*dict.fromkeys([id, text])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _fetch(batches, gram: int):
@@ -199,9 +200,9 @@ def _fetch(batches, gram: int):
 COVER = "h long, sh long, s int, e int"
 
 
-def repeats(docs: DataFrame, scratch: Scratch, id: str, text: str, length: int, gram: int, shard_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, scratch: Scratch, text: str, length: int, gram: int, shard_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The scanned rows, and (row, spans): byte ranges (s, e) that windows with equal others cover; may overlap."""
-    rows = scratch.put(_scan(docs, id, text, length, gram), "rows")
+    rows = scratch.put(_scan(docs, text, length, gram), "rows")
     places = rows.select("row", F.explode(F.arrays_zip("h", "sh", "pos", "ll", "rl")).alias("a")).select("row", "a.*")
     often = places.groupBy("h").agg(F.count("*").alias("n"), (F.min("sh") != F.max("sh")).alias("many")).where("n > 1").select("h", "many")
     again = scratch.put(places.join(often, "h"), "again")
@@ -252,16 +253,30 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): one row per document.
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """spans without the bytes of UTF-8 characters that they cut."""
+    out = []
+    for s, e in spans:
+        while s < e and data[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT, characters: bool = False) -> DataFrame:
+    """docs without `text`, with n_bytes, spans and kept (columns of these names are replaced): one row per document.
 
     spans are the maximal byte runs covered by `length`-byte strings that also start anywhere else, in this document
-    or another, on the input as given; kept are the bytes outside them, as binary. Null texts are empty; texts
+    or another, on the input as given; kept are the bytes outside them, as binary.
+    With `characters`, spans leave the characters whole that they would cut, and kept is a string. Null texts are empty; texts
     shorter than `length` keep all; repeated rows are removed from each other whole.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    rows, spans = repeats(docs, scratch, id, text, length, gram, shard_bytes, hot)
-    schema = rows.select(F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<s:long,e:long>>").alias("spans"), F.col("z").alias("kept")).schema
+    rows, spans = repeats(docs, scratch, text, length, gram, shard_bytes, hot)
+    schema = rows.select("doc", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<s:long,e:long>>").alias("spans"), F.lit(None).cast("string" if characters else "binary").alias("kept")).schema
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -270,21 +285,23 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             for z, found in zip(batch.column("z"), batch.column("spans").to_pylist(), strict=True):
                 data = unpack.decompress(z.as_py())
                 sizes.append(len(data))
-                runs.append(merge([(x["s"], x["e"]) for x in found or ()]))
+                spans = merge([(x["s"], x["e"]) for x in found or ()])
+                runs.append(whole_characters(data, spans) if characters else spans)
                 at, parts = 0, []
                 for s, e in runs[-1]:
                     parts.append(data[at:s])
                     at = e
                 kept.append(b"".join([*parts, data[at:]]))
             spans = pa.array([[{"s": s, "e": e} for s, e in r] for r in runs], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary()).cast(pa.string()) if characters else pa.array(kept, pa.binary())], names=["doc", "n_bytes", "spans", "kept"])
 
-    return rows.select("row", "doc", "z").join(spans, "row", "left").select("doc", "z", "spans").mapInArrow(cut, schema)
+    keep = [f"doc.{f.name}" for f in rows.schema["doc"].dataType if f.name not in ("none", "n_bytes", "spans", "kept")]
+    return rows.select("row", "doc", "z").join(spans, "row", "left").select("doc", "z", "spans").mapInArrow(cut, schema).select(*keep, "n_bytes", "spans", "kept")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6_substrings: the contract's columns for every document."""
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),

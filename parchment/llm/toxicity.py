@@ -163,12 +163,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return Lexicon(weights, lexicon.exceptions, tuple(_logistic(x, np.array([r.label for r in fitted], float))))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """docs without `text`, with columns total, words (long) and score (0 to 1); columns of these names are replaced.
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs, without `text` unless keep_text, with columns total, words (long) and score (0 to 1); columns of these names are replaced.
 
     Null and empty texts have no words and get the curve's lowest score.
     """
-    keep = [c for c in docs.columns if c not in (text, "total", "words", "score")]
+    keep = [c for c in docs.columns if c not in ("total", "words", "score") and (keep_text or c != text)]
     schema = docs.select(*keep, F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("score")).schema
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded: `most` stems of learn()
 
