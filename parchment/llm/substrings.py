@@ -24,7 +24,7 @@ from .common import RollingHash, Scratch, mix, slices, table, text_bytes
 LENGTH, GRAM = 200, 32
 #: Bytes of surroundings in a shard; different surroundings of one anchor beyond which its windows are counted by
 #: content hash, dealt out over the cluster, as one shard can't hold them.
-SHARD_BYTES, HOT = 3 << 20, 4000
+SHARD_BYTES, HOT = 1 << 20, 6000
 CHUNK, PLACE = 4 << 20, np.uint64((1 << 23) - 1)
 
 
@@ -39,27 +39,29 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, hashes: RollingHash, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(row, place in row, gram hash, bytes before, bytes behind, hash of the surroundings) of every anchor.
 
-    Surroundings reach length - gram bytes to each side, inside the row: they hold all windows with that anchor.
+    The surroundings are the windows whose anchor it is, which all lie in its row.
     """
-    reach, size = length - gram, np.diff(offsets)
+    size = np.diff(offsets)
     empty = np.zeros(0, np.int64)
     if len(data) < length or size.max(initial=0) < length:
         return empty, empty, empty.view(np.uint64), empty, empty, empty.view(np.uint64)
     sums = hashes.sums(data)
     n = len(data) - gram + 1
     grams = mix((sums[gram:] - sums[:n]) * hashes.down[:n])
-    least = sliding_min(grams & ~PLACE | np.arange(n, dtype=np.uint64), reach + 1)
-    valid = np.arange(len(least)) <= np.repeat(offsets[1:] - length, size)[: len(least)]
-    at = (least[valid] & PLACE).astype(np.int64)
-    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+    least = sliding_min(grams & ~PLACE | np.arange(n, dtype=np.uint64), length - gram + 1)
+    window = np.flatnonzero(np.arange(len(least)) <= np.repeat(offsets[1:] - length, size)[: len(least)])
+    at = (least[window] & PLACE).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    at, begin, end = at[first], window[first], window[last] + length
     row = np.searchsorted(offsets, at, "right") - 1
-    before, behind = np.minimum(at - offsets[row], reach), np.minimum(offsets[row + 1] - at - gram, reach)
-    around = hashes.spans(sums, at - before, at + gram + behind)
-    return row, at - offsets[row], grams[at], before, behind, mix(around + before.astype(np.uint64))
+    around = hashes.spans(sums, begin, end)
+    return row, at - offsets[row], grams[at], at - begin, end - at - gram, mix(around + (at - begin).astype(np.uint64))
 
 
 def row_anchors(data: np.ndarray, offsets: np.ndarray, hashes: RollingHash, length: int, gram: int, chunk: int = CHUNK):
-    """anchors() of each row in turn, as (row, columns); rows longer than a chunk are read in overlapping parts."""
+    """anchors() of each row in turn, as (row, columns). Of rows longer than a chunk the windows are dealt out in
+    runs; an anchor whose windows meet a run's end has an entry on either side."""
     for i, j in slices(offsets, chunk):
         if offsets[j] - offsets[i] <= chunk:
             found = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hashes, length, gram)
@@ -69,39 +71,34 @@ def row_anchors(data: np.ndarray, offsets: np.ndarray, hashes: RollingHash, leng
             continue
         parts, whole = [], data[offsets[i] : offsets[j]]
         for s in range(0, len(whole) - length + 1, chunk):
-            a, b = max(0, s - length), min(len(whole), s + chunk + 2 * length)
-            _, at, *rest = anchors(whole[a:b], np.array([0, b - a]), hashes, length, gram)
-            # Anchors near a part's inner edges lack surroundings; the next part has them.
-            inner = ((at + a >= s) | (a == 0)) & ((at + gram + (length - gram) <= b - a) | (b == len(whole)))
-            parts.append([c[inner] for c in (at + a, *rest)])
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        _, first = np.unique(columns[0], return_index=True)
-        yield i, tuple(c[first] for c in columns)
-
-
-def suffix_array(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of texts that each end with a 0; the ends are distinct, in the order of owner."""
-    n, key, open_ = len(symbols), np.zeros(len(symbols), np.int64), np.ones(len(symbols), bool)
+            part = whole[s : s + chunk + length - 1]
+            _, at, *rest = anchors(part, np.array([0, len(part)]), hashes, length, gram)
+            parts.append((at + s, *rest))
+        yield i, tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def suffix_array(symbols: np.ndarray, most: int) -> np.ndarray:
+    """Ranks of all suffixes of the symbols (at least 0), by prefix doubling. Suffixes that share more than `most`
+    symbols go by their places."""
+    n, key = len(symbols), np.zeros(len(symbols), np.int64)
     for t in range(7):
-        s = np.zeros(n, np.int64)
-        s[: n - t] = symbols[t:]
-        key |= np.where(open_, s, 0) << (9 * (6 - t))
-        open_ &= s != 0
-    second = np.where(open_, 0, owner + 1)
-    order = np.lexsort((second, key))
-    new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(second[order]) != 0)])
+        key[: n - t] |= symbols[t:] << (9 * (6 - t))
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = np.diff(key[order]) != 0
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    k = 7
-    tied = order[~(new & np.append(new[1:], True))]
+    tied, k = order[~(new & np.append(new[1:], True))], 7
     while len(tied):
-        ahead = rank[np.minimum(tied + k, n - 1)]
-        sub = np.lexsort((ahead, rank[tied]))
-        tied, ahead = tied[sub], ahead[sub]
-        old = rank[tied]
-        group = np.concatenate([[True], old[1:] != old[:-1]])
-        new = group | np.concatenate([[True], ahead[1:] != ahead[:-1]])
-        place = np.arange(len(tied))
+        ahead = np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)] + 1, 0) if k <= most else tied
+        key = rank[tied] * (n + 1) + ahead
+        sub = np.argsort(key)
+        tied, key = tied[sub], key[sub]
+        old, place = rank[tied], np.arange(len(tied))
+        new = np.ones(len(tied), bool)
+        new[1:] = np.diff(key) != 0
+        group = np.ones(len(tied), bool)
+        group[1:] = np.diff(old) != 0
         head = np.maximum.accumulate(np.where(group, place, 0))
         rank[tied] = old + np.maximum.accumulate(np.where(new, place, 0)) - head
         tied = tied[~(new & np.append(new[1:], True))]
@@ -109,57 +106,109 @@ def suffix_array(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return rank
 
 
-def long_prefixes(symbols: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """By rank: True if the suffix shares at least `length` symbols with the one before it.
+def long_prefixes(symbols: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by rank, and True where one shares at least `length` symbols, none of them 0, with the one before.
 
-    psi[v] is the rank of suffix v without its first symbol, the inverse of the transform's last-to-first mapping.
-    Boundaries of value 0 stand where first symbols differ. A boundary in (psi[v - 1], psi[v]] of value l, extended
-    backwards by the common first symbol, is the boundary v of value l + 1.
+    The transform is searched `step` symbols at a time, as a multi-step index does. psi[v] is the rank of suffix v
+    without its first `step` symbols, the inverse of the transform's last-to-first mapping of `step` symbols.
+    Boundaries of level 0 stand where the first `step` symbols differ or hold a 0. A boundary of level l within
+    (psi[v - 1], psi[v]], extended backwards by the symbols that v - 1 and v share, is the boundary v of level l + 1:
+    common prefixes of level l have l * step symbols and fewer than (l + 1) * step. The search ends at the threshold.
     """
     n = len(symbols)
+    step = max(k for k in range(1, 9) if length % k == 0)
     sa = np.empty(n, np.int64)
     sa[rank] = np.arange(n)
-    psi = rank[np.minimum(sa + 1, n - 1)]
-    first = symbols[sa]
-    found = np.concatenate([[True], (first[1:] != first[:-1]) | (first[1:] == 0)])
+    psi = rank[np.minimum(sa + step, n - 1)]
+    found = np.zeros(n, bool)
+    found[0] = True
+    for t in range(step):
+        first = symbols[np.minimum(sa + t, n - 1)]
+        found[1:] |= (first[1:] != first[:-1]) | (first[1:] == 0)
     todo = np.flatnonzero(~found)
     low, high = psi[todo - 1], psi[todo]
-    for _ in range(length - 1):
+    for _ in range(length // step - 1):
         seen = np.cumsum(found, dtype=np.int32)
         split = seen[high] > seen[low]
         if not split.any():
             break
         found[todo[split]] = True
         todo, low, high = todo[~split], low[~split], high[~split]
-    return ~found
+    return sa, ~found
+
+
+#: Pieces of a window's reach, by which texts are told that can't hold a repeated window.
+PIECES = 8
 
 
-def repeated_windows(texts: list[bytes], anchor: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def relevant(texts: list[bytes], anchor: np.ndarray, before: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last byte) of the parts of texts in which windows of `length` bytes can repeat.
+
+    A window that reaches between piece a and a + 1 to the left of the anchor holds a pieces there and all but a + 1
+    to the right: that string must repeat at its place for the window to do.
+    """
+    reach = length - gram
+    pieces = max(1, min(PIECES, reach))
+    edges = [reach * a // pieces for a in range(pieces + 1)]
+    hashes, sizes = RollingHash(13), np.array([len(t) for t in texts])
+    sums = hashes.sums(np.frombuffer(b"".join(texts), np.uint8))
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    at, ends = starts + before, starts + sizes
+    low, high = np.full(len(texts), 1 << 60), np.full(len(texts), -1)
+    for a in range(pieces):
+        s, e = at - edges[a], at + gram + (reach - edges[a + 1])
+        fit = np.flatnonzero((s >= starts) & (e <= ends))
+        key = hashes.spans(sums, s[fit], e[fit]) ^ mix(anchor[fit].view(np.uint64))
+        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        fit = fit[counts[inverse] > 1]
+        low[fit] = np.minimum(low[fit], np.maximum(at[fit] - edges[a + 1], starts[fit]))
+        high[fit] = np.maximum(high[fit], np.minimum(at[fit] + gram + reach - edges[a], ends[fit]))
+    some = np.flatnonzero((high >= 0) & (high - low >= length))
+    return some, low[some] - starts[some], high[some] - starts[some]
+
+
+def repeated_windows(texts: list[bytes], anchor: np.ndarray, before: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, least and most bytes before the anchor) of windows that two texts of one anchor share at one place."""
+    some, low, high = relevant(texts, anchor, before, length, gram)
+    if not len(some):
+        return some, some, some
+    # Equal parts of equal anchors stand for each other: all their windows repeat.
+    ahead = before[some] - low
+    parts: dict[tuple, int] = {}
+    of = np.array([parts.setdefault((a, b, texts[i][s:e]), len(parts)) for i, a, b, s, e in zip(some.tolist(), anchor[some].tolist(), ahead.tolist(), low.tolist(), high.tolist(), strict=True)])
+    a, b = (np.array([k[c] for k in parts]) for c in (0, 1))
+    least, most = _search([k[2] for k in parts], a, b, length)
+    several = np.bincount(of) > 1
+    sizes = np.array([len(k[2]) for k in parts])
+    reach = np.minimum(b, length - gram)
+    most[several] = reach[several]
+    least[several] = np.maximum(b - (sizes - length), 0)[several]
+    got = np.flatnonzero(most[of] >= 0)
+    return some[got], least[of[got]], most[of[got]]
+
+
+def _search(texts: list[bytes], anchor: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the least and most bytes before the anchor of its repeated windows; most is -1 without any."""
     sizes = np.array([len(t) + 1 for t in texts])
     symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     symbols[starts + sizes - 1] = 0
     owner = np.repeat(np.arange(len(texts)), sizes)
-    rank = suffix_array(symbols, owner)
-    same = long_prefixes(symbols, rank, length)
-    sa = np.empty(len(rank), np.int64)
-    sa[rank] = np.arange(len(rank))
+    sa, same = long_prefixes(symbols, suffix_array(symbols, 2 * int(sizes.max())), length)
     at = np.flatnonzero(same | np.append(same[1:], False))
     run = np.cumsum(~same)[at]
     place = sa[at]
     text = owner[place]
     ahead = before[text] - (place - starts[text])
     names = np.unique(anchor, return_inverse=True)[1]
-    key = (run * (names.max(initial=0) + 1) + names[text]) * 1024 + ahead
+    key = (run * (names.max(initial=0) + 1) + names[text]) * (length + 1) + ahead
     _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
     twice = counts[inverse] > 1
     text, ahead = text[twice], ahead[twice]
     least, most = np.full(len(texts), 1 << 30), np.full(len(texts), -1)
     np.minimum.at(least, text, ahead)
     np.maximum.at(most, text, ahead)
-    got = np.flatnonzero(most >= 0)
-    return got, least[got], most[got]
+    return least, most
 
 
 def _scan(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
@@ -221,7 +270,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str, length: int, gram: int
 
     def shard(t: pa.Table) -> pa.Table:
         h, sh, ll = (t.column(c).to_numpy() for c in ("h", "sh", "ll"))
-        got, least, most = repeated_windows(t.column("around").to_pylist(), h, ll.astype(np.int64), length)
+        got, least, most = repeated_windows(t.column("around").to_pylist(), h, ll.astype(np.int64), length, gram)
         return pa.table({"h": h[got], "sh": sh[got], "s": (-most).astype(np.int32), "e": (length - least).astype(np.int32)})
 
     covers = shared.groupBy("shard").applyInArrow(shard, COVER)
