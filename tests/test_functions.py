@@ -74,7 +74,7 @@ def test_ledger_folds(spark):
     chain = [(1, "2024-01-01", None, 10.0, None, 110.0), (1, "2024-01-02", 20.0, None, None, 90.0), (2, "2024-01-03", None, 5.0, None, 95.0)]
     good = ledger_of(spark, chain, 100.0, 95.0)
     assert good.file_reconciles and good.row_consistency_rate == 1.0 and float(good.sum_credit) == 15.0 and not good.newest_first
-    back = ledger_of(spark, [(1, *chain[2][1:]), (1, *chain[1][1:]), (2, *chain[0][1:])], 100.0, 95.0)
+    back = ledger_of(spark, [(1, *c[1:]) for c in chain[::-1]], 100.0, 95.0)
     assert back.newest_first and back.file_reconciles
     wrong = ledger_of(spark, [chain[0], (*chain[1][:5], 91.0), chain[2]], 100.0, 96.0)
     assert wrong.balance_mismatch_rows == [2, 3] and wrong.first_break_row == 2 and wrong.flags == ["balance_mismatch", "total_mismatch", "page_gap"]
