@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import LOWER, Scratch, crc_mod, nullable, table
 #: state over the training text, and the discount.
 SUPPORT, DEPTH, DIVERGENCE, DISCOUNT = 1e-6, 3, 12.0, 0.75
 #: Text bytes of a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 16 << 20
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
 
@@ -40,13 +41,14 @@ class _Numbers(dict):
 
 
 def _blocks(docs: DataFrame, id: str, text: str, block_bytes: int) -> DataFrame:
-    """Rows of documents (block, doc, learn, ids) and of blocks (block, words, counts of learning documents)."""
+    """Rows of documents (block, doc, learn, compressed ids) and of blocks (block, words, counts of learning documents)."""
     schema = nullable(docs.select(F.lit(0).cast("long").alias("block"), F.col(id).alias("doc"), F.lit(True).alias("learn"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<binary>").alias("words"), F.lit(None).cast("array<long>").alias("counts")))
     lower = bytes(LOWER)
 
     def run(batches):
         block, numbers, size, kind = TaskContext.get().partitionId() << 32, _Numbers(), 0, None
         rows: list[tuple] = []
+        squeeze = zstandard.ZstdCompressor(level=1)
 
         def flush():
             nonlocal block, numbers, size, rows
@@ -57,7 +59,7 @@ def _blocks(docs: DataFrame, id: str, text: str, block_bytes: int) -> DataFrame:
             n = len(rows)
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block] * (n + 1), pa.int64()), pa.array([r[0] for r in rows] + [None], kind), pa.array([r[1] for r in rows] + [None], pa.bool_()), pa.array([r[2] for r in rows] + [None], pa.binary()),
+                    pa.array([block] * (n + 1), pa.int64()), pa.array([r[0] for r in rows] + [None], kind), pa.array([r[1] for r in rows] + [None], pa.bool_()), pa.array([squeeze.compress(r[2]) for r in rows] + [None], pa.binary()),
                     pa.array([None] * n + [list(numbers)], pa.list_(pa.binary())), pa.array([None] * n + [counts], pa.list_(pa.int64())),
                 ], names=["block", "doc", "learn", "ids", "words", "counts"])
             block, numbers, size, rows = block + 1, _Numbers(), 0, []
@@ -203,8 +205,9 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         c[lid], number[lid] = lists.column("c").to_numpy(), lists.column("number").to_numpy()
         log = np.log10((c + 1) / whole)
         out: list[tuple] = []
+        unpack = zstandard.ZstdDecompressor()
         for ids in texts.column("ids"):
-            ids = np.frombuffer(ids.as_py(), np.int32)
+            ids = np.frombuffer(unpack.decompress(ids.as_py()), np.int32)
             logs, numbers = log[ids], number[ids]
             out.append((len(ids), int((c[ids] > 0).sum()), float(logs.sum()), float(logs[numbers < 0].sum()), numbers.tobytes()))
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
