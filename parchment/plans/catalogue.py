@@ -35,37 +35,37 @@ def r6(c):
 
 ASCII = r"[^\x00-\x7F]"
 
-# --- scoring a run: synthetic predictions are document texts with their vowels e changed -------------------------
+# --- scoring a run: synthetic predictions are conversation turns, whole, with letters changed -------------------------
 
 
 def _pages(spark, d):
-    """Documents as pages, with the first words of their ASCII letters as the truth."""
-    docs = t(spark, d, "documents")
-    first = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.regexp_replace("text", ASCII, ""), r"[ \t\r\n\f\x0b]+", " ")), " "), 1, 20), " ")
-    return docs.select("doc_id", "lang", "source", first.alias("truth"))
+    """Turns of conversations as pages, with their whole ASCII text as the truth."""
+    turns = t(spark, d, "conversations")
+    truth = F.trim(F.regexp_replace(F.regexp_replace("text", ASCII, ""), r"[ \t\r\n\f\x0b]+", " "))
+    return turns.select(F.concat_ws("-p", "conv_id", "turn").alias("doc_id"), "role", F.when(F.col("turn") == 0, "first").otherwise("later").alias("part"), truth.alias("truth"))
 
 
-_PAGES_SQL = r"""pages_ AS (SELECT doc_id, lang, source, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')), ' '), 1, 20), ' ') AS truth FROM documents)"""
+_PAGES_SQL = r"""pages_ AS (SELECT concat_ws('-p', conv_id, turn) AS doc_id, role, CASE WHEN turn = 0 THEN 'first' ELSE 'later' END AS part, trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')) AS truth FROM conversations)"""
 
 
 def _scores(spark, d):
     pages = _pages(spark, d)
-    pred = pages.where("doc_id % 7 <> 3").select("doc_id", F.lit("m1").alias("model"), F.translate("truth", "e", "a").alias("pred")).union(pages.where("doc_id % 5 <> 1").select("doc_id", F.lit("m2").alias("model"), F.replace("truth", F.lit("the"), F.lit("th")).alias("pred")))
+    pred = pages.where("NOT contains(truth, 'q')").select("doc_id", F.lit("m1").alias("model"), F.translate("truth", "e", "a").alias("pred")).union(pages.where("NOT contains(truth, 'z')").select("doc_id", F.lit("m2").alias("model"), F.replace("truth", F.lit("the"), F.lit("th")).alias("pred")))
     rows = joins.with_predictions(pages, pred, ["doc_id"], ["m1", "m2"])
     return rows.withColumn("cer", F.when(F.col("missing"), 1.0).otherwise(text.cer(F.col("pred"), F.col("truth"))))
 
 
-_SCORES_SQL = _PAGES_SQL + """, preds AS (SELECT doc_id, 'm1' AS model, replace(truth, 'e', 'a') AS pred FROM pages_ WHERE doc_id % 7 <> 3 UNION ALL SELECT doc_id, 'm2', replace(truth, 'the', 'th') FROM pages_ WHERE doc_id % 5 <> 1),
+_SCORES_SQL = _PAGES_SQL + """, preds AS (SELECT doc_id, 'm1' AS model, replace(truth, 'e', 'a') AS pred FROM pages_ WHERE NOT contains(truth, 'q') UNION ALL SELECT doc_id, 'm2', replace(truth, 'the', 'th') FROM pages_ WHERE NOT contains(truth, 'z')),
 scores AS (SELECT p.*, m.model, pred, pred IS NULL AS missing, CASE WHEN pred IS NULL THEN 1.0 ELSE least(1.0, levenshtein(pred, truth) / CAST(greatest(1, length(truth)) AS DOUBLE)) END AS cer FROM pages_ p CROSS JOIN (VALUES ('m1'), ('m2')) m(model) LEFT JOIN preds USING (doc_id, model))"""
 
 
-@query("WITH " + _SCORES_SQL + """ SELECT "table", lang, source, model, round(sum(cer) / count(*), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM (
- SELECT 'lang_model' AS "table", lang, NULL AS source, model, cer FROM scores UNION ALL SELECT 'source_model', NULL, source, model, cer FROM scores UNION ALL SELECT 'model', NULL, NULL, model, cer FROM scores) GROUP BY ALL""")
+@query("WITH " + _SCORES_SQL + """ SELECT "table", role, part, model, round(sum(cer) / count(*), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM (
+ SELECT 'role_model' AS "table", role, NULL AS part, model, cer FROM scores UNION ALL SELECT 'part_model', NULL, part, model, cer FROM scores UNION ALL SELECT 'model', NULL, NULL, model, cer FROM scores) GROUP BY ALL""")
 def score_slices(spark, d):
     """Character error rates of two models by slices; missing predictions count as 1."""
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
-    cells = slices.sliced(long, [slices.Slice("lang_model", ("lang", "model")), slices.Slice("source_model", ("source", "model")), slices.Slice("model", ("model",))], value="cer")
-    return slices.means(cells, ["table", "lang", "source", "model"]).select("table", "lang", "source", "model", r6("mean").alias("mean"), "n")
+    cells = slices.sliced(long, [slices.Slice("role_model", ("role", "model")), slices.Slice("part_model", ("part", "model")), slices.Slice("model", ("model",))], value="cer")
+    return slices.means(cells, ["table", "role", "part", "model"]).select("table", "role", "part", "model", r6("mean").alias("mean"), "n")
 
 
 @query("WITH " + _SCORES_SQL + " SELECT model, CAST(count(*) FILTER (missing) AS BIGINT) AS missing, round(avg(cer), 6) AS cer, CAST(count(*) AS BIGINT) AS n FROM scores GROUP BY model")
@@ -80,10 +80,10 @@ def text_similarity(spark, d):
     return s.select("doc_id", "model", r6(text.anls(F.col("pred"), F.col("truth"))).alias("anls"), text.fuzzy(F.col("pred"), F.col("truth")).alias("fuzzy"))
 
 
-@query("WITH " + _SCORES_SQL + " SELECT lang, model, round(sum(levenshtein(pred, truth)) / greatest(1, sum(length(truth))), 6) AS pooled FROM scores WHERE NOT missing GROUP BY lang, model")
+@query("WITH " + _SCORES_SQL + " SELECT role, model, round(sum(levenshtein(pred, truth)) / greatest(1, sum(length(truth))), 6) AS pooled FROM scores WHERE NOT missing GROUP BY role, model")
 def pooled_error(spark, d):
     s = _scores(spark, d).where("not missing")
-    return s.groupBy("lang", "model").agg(r6(text.pooled(F.levenshtein("pred", "truth"), F.length("truth"))).alias("pooled"))
+    return s.groupBy("role", "model").agg(r6(text.pooled(F.levenshtein("pred", "truth"), F.length("truth"))).alias("pooled"))
 
 
 @query()
@@ -96,20 +96,20 @@ def word_error(spark, d):
 def bootstrap_slices(spark, d):
     """Means with intervals by numpy's generator."""
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
-    return slices.bootstrap_numpy(slices.sliced(long, [slices.Slice("lang_model", ("lang", "model"))], value="cer"), ["table", "lang", "model", "metric"])
+    return slices.bootstrap_numpy(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"])
 
 
 @query()
 def bootstrap_poisson(spark, d):
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
-    return slices.bootstrap(slices.sliced(long, [slices.Slice("lang_model", ("lang", "model"))], value="cer"), ["table", "lang", "model", "metric"])
+    return slices.bootstrap(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"])
 
 
 @query()
 def paired_difference(spark, d):
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
-    c = slices.sliced(long, [slices.Slice("lang_model", ("lang", "model"))], value="cer")
-    return slices.paired_difference(c.where("model = 'm1'"), c.where("model = 'm2'"), ["lang", "metric"])
+    c = slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer")
+    return slices.paired_difference(c.where("model = 'm1'"), c.where("model = 'm2'"), ["role", "metric"])
 
 
 # --- joins over logs ---------------------------------------------------------------------------------------------
@@ -146,13 +146,13 @@ def error_classes(spark, d):
     return t(spark, d, "documents").select("doc_id", joins.is_full_miss(F.lit(False), error, F.col("text")).alias("full_miss"))
 
 
-@query("""WITH a AS (SELECT l_shipdate AS k, l_extendedprice AS p, l_linenumber AS g FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_shipdate AS k, l_extendedprice AS p, l_linenumber AS g FROM lineitem WHERE l_orderkey % 3 = 0),
+@query("""WITH a AS (SELECT l_shipdate AS k, l_extendedprice AS p, l_linenumber AS g FROM lineitem WHERE l_returnflag <> 'R'), b AS (SELECT l_shipdate AS k, l_extendedprice AS p, l_linenumber AS g FROM lineitem WHERE l_linestatus = 'F'),
 c AS (SELECT g, k, p, sum(x) AS x, sum(y) AS y FROM (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY g, k, p)
 SELECT g AS line, CAST(sum(least(x, y)) AS BIGINT) AS tp, round(sum(least(x, y)) / sum(x), 6) AS precision, round(sum(least(x, y)) / sum(y), 6) AS recall FROM c GROUP BY g""")
 def row_matches(spark, d):
     """Bag intersection of two sets of ledger rows."""
     rows = t(spark, d, "lineitem").select(F.col("l_linenumber").alias("line"), "l_shipdate", "l_extendedprice", "l_orderkey")
-    m = joins.bag_matches(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 3 = 0"), ["line"], ["l_shipdate", "l_extendedprice"])
+    m = joins.bag_matches(rows.where("l_returnflag <> 'R'"), rows.where("l_linestatus = 'F'"), ["line"], ["l_shipdate", "l_extendedprice"])
     p, r, _ = joins.prf(F.col("tp"), F.col("n_a"), F.col("n_b"))
     return m.select("line", "tp", r6(p).alias("precision"), r6(r).alias("recall"))
 
@@ -161,12 +161,12 @@ def _fields(spark, d):
     c = t(spark, d, "customer")
     long = lambda df, *cols: df.select("c_custkey", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), v.cast("string").alias("value")) for n, v in cols))).alias("f")).select("c_custkey", "f.*")
     gt = long(c, ("name", F.col("c_name")), ("segment", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))), ("nation", F.col("c_nationkey")))
-    pred = long(c.where("c_custkey % 11 <> 0"), ("name", F.when(F.col("c_custkey") % 3 == 0, F.replace("c_name", F.lit("0"), F.lit("O"))).otherwise(F.col("c_name"))), ("segment", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))), ("extra", F.lit("x")))
+    pred = long(c.where("c_acctbal >= -500"), ("name", F.when(F.col("c_custkey") % 3 == 0, F.replace("c_name", F.lit("0"), F.lit("O"))).otherwise(F.col("c_name"))), ("segment", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))), ("extra", F.lit("x")))
     return scoring.score_fields(joins.field_pairs(pred, gt, ["c_custkey"]))
 
 
 _FIELDS_SQL = """gt AS (SELECT c_custkey, 'name' AS field, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'segment', CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END FROM customer UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer),
-pr AS (SELECT c_custkey, 'name' AS field, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '0', 'O') ELSE c_name END AS v FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey, 'segment', CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey, 'extra', 'x' FROM customer WHERE c_custkey % 11 <> 0),
+pr AS (SELECT c_custkey, 'name' AS field, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '0', 'O') ELSE c_name END AS v FROM customer WHERE c_acctbal >= -500 UNION ALL SELECT c_custkey, 'segment', CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END FROM customer WHERE c_acctbal >= -500 UNION ALL SELECT c_custkey, 'extra', 'x' FROM customer WHERE c_acctbal >= -500),
 fp AS (SELECT coalesce(g.c_custkey, p.c_custkey) AS c_custkey, coalesce(g.field, p.field) AS field, p.v AS pred, g.v AS gt, g.field IS NOT NULL AS in_gt FROM gt g FULL JOIN pr p ON g.c_custkey = p.c_custkey AND g.field = p.field),
 sc AS (SELECT *, coalesce((pred IS NULL AND gt IS NULL AND in_gt) OR pred = gt, false) AS ex, pred IS NOT NULL AND gt IS NULL AS fa FROM fp)"""
 
@@ -275,14 +275,14 @@ def ledger_files(spark, d):
     return f.select("o_custkey", "n_rows", r6("row_consistency_rate").alias("rate"), F.col("first_break_row").alias("first_break"), F.col("sum_credit").cast("double").alias("credit"), F.col("sum_debit").cast("double").alias("debit"), F.col("file_reconciles").alias("reconciles"))
 
 
-@query("""WITH a AS (SELECT o_custkey, o_orderdate AS k, o_orderkey, o_totalprice AS bal FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_custkey, o_orderdate AS k, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS bal FROM orders WHERE o_orderkey % 9 <> 0),
+@query("""WITH a AS (SELECT o_custkey, o_orderdate AS k, o_orderkey, o_totalprice AS bal FROM orders WHERE o_orderpriority <> '1-URGENT'), b AS (SELECT o_custkey, o_orderdate AS k, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS bal FROM orders WHERE o_orderpriority <> '5-LOW'),
 x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, k ORDER BY o_orderkey) AS n FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, k ORDER BY o_orderkey) AS n FROM b),
 j AS (SELECT coalesce(x.o_custkey, y.o_custkey) AS o_custkey, CASE WHEN x.n IS NULL OR y.n IS NULL THEN 0.0 WHEN x.bal = y.bal THEN 1.0 ELSE 0.0 END AS v FROM x FULL JOIN y ON x.o_custkey = y.o_custkey AND x.k = y.k AND x.n = y.n)
 SELECT o_custkey, round(avg(v), 6) AS rate FROM j GROUP BY o_custkey""")
 def model_agreement(spark, d):
     o = t(spark, d, "orders")
-    b = o.where("o_orderkey % 9 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    rows = ledger.agreement(o.where("o_orderkey % 10 <> 0"), b, ["o_custkey"], ["o_orderdate"], "o_orderkey", "o_totalprice")
+    b = o.where("o_orderpriority <> '5-LOW'").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    rows = ledger.agreement(o.where("o_orderpriority <> '1-URGENT'"), b, ["o_custkey"], ["o_orderdate"], "o_orderkey", "o_totalprice")
     return rows.groupBy("o_custkey").agg(r6(ledger.agreement_rate(F.col("present"), F.col("balance_agrees"))).alias("rate"))
 
 
@@ -457,8 +457,8 @@ def table_similarity(spark, d):
 
 @query()
 def document_similarity(spark, d):
-    c = t(spark, d, "conversations").where("turn = 0")
-    return c.select("conv_id", r6(tables.text_similarity_udf(F.substring("text", 1, 200), F.substring(F.lower("text"), 1, 200))).alias("similarity"))
+    c = t(spark, d, "conversations")
+    return c.select("conv_id", "turn", r6(tables.text_similarity_udf("text", F.lower("text"))).alias("similarity"))
 
 
 @query()

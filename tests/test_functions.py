@@ -122,6 +122,17 @@ def test_duplicates_and_votes(spark):
     assert sorted((r.i, r.v) for r in dense.collect()) == [(0, None), (1, None), (2, "x")]
 
 
+def test_edit_distance():
+    def plain(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(plain(a[1:], b) + 1, plain(a, b[1:]) + 1, plain(a[1:], b[1:]) + (a[0] != b[0]))
+
+    words = ["", "a", "ab", "ba", "abcab", "acbba", "bbbbb", "cabac"]
+    assert all(tables.edit_distance(a, b) == plain(a, b) for a in words for b in words)
+    assert tables.edit_distance("x" * 50_000 + "ab", "y" + "x" * 50_000) == 3
+
+
 def test_tables():
     assert tables.html_tables("<table><tr><td>a<td>b</tr><tr><th>c") == [[["a", "b"], ["c"]]]
     assert tables.pipe_tables("x\n|a|b|\n|-|-|\n|c|d|\ny") == [[["a", "b"], ["c", "d"]]]
