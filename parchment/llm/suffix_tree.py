@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, crc_mod, nullable, table
 
-#: Share of all training tokens that a context and its next word have together at least (so the tree has at most
-#: 1 / SUPPORT entries a level), words of a context, nats by which a state's predictions beat those of its shorter
-#: state over the training text, and the discount.
+#: Share of all training tokens that a context and its next word have together at least in a small corpus, words of a
+#: context, nats by which a state's predictions beat those of its shorter state over the training text, and the discount.
 SUPPORT, DEPTH, DIVERGENCE, DISCOUNT = 1e-6, 3, 12.0, 0.75
+#: The tree grows with the corpus: the share falls by 1 + cube root of the tokens / GROWTH. A level of the tree, which is
+#: broadcast, has 1 / share entries at most: 1.5 million for 10**8 tokens, 28 million (24 bytes each) for 2 * 10**13.
+GROWTH = 1000
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
 #: The end of a document among words, of which none holds white space.
@@ -199,8 +201,8 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     words = rows.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "w")).select("block", "lid", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counts = scratch.put(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(support * total))
-    # At most 1 / support words (or total / 2) are frequent; they get numbers.
+    least = max(2, math.ceil(support * total / (1 + math.cbrt(total) / GROWTH)))
+    # At most total / least words are frequent; they get numbers.
     frequent = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END)))
     frequent = scratch.put(frequent.select("word", "c", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("number")), "frequent")
     found = frequent.select("number", "c", (F.col("word") == F.lit(END)).alias("end")).toArrow()
@@ -233,7 +235,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     texts = scratch.put(docs_of.groupBy("at").cogroup(known.groupBy("of")).applyInArrow(look_up, schema), "texts")
     context_counts = c.astype(float)
     for _ in range(depth if total and len(c) else 0):
-        shared = spark.sparkContext.broadcast(tree)  # at most 1 / support entries a level
+        shared = spark.sparkContext.broadcast(tree)  # at most total / least entries a level
 
         def pairs(batches, shared=shared):
             for batch in batches:
