@@ -23,13 +23,12 @@ TILE = 4096
 EDGES = "a long, b long"
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The fingerprint of each row of UTF-8 bytes, as int64."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each shingle of each row of UTF-8 bytes, its row, and the number of shingles of each row."""
     low = LOWER[data]
     starts, ends, counts = word_spans(~SPACES[low], offsets)
-    out = np.zeros(len(counts), np.uint64)
     if not len(starts):
-        return out.view(np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(counts), np.int64)
     # Words joined by single spaces: each word's bytes and one space behind it.
     lengths = ends - starts
     at = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
@@ -46,7 +45,13 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     begin, end = at[head], at[tail] + lengths[tail]
     buf, digest = memoryview(joined), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(buf[b:e], seed) for b, e in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(row))
-    ones = np.zeros((len(counts), 64), np.int64)
+    return hashes, row, per_row
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The fingerprint of each row of UTF-8 bytes, as int64."""
+    hashes, row, per_row = shingles_of(data, offsets, shingle, seed)
+    ones = np.zeros((len(per_row), 64), np.int64)
     for i in range(0, len(row), 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         rows = row[i : i + (1 << 16)]
@@ -191,25 +196,36 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     fps = scratch.put(fingerprint(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, seed), "fps")
     distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     nodes = components(links(distinct.select("fp"), scratch, radius, tile), scratch)
+    out = named(fps, distinct, nodes, scratch)
+    scratch.drop("sizes", "distinct", "big", "tiles", "pairs")
+    return out
+
+
+def named(fps: DataFrame, distinct: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """What near_duplicates() returns, of rows (doc_id, fp), (fp, least doc_id) and components of fingerprints."""
     members = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.put(members.join(names, "component").select("fp", "component_id", "component"), "named")
-    scratch.drop("sizes", "distinct", "big", "tiles", "pairs")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component")
+    known = scratch.put(members.join(names, "component").select("fp", "component_id", "component"), "named")
+    return fps.join(known, "fp").select("doc_id", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The row with the smallest id of each component of near_duplicates(docs), all columns as they are.
 
     Of repeated rows one stays; a component without ids keeps one of its rows."""
-    found = near_duplicates(docs, id, text, **options)
+    shingle, seed = options.get("shingle", SHINGLE), options.get("seed", SEED)
+    return first_rows(docs, near_duplicates(docs, id, text, **options), lambda rest: fingerprint(rest, "t", shingle, seed, keep_text=True), id, text)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, mark, id: str, text: str) -> DataFrame:
+    """The rows of docs that stay by components `found`; mark adds the column fp to rows with texts t."""
     n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
         return docs.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")), F.col(id) == F.col("_id"), "left_semi")
     # Ids that are null or not unique: rows are told apart by id, fingerprint and content.
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.fp").alias("_fp"))
     rest = docs.select(F.struct(*(c for c in docs.columns if c not in (id, text))).alias("rest"), F.col(id).alias("i"), F.col(text).alias("t")) if len(docs.columns) > 2 else docs.select(F.lit(0).alias("rest"), F.col(id).alias("i"), F.col(text).alias("t"))
-    near = fingerprint(rest, "t", options.get("shingle", SHINGLE), options.get("seed", SEED), keep_text=True).join(first, F.col("i").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    near = mark(rest).join(first, F.col("i").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
     near = near.withColumn("k", F.row_number().over(Window.partitionBy("i", "fp").orderBy("t"))).where("k = 1")
     return near.select(*(F.col("i").alias(c) if c == id else F.col("t").alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns))
 
