@@ -31,19 +31,26 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
 _FOLD = str.maketrans({**HOMOGLYPHS, **{chr(k): chr(v) for k, v in WIDE.items()}, "​": "", "‌": "", "‍": "", "﻿": "", "­": ""})
-_SUB = re.compile(r"(?<=[^\W\d_])[0134578@$!](?=[0134578@$!]*[^\W\d_])|(?<![^\W_])[0134578@$!](?=[0134578@$!]*[^\W\d_])")
+#: Runs of signs before a letter, or else behind one.
+_SUB = re.compile(r"([0134578@$!]+)(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$!]+")
+_LETTERS = str.maketrans(SUBSTITUTES)
 _REST = re.compile(r"[\W\d_]+")
 #: Stems: letters of a stem at least and at most, and documents of the sample that must hold one.
 SHORTEST, LONGEST, LEAST = 4, 10, 5
 
 
+def _letters(m: re.Match) -> str:
+    run = m[0] if m[1] else m[0].rstrip("!")
+    return run.translate(_LETTERS) + m[0][len(run) :]
+
+
 def fold(text: str) -> str:
-    """Lower case, homoglyphs as letters, signs between or before letters as letters; one space at each end and
-    between words, which are runs of letters."""
+    """Lower case, homoglyphs as letters, whole runs of signs before or behind letters as letters, but exclamation
+    marks at the end of a word as none; one space at each end and between words, which are runs of letters."""
     low = text.lower()
     if not low.isascii():
         low = low.translate(_FOLD)
-    low = _SUB.sub(lambda m: SUBSTITUTES[m[0]], low)
+    low = _SUB.sub(_letters, low)
     return f" {_REST.sub(' ', low).strip()} "
 
 
