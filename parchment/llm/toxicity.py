@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import crc_mod, table
+from .graph import local_components
 from .labels import FIT_ROWS, labelled_sample
 
 #: Letters of other scripts that look like Latin ones, and signs and digits that stand for letters inside words.
@@ -37,6 +39,8 @@ _LETTERS = str.maketrans(SUBSTITUTES)
 _REST = re.compile(r"[\W\d_]+")
 #: Stems: letters of a stem at least and at most, and documents of the sample that must hold one.
 SHORTEST, LONGEST, LEAST = 4, 10, 5
+#: Of jaccard.BANDS buckets, those that near copies share: all but 2 % of the pairs of similarity 0.85 share as many.
+SHARED = 8
 
 
 def _letters(m: re.Match) -> str:
@@ -127,27 +131,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _distinct(ids: pa.Array, labels: pa.Array, fp: pa.Array, keys: pa.Array) -> list[tuple]:
+    """(id, label) of one row of each group of near copies, that of the smallest id. Bounded: `rows` of learn()."""
+    fps, first, of = np.unique(fp.to_numpy(), return_index=True, return_inverse=True)
+    cells = keys.take(pa.array(first)).to_pylist()
+    full = np.array([i for i, c in enumerate(cells) if c], np.int64)
+    m = np.array([cells[i] for i in full], np.int64).reshape(len(full), jaccard.BANDS)
+    a, b = [], []
+    for i in range(len(m)):
+        near = np.flatnonzero((m[i + 1 :] == m[i]).sum(1) >= SHARED)
+        a.append(np.full(len(near), full[i]))
+        b.append(full[i + 1 + near])
+    none = [np.zeros(0, np.int64)]
+    group = local_components(len(fps), np.concatenate(a + none), np.concatenate(b + none))[of]
+    best: dict[int, tuple] = {}
+    for g, row in zip(group.tolist(), zip(ids.to_pylist(), labels.to_pylist(), strict=True), strict=True):
+        best[g] = min(best.get(g, row), row)
+    return sorted(set(best.values()))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, folds: int = 5, exceptions: Iterable[str] = (), most: int = 5000) -> Lexicon:
     """A lexicon from at most `rows` labelled documents outside the held-out fold.
 
-    Near copies would make chance words look telling: of rows with the same smallest word hash one is used. A stem
+    Near copies would make chance words look telling: of rows that share SHARED of the
+    buckets of five-word shingles (jaccard.bands_of), and of rows linked by such, one is used. A stem
     is kept if LEAST toxic rows hold it and its log odds, smoothed, are over log(8); of stems that stand for the
     same rows the shortest stays. Words that start with a stem but are as common in clean rows become exceptions.
     Without toxic rows the lexicon is empty.
     """
     sample = F.broadcast(labelled_sample(labels, label, folds, rows))
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
-    sketch = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
-    chosen = texts.select("doc_id", "label", sketch.alias("sketch")).groupBy("sketch").agg(F.min(F.struct("doc_id", "label")).alias("d")).select("d.*").collect()
-    n1 = sum(r.label for r in chosen)
+    keyed = jaccard.shingled(texts.select("doc_id", "label", "text"), sets=True).drop("set").toArrow()
+    chosen = _distinct(*(keyed.column(c) for c in ("doc_id", "label", "fp", "keys")))
+    n1 = sum(label for _, label in chosen)
     n0 = len(chosen) - n1
     curve = Lexicon({}).curve
     given = frozenset(fold(x).strip() for x in exceptions)
     if not n1 or not n0:
         return Lexicon({}, given, curve)
     spark = docs.sparkSession
-    few = spark.createDataFrame([(r.doc_id, r.label) for r in chosen], sample.schema)
+    few = spark.createDataFrame(chosen, sample.schema)
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     counts = texts.select("text", "label").mapInArrow(_count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.where(f"toxic >= {LEAST}").orderBy(F.desc("toxic"), "stem").limit(200_000).collect()
