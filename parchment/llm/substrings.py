@@ -24,8 +24,12 @@ from .common import RollingHash, Scratch, mix, slices, table, text_bytes
 LENGTH, GRAM = 200, 32
 #: Bytes of surroundings in a shard; different surroundings of one anchor beyond which its windows are counted by
 #: content hash, dealt out over the cluster, as one shard can't hold them.
-SHARD_BYTES, HOT = 1 << 20, 6000
-CHUNK, PLACE = 4 << 20, np.uint64((1 << 23) - 1)
+SHARD_BYTES, HOT = 1 << 20, 2000
+#: Bytes that are searched for anchors at once; a dozen arrays of eight bytes each go with them.
+CHUNK, PLACE = 1 << 18, np.uint64((1 << 23) - 1)
+#: Anchors (and surroundings) with more places than this, or than a 100,000th of all places, don't travel by their key:
+#: at most 100,000 of them exist, and they are broadcast instead.
+OFTEN, SHARE = 10_000, 100_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -47,10 +51,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, hashes: RollingHash, length:
         return empty, empty, empty.view(np.uint64), empty, empty, empty.view(np.uint64)
     sums = hashes.sums(data)
     n = len(data) - gram + 1
-    grams = mix((sums[gram:] - sums[:n]) * hashes.down[:n])
-    least = sliding_min(grams & ~PLACE | np.arange(n, dtype=np.uint64), length - gram + 1)
-    window = np.flatnonzero(np.arange(len(least)) <= np.repeat(offsets[1:] - length, size)[: len(least)])
+    grams = sums[gram:] - sums[:n]
+    grams *= hashes.down[:n]
+    grams = mix(grams)
+    least = grams & ~PLACE
+    least |= np.arange(n, dtype=np.uint64)
+    least = sliding_min(least, length - gram + 1)
+    inside = np.zeros(len(least), bool)  # windows that lie in one row
+    for s, e in zip(offsets[:-1][size >= length].tolist(), offsets[1:][size >= length].tolist(), strict=True):
+        inside[s : e - length + 1] = True
+    window = np.flatnonzero(inside)
     at = (least[window] & PLACE).astype(np.int64)
+    del least, inside
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:], len(at)) - 1
     at, begin, end = at[first], window[first], window[last] + length
@@ -82,16 +94,19 @@ def suffix_array(symbols: np.ndarray, most: int) -> np.ndarray:
     symbols go by their places."""
     n, key = len(symbols), np.zeros(len(symbols), np.int64)
     for t in range(7):
-        key[: n - t] |= symbols[t:] << (9 * (6 - t))
-    order = np.argsort(key)
+        key[: n - t] |= symbols[t:].astype(np.int64) << (9 * (6 - t))
+    order = np.argsort(key).astype(np.int32)
     new = np.ones(n, bool)
-    new[1:] = np.diff(key[order]) != 0
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    tied, k = order[~(new & np.append(new[1:], True))], 7
+    key = key[order]
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    del key
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    tied, k = order[~(new & np.append(new[1:], True))].astype(np.int64), 7
+    del order, new
     while len(tied):
         ahead = np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)] + 1, 0) if k <= most else tied
-        key = rank[tied] * (n + 1) + ahead
+        key = rank[tied].astype(np.int64) * (n + 1) + ahead
         sub = np.argsort(key)
         tied, key = tied[sub], key[sub]
         old, place = rank[tied], np.arange(len(tied))
@@ -117,16 +132,17 @@ def long_prefixes(symbols: np.ndarray, rank: np.ndarray, length: int) -> tuple[n
     """
     n = len(symbols)
     step = max(k for k in range(1, 9) if length % k == 0)
-    sa = np.empty(n, np.int64)
-    sa[rank] = np.arange(n)
+    sa = np.empty(n, np.int32)
+    sa[rank] = np.arange(n, dtype=np.int32)
     psi = rank[np.minimum(sa + step, n - 1)]
     found = np.zeros(n, bool)
     found[0] = True
     for t in range(step):
         first = symbols[np.minimum(sa + t, n - 1)]
         found[1:] |= (first[1:] != first[:-1]) | (first[1:] == 0)
-    todo = np.flatnonzero(~found)
+    todo = np.flatnonzero(~found).astype(np.int32)
     low, high = psi[todo - 1], psi[todo]
+    del psi
     for _ in range(length // step - 1):
         seen = np.cumsum(found, dtype=np.int32)
         split = seen[high] > seen[low]
@@ -190,15 +206,15 @@ def repeated_windows(texts: list[bytes], anchor: np.ndarray, before: np.ndarray,
 def _search(texts: list[bytes], anchor: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text the least and most bytes before the anchor of its repeated windows; most is -1 without any."""
     sizes = np.array([len(t) + 1 for t in texts])
-    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     symbols[starts + sizes - 1] = 0
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     sa, same = long_prefixes(symbols, suffix_array(symbols, 2 * int(sizes.max())), length)
     at = np.flatnonzero(same | np.append(same[1:], False))
     run = np.cumsum(~same)[at]
-    place = sa[at]
-    text = owner[place]
+    place = sa[at].astype(np.int64)
+    text = owner[place].astype(np.int64)
     ahead = before[text] - (place - starts[text])
     names = np.unique(anchor, return_inverse=True)[1]
     key = (run * (names.max(initial=0) + 1) + names[text]) * (length + 1) + ahead
@@ -220,15 +236,17 @@ def _scan(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
         hashes, squeeze, row = RollingHash(11), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            z, found, view = [], [], memoryview(np.ascontiguousarray(data))
-            for r, columns in row_anchors(data, offsets, hashes, length, gram):
-                z.append(squeeze.compress(view[offsets[r] : offsets[r + 1]]))
-                found.append(columns)
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(c[0]) for c in found])]), pa.int32())
-            pos, h, ll, rl, sh = (np.concatenate([c[k] for c in found]) if found else np.zeros(0, np.int64) for k in range(5))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64) if kind == pa.int64() else x, kind)) for x, kind in ((h, pa.int64()), (sh, pa.int64()), (pos, pa.int32()), (ll, pa.int32()), (rl, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(z))), batch.column("doc"), pa.array(z, pa.binary()), *lists], names=["row", "doc", "z", "h", "sh", "pos", "ll", "rl"])
-            row += len(z)
+            for i, j in slices(offsets, CHUNK):
+                z, found, part, cut = [], [], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                view = memoryview(np.ascontiguousarray(part))
+                for r, columns in row_anchors(part, cut, hashes, length, gram):
+                    z.append(squeeze.compress(view[cut[r] : cut[r + 1]]))
+                    found.append(columns)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(c[0]) for c in found])]), pa.int32())
+                pos, h, ll, rl, sh = (np.concatenate([c[k] for c in found]) for k in range(5))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64) if kind == pa.int64() else x, kind)) for x, kind in ((h, pa.int64()), (sh, pa.int64()), (pos, pa.int32()), (ll, pa.int32()), (rl, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(z))), batch.column("doc").slice(i, j - i), pa.array(z, pa.binary()), *lists], names=["row", "doc", "z", "h", "sh", "pos", "ll", "rl"])
+                row += len(z)
 
     return docs.mapInArrow(run, schema)
 
@@ -246,6 +264,18 @@ def _fetch(batches, gram: int):
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sh, pa.int64()), pa.array(ll, pa.int32()), pa.array(out, pa.binary())], names=["h", "sh", "ll", "around"])
 
 
+def _meet(rows: DataFrame, known: DataFrame, key: list[str], most: int) -> DataFrame:
+    """rows joined with known (key, each once, n, ...), without n: n is how many rows have the key. Keys with over `most` rows, so
+    few that they are broadcast, leave their rows where they are; all other keys have at most `most` rows in a task."""
+    hot = known.where(F.col("n") > most)
+    met = rows.join(known.where(F.col("n") <= most).drop("n").hint("shuffle_merge"), key)
+    if hot.isEmpty():
+        return met
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    met = cold.join(known.where(F.col("n") <= most).drop("n").hint("shuffle_merge"), key)
+    return met.unionByName(rows.join(F.broadcast(hot.drop("n")), key))
+
+
 COVER = "h long, sh long, s int, e int"
 
 
@@ -253,10 +283,13 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str, length: int, gram: int
     """The scanned rows, and (row, spans): byte ranges (s, e) that windows with equal others cover; may overlap."""
     rows = scratch.put(_scan(docs, text, length, gram), "rows")
     places = rows.select("row", F.explode(F.arrays_zip("h", "sh", "pos", "ll", "rl")).alias("a")).select("row", "a.*")
-    often = places.groupBy("h").agg(F.count("*").alias("n"), (F.min("sh") != F.max("sh")).alias("many")).where("n > 1").select("h", "many")
-    again = scratch.put(places.join(often, "h"), "again")
+    often = places.groupBy("h").agg(F.count("*").alias("n"), (F.min("sh") != F.max("sh")).alias("many")).where("n > 1")
+    often = scratch.put(often, "often")
+    most = max(OFTEN, often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // SHARE)
+    again = scratch.put(_meet(places, often.select("h", "many", "n"), ["h"], most), "again")
     kinds = again.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "ll", "rl")).alias("of"), F.max("many").alias("many"))
     kinds = scratch.put(kinds, "kinds")
+    scratch.drop("often")
     asked = kinds.where("many").select("of.row", F.struct("h", "sh", "of.pos", "of.ll", "of.rl").alias("q")).groupBy("row").agg(F.collect_list("q").alias("asked"))
     around = rows.select("row", "z").join(asked, "row").select("z", "asked").mapInArrow(lambda b: _fetch(b, gram), "h long, sh long, ll int, around binary")
     size = kinds.where("many").agg(F.coalesce(F.sum(F.col("of.ll") + F.col("of.rl") + gram), F.lit(0))).first()[0]
@@ -286,9 +319,12 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str, length: int, gram: int
         twice = each.groupBy("h", "l", "w").count().where("count > 1").drop("count")
         ends = each.join(twice, ["h", "l", "w"]).groupBy("h", "sh").agg((-F.max("l")).alias("s"), (length - F.min("l")).alias("e"))
         covers = covers.union(ends.select("h", "sh", F.col("s").cast("int"), F.col("e").cast("int")))
-    whole = kinds.where(F.col("n") > 1).select("h", "sh", (-F.col("of.ll")).alias("s"), (F.col("of.rl") + gram).alias("e")).where(F.col("e") - F.col("s") >= length)
-    covers = scratch.put(covers.union(whole).groupBy("h", "sh").agg(F.min("s").alias("s"), F.max("e").alias("e")), "covers")
-    spans = again.select("h", "sh", "row", "pos").join(covers, ["h", "sh"]).groupBy("row").agg(F.collect_list(F.struct((F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))).alias("spans"))
+    whole = kinds.where(F.col("n") > 1).select("h", "sh", (-F.col("of.ll")).alias("s"), (F.col("of.rl") + gram).alias("e"), "n").where(F.col("e") - F.col("s") >= length)
+    numbered = covers.withColumn("n", F.lit(1).cast("long")).union(whole).groupBy("h", "sh").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
+    covers = scratch.put(numbered, "covers")
+    spans = _meet(again.select("h", "sh", "row", "pos"), covers, ["h", "sh"], most)
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct((F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))).alias("spans"))
+    scratch.drop("kinds", "crowded", "around", "windows")
     return rows, spans
 
 
@@ -344,7 +380,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             spans = pa.array([[{"s": s, "e": e} for s, e in r] for r in runs], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary()).cast(pa.string()) if characters else pa.array(kept, pa.binary())], names=["doc", "n_bytes", "spans", "kept"])
 
-    keep = [f"doc.{f.name}" for f in rows.schema["doc"].dataType if f.name not in ("none", "n_bytes", "spans", "kept")]
+    keep = [F.col("doc")[c].alias(c) for c in docs.columns if c not in (text, "n_bytes", "spans", "kept")]
     return rows.select("row", "doc", "z").join(spans, "row", "left").select("doc", "z", "spans").mapInArrow(cut, schema).select(*keep, "n_bytes", "spans", "kept")
 
 
