@@ -64,12 +64,8 @@ def _blocks(docs: DataFrame, id: str, text: str, block_bytes: int) -> DataFrame:
         def flush():
             nonlocal block, numbers, size, rows
             n, width = len(rows), len(numbers)
-            counts, every = np.zeros(width, np.int64), np.zeros(width, np.int64)
-            for _, learn, ids in rows:
-                there = np.bincount(ids, minlength=width)
-                every += there
-                if learn:
-                    counts += there
+            every = np.bincount(np.concatenate([r[2] for r in rows]), minlength=width)
+            counts = np.bincount(np.concatenate([r[2] for r in rows if r[1]] or [np.zeros(0, np.int32)]), minlength=width)
             order = np.argsort(-every, kind="stable")  # frequent words get small numbers
             rank = np.empty(width, np.int32)
             rank[order] = np.arange(width, dtype=np.int32)
