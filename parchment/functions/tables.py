@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Sequence
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import canonical_text
+from .text import canonical, canonical_text
 
 FIELDS = T.MapType(T.StringType(), T.StringType())
 GRID = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
@@ -69,18 +70,26 @@ def html_tables(text: str) -> list[list[list[str]]]:
     return [[[c[0] for c in row] for row in t] for t in spanned_tables(text)]
 
 
-_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+def _is_rule(line: str) -> bool:
+    """A line that begins as the rule of a pipe table: a bar or none, a colon or none, three dashes."""
+    return line.lstrip().removeprefix("|").lstrip().removeprefix(":").startswith("---")
+
+
+def _cells(line: str) -> list[str]:
+    """The cells of a pipe table's line, without the empty ones outside its outer bars."""
+    cells = [c.strip() for c in line.split("|")]
+    return cells[not cells[0] : len(cells) - (len(cells) > 1 and not cells[-1])]
 
 
 def pipe_tables(text: str) -> list[list[list[str]]]:
-    """Runs of lines with pipes that hold a rule line, without it."""
+    """Runs of two lines or more with bars, one of them a rule, without the rules; a rule alone is no table."""
     out, run = [], []
     for line in [*(text or "").splitlines(), ""]:
         if "|" in line:
             run.append(line)
             continue
-        if any(_RULE.match(x) for x in run):
-            out.append([[c.strip() for c in x.strip().strip("|").split("|")] for x in run if not _RULE.match(x)])
+        if len(run) >= 2 and any(map(_is_rule, run)):
+            out.append([_cells(x) for x in run if not _is_rule(x)])
         run = []
     return out
 
@@ -111,12 +120,12 @@ def otsl_html(text: str) -> str:
             if k not in ("fcel", "ecel"):
                 continue
             wide, tall = 1, 1
-            while kind(r, c + wide) == "lcel":
+            while kind(r, c + wide) in ("lcel", "xcel"):
                 wide += 1
-            while kind(r + tall, c) == "ucel":
+            while kind(r + tall, c) in ("ucel", "xcel"):
                 tall += 1
             spans = (f' colspan="{wide}"' if wide > 1 else "") + (f' rowspan="{tall}"' if tall > 1 else "")
-            cells.append(f"<td{spans}>{body}</td>")
+            cells.append(f"<td{spans}>{escape(body, quote=False) if k == 'fcel' else ''}</td>")
         rows.append(f"<tr>{''.join(cells)}</tr>")
     return f"<table>{''.join(rows)}</table>"
 
@@ -131,48 +140,95 @@ def flatten(value, key: str = "") -> dict[str, str | None]:
 
 
 _FENCE = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$", re.I)
-_GROUPED = re.compile(r"(:\s*)(-?\d{1,3}(?:,\d{3})+(?:\.\d+)?)(?=\s*[,}\]\n])")
-_PAIR = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d[\d,]*(?:\.\d+)?|true|false|null)')
 
 
-def json_fields(text: str) -> tuple[dict[str, str | None], str | None]:
-    """Flat fields of a reply, and how it had to be repaired: numbers with separators quoted, else whole pairs kept."""
-    text = _FENCE.sub("", (text or "").strip())
-    spans = [text, *(text[text.find(a) : text.rfind(b) + 1] for a, b in ("{}", "[]") if 0 <= text.find(a) < text.rfind(b))]
-
-    def load(x: str):
+def _load(x: str):
+    """Flat fields of JSON text that may have commas before its closing brackets; None if it is no JSON."""
+    for y in (x, re.sub(r",\s*(?=[}\]])", "", x)):
         try:
-            return flatten(json.loads(re.sub(r",(\s*[}\]])", r"\1", x)))
+            return flatten(json.loads(y))
         except ValueError:
-            return None
+            continue
+    return None
 
-    for change, note in ((lambda x: x, None), (lambda x: _GROUPED.sub(r'\1"\2"', x), "quoted bare numbers")):
-        for s in spans:
-            if (got := load(change(s))) is not None:
-                return got, note
-    pairs: dict[str, str | None] = {}
-    for k, v in _PAIR.findall(text):
-        pairs.setdefault(k, None if v == "null" else load(v)[""] if v[0] == '"' and load(v) else v)
-    return pairs, f"salvaged {len(pairs)} fields from invalid JSON" if pairs else "invalid JSON"
 
+def _skip(text: str, i: int) -> int:
+    while i < len(text) and text[i].isspace():
+        i += 1
+    return i
 
-def json_blocks(text: str) -> tuple[list[dict], str | None]:
-    """The objects of a JSON list, and of one that was cut off the whole ones."""
-    text = _FENCE.sub("", (text or "").strip())
-    try:
-        data = json.loads(text)
-        return [x for x in (data if isinstance(data, list) else [data]) if isinstance(x, dict)], None
-    except ValueError:
-        pass
-    at, out, decoder = text.find("[") + 1, [], json.JSONDecoder()
-    while at:
-        m = re.compile(r"[\s,]*").match(text, at)
+
+def _number_end(text: str, i: int) -> int:
+    """Where the digits and commas from i on, and decimals behind them, end; i if there are none."""
+    j = i + (text[i : i + 1] == "-")
+    if not text[j : j + 1].isdigit():
+        return i
+    while j < len(text) and (text[j].isdigit() or text[j] == ","):
+        j += 1
+    k = j + 1
+    while text[j : j + 1] == "." and k < len(text) and text[k].isdigit():
+        k += 1
+    return k if k > j + 1 else j
+
+
+def _members(text: str):
+    """(key, value start, value end) of each key with a colon behind it, by scanning strings from left to right."""
+    i = text.find('"')
+    while i >= 0:
         try:
-            item, at = decoder.raw_decode(text, m.end())
-            out.append(item)
+            key, j = json.decoder.scanstring(text, i + 1)
         except ValueError:
-            break
-    return [x for x in out if isinstance(x, dict)], f"truncated JSON: {len(out)} whole blocks" if out else "invalid JSON"
+            i = text.find('"', i + 1)
+            continue
+        k = _skip(text, j)
+        if text[k : k + 1] == ":":
+            k = _skip(text, k + 1)
+            end = k
+            if text[k : k + 1] == '"':
+                try:
+                    end = json.decoder.scanstring(text, k + 1)[1]
+                except ValueError:
+                    end = k
+            elif literal := next((w for w in ("true", "false", "null") if text.startswith(w, k)), ""):
+                end = k + len(literal)
+            else:
+                end = _number_end(text, k)
+            yield key, k, end
+            j = max(end, k)
+        i = text.find('"', j)
+
+
+def _quote_grouped(text: str) -> str:
+    """Bare numbers of a member, with thousands between commas, as strings."""
+    out, at = [], 0
+    for _, s, e in _members(text):
+        number = text[s:e].rstrip(",")
+        e = s + len(number)
+        first, *groups = number.split(".")[0].lstrip("-").split(",")
+        if groups and 1 <= len(first) <= 3 and all(len(g) == 3 for g in groups) and first.isdigit() and (text[_skip(text, e) :][:1] or " ") in ",}]":
+            out += [text[at:s], '"', number, '"']
+            at = e
+    return "".join([*out, text[at:]])
+
+
+def json_fields(text: str) -> tuple[dict[str, str | None], str | None]:
+    """Flat fields of a reply, and how it had to be repaired: numbers with separators quoted, else whole pairs kept."""
+    text = _FENCE.sub("", (text or "").strip())
+
+    def whole(t: str):
+        spans = [t, *(t[t.find(a) : t.rfind(b) + 1] for a, b in ("{}", "[]") if 0 <= t.find(a) < t.rfind(b))]
+        return next((got for s in spans if s and (got := _load(s)) is not None), None)
+
+    if (got := whole(text)) is not None:
+        return got, None
+    if (quoted := _quote_grouped(text)) != text and (got := whole(quoted)) is not None:
+        return got, "quoted bare numbers"
+    pairs: dict[str, str | None] = {}
+    for key, s, e in _members(text):
+        if e > s:
+            token = text[s:e]
+            pairs.setdefault(key, json.loads(token, strict=False) if token[0] == '"' else None if token == "null" else token)
+    return pairs, f"salvaged {len(pairs)} fields from invalid JSON" if pairs else "invalid JSON"
 
 
 def tree_distance(a: tuple, b: tuple, rename) -> float:
@@ -234,41 +290,151 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-def _table_tree(rows) -> tuple[tuple, int]:
-    n = sum(1 + len(r) for r in rows)
-    return (("table", 1, 1, ""), [(("tr", 1, 1, ""), [(("td", c[1], c[2], c[0]), []) for c in r]) for r in rows]), n
+VOID = frozenset(("br", "img", "hr", "input", "col", "wbr"))
+#: Tags that an opening tag closes first, up to the table around them.
+CLOSES = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), **dict.fromkeys(("thead", "tbody", "tfoot"), ("td", "th", "tr", "thead", "tbody", "tfoot"))}
+
+
+class _Markup(HTMLParser):
+    """Elements as [tag, attributes, children], where children are elements and strings."""
+
+    def __init__(self):
+        super().__init__()
+        self.root: list = ["", {}, []]
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        while self.open[-1][0] in CLOSES.get(tag, ()):
+            self.open.pop()
+        node = [tag, dict(attrs), []]
+        self.open[-1][2].append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.open.pop()
+
+    def handle_endtag(self, tag):
+        if tag in [n[0] for n in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def _first(node: list, tag: str) -> list | None:
+    if node[0] == tag:
+        return node
+    return next((got for c in node[2] if not isinstance(c, str) and (got := _first(c, tag))), None)
+
+
+def _hoisted(node: list, tags) -> list:
+    """The element with those of the tags replaced by their children."""
+    out: list = []
+    for c in node[2]:
+        c = c if isinstance(c, str) else _hoisted(c, tags)
+        out.extend(c[2] if not isinstance(c, str) and c[0] in tags else [c])
+    return [node[0], node[1], out]
+
+
+def _tokens(node: list) -> list[str]:
+    """What a cell holds: each character, and each tag inside as one token."""
+    out: list[str] = []
+    for c in node[2]:
+        out.extend(c if isinstance(c, str) else [f"<{c[0]}>", *_tokens(c), f"</{c[0]}>"])
+    return out
+
+
+def _elements(node: list) -> int:
+    return sum(1 + _elements(c) for c in node[2] if not isinstance(c, str))
+
+
+def _tree(node: list, content: bool) -> tuple:
+    """(label, children): the label of a cell holds its spans and tokens, cells have no children."""
+    if node[0] == "td":
+        span = lambda k: int(v) if (v := str(node[1].get(k) or "1").strip()).isdigit() else 1
+        return ("td", span("colspan"), span("rowspan"), tuple(_tokens(node)) if content else ()), []
+    return (node[0], None, None, ()), [_tree(c, content) for c in node[2] if not isinstance(c, str)]
+
+
+#: Wrappers of rows, which don't count where only the cells matter.
+WRAPPERS = ("thead", "tbody", "tfoot")
+
+
+def table_similarity(pred: str, truth: str, ignore: Sequence[str] = (), structure_only: bool = False) -> float:
+    """1 - the edit distance of the first tables' trees by the larger number of elements below the table (those inside
+    cells included); 0 if either text has no table. Renaming a cell costs the normalised edit distance of its tokens, or 1
+    where spans differ; elements other than td are compared by name alone."""
+    found = []
+    for html in (pred, truth):
+        p = _Markup()
+        p.feed((html or "").replace("\n", ""))
+        p.close()
+        found.append(_first(p.root, "table"))
+    if not found[0] or not found[1]:
+        return 0.0
+    a, b = (_hoisted(t, ignore) if ignore else t for t in found)
+    x, y = _tree(a, not structure_only), _tree(b, not structure_only)
+    nodes = max(_elements(a), _elements(b))
+    if x == y:
+        return 1.0 if nodes else 0.0
+
+    def rename(p, q):
+        if p[:3] != q[:3]:
+            return 1.0
+        return edit_distance(p[3], q[3]) / max(len(p[3]), len(q[3])) if p[0] == "td" and (p[3] or q[3]) else 0.0
+
+    return 1 - tree_distance(x, y, rename) / nodes if nodes else 0.0
+
+
+def first_table(text: str) -> str | None:
+    """The first table of a text that is closed, as it stands."""
+    m = re.search(r"(?is)<table\b.*?</table\s*>", text or "")
+    return m and m[0]
 
 
 def teds(pred: str, truth: str, structure_only: bool = False) -> float:
-    """Tree similarity of the first tables of two HTML texts; 0 if either has none."""
-    p, t = spanned_tables(pred), spanned_tables(truth)
-    if not p or not t:
+    """table_similarity() of canonical texts with header cells as cells and without wrappers of rows. A prediction whose
+    table isn't closed has none; a truth without one is taken as rows."""
+    p, t = first_table(pred), first_table(truth) or truth or ""
+    if p is None:
         return 0.0
-    (a, na), (b, nb) = _table_tree(p[0]), _table_tree(t[0])
-    if a == b:
-        return 1.0
+    plain = lambda x: re.sub(r"(?i)<(/?)th\b", r"<\1td", canonical(x))
+    return table_similarity(plain(p), plain(t if "<table" in t else f"<table>{t}</table>"), WRAPPERS, structure_only)
 
-    def rename(x, y):
-        if x[:3] != y[:3]:
-            return 1.0
-        if x[0] != "td" or structure_only or not (x[3] or y[3]):
-            return 0.0
-        return edit_distance(x[3], y[3]) / max(len(x[3]), len(y[3]))
 
-    return 1 - tree_distance(a, b, rename) / max(na, nb, 1)
+#: Marks that language models leave in their output.
+MARKS = ("<bos>", "<eos>", "<pad>", "<unk>")
+
+
+def pre_clean(text: str) -> str:
+    """Text without models' marks, word-piece signs, spaces that split commands and braces, line ends, stars and
+    underscores."""
+    for mark in MARKS:
+        text = text.replace(mark, "")
+    text = re.sub(r"\s##(?=\S)|(?<=\\)\s", "", text)
+    text = re.sub(r"\s\*\s\*\s", "**", text)
+    text = re.sub(r"(?<=\{)\s|\s{1,2}(?=\})", "", text)
+    text = re.sub(r"(?<=\\begin)\s|(?<=\\end)\s", "", text)
+    return text.replace("\\end{table}", "\\end{table} \n\n").translate(str.maketrans("\n*_", "   "))
 
 
 def heading_tree(text: str) -> tuple[tuple, int]:
-    """Lines below the headings they stand under."""
+    """Cleaned lines below the headings they stand under; a heading's name that came before, or none at all, leads back
+    to where it first stood."""
     root: tuple = ("ROOT", [("TITLE", [])])
     at = root[1][0]
-    for line in (text or "").split("\n"):
-        node = (line.replace("#", "") if line.startswith("#") else line, [])
+    named = {"": at}
+    for line in map(pre_clean, (text or "").split("\n")):
         if line.startswith("#"):
+            node = (line.replace("#", ""), [])
             root[1].append(node)
-            at = node
+            at = named.setdefault(node[0], node)
         else:
-            at[1].append(node)
+            at[1].append((line, []))
     return root, 2 + len((text or "").split("\n"))
 
 
@@ -296,12 +462,37 @@ def overlap_f(pred: Sequence[str], truth: Sequence[str]) -> float:
     return 2 * hit / (len(p) + len(t)) if p or t else 0.0
 
 
+def meteor(pred: Sequence[str], truth: Sequence[str]) -> float:
+    """Alignment score of lower-cased words: each of the prediction's, from its end, takes the last one left of the truth's.
+    Equal words only; stems and synonyms, which a dictionary would give, have no part."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(truth):
+        places.setdefault(w.lower(), []).append(i)
+    pairs = [(i, left.pop()) for i in range(len(pred) - 1, -1, -1) if (left := places.get(pred[i].lower()))][::-1]
+    if not pairs:
+        return 0.0
+    chunks = 1 + sum((b[0] - a[0], b[1] - a[1]) != (1, 1) for a, b in zip(pairs, pairs[1:], strict=False))
+    p, r = len(pairs) / len(pred), len(pairs) / len(truth)
+    return p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * (chunks / len(pairs)) ** 3)
+
+
+def words_of(pred: str, truth: str) -> tuple[list[str], list[str]]:
+    """Tokens of both texts: words between spaces; where either has Thai or Chinese letters, their runs by letter and
+    everything else as words, in place of dictionary-based words."""
+    far = re.compile("[\u0e00-\u0e7f\u4e00-\u9fa5]")
+    if not far.search(pred + truth):
+        return pred.split(), truth.split()
+    cut = re.compile("[\u0e00-\u0e7f\u4e00-\u9fa5]|[^\\s\u0e00-\u0e7f\u4e00-\u9fa5]+")
+    return cut.findall(pred), cut.findall(truth)
+
+
 def text_similarity(pred: str, truth: str) -> float:
-    """Mean of BLEU, word overlap F and edit similarity. A synonym-aware metric would need a dictionary that isn't
-    here, so it has no part: the mean is over three."""
+    """Mean of BLEU, METEOR on equal words, word overlap F and edit similarity. Not comparable with one that has a
+    dictionary of synonyms, or of Thai words."""
     longest = max(len(pred), len(truth))
     edit = 1 - edit_distance(pred, truth) / longest if longest else 1.0
-    return (bleu(pred.split(), truth.split()) + overlap_f(pred.split(), truth.split()) + edit) / 3
+    p, t = words_of(pred, truth)
+    return ((bleu(p, t) if p and t else 0.0) + meteor(p, t) + overlap_f(p, t) + edit) / 4
 
 
 def _udf2(f):
@@ -324,44 +515,6 @@ teds_udf, document_similarity_udf, text_similarity_udf = _udf2(teds), _udf2(docu
 html_tables_udf, pipe_tables_udf, otsl_udf = _udf1(html_tables, GRID), _udf1(pipe_tables, GRID), _udf1(otsl_html, T.StringType())
 json_fields_udf = _udf1(lambda x: json_fields(x)[0], FIELDS)
 
-#: Replies by dialect to (text, tables, fields, parse_error).
-PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("tables", GRID), T.StructField("fields", FIELDS), T.StructField("parse_error", T.StringType())])
-
-
-def _page(kind: str, raw: str) -> dict:
-    out = {"text": raw, "tables": [], "fields": {}, "parse_error": None}
-    if kind == "html_table":
-        out["tables"] = html_tables(raw) or pipe_tables(raw)
-        out["parse_error"] = None if out["tables"] else "no table in output"
-    elif kind == "otsl":
-        html = otsl_html(raw)
-        out |= {"text": html, "tables": [t for t in html_tables(html) if t]}
-        out["parse_error"] = None if out["tables"] else "no table in output"
-    elif kind == "json_fields":
-        out["fields"], out["parse_error"] = json_fields(raw)
-    elif kind == "layout_json":
-        blocks, out["parse_error"] = json_blocks(raw)
-        out["text"] = "\n".join(str(b.get("text") or "") for b in blocks)
-        out["tables"] = [t for b in blocks for t in html_tables(str(b.get("text") or ""))]
-    elif kind == "layout_lines":
-        lines = [re.match(r"\s*<box:([\d. ]+)>\s*<label:([^>]*)>(?:<[^>]*>)*(.*)", x) for x in raw.splitlines() if x.strip()]
-        out["text"] = "\n".join(m[3].strip() for m in lines if m)
-        bad = sum(m is None for m in lines)
-        out["parse_error"] = f"{bad} lines not understood" if bad else None
-    elif kind == "markdown":
-        out["text"] = re.sub(r"<figure\b.*?</figure>|<img\b[^>]*>|</?page_number>", "", raw, flags=re.S)
-        out["tables"] = html_tables(raw) + pipe_tables(raw)
-    elif kind != "text":
-        out["parse_error"] = f"unknown dialect: {kind}"
-    return out
-
-
-@F.pandas_udf(PAGE)
-def parse_reply(kind: pd.Series, raw: pd.Series) -> pd.DataFrame:
-    rows = [_page(k or "text", r or "") for k, r in zip(kind, raw, strict=True)]
-    return pd.DataFrame(rows, columns=["text", "tables", "fields", "parse_error"])
-
-
 # Header words of ledger columns, on lower-cased canonical text.
 COLUMN_WORDS = {
     "date": ("date", "วันที่", "วันทำรายการ"), "time": ("time", "เวลา"), "description": ("descriptions", "description", "particulars", "รายการ", "รายละเอียด"),
@@ -384,17 +537,3 @@ def header_score(roles: Column) -> Column:
     """How many of date, money and balance an array of roles covers."""
     money = F.arrays_overlap(roles, F.array(*map(F.lit, ("withdrawal", "deposit", "amount", "withdrawal_deposit"))))
     return F.array_contains(roles, "date").cast("int") + F.coalesce(money, F.lit(False)).cast("int") + F.array_contains(roles, "balance").cast("int")
-
-
-def group_lines(words: pd.DataFrame, overlap: float = 0.4) -> pd.Series:
-    """The line of each positioned word (x0, y0, x1, y1) of one page: from top to bottom, a word joins the line above
-    it if they share more than `overlap` of the smaller height."""
-    line, top, bottom, out = -1, 0.0, 0.0, {}
-    for i, w in words.sort_values(["y0", "x0"]).iterrows():
-        shared, small = min(bottom, w.y1) - max(top, w.y0), min(bottom - top, w.y1 - w.y0) or 1.0
-        if line >= 0 and shared > overlap * small:
-            top, bottom = min(top, w.y0), max(bottom, w.y1)
-        else:
-            line, top, bottom = line + 1, w.y0, w.y1
-        out[i] = line
-    return pd.Series(out, index=words.index, dtype="int64") if out else pd.Series(dtype="int64")

@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key by the order columns; Spark cuts each partition to one row a key before it shuffles."""
-    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    w, rank = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)), free_name(df, "rank")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str], error: str | None = None) -> DataFrame:
@@ -28,9 +36,12 @@ def every_model(manifest: DataFrame, models: list[str]) -> DataFrame:
 
 
 def with_predictions(manifest: DataFrame, predictions: DataFrame, keys: list[str], models: list[str]) -> DataFrame:
-    """Each manifest row and model with its prediction, or nulls and missing = true."""
-    found = predictions.withColumn("_found", F.lit(True))
-    return every_model(manifest, models).join(found, [*keys, "model"], "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
+    """Each manifest row and model with its prediction, or nulls and missing = true. Of repeated predictions of a key one
+    stays; where a log tells which is the last, use latest() first."""
+    found = free_name(predictions, "found")
+    marked = predictions.dropDuplicates([*keys, "model"]).withColumn(found, F.lit(True))
+    out = every_model(manifest, models).join(marked, [*keys, "model"], "left")
+    return out.withColumn("missing", F.col(found).isNull()).drop(found)
 
 
 PARTIAL = r"^\d+ of \d+ blocks failed$"
@@ -58,11 +69,11 @@ def worst_values(kind: Column) -> Column:
 
 
 def field_pairs(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    """Fields of both sides (columns keys, field, value) side by side: pred, gt, in_pred, in_gt."""
-    p = pred.select(*keys, "field", F.col("value").alias("pred"), F.lit(True).alias("p"))
-    g = truth.select(*keys, "field", F.col("value").alias("gt"), F.lit(True).alias("g"))
-    both = p.join(g, [*keys, "field"], "full")
-    return both.select(*keys, "field", "pred", "gt", F.col("p").isNotNull().alias("in_pred"), F.col("g").isNotNull().alias("in_gt"))
+    """Fields of both sides (columns keys, field, value) side by side: pred, gt, in_pred, in_gt. Null keys are equal; of
+    a field that a side repeats, its greatest value counts. Both sides meet in one grouping instead of a full join."""
+    side = lambda df, p: df.select(*keys, "field", *(F.when(F.lit(p == k), F.col("value")).alias(k) for k in ("pred", "gt")), *(F.lit(p == k).alias(f"in_{k}") for k in ("pred", "gt")))
+    both = side(pred, "pred").unionByName(side(truth, "gt"))
+    return both.groupBy(*keys, "field").agg(F.max("pred").alias("pred"), F.max("gt").alias("gt"), F.max("in_pred").alias("in_pred"), F.max("in_gt").alias("in_gt"))
 
 
 def bag_matches(a: DataFrame, b: DataFrame, group: list[str], key: list[str]) -> DataFrame:
@@ -81,10 +92,20 @@ def prf(tp: Column, n_pred: Column, n_true: Column) -> tuple[Column, Column, Col
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def interval_match(points: DataFrame, bands: DataFrame, low: str, high: str, band: str, start: str, end: str) -> DataFrame:
-    """Each point's band of largest overlap (over 0; the first band wins ties). bands is a short table: it is folded
-    into one array that every point carries, without a join of all pairs."""
-    rows = bands.agg(F.sort_array(F.collect_list(F.struct(F.col(band).alias("band"), F.col(start).alias("s"), F.col(end).alias("e")))).alias("_bands"))
-    over = F.transform("_bands", lambda x: F.struct((F.least(F.col(high), x.e) - F.greatest(F.col(low), x.s)).alias("over"), (-x.band).alias("first"), x.band.alias("band")))
+def interval_match(points: DataFrame, bands: list[tuple], low: str, high: str, band: str) -> DataFrame:
+    """Each point's band (name, start, end) of largest overlap (over 0; the first band wins ties). The bands are a short
+    list of configuration, which goes into the expression; use range_match() for a table of them."""
+    over = F.array(*(F.struct((F.least(F.col(high), F.lit(e)) - F.greatest(F.col(low), F.lit(s))).alias("over"), F.lit(-i).alias("first"), F.lit(b).alias("band")) for i, (b, s, e) in enumerate(bands)))
     best = F.array_max(F.filter(over, lambda x: x["over"] > 0))
-    return points.join(F.broadcast(rows)).withColumn(band, best["band"]).drop("_bands")  # one row on the right
+    return points.withColumn(band, best["band"])
+
+
+def range_match(points: DataFrame, bands: DataFrame, low: str, high: str, band: str, start: str, end: str, width: float, id: str) -> DataFrame:
+    """interval_match() against a table of bands of any size: both sides are cut into cells of `width`, and meet by
+    cell, so a point only sees bands near it. id tells points apart; `width` is best near the common band's length."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    p = points.select(F.col(id).alias("_id"), F.col(low).alias("_l"), F.col(high).alias("_h"), cells(low, high).alias("_cell"))
+    b = bands.select(F.col(band).alias("_b"), F.col(start).alias("_s"), F.col(end).alias("_e"), cells(start, end).alias("_cell"))
+    over = F.least("_h", "_e") - F.greatest("_l", "_s")
+    best = p.join(b, "_cell").withColumn("_o", over).where("_o > 0").groupBy("_id").agg(F.min(F.struct((-F.col("_o")).alias("o"), F.col("_b").alias("b"))).alias("_m"))
+    return points.join(best.select(F.col("_id").alias(id), F.col("_m.b").alias(band)), id, "left")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 MONEY = "decimal(20,4)"
 
@@ -19,16 +24,61 @@ def _chain(rows: Column) -> Column:
     return F.size(F.filter(pairs, lambda x: F.coalesce(x.b.balance == x.a.balance + x.b.net, F.lit(False))))
 
 
+CHECK = T.StructType([
+    T.StructField("row_index", T.IntegerType()), T.StructField("page_no", T.IntegerType()), T.StructField("page_row_index", T.IntegerType()), T.StructField("expected", T.DecimalType(20, 4)),
+    T.StructField("actual", T.DecimalType(20, 4)), T.StructField("consistent", T.BooleanType()), T.StructField("inferred", T.StringType()), T.StructField("gap", T.BooleanType()),
+])
+CHECKED = T.StructType([T.StructField("checks", T.ArrayType(CHECK)), *(T.StructField(c, T.DecimalType(20, 4)) for c in ("debit", "credit", "running"))])
+
+
+def check_rows(rows: list[dict], opening: Decimal | None, derived: bool, declared: dict) -> dict:
+    """The fold over one file's rows (page_no, pos, net, amount, balance) in order, in one pass: what is expected of each
+    balance, from the printed one before it or else the expected one, and the sums of both sides.
+
+    A row without side takes the one that its balance tells; where neither does, it is inconsistent. The opening balance
+    that a page declares replaces one that differs. A row whose side was inferred isn't judged, nor is the first row if
+    the opening balance was derived from it."""
+    running, page, seen, zero = opening, None, False, Decimal(0)
+    checks, debit, credit = [], zero, zero
+    for i, r in enumerate(rows, 1):
+        net, actual, starts = r["net"], r["balance"], seen and r["page_no"] != page
+        said = declared.get(r["page_no"]) if starts else None
+        gap = said is not None and running is not None and said != running
+        running = said if gap else running
+        side = verdict = None
+        judged = True
+        if net is None and r["amount"] is not None and running is not None and actual is not None:
+            delta, judged = actual - running, False
+            if delta and abs(delta) == r["amount"]:
+                net, side = delta, "credit" if delta > 0 else "debit"
+            else:
+                verdict = False
+        expected = None if running is None or net is None else running + net
+        if judged and expected is not None and actual is not None and not (i == 1 and derived):
+            verdict = actual == expected
+        checks.append({"row_index": i, "page_no": r["page_no"], "page_row_index": r["pos"], "expected": expected, "actual": actual, "consistent": verdict, "inferred": side, "gap": gap or (verdict is False and starts)})
+        debit, credit = debit + max(-(net or zero), zero), credit + max(net or zero, zero)
+        running, page, seen = expected if actual is None else actual, r["page_no"], True
+    return {"checks": checks, "debit": debit, "credit": credit, "running": running}
+
+
+@F.arrow_udf(CHECKED)
+def _check_rows(rows: pa.Array, opening: pa.Array, derived: pa.Array, pages: pa.Array) -> pa.Array:
+    cols = (rows.to_pylist(), opening.to_pylist(), derived.to_pylist(), pages.to_pylist())
+    return pa.array([check_rows(r or [], o, d, {p["page_no"]: p["opening_balance"] for p in ps or ()}) for r, o, d, ps in zip(*cols, strict=True)], to_arrow_type(CHECKED))
+
+
 def check_files(rows: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """One row per file: its checks by row, mismatching rows, totals and flags.
 
     rows: key, page_no, pos, date, debit, credit, amount, balance. pages: key, page_no, opening_balance,
-    closing_balance, total_debit, total_credit. The chain is read newest first where dates, or else the equations,
-    say so. A row is checked against the printed balance before it, or the expected one where none is printed, so a
-    fold over the ordered rows carries the running balance. A file's rows are held as one array."""
-    row = F.struct("page_no", "pos", "date", net(F.col("debit"), F.col("credit")).cast(MONEY).alias("net"), F.col("amount").cast(MONEY).alias("amount"), F.col("balance").cast(MONEY).alias("balance"))
+    closing_balance, total_debit, total_credit; of a page given twice the last opening balance counts. The chain is read
+    newest first where dates, or else the equations, say so. The fold of check_rows() is Python, as Spark's own copies
+    what it has gathered at every row. A file's rows are held as one array."""
+    row = F.struct("page_no", F.col("pos").cast("int").alias("pos"), "date", net(F.col("debit"), F.col("credit")).cast(MONEY).alias("net"), F.col("amount").cast(MONEY).alias("amount"), F.col("balance").cast(MONEY).alias("balance"))
+    row = row.withField("page_no", F.col("page_no").cast("int"))
     files = rows.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    page = F.struct("page_no", *(F.col(c).cast(MONEY).alias(c) for c in ("opening_balance", "closing_balance", "total_debit", "total_credit")))
+    page = F.struct(F.col("page_no").cast("int").alias("page_no"), *(F.col(c).cast(MONEY).alias(c) for c in ("opening_balance", "closing_balance", "total_debit", "total_credit")))
     heads = pages.groupBy(*key).agg(F.sort_array(F.collect_list(page)).alias("pages"))
     f = heads.join(files, key, "left").withColumn("rows", F.coalesce("rows", F.array().cast(files.schema["rows"].dataType)))
     dates = F.filter(F.transform("rows", lambda r: r.date), lambda d: d.isNotNull() & (d != ""))
@@ -38,36 +88,10 @@ def check_files(rows: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     pick = lambda c, k: F.try_element_at(F.filter(F.transform("pages", lambda p: p[c]), lambda v: v.isNotNull()), F.lit(k))
     head = F.try_element_at("rows", F.lit(1))
     printed = pick("opening_balance", 1)
-    f = f.withColumns({"printed": printed, "opening_balance": F.coalesce(printed, (head.balance - head.net).cast(MONEY), head.balance), "derived": printed.isNull(), "total_debit": pick("total_debit", 1), "total_credit": pick("total_credit", 1), "closing_balance": pick("closing_balance", -1)})
-    declared = F.map_from_entries(F.filter(F.transform("pages", lambda p: F.struct(p.page_no, p.opening_balance)), lambda e: e.opening_balance.isNotNull()))
-    f = f.withColumn("declared", declared)
-    check = "array<struct<row_index:int,page_no:int,expected:decimal(20,4),actual:decimal(20,4),consistent:boolean,inferred:boolean,gap:boolean>>"
-    zero = F.struct(F.col("opening_balance").cast(MONEY).alias("running"), F.lit(None).cast("int").alias("page"), F.lit(0).cast(MONEY).alias("debit"), F.lit(0).cast(MONEY).alias("credit"), F.array().cast(check).alias("checks"))
-
-    def step(acc: Column, r: Column) -> Column:
-        index = F.size(acc.checks) + 1
-        starts = acc.page.isNotNull() & (r.page_no != acc.page)
-        said = F.try_element_at(F.col("declared"), r.page_no)
-        gap = F.coalesce(starts & said.isNotNull() & acc.running.isNotNull() & (said != acc.running), F.lit(False))
-        running = F.when(gap, said).otherwise(acc.running)
-        delta = r.balance - running
-        guess = r.net.isNull() & r.amount.isNotNull() & running.isNotNull() & r.balance.isNotNull()
-        inferred = F.coalesce(guess & (F.abs(delta) == r.amount) & (delta != 0), F.lit(False))
-        failed = F.coalesce(guess, F.lit(False)) & ~inferred
-        n = F.when(inferred, delta).otherwise(r.net).cast(MONEY)
-        expected = (running + n).cast(MONEY)
-        ok = F.when(failed, False).when(inferred | ((index == 1) & F.col("derived") & F.col("opening_balance").isNotNull()), None).otherwise(r.balance == expected)
-        gap = gap | F.coalesce(~ok & starts, F.lit(False))
-        done = F.struct(index.cast("int").alias("row_index"), r.page_no.cast("int").alias("page_no"), expected.alias("expected"), r.balance.alias("actual"), ok.alias("consistent"), inferred.alias("inferred"), gap.alias("gap"))
-        add = F.coalesce(n, F.lit(0).cast(MONEY))
-        return F.struct(
-            F.coalesce(r.balance, expected).cast(MONEY).alias("running"), r.page_no.cast("int").alias("page"),
-            (acc.debit + F.greatest(-add, F.lit(0))).cast(MONEY).alias("debit"), (acc.credit + F.greatest(add, F.lit(0))).cast(MONEY).alias("credit"), F.concat(acc.checks, F.array(done)).alias("checks"),
-        )
-
-    f = f.withColumn("end", F.aggregate("rows", zero, step))
+    f = f.withColumns({"opening_balance": F.coalesce(printed, (head.balance - head.net).cast(MONEY), head.balance), "derived": printed.isNull(), "total_debit": pick("total_debit", 1), "total_credit": pick("total_credit", 1), "closing_balance": pick("closing_balance", -1)})
+    f = f.withColumn("end", _check_rows("rows", "opening_balance", "derived", F.transform("pages", lambda p: F.struct(p.page_no.alias("page_no"), p.opening_balance.alias("opening_balance")))))
     checks = F.col("end.checks")
-    bad = F.transform(F.filter(checks, lambda c: c.consistent == False), lambda c: c.row_index)  # noqa: E712
+    bad = F.transform(F.filter(checks, lambda c: c.consistent == F.lit(False)), lambda c: c.row_index)
     judged = F.filter(checks, lambda c: c.consistent.isNotNull())
     f = f.withColumns({
         "n_rows": F.size("rows"), "sum_debit": F.col("end.debit"), "sum_credit": F.col("end.credit"), "checks": checks, "balance_mismatch_rows": bad, "first_break_row": F.array_min(bad),
@@ -78,7 +102,7 @@ def check_files(rows: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     })
     flags = F.array_compact(F.array(F.when(F.size("balance_mismatch_rows") > 0, "balance_mismatch"), F.when(F.col("total_mismatch") | F.col("closing_mismatch"), "total_mismatch"), F.when(F.size("page_gap_pages") > 0, "page_gap")))
     f = f.withColumn("flags", flags).withColumn("file_reconciles", F.size("flags") == 0)
-    return f.drop("rows", "pages", "printed", "derived", "declared", "end", "total_debit", "total_credit", "closing_balance")
+    return f.drop("rows", "pages", "derived", "end", "total_debit", "total_credit", "closing_balance")
 
 
 def chain_consistency(rows: DataFrame, key: list[str], order: list[str], balance: str, change: str) -> DataFrame:

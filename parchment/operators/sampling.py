@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def stratified(df: DataFrame, stratum: str, cap: int, order: Column) -> DataFram
     """The first rows by `order` of each stratum, as many as its quota."""
     named = df.withColumn(stratum, F.coalesce(F.col(stratum), F.lit("")))
     ranked = named.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
-    return ranked.join(F.broadcast(quotas(df, stratum, cap).drop("size")), stratum).where("_rank <= quota").drop("_rank", "quota")
+    return ranked.join(quotas(df, stratum, cap).drop("size"), stratum).where("_rank <= quota").drop("_rank", "quota")
 
 
 def round_robin(df: DataFrame, group: str, order: Column, n: int) -> DataFrame:
@@ -45,11 +46,15 @@ def probe_pages(df: DataFrame, group: str, page: str, id: str, n: int = 5) -> Da
 
 
 def review_queue(cells: DataFrame, keys: list[str], share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Cells (keys, model, value) worth a look: all on which models differ (null against a value included), and a
-    share of those on which they agree, by a hash. Cells that are null everywhere go."""
-    per = cells.groupBy(*keys).agg(F.count("value").alias("known"), F.count("*").alias("n"), F.count_distinct("value").alias("kinds"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "value")))).alias("values"))
-    differs = (F.col("kinds") > 1) | ((F.col("known") < F.col("n")) & (F.col("known") > 0))
-    drawn = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1000)) < int(share * 1000)
+    """Cells (keys, model, value, and normal, what is compared, if there is such a column) worth a look: all on which models
+    differ (null against a value included), and a share of those on which they agree, by a hash. Cells that are null everywhere
+    go. Of a cell that a model gives twice its greatest value counts."""
+    normal = "normal" if "normal" in cells.columns else "value"
+    one = cells.groupBy(*keys, "model").agg(F.max(F.struct("value", F.col(normal).alias("normal"))).alias("v"))
+    per = one.groupBy(*keys).agg(F.count("v.value").alias("known"), F.count("*").alias("n"), F.count_distinct("v.normal").alias("kinds"), F.count("v.normal").alias("told"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "v.value")))).alias("values"))
+    differs = (F.col("kinds") > 1) | ((F.col("told") < F.col("n")) & (F.col("told") > 0))
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    drawn = F.crc32(text.cast("binary")) % 1000 < round(share * 1000)
     return per.where("known > 0").where(differs | drawn).select(*keys, differs.alias("differs"), "values")
 
 
@@ -57,3 +62,30 @@ def dense(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     """Rows 0 to the largest index of each key; missing ones are added with nulls."""
     every = df.groupBy(*keys).agg(F.max(index).alias("_m")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m").cast("long"))).alias(index))
     return every.join(df.withColumn(index, F.col(index).cast("long")), [*keys, index], "left")
+
+
+def bin_quotas(df: DataFrame, value: str, keys: list[str], n: int) -> DataFrame:
+    """(keys, bin, size, quota) of scores in bins zero, mid and one: n rows a key in proportion to the bins, at least one
+    of each that has rows. Missing rows go to the largest remainders, rows too many come off the largest quota. Works on
+    three rows a key."""
+    v = F.col(value)
+    sizes = df.groupBy(*keys, F.when(v == 0, "zero").when(v == 1, "one").otherwise("mid").alias("bin")).agg(F.count("*").alias("size"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = dict(zip(pdf["bin"], pdf["size"], strict=True))
+        total = sum(size.values())
+        most = min(n, total)
+        quota = {b: max(1, most * s // total) for b, s in size.items()}
+        for b in sorted(size, key=lambda b: (-(most * size[b] % total), b)):
+            quota[b] += sum(quota.values()) < most and quota[b] < size[b]
+        while sum(quota.values()) > most:
+            quota[max(quota, key=lambda b: (quota[b], b))] -= 1
+        return pdf.assign(quota=[quota[b] for b in pdf["bin"]])
+
+    schema = sizes.withColumn("quota", F.lit(0).cast("long")).schema
+    return sizes.groupBy(*keys).applyInPandas(settle, schema)
+
+
+def seed_of(*keys: str) -> Column:
+    """The number of the first eight hex digits of the SHA-256 of keys joined by a bar."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 8), 16, 10).cast("long")

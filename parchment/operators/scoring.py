@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy, lenient
+from ..functions.fields import normalize_field
+from ..functions.text import canonical_text, fuzzy, lenient, null_if_blank
 from .joins import prf
 
 
-def score_fields(pairs: DataFrame) -> DataFrame:
-    """Adds field_exact, field_fuzzy, field_lenient (0 or 1), false_accept and false_reject to field_pairs().
+def score_fields(pairs: DataFrame, miss: Column | None = None) -> DataFrame:
+    """pairs (field, pred, gt, in_gt, ...) with pred and gt normalized by the field's type, and field_exact, field_fuzzy,
+    field_lenient (0 or 1), false_accept and false_reject.
 
-    Two nulls agree in all three; one null is wrong. A prediction where the truth is null is a false accept; a null
-    or wrong one where it isn't is a false reject."""
-    p, g = F.col("pred"), F.col("gt")
-    both_null, both = p.isNull() & g.isNull() & F.col("in_gt"), p.isNotNull() & g.isNotNull()
-    exact = both_null | (both & (p == g))
-    near = exact | (both & fuzzy(p, g))
-    loose = exact | (both & lenient(p, g))
-    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    return pairs.withColumns({"field_exact": one(exact), "field_fuzzy": one(near), "field_lenient": one(loose), "false_accept": p.isNotNull() & g.isNull(), "false_reject": F.coalesce(g.isNotNull() & ~F.coalesce(exact, F.lit(False)), F.lit(False))})
+    Blank values are null. Two nulls agree in all three; one null is wrong. A prediction where the truth is null is a
+    false accept; none where it isn't is a false reject. Near matches are told on the texts, not on the typed values.
+    miss: true for rows of failed requests, which get no credit and accept nothing."""
+    raw = pairs.withColumns({"_p": null_if_blank(F.col("pred")), "_g": null_if_blank(F.col("gt"))})
+    typed = lambda c: normalize_field(F.col("field"), F.col(c)).value
+    raw = raw.withColumns({"pred": typed("_p"), "gt": typed("_g"), "_p": canonical_text(F.col("_p")), "_g": canonical_text(F.col("_g"))})
+    no_p, no_g, live = F.col("_p").isNull(), F.col("_g").isNull(), ~miss if miss is not None else F.lit(True)
+    exact = (no_p & no_g) | (~no_p & ~no_g & F.coalesce(F.col("pred") == F.col("gt"), F.lit(False)))
+    both = ~no_p & ~no_g
+    one = lambda c: (live & F.coalesce(c, F.lit(False))).cast("int")
+    return raw.withColumns({
+        "field_exact": one(exact), "field_fuzzy": one(exact | (both & fuzzy(F.col("_p"), F.col("_g")))), "field_lenient": one(exact | (both & lenient(F.col("_p"), F.col("_g")))),
+        "false_accept": live & no_g & ~no_p, "false_reject": ~no_g & no_p,
+    }).drop("_p", "_g")
 
 
 def field_f1(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Micro precision, recall and F1 of each key: a true positive has a prediction, is exact, and its field is in the truth."""
     tp = F.count_if((F.col("field_exact") == 1) & F.col("pred").isNotNull() & F.col("in_gt"))
-    counts = scored.groupBy(*keys).agg(tp.alias("tp"), F.count_if(F.col("pred").isNotNull()).alias("n_pred"), F.count_if(F.col("gt").isNotNull()).alias("n_gt"))
+    counts = scored.groupBy(*keys).agg(tp.alias("tp"), F.count_if(F.col("pred").isNotNull()).alias("n_pred"), F.count_if(F.col("gt").isNotNull() & F.col("in_gt")).alias("n_gt"))
     p, r, f = prf(F.col("tp"), F.col("n_pred"), F.col("n_gt"))
     return counts.select(*keys, "tp", "n_pred", "n_gt", p.alias("precision"), r.alias("recall"), f.alias("f1"))

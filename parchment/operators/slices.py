@@ -45,8 +45,11 @@ def bootstrap_numpy(clusters: DataFrame, keys: Sequence[str], resamples: int = 1
         pdf = pdf.sort_values("cluster")
         total, n = pdf["total"].to_numpy(), pdf["n"].to_numpy()
         rng, mean, means = np.random.default_rng(seed), total.sum() / n.sum(), []
-        pick = rng.integers(0, len(n), (resamples, len(n)))
-        means = total[pick].sum(1) / n[pick].sum(1)
+        rows = max(1, (1 << 20) // len(n))  # resamples drawn at once; the generator goes on where it stopped
+        for i in range(0, resamples, rows):
+            pick = rng.integers(0, len(n), (min(rows, resamples - i), len(n)))
+            means.append(total[pick].sum(1) / n[pick].sum(1))
+        means = np.concatenate(means)
         lo, hi = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
         return pd.DataFrame([[*pdf.iloc[0][list(keys)], mean, n.sum(), min(lo, mean), max(hi, mean)]], columns=[*keys, "mean", "n", "lo", "hi"])
 
@@ -55,7 +58,8 @@ def bootstrap_numpy(clusters: DataFrame, keys: Sequence[str], resamples: int = 1
 
 def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int = 200, alpha: float = 0.05) -> DataFrame:
     """(keys, mean, n, lo, hi) without holding a cell: a Poisson bootstrap. Each cluster gets, in resample r, the
-    weight that a hash of (cluster, r) draws from Poisson(1), so sums of any size aggregate in parts."""
+    weight that a hash of (cluster, r) draws from Poisson(1), so sums of any size aggregate in parts. A cluster isn't
+    written out once a resample: Spark's partial sums take each expanded row as it comes, before anything is shuffled."""
     u = F.pmod(F.xxhash64("cluster", "r"), F.lit(1_000_000)) / 1e6
     weight, p, acc = F.lit(0), 0.36787944117144233, 0.0
     for k in range(1, 9):
@@ -90,3 +94,25 @@ def paired_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], resamples
     diff = both.select(*keys, "cluster", (F.col("total") / F.col("n") - F.col("t2") / F.col("n2")).alias("total"), F.lit(1).cast("long").alias("n"))
     out = bootstrap(diff, keys, resamples, alpha)
     return out.withColumn("verdict", F.when(F.col("lo") > 0, "better").when(F.col("hi") < 0, "worse").otherwise("same"))
+
+
+#: The standard tables of scores and of fields. A metric of a task with one subtask alone has no subtask table.
+FIELD_SLICES = (Slice("critical_model", ("is_critical", "model")),)
+
+
+def standard_slices(scores: DataFrame) -> tuple[DataFrame, list[Slice]]:
+    """scores with _subtasks, the number of distinct subtasks of their task, and the six tables over them."""
+    many = scores.groupBy("task").agg(F.count_distinct("subtask").alias("_subtasks"))
+    statement = F.col("task") == "statement"
+    tables = [
+        Slice("task_model", ("task", "model")), Slice("task_subtask_model", ("task", "subtask", "model"), F.col("_subtasks") > 1), Slice("condition_model", ("condition", "model")),
+        Slice("task_condition_model", ("task", "condition", "model")), Slice("bank_doctype_model", ("bank", "doc_type", "model"), statement),
+        Slice("domain_model", ("domain", "model"), ~statement & F.col("domain").isin("Government", "Finance")),
+    ]
+    return scores.join(F.broadcast(many), "task", "left"), tables  # one row a task
+
+
+def aggregates(scores: DataFrame, keys: Sequence[str] = ("table", "task", "subtask", "model", "condition", "bank", "doc_type", "domain"), resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys, metric, mean, n, lo, hi) of the standard tables, ordered by table and keys."""
+    rows, tables = standard_slices(scores)
+    return bootstrap_numpy(sliced(rows, tables), [*keys, "metric"], resamples, seed).orderBy(*keys, "metric")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fields, tables, text
+from ..functions import fields, pages, tables, text
 from ..operators import calibration, duplicates, joins, ledger, sampling, scoring, serving, slices
 
 FLAGSHIP = "score_slices"
@@ -168,16 +168,16 @@ def _fields(spark, d):
 _FIELDS_SQL = """gt AS (SELECT c_custkey, 'name' AS field, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'segment', CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END FROM customer UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer),
 pr AS (SELECT c_custkey, 'name' AS field, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '0', 'O') ELSE c_name END AS v FROM customer WHERE c_acctbal >= -500 UNION ALL SELECT c_custkey, 'segment', CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END FROM customer WHERE c_acctbal >= -500 UNION ALL SELECT c_custkey, 'extra', 'x' FROM customer WHERE c_acctbal >= -500),
 fp AS (SELECT coalesce(g.c_custkey, p.c_custkey) AS c_custkey, coalesce(g.field, p.field) AS field, p.v AS pred, g.v AS gt, g.field IS NOT NULL AS in_gt FROM gt g FULL JOIN pr p ON g.c_custkey = p.c_custkey AND g.field = p.field),
-sc AS (SELECT *, coalesce((pred IS NULL AND gt IS NULL AND in_gt) OR pred = gt, false) AS ex, pred IS NOT NULL AND gt IS NULL AS fa FROM fp)"""
+sc AS (SELECT *, coalesce((pred IS NULL AND gt IS NULL) OR pred = gt, false) AS ex, pred IS NOT NULL AND gt IS NULL AS fa FROM fp)"""
 
 
-@query("WITH " + _FIELDS_SQL + " SELECT field, CAST(sum(ex::INT) AS BIGINT) AS exact, CAST(sum((ex OR coalesce(levenshtein(pred, gt) / CAST(greatest(1, length(gt)) AS DOUBLE) <= 0.1, false))::INT) AS BIGINT) AS fuzzy, CAST(sum(fa::INT) AS BIGINT) AS false_accepts, CAST(sum((gt IS NOT NULL AND NOT ex)::INT) AS BIGINT) AS false_rejects, CAST(count(*) AS BIGINT) AS n FROM sc GROUP BY field")
+@query("WITH " + _FIELDS_SQL + " SELECT field, CAST(sum(ex::INT) AS BIGINT) AS exact, CAST(sum((ex OR coalesce(levenshtein(pred, gt) / CAST(greatest(1, length(gt)) AS DOUBLE) <= 0.1, false))::INT) AS BIGINT) AS fuzzy, CAST(sum(fa::INT) AS BIGINT) AS false_accepts, CAST(sum((gt IS NOT NULL AND pred IS NULL)::INT) AS BIGINT) AS false_rejects, CAST(count(*) AS BIGINT) AS n FROM sc GROUP BY field")
 def field_scores(spark, d):
     s = _fields(spark, d)
     return s.groupBy("field").agg(F.sum("field_exact").cast("long").alias("exact"), F.sum("field_fuzzy").cast("long").alias("fuzzy"), F.count_if("false_accept").alias("false_accepts"), F.count_if("false_reject").alias("false_rejects"), F.count("*").alias("n"))
 
 
-@query("WITH " + _FIELDS_SQL + ", c AS (SELECT c_custkey, sum((ex AND pred IS NOT NULL AND in_gt)::INT) AS tp, count(pred) AS np, count(gt) AS ng FROM sc GROUP BY c_custkey), q AS (SELECT *, CASE WHEN np > 0 THEN tp / np ELSE (ng = 0)::INT END AS p, CASE WHEN ng > 0 THEN tp / ng ELSE (np = 0)::INT END AS r FROM c) SELECT c_custkey, CAST(tp AS BIGINT) AS tp, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM q")
+@query("WITH " + _FIELDS_SQL + ", c AS (SELECT c_custkey, sum((ex AND pred IS NOT NULL AND in_gt)::INT) AS tp, count(pred) AS np, count(gt) FILTER (in_gt) AS ng FROM sc GROUP BY c_custkey), q AS (SELECT *, CASE WHEN np > 0 THEN tp / np ELSE (ng = 0)::INT END AS p, CASE WHEN ng > 0 THEN tp / ng ELSE (np = 0)::INT END AS r FROM c) SELECT c_custkey, CAST(tp AS BIGINT) AS tp, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM q")
 def field_f1(spark, d):
     return scoring.field_f1(_fields(spark, d), ["c_custkey"]).select("c_custkey", "tp", r6("f1").alias("f1"))
 
@@ -190,9 +190,9 @@ def field_rate_slices(spark, d):
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN 1 WHEN p_retailprice < 1500 THEN 2 ELSE 3 END AS band FROM part WHERE p_retailprice >= 0 AND p_retailprice < 1000000")
 def price_bands(spark, d):
-    bands = spark.createDataFrame([(1, 0.0, 1000.0), (2, 1000.0, 1500.0), (3, 1500.0, 1e7)], "band int, s double, e double")
+    bands = [(1, 0.0, 1000.0), (2, 1000.0, 1500.0), (3, 1500.0, 1e7)]
     parts = t(spark, d, "part").withColumn("hi", F.col("p_retailprice") + 1e-9)
-    return joins.interval_match(parts, bands, "p_retailprice", "hi", "band", "s", "e").select("p_partkey", "band")
+    return joins.interval_match(parts, bands, "p_retailprice", "hi", "band").select("p_partkey", "band")
 
 
 # --- canonical text and typed fields -----------------------------------------------------------------------------
@@ -444,7 +444,7 @@ def parse_replies(spark, d):
     p = t(spark, d, "part")
     kind = F.element_at(F.array(*map(F.lit, ("html_table", "markdown", "otsl", "json_fields"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     raw = F.when(kind == "html_table", F.concat(F.lit("<table><tr><td>"), "p_name", F.lit("</td><td>"), "p_brand", F.lit("</td></tr>"))).when(kind == "markdown", F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |\n|---|---|\n"))).when(kind == "otsl", F.concat(F.lit("<fcel>"), "p_name", F.lit("<fcel>"), "p_brand", F.lit("<nl>"))).otherwise(F.to_json(F.struct("p_name", "p_brand")))
-    page = tables.parse_reply(kind, raw)
+    page = pages.parse_page(kind, raw)
     return p.select("p_partkey", page.alias("page")).select("p_partkey", F.size("page.tables").alias("tables"), F.size("page.fields").alias("fields"), F.coalesce(F.try_element_at(F.try_element_at(F.try_element_at("page.tables", F.lit(1)), F.lit(1)), F.lit(1)), F.col("page.fields")["p_name"]).alias("name"), "page.parse_error")
 
 
