@@ -17,6 +17,8 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z to a-z, everything else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: Setting by which Spark removes an execution's shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not got.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parchment-"))
             got = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = got.get()
@@ -39,10 +43,17 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/parchment-{what}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.at}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        """The rows of df as a table. Its shuffle files go as soon as it is written: nothing reads them again."""
+        path, before = f"{self.at}/{name}", self.spark.conf.get(CLEAN)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -51,6 +62,10 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def drop_all_but(self, *keep: str) -> None:
+        self.drop(*(n for n in self.names if n not in keep))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,6 +85,25 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys with more rows than this, or than a 100,000th of all rows, don't travel to one task: at most 100,000 of them exist.
+OFTEN, SHARE = 10_000, 100_000
+
+
+def often_from(rows: int) -> int:
+    """From how many rows on a key is met by broadcast, of so many rows in all."""
+    return max(OFTEN, rows // SHARE)
+
+
+def meet(rows: DataFrame, known: DataFrame, key: list[str], most: int, how: str = "inner") -> DataFrame:
+    """rows joined with known (key, each once, n, ...), without n: n is how many rows have the key. Keys with over `most`
+    rows, so few that they are broadcast, leave their rows where they are; all others bring at most `most` rows to a task."""
+    hot, rest = known.where(F.col("n") > most), known.where(F.col("n") <= most).drop("n").hint("shuffle_merge")
+    if hot.isEmpty():
+        return rows.join(rest, key, how)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key, how)
+    return cold.unionByName(rows.join(F.broadcast(hot.drop("n")), key, how))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes end to end, and the n + 1 offsets of its rows. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,9 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, at a Jaccard similarity of word shingles.
 
 Minima of BANDS groups of ROWS hash functions over a text's shingles deal the distinct shingle sets into buckets; two
-sets of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.99999 at 0.8. A pair is linked only if its
-whole sets have the similarity. The first pairs of a bucket are its smallest set with each other one; then, of a bucket
-that isn't one component, all pairs of different components. So a bucket of n copies gives n - 1 pairs.
+sets of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.99999 at 0.8. Inside buckets, fingerprints of
+BITS bits, one SimHash of the set, are compared in tiles by numpy's exclusive-or and bit counts, tiles being skipped by
+population counts; RADIUS is where sets of similarity 0.8 differ at most, but for 1 in 5,000. What the tiles propose, the
+nearest first, is checked against the whole sets. Proposals end when no set has one left that would join two components,
+so a bucket of n copies gives about n pairs, and no link is lost to the order.
 """
 
 from __future__ import annotations
@@ -13,13 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, slices, text_bytes
+from .common import Scratch, meet, mix, often_from, parts, slices, text_bytes
 from .graph import components
 from .simhash import SEED, first_rows, named, shingles_of
 
 #: Words of a shingle and the least similarity of a link, as a fraction.
 SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 30, 5
+#: Bits of a set's fingerprint, and by how many those of linked sets differ at most.
+BITS, RADIUS = 256, 59
+#: Sets of a bucket that one task compares at once; larger ones are dealt out in pairs of tiles of this size.
+TILE = 2048
+#: How many proposals a set makes in each round, until it has no more.
+FIRST, MORE = 2, 8
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,25 +59,47 @@ def bands_of(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: i
     return out
 
 
-def shingled(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = False, sets: bool = False) -> DataFrame:
+def simhash_of(hashes: np.ndarray, starts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The fingerprint of each set, which isn't empty, as rows of bits / 64 numbers: a bit is 1 if set in over half of the
+    shingles' hashes."""
+    size = np.diff(np.append(starts, len(hashes)))
+    out = np.zeros((len(starts), bits // 64), np.uint64)
+    rng = np.random.default_rng(5)
+    for word in range(bits // 64):
+        salt = rng.integers(0, 2**64, dtype=np.uint64)
+        for i, j in slices(np.append(starts, len(hashes)), 1 << 16):
+            s = starts[i:j] - starts[i]
+            each = mix(hashes[starts[i] : starts[i] + int(size[i:j].sum())] ^ salt)
+            ones = np.add.reduceat(np.unpackbits(each.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), s, axis=0, dtype=np.int32)
+            out[i:j, word] = np.packbits(ones * 2 > size[i:j, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def shingled(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = False, sets: bool = False, prints: bool = False) -> DataFrame:
     """docs, without `text` unless keep_text, with a column fp (long, a hash of the set of shingles, 0 for texts without words), and if
-    `sets` the set and its buckets (array<long>, empty for texts without words)."""
-    keep = [c for c in docs.columns if c not in ("fp", "set", "keys") and (keep_text or c != text)]
+    `sets` the set and its buckets (array<long>, empty for texts without words), and if `prints` its fingerprint, sim (binary)."""
+    keep = [c for c in docs.columns if c not in ("fp", "set", "keys", "sim") and (keep_text or c != text)]
     extra = [F.lit(None).cast("array<long>").alias(c) for c in ("set", "keys")] if sets else []
+    extra += [F.lit(None).cast("binary").alias("sim")] if prints else []
     schema = docs.select(*keep, F.lit(0).cast("long").alias("fp"), *extra).schema
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(text))
-            for i, j in slices(offsets, 2 << 20):
+            for i, j in slices(offsets, 1 << 20):
                 hashes, starts, fp = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed)
                 cols = [*(batch.column(c).slice(i, j - i) for c in keep), pa.array(fp.view(np.int64))]
+                full = np.flatnonzero(np.diff(starts))
                 if sets:
-                    full = np.flatnonzero(np.diff(starts))
                     keys = bands_of(hashes, np.append(starts[full], len(hashes))) if len(full) else np.zeros((0, BANDS), np.uint64)
                     at = np.concatenate([[0], np.cumsum(np.diff(starts) > 0)]) * BANDS
                     for o, v in ((starts, hashes), (at, keys.ravel())):
                         cols.append(pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v.view(np.int64))))
+                if prints:
+                    sim: list = [None] * (j - i)
+                    for r, v in zip(full.tolist(), simhash_of(hashes, starts[full]) if len(full) else (), strict=True):
+                        sim[r] = v.tobytes()
+                    cols.append(pa.array(sim, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
@@ -83,36 +113,166 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
-def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): edges between the sets of rows (fp, set, keys) whose components are those of all similar pairs that
-    share a bucket."""
-    # Of rows with equal sets, the buckets are met once; most sets are alone in all of theirs.
-    keyed = scratch.put(rows.select("fp", F.explode("keys").alias("key")).distinct(), "keyed")
-    hubs = keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    met = scratch.put(keyed.join(hubs, "key"), "met")
-    sets = rows.join(met.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("set").alias("set"))
-    sets = scratch.put(sets, "sets")
-    near = scratch.put(_similar(met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), sets), "near")
-    parts = components(near, Scratch(rows.sparkSession, "jaccard-near"))
-    placed = met.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    placed = placed.join(split, "key").join(sets.select("fp", F.size("set").alias("n")), "fp")
-    placed = scratch.put(placed, "placed")
-    p, q = SIMILARITY
-    other = placed.select("key", F.col("fp").alias("b"), F.col("part").alias("part2"), F.col("n").alias("n2"))
-    rest = placed.withColumnRenamed("fp", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("part2")) & (F.least("n", "n2") * q >= F.greatest("n", "n2") * p))
-    return near.union(scratch.put(_similar(rest.select("a", "b").distinct(), sets), "rest"))
+def nearest(x: np.ndarray, xp: np.ndarray, y: np.ndarray, yp: np.ndarray, radius: int, most: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y) of the up to `most` nearest rows of y of another part within the radius of each row of x, and for
+    each row of x how many there are. Compared tile by tile, those skipped whose population counts are too far apart."""
+    popx, popy = (np.bitwise_count(v).sum(1).astype(np.int32) for v in (x, y))
+    ox, oy = np.argsort(popx, kind="stable"), np.argsort(popy, kind="stable")
+    sy, total, a, b = popy[oy], np.zeros(len(x), np.int64), [], []
+    for i in range(0, len(x), tile):
+        rows = ox[i : i + tile]
+        held_d, held_j = np.zeros((len(rows), 0), np.int32), np.zeros((len(rows), 0), np.int64)
+        low, high = np.searchsorted(sy, popx[rows[0]] - radius), np.searchsorted(sy, popx[rows[-1]] + radius, "right")
+        for j in range(int(low), int(high), tile):
+            cols = oy[j : min(j + tile, int(high))]
+            d = np.zeros((len(rows), len(cols)), np.int32)
+            for w in range(x.shape[1]):
+                d += np.bitwise_count(x[rows, w, None] ^ y[None, cols, w])
+            d[xp[rows][:, None] == yp[cols][None, :]] = 1 << 20
+            total[rows] += (d <= radius).sum(1)
+            held_d, held_j = np.hstack([held_d, d]), np.hstack([held_j, np.broadcast_to(cols, d.shape)])
+            if held_d.shape[1] > most:
+                # Ties go to the smaller place, so that the same bucket proposes the same pairs wherever it is compared.
+                pick = np.argpartition(held_d.astype(np.int64) * len(y) + held_j, most - 1, axis=1)[:, :most]
+                held_d, held_j = np.take_along_axis(held_d, pick, 1), np.take_along_axis(held_j, pick, 1)
+        p, q = np.nonzero(held_d <= radius)
+        a.append(rows[p])
+        b.append(held_j[p, q])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*a, none]), np.concatenate([*b, none]), total
+
+
+PROPOSED = "a long, b long, more boolean"
+
+
+def _propose(fp: np.ndarray, part: np.ndarray, sim: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> pa.RecordBatch:
+    """Pairs of a bucket (or of two tiles of it): each left row with the nearest right rows of other parts."""
+    a, b, n = nearest(sim[left], part[left], sim[right], part[right], RADIUS, most)
+    x, y = fp[left][a], fp[right][b]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[a] > most)], names=["a", "b", "more"])
+
+
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+
+
+def proposals(members: DataFrame, sizes: DataFrame, most: int, tile: int) -> DataFrame:
+    """(a, b, more) of buckets (key, fp, part, sim, rest): each row of `rest`, those outside a bucket's main part, with the
+    nearest rows of other parts. sizes (key, n, m): rows and rest of each bucket."""
+    n = parts(members)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = held.column("key").to_numpy()
+            if keys[0] != keys[-1]:
+                cut = int(np.searchsorted(keys, keys[-1]))
+                yield from buckets(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield from buckets(held)
+
+    def buckets(t: pa.Table):
+        t = t.combine_chunks()
+        keys, fp, part, rest = (t.column(c).to_numpy() for c in ("key", "fp", "part", "rest"))
+        sim = _words(t.column("sim"))
+        cut = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+        out = []
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
+            where = np.arange(s, e)
+            out.append(_propose(fp, part, sim, where[rest[s:e]], where, most))
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    small = members.join(sizes.where(F.col("n") <= tile).select("key"), "key").select("key", "fp", "part", "rest", "sim")
+    found = small.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, PROPOSED)
+    hot = sizes.where(F.col("n") > tile)
+    if hot.isEmpty():
+        return found
+    # Large buckets: slices of the rest meet slices of all rows, each pair in a task of its own.
+    deal = hot.select("key", F.ceil(F.col("m") / tile).cast("int").alias("sm"), F.ceil(F.col("n") / tile).cast("int").alias("sn"))
+    big = members.join(deal, "key")
+    slice_ = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+    unit = lambda i, j: F.xxhash64("key", i, j).alias("unit")
+    left = big.where("rest").withColumn("i", slice_("sm")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sn") - 1))).select(unit("i", "j"), "fp", "part", "sim", F.lit(0).alias("side"))
+    right = big.withColumn("j", slice_("sn")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sm") - 1))).select(unit("i", "j"), "fp", "part", "sim", F.lit(1).alias("side"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by([("side", "ascending"), ("fp", "ascending")])
+        fp, part, side, sim = t.column("fp").to_numpy(), t.column("part").to_numpy(), t.column("side").to_numpy(), _words(t.column("sim"))
+        return pa.Table.from_batches([_propose(fp, part, sim, np.flatnonzero(side == 0), np.flatnonzero(side == 1), most)])
+
+    return found.union(left.union(right).groupBy("unit").applyInArrow(compare, PROPOSED))
+
+
+def links(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
+    """(a, b): edges between the sets of rows (fp, set, keys, sim) whose components are those of all similar pairs that
+    share a bucket.
+
+    First each set is checked against one other: of the smallest sets of its buckets the nearest. Then, as long as buckets
+    hold more than one part, sets outside a bucket's largest part propose their nearest sets of other parts, at first a few,
+    then ever more; what was checked once isn't checked again. All rounds are needed only for sets near the limit."""
+    distinct = scratch.put(rows.where("sim is not null").groupBy("fp").agg(F.first("keys").alias("keys"), F.first("sim").alias("sim")), "sets")
+    keyed, sims = distinct.select("fp", F.explode("keys").alias("key")), distinct.select("fp", "sim")
+    hubs = scratch.put(keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    often = often_from(hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    met = scratch.put(meet(keyed, hubs, ["key"], often), "met")
+    star = met.where("fp <> hub").select("fp", "hub").distinct().join(sims, "fp").join(sims.select(F.col("fp").alias("hub"), F.col("sim").alias("sim2")), "hub")
+    far = F.aggregate(F.array(*(F.bit_count(_word("sim", w).bitwiseXOR(_word("sim2", w))) for w in range(BITS // 64))), F.lit(0), lambda a, x: a + x)
+    first = star.select("fp", "hub", far.alias("far")).where(F.col("far") <= RADIUS).groupBy("fp").agg(F.min(F.struct("far", "hub")).alias("h"))
+    fresh = scratch.put(first.select(F.least("fp", "h.hub").alias("a"), F.greatest("fp", "h.hub").alias("b")).distinct(), "fresh0")
+    members = met.select("key", "fp")
+    near = tested = None
+    most, round_ = FIRST, 0
+    while True:
+        if not fresh.isEmpty():
+            wanted = fresh.select(F.col("a").alias("fp")).union(fresh.select("b")).distinct()
+            sets = scratch.put(rows.select("fp", "set").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), f"wanted{round_}")
+            found = _similar(fresh, sets)
+            near = scratch.put(found if near is None else near.union(found), f"near{round_}")
+            tested = fresh if tested is None else scratch.put(tested.union(fresh), f"tested{round_}")
+            scratch.drop(f"wanted{round_}", f"near{round_ - 1}")
+        elif round_ and not truncated:
+            break
+        if near is None:
+            break
+        members_now = scratch.put(_placed(members, near, sims), f"placed{round_}")
+        sizes = scratch.put(members_now.groupBy("key").agg(F.count("*").alias("n"), F.count_if("rest").alias("m")).where("m > 0"), f"sizes{round_}")
+        asked = scratch.put(proposals(members_now, sizes, most, tile).groupBy("a", "b").agg(F.max("more").alias("more")), f"asked{round_}")
+        truncated = not asked.where("more").isEmpty()
+        round_ += 1
+        fresh = scratch.put(asked.select("a", "b").join(tested, ["a", "b"], "left_anti"), f"fresh{round_}")
+        members = members_now.select("key", "fp")
+        most *= MORE
+    return near if near is not None else rows.sparkSession.createDataFrame([], "a long, b long")
+
+
+def _word(c: str, w: int):
+    """The w-th number of a binary fingerprint, for bit counts alone, so that the order of its bytes doesn't matter."""
+    return F.conv(F.hex(F.substring(F.col(c), 8 * w + 1, 8)), 16, -10).cast("long")
+
+
+def _placed(members: DataFrame, near: DataFrame, sims: DataFrame) -> DataFrame:
+    """members of buckets that hold more than one part of the links so far: key, fp, part, sim, and rest, false for the
+    bucket's largest part (of as large ones the smallest)."""
+    label = components(near, Scratch(near.sparkSession, "jaccard-near")).withColumnRenamed("node", "fp")
+    placed = members.join(label, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
+    main = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("kinds > 1")
+    return placed.join(main.select("key", (-F.col("m.p")).alias("main")), "key").select("key", "fp", "part", (F.col("part") != F.col("main")).alias("rest")).join(sims, "fp").select("key", "fp", "part", "sim", "rest")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id, component) as of simhash.near_duplicates(), with fp a hash of the shingle set. Texts
     of fewer words than a shingle are one shingle; texts without words are equal."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.put(shingled(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), sets=True), "rows")
+    rows = scratch.put(shingled(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), sets=True, prints=True), "rows")
     fps = scratch.put(rows.select("doc_id", "fp"), "fps")
     distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    out = named(fps, distinct, components(links(rows, scratch), scratch), scratch)
-    scratch.drop("rows", "distinct", "keyed", "met", "sets", "near", "placed", "rest")
+    edges = scratch.put(links(rows, scratch, tile), "edges")
+    scratch.drop_all_but("fps", "distinct", "edges")
+    out = named(fps, distinct, components(edges, scratch), scratch)
+    scratch.drop("distinct", "edges")
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, Scratch, mix, slices, table, text_bytes
+from .common import RollingHash, Scratch, meet, mix, often_from, slices, table, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes of surroundings in a shard; different surroundings of one anchor beyond which its windows are counted by
@@ -27,9 +27,6 @@ LENGTH, GRAM = 200, 32
 SHARD_BYTES, HOT = 1 << 20, 6000
 #: Bytes that are searched for anchors at once; a dozen arrays of eight bytes each go with them.
 CHUNK, PLACE = 1 << 18, np.uint64((1 << 23) - 1)
-#: Anchors (and surroundings) with more places than this, or than a 100,000th of all places, don't travel by their key:
-#: at most 100,000 of them exist, and they are broadcast instead.
-OFTEN, SHARE = 10_000, 100_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -264,16 +261,6 @@ def _fetch(batches, gram: int):
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sh, pa.int64()), pa.array(ll, pa.int32()), pa.array(out, pa.binary())], names=["h", "sh", "ll", "around"])
 
 
-def _meet(rows: DataFrame, known: DataFrame, key: list[str], most: int, how: str = "inner") -> DataFrame:
-    """rows joined with known (key, each once, n, ...), without n: n is how many rows have the key. Keys with over `most`
-    rows, so few that they are broadcast, leave their rows where they are; all others bring at most `most` rows to a task."""
-    hot, rest = known.where(F.col("n") > most), known.where(F.col("n") <= most).drop("n").hint("shuffle_merge")
-    if hot.isEmpty():
-        return rows.join(rest, key, how)
-    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key, how)
-    return cold.unionByName(rows.join(F.broadcast(hot.drop("n")), key, how))
-
-
 COVER = "h long, sh long, s int, e int"
 
 
@@ -283,8 +270,8 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str, length: int, gram: int
     places = rows.select("row", F.explode(F.arrays_zip("h", "sh", "pos", "ll", "rl")).alias("a")).select("row", "a.*")
     often = places.groupBy("h").agg(F.count("*").alias("n"), (F.min("sh") != F.max("sh")).alias("many")).where("n > 1")
     often = scratch.put(often, "often")
-    most = max(OFTEN, often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // SHARE)
-    again = scratch.put(_meet(places, often.select("h", "many", "n"), ["h"], most), "again")
+    most = often_from(often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    again = scratch.put(meet(places, often.select("h", "many", "n"), ["h"], most), "again")
     kinds = again.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "ll", "rl")).alias("of"), F.max("many").alias("many"))
     kinds = scratch.put(kinds, "kinds")
     scratch.drop("often")
@@ -315,12 +302,12 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str, length: int, gram: int
 
         each = scratch.put(around.join(crowded, "h").mapInArrow(windows, "h long, sh long, l int, w binary"), "windows")
         twice = scratch.put(each.groupBy("h", "l", "w").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-        ends = _meet(each, twice, ["h", "l", "w"], most, "left_semi").groupBy("h", "sh").agg((-F.max("l")).alias("s"), (length - F.min("l")).alias("e"))
+        ends = meet(each, twice, ["h", "l", "w"], most, "left_semi").groupBy("h", "sh").agg((-F.max("l")).alias("s"), (length - F.min("l")).alias("e"))
         covers = covers.union(ends.select("h", "sh", F.col("s").cast("int"), F.col("e").cast("int")))
     whole = kinds.where(F.col("n") > 1).select("h", "sh", (-F.col("of.ll")).alias("s"), (F.col("of.rl") + gram).alias("e"), "n").where(F.col("e") - F.col("s") >= length)
     numbered = covers.withColumn("n", F.lit(1).cast("long")).union(whole).groupBy("h", "sh").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
     covers = scratch.put(numbered, "covers")
-    spans = _meet(again.select("h", "sh", "row", "pos"), covers, ["h", "sh"], most)
+    spans = meet(again.select("h", "sh", "row", "pos"), covers, ["h", "sh"], most)
     spans = spans.groupBy("row").agg(F.collect_list(F.struct((F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))).alias("spans"))
     scratch.drop("kinds", "crowded", "around", "windows", "twice")
     return rows, spans
