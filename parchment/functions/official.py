@@ -72,10 +72,10 @@ def reply_dict(text: str) -> dict[str, str]:
             pass
         if got is None:
             got = {}
-            for line in re.split(r"[\n,{}]", body):
-                key, sign, value = re.match(r"\W*([\w\s]*?)[\"']?\s*([:=]?)\s*(.*)", line, re.S).groups()
-                if sign and key.strip() and value.strip(" \"'"):
-                    got[key] = value.strip(" \"'")
+            for part in re.split(r"[\n,{}]", body):
+                pair = re.match(r"\W*([\w\s]+?)[\"']?\s*[:=]\s*(.*)", part, re.S)
+                if pair and pair[2].strip(" \"'"):
+                    got[pair[1]] = pair[2].strip(" \"'")
     if not isinstance(got, dict) or not all(isinstance(k, str) for k in got):
         return {}
     return {k.strip(): str(v).strip() for k, v in got.items()}

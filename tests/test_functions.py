@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.functions import fields, tables, text
+from parchment.functions import fields, official, pages, tables, text
 from parchment.operators import calibration, duplicates, joins, ledger, sampling, scoring, serving, slices
 from parchment.sources import io
 
@@ -135,30 +135,90 @@ def test_edit_distance():
 
 def test_tables():
     assert tables.html_tables("<table><tr><td>a<td>b</tr><tr><th>c") == [[["a", "b"], ["c"]]]
-    assert tables.pipe_tables("x\n|a|b|\n|-|-|\n|c|d|\ny") == [[["a", "b"], ["c", "d"]]]
+    assert tables.pipe_tables("x\n|a|b|\n|---|---|\n|c|d|\ny") == [[["a", "b"], ["c", "d"]]] and tables.pipe_tables("|---|---|") == [] and tables.pipe_tables("|a|b|\n|c|d|") == []
     assert tables.otsl_html("<fcel>a<lcel><nl><ucel><fcel>b<nl>") == '<table><tr><td colspan="2" rowspan="2">a</td></tr><tr><td>b</td></tr></table>'
     assert tables.json_fields('```json\n{"a": {"b": [1, true]}, "c": "x",}\n```') == ({"a.b[0]": "1", "a.b[1]": "true", "c": "x"}, None)
     assert tables.json_fields('{"p": 1,000.00}') == ({"p": "1,000.00"}, "quoted bare numbers")
     assert tables.json_fields('{"p": "x", "q": "y')[0] == {"p": "x"}
-    assert tables.json_blocks('[{"a": 1}, {"b"') == ([{"a": 1}], "truncated JSON: 1 whole blocks")
+    assert pages.whole_items('[{"a": 1}, {"b"') == ([{"a": 1}], "truncated JSON: salvaged 1 complete blocks")
     one_, two = "<table><tr><td>a</td><td>b</td></tr></table>", "<table><tr><td>a</td></tr></table>"
     assert tables.teds(one_, one_) == 1.0 and tables.teds(two, one_) == pytest.approx(1 - 1 / 3) and tables.teds("", one_) == 0.0
     assert tables.document_similarity("# a\nb", "# a\nb") == 1.0
     assert tables.bleu("a b c d e".split(), "a b c d e".split()) == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("kind", ["html_table", "otsl", "json_fields", "layout_json", "layout_lines", "markdown", "text", "other"])
-@pytest.mark.parametrize("raw", ["", "{", "<table><tr><td>x", "<box:1 2", "```json\n[{"])
+@pytest.mark.parametrize("kind", [*pages.PARSERS, "other"])
+@pytest.mark.parametrize("raw", ["", "{", "<table><tr><td>x", "<box:1 2", "```json\n[{", "[1, null]", '{"prunedResult": 3}', None])
 def test_malformed_replies_never_raise(kind, raw):
-    assert tables._page(kind, raw).keys() == {"text", "tables", "fields", "parse_error"}
+    assert pages.parse(kind, raw).keys() == set(pages.PAGE.names)
+
+
+def test_dialects():
+    p = pages.parse("typhoon_markdown", "# T\n<figure>f</figure>\n<page_number>3</page_number>\n<table><tr><td>1</td></tr></table>")
+    assert p["tables"] == [[["1"]]] and [b["type"] for b in p["blocks"]] == ["table", "figure", "footer"] and "<page_number>" not in p["text"] and "3" in p["text"]
+    p = pages.parse("ovis_markdown", '<img src="images/bbox_0_0_500_500.jpg" />\n\nhello', pages.Sizes(original=(200, 100)))
+    assert p["text"] == "hello" and p["blocks"][0]["box"] == {"x0": 0, "y0": 0, "x1": 100, "y1": 50}
+    p = pages.parse("teleocr_layout", "<box:0 0 10 10><label:text><up>\n<box:0 0 10 10><label:list><up>\n<box:0 0 2000 1><label:text><up>\nx", pages.Sizes(original=(100, 100)))
+    assert [b["box"]["x1"] for b in p["blocks"]] == [1.0] and p["parse_error"] is None and len(pages.layout_lines("x\n<box:0 0 10><label:text><up>")[1]) == 2
+    p = pages.parse("json_fields", "a label", pages.Sizes("classify"))
+    assert p["label"] == "a label" and pages.parse("json_fields", "{}")["fields"] == {}
+    assert pages.parse("markdown", "|a|b|\n|---|---|\n|1|<2|")["blocks"][0]["text"].count("&lt;") == 1
+    assert pages.answer_table_html(" <tr><td>1</td></tr>") == "<table><tr><td>1</td></tr></table>" and pages.answer_table_html("|a|\n|---|\n|b|") == "<table><thead><tr><th>a</th></tr></thead><tbody><tr><td>b</td></tr></tbody></table>"
+    assert pages.grounding_text('[{"text": "a"}, {"text": "b') == "a b" and pages.grounding_text("x") == "x"
+    assert pages.table_markdown([["a|", "b"], ["c"]]) == "| a\\| | b |\n| --- | --- |\n| c |  |"
+
+
+def test_table_trees():
+    """Elements are counted with wrappers where those matter, and cells compared by characters and inner tags."""
+    a, b = "<table><thead><tr><th>x</th></tr></thead><tbody><tr><td>ab</td></tr></tbody></table>", "<table><tr><td>x</td></tr><tr><td>ab</td></tr></table>"
+    assert tables.teds(a, b) == 1.0 and tables.table_similarity(a, b) < 1.0
+    bold = "<table><tr><td><b>ab</b></td></tr></table>"
+    plain = "<table><tr><td>ab</td></tr></table>"
+    assert tables.table_similarity(bold, plain) == pytest.approx(1 - (2 / 4) / 3)
+    assert tables.table_similarity(bold, plain, structure_only=True) == 1.0
+    assert tables.teds("<table><tr><td>x", plain) == 0.0 and tables.table_similarity('<table><tr><td colspan="2">ab</td></tr></table>', plain) == pytest.approx(1 - 1 / 2)
+    assert tables.pre_clean("<bos>**a** _b_ \\begin {x }") == "  a    b  \\begin{x}"
+
+
+def test_long_tails_and_answers(spark):
+    body = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(3000))[:8000]
+    unit = "0123456789abcdefXYZ"
+    assert text.cut_tail(body + unit * 5 + unit[:6]) == body + unit + unit[:6]
+    assert text.cut_tail(body + unit * 4 + unit[:6]) == body + unit * 4 + unit[:6] and text.cut_tail(unit * 10) == unit * 10
+    assert text.cut_tail("x" * 9000) == "x"
+    assert one(spark, text.answer_text(F.lit("\tAb c\n d\u00a0"))) == ("abcd",)
+    kinds = {"1,234.50 บาท": "amount", "฿5": "amount", "5.-": "amount", "-5": "other", "$ 3": "amount", "5 THB": "amount", "5-": "amount", "123-4-56789-0": "account", "x": "other"}
+    assert one(spark, *(fields.field_type(F.lit("k"), F.lit(v)) for v in kinds)) == tuple(kinds.values())
+
+
+def test_official_scores():
+    assert official.short_answer("It is Paris.", "paris") == 1.0 and official.short_answer("parix", "paris") == 0.8 and official.short_answer("q", "paris") == 0.0
+    assert official.short_answer("b", "['a', 'b']") == 1.0 and official.short_answer("x", "a,b,c,d") == 0.0 and official.short_answer("a,b,c,e", "['a,b,c,d']") == pytest.approx(1 - 1 / 7)
+    assert official.reply_dict('```json\n{"a": 1}\n```') == {"a": "1"} and official.reply_dict("{'a': None}") == {"a": "None"} and official.reply_dict("a: 1\nb = 'x y'") == {"a": "1", "b": "x y"} and official.reply_dict("[1]") == {}
+    assert official.dict_f1({"a": "X ", "b": "1"}, {"a": "x", "c": None}) == 0.5 and official.dict_f1({}, {}) == 0.0
+    assert official.field_score('{"a": "2", "b": "y"}', '{"a": ["1", "2"], "b": ["x", "y"]}') == 1.0 and len(official.alternatives({"a": ["1", "2"], "b": ["x", "y"], "c": 3})) == 4
+    assert official.field_score("{}", "not a dict") == 0.0 and official.official_score("Table parsing", "no table", "<table></table>") == 0.0 and official.official_score("x", "a", "a") is None and official.official_score("Text recognition", None, "a") == 0.0
+    best = max(official.dict_f1({"a": "2"}, x) for x in official.alternatives({"a": ["1", "2"], "b": ["x", None]}))
+    assert official.field_score('{"a": "2"}', '{"a": ["1", "2"], "b": ["x", null]}') == best
+
+
+def test_word_error_by_brute_force(spark):
+    def plain(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, before = [i], d
+            for j, y in enumerate(b, 1):
+                d.append(min(before[j] + 1, d[-1] + 1, before[j - 1] + (x != y)))
+        return d[-1]
 
+    pairs = [("a b c", "a c"), ("", "x"), ("x y", ""), ("the cat sat", "the cat sat on the mat"), ("b a", "a b"), ("q", "q")]
+    df = spark.createDataFrame(pairs, "p string, t string")
+    got = [r[0] for r in df.select(text.wer(text.tokens(F.col("p")), text.tokens(F.col("t")))).collect()]
+    assert got == pytest.approx([min(1.0, plain(p.split(), t.split()) / max(1, len(t.split()))) for p, t in pairs])
 
-def test_roles_and_lines(spark):
-    import pandas as pd
 
+def test_roles(spark):
     assert one(spark, tables.column_role(F.lit("รายการถอน")), tables.column_role(F.lit("Time/ Eff.Date")), tables.column_role(F.lit("Withdrawal / Deposit")), tables.column_role(F.lit("x"))) == ("withdrawal", "time", "withdrawal_deposit", None)
-    words = pd.DataFrame([(0, 0, 1, 10), (5, 2, 6, 11), (0, 20, 1, 30)], columns=["x0", "y0", "x1", "y1"])
-    assert tables.group_lines(words).tolist() == [0, 0, 1]
 
 
 def test_sources(spark, tmp_path):
@@ -170,7 +230,10 @@ def test_sources(spark, tmp_path):
     io.overwrite_rows(spark.createDataFrame([(3, "c"), (1, "d")], schema), path, "id")
     assert [r.id for r in io.read_rows(spark, path, schema).collect()] == [1, 3]
     (tmp_path / "bad.json").write_text('{"id": "x"}\n\n{"id": 1}\n')
-    assert io.bad_rows(spark, str(tmp_path / "bad.json"), schema).count() == 1
+    (tmp_path / "bad.json").write_text('{"id": 1}\n\n{"id": "x"}\n{"id": 2, "more": 1}\n')
+    assert sorted((r.number, r.line) for r in io.bad_rows(spark, str(tmp_path / "bad.json"), schema).collect()) == [(3, '{"id": "x"}'), (4, '{"id": 2, "more": 1}')]
+    with pytest.raises(ValueError, match=r"bad.json:3: "):
+        io.check_rows(spark, str(tmp_path / "bad.json"), schema)
     with pytest.raises(Exception):  # noqa: B017
         io.read_rows(spark, str(tmp_path / "bad.json"), schema).collect()
     assert io.config_hash({"b": 1, "a": "é"}) == io.config_hash({"a": "é", "b": 1}) and len(io.config_hash({})) == 16
@@ -190,5 +253,52 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         log.latest_view(stream, ["k"], "seq", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-        assert (tmp_path / "out" / f"v{i}").exists()
-    assert sorted((r.k, r.seq) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [("a", 2), ("b", 1)]
+        assert sorted((r.k, r.seq) for r in log.read_view(spark, str(tmp_path / "out")).collect()) == [[("a", 1), ("b", 1)], [("a", 2), ("b", 1)]][i]
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    done = spark.createDataFrame([("a", None), ("b", "failed")], "k string, error string")
+    log.resume(stream, done, ["k"]).writeStream.format("memory").queryName("todo").trigger(availableNow=True).start().awaitTermination()
+    assert [r.k for r in spark.table("todo").collect()] == ["b"]
+
+
+def test_stores_and_documents(spark, tmp_path):
+    for name in ("b/x.PDF", "a.pdf", "c.txt"):
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / name).write_bytes(b"1")
+    assert [r.path.rsplit("/", 1)[1] for r in io.read_documents(spark, str(tmp_path / "docs"), ".pdf").collect()] == ["a.pdf", "x.PDF"]
+    store, calls = io.ArtifactStore(spark, str(tmp_path / "store")), []
+
+    def compute(df):
+        calls.append(sorted(r.doc_id for r in df.collect()))
+        return df.select("doc_id", F.upper("payload").alias("payload"))
+
+    df = spark.createDataFrame([("d1", "a"), ("d2", "b")], "doc_id string, payload string")
+    read = lambda x, c: sorted(tuple(r) for r in store.run("s", x, c, compute).collect())
+    assert read(df, {"v": 1}) == [("d1", "A"), ("d2", "B")] == read(df, {"v": 1})
+    changed = spark.createDataFrame([("d1", "z"), ("d2", "b")], df.schema)
+    assert read(changed, {"v": 1}) == [("d1", "Z"), ("d2", "B")] and read(changed, {"v": 2}) == [("d1", "Z"), ("d2", "B")]
+    assert calls == [["d1", "d2"], [], ["d1"], ["d1", "d2"]]
+    assert io.write_documents(df, str(tmp_path / "doc"), "doc_id") == 2
+    with pytest.raises(Exception, match="secret"):
+        io.refuse_secrets(df, "^a$").collect()
+    assert io.refuse_secrets(df, "nothing").count() == 2 and io.done_ids(spark.createDataFrame([("1", None), ("2", "x")], "id string, error string")).count() == 1
+    assert one(spark, io.pdf_route(F.lit("name\n----\nArial")), io.pdf_route(F.lit("name\n----\n"))) == ("digital", "scanned")
+
+
+def test_ledgers_on_odd_pages(spark):
+    rows = spark.createDataFrame([("f", 1, 0, "2024-01-01", None, 5.0, None, 15.0), ("f", None, 0, "2024-01-02", 1.0, None, None, 14.0), ("f", 2, 0, None, None, 1.0, None, None), ("f", 2, 1, None, None, 1.0, None, 17.0)], "k string, page_no int, pos int, date string, debit double, credit double, amount double, balance double")
+    pages_ = spark.createDataFrame([("f", 1, 10.0), ("f", 1, 10.0), ("f", None, 3.0), ("f", 2, None)], "k string, page_no int, opening_balance double").withColumns({c: F.lit(None).cast("double") for c in ("closing_balance", "total_debit", "total_credit")})
+    got = ledger.check_files(rows, pages_, ["k"]).first()
+    assert got.n_rows == 4 and sorted(c.page_row_index for c in got.checks if c.page_no == 2) == [0, 1]
+
+
+def test_joins_keep_users_columns(spark):
+    log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "k string, rank int, _rank string")
+    assert joins.latest(log, ["k"], "rank").first().asDict() == {"k": "a", "rank": 2, "_rank": "y"}
+    m = spark.createDataFrame([("a",), ("b",)], "k string")
+    p = spark.createDataFrame([("a", "m", 1), ("a", "m", 1)], "k string, model string, found int")
+    got = joins.with_predictions(m, p, ["k"], ["m"]).collect()
+    assert sorted((r.k, r.found, r.missing) for r in got) == [("a", 1, False), ("b", None, True)]
+    side = lambda v: spark.createDataFrame([(None, "f", v)], "k string, field string, value string")
+    assert [tuple(r) for r in joins.field_pairs(side("x"), side("y"), ["k"]).collect()] == [(None, "f", "x", "y", True, True)]
+    twice = spark.createDataFrame([("a", "m", "1"), ("a", "m", "2"), ("a", "n", "2")], "k string, model string, value string")
+    assert sampling.review_queue(twice, ["k"], share=1.0).first()["values"] == {"m": "2", "n": "2"}
