@@ -3,9 +3,9 @@
 Minima of BANDS groups of ROWS hash functions over a text's shingles deal the distinct shingle sets into buckets; two
 sets of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.99999 at 0.8. Inside buckets, fingerprints of
 BITS bits, one SimHash of the set, are compared in tiles by numpy's exclusive-or and bit counts, tiles being skipped by
-population counts; RADIUS is where sets of similarity 0.8 differ at most, but for 1 in 5,000. What the tiles propose, the
-nearest first, is checked against the whole sets. Proposals end when no set has one left that would join two components,
-so a bucket of n copies gives about n pairs, and no link is lost to the order.
+population counts; RADIUS is where sets of similarity 0.8 differ at most, but for 1 in 5,000. Pairs within it are compared
+by their whole sets where they are found, so that pairs near the limit, of which there may be the square of a bucket's
+size, never become rows. Of a bucket's links only a forest goes on, and those are checked once more by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ BANDS, ROWS = 30, 5
 BITS, RADIUS = 256, 59
 #: Sets of a bucket that one task compares at once; larger ones are dealt out in pairs of tiles of this size.
 TILE = 2048
-#: How many proposals a set makes in each round, until it has no more.
-FIRST, MORE = 2, 8
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,10 +75,10 @@ def simhash_of(hashes: np.ndarray, starts: np.ndarray, bits: int = BITS) -> np.n
 
 def shingled(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = False, sets: bool = False, prints: bool = False) -> DataFrame:
     """docs, without `text` unless keep_text, with a column fp (long, a hash of the set of shingles, 0 for texts without words), and if
-    `sets` the set and its buckets (array<long>, empty for texts without words), and if `prints` its fingerprint, sim (binary)."""
-    keep = [c for c in docs.columns if c not in ("fp", "set", "keys", "sim") and (keep_text or c != text)]
+    `sets` the set and its buckets (array<long>, empty for texts without words), and if `prints` its fingerprint, sim, and the upper halves of its hashes in order, brief (both binary)."""
+    keep = [c for c in docs.columns if c not in ("fp", "set", "keys", "sim", "brief") and (keep_text or c != text)]
     extra = [F.lit(None).cast("array<long>").alias(c) for c in ("set", "keys")] if sets else []
-    extra += [F.lit(None).cast("binary").alias("sim")] if prints else []
+    extra += [F.lit(None).cast("binary").alias(c) for c in ("sim", "brief")] if prints else []
     schema = docs.select(*keep, F.lit(0).cast("long").alias("fp"), *extra).schema
 
     def run(batches):
@@ -96,10 +94,11 @@ def shingled(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed:
                     for o, v in ((starts, hashes), (at, keys.ravel())):
                         cols.append(pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v.view(np.int64))))
                 if prints:
-                    sim: list = [None] * (j - i)
+                    sim, brief = [None] * (j - i), [None] * (j - i)
+                    half = (hashes >> np.uint64(32)).astype(np.uint32)
                     for r, v in zip(full.tolist(), simhash_of(hashes, starts[full]) if len(full) else (), strict=True):
-                        sim[r] = v.tobytes()
-                    cols.append(pa.array(sim, pa.binary()))
+                        sim[r], brief[r] = v.tobytes(), np.unique(half[starts[r] : starts[r + 1]]).tobytes()
+                    cols += [pa.array(sim, pa.binary()), pa.array(brief, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
@@ -113,52 +112,83 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
-def nearest(x: np.ndarray, xp: np.ndarray, y: np.ndarray, yp: np.ndarray, radius: int, most: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y) of the up to `most` nearest rows of y of another part within the radius of each row of x, and for
-    each row of x how many there are. Compared tile by tile, those skipped whose population counts are too far apart."""
+def within(x: np.ndarray, y: np.ndarray, radius: int, tile: int = 512):
+    """(rows of x, rows of y) of all pairs within the radius, tile by tile; tiles are skipped whose population counts are
+    too far apart."""
     popx, popy = (np.bitwise_count(v).sum(1).astype(np.int32) for v in (x, y))
     ox, oy = np.argsort(popx, kind="stable"), np.argsort(popy, kind="stable")
-    sy, total, a, b = popy[oy], np.zeros(len(x), np.int64), [], []
+    sy = popy[oy]
     for i in range(0, len(x), tile):
         rows = ox[i : i + tile]
-        held_d, held_j = np.zeros((len(rows), 0), np.int32), np.zeros((len(rows), 0), np.int64)
         low, high = np.searchsorted(sy, popx[rows[0]] - radius), np.searchsorted(sy, popx[rows[-1]] + radius, "right")
         for j in range(int(low), int(high), tile):
             cols = oy[j : min(j + tile, int(high))]
             d = np.zeros((len(rows), len(cols)), np.int32)
             for w in range(x.shape[1]):
                 d += np.bitwise_count(x[rows, w, None] ^ y[None, cols, w])
-            d[xp[rows][:, None] == yp[cols][None, :]] = 1 << 20
-            total[rows] += (d <= radius).sum(1)
-            held_d, held_j = np.hstack([held_d, d]), np.hstack([held_j, np.broadcast_to(cols, d.shape)])
-            if held_d.shape[1] > most:
-                # Ties go to the smaller place, so that the same bucket proposes the same pairs wherever it is compared.
-                pick = np.argpartition(held_d.astype(np.int64) * len(y) + held_j, most - 1, axis=1)[:, :most]
-                held_d, held_j = np.take_along_axis(held_d, pick, 1), np.take_along_axis(held_j, pick, 1)
-        p, q = np.nonzero(held_d <= radius)
-        a.append(rows[p])
-        b.append(held_j[p, q])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([*a, none]), np.concatenate([*b, none]), total
+            p, q = np.nonzero(d <= radius)
+            yield rows[p], cols[q]
 
 
-PROPOSED = "a long, b long, more boolean"
-
-
-def _propose(fp: np.ndarray, part: np.ndarray, sim: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> pa.RecordBatch:
-    """Pairs of a bucket (or of two tiles of it): each left row with the nearest right rows of other parts."""
-    a, b, n = nearest(sim[left], part[left], sim[right], part[right], RADIUS, most)
-    x, y = fp[left][a], fp[right][b]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[a] > most)], names=["a", "b", "more"])
-
-
-def _words(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
-
-
-def proposals(members: DataFrame, sizes: DataFrame, most: int, tile: int) -> DataFrame:
-    """(a, b, more) of buckets (key, fp, part, sim, rest): each row of `rest`, those outside a bucket's main part, with the
-    nearest rows of other parts. sizes (key, n, m): rows and rest of each bucket."""
+def bucket_links(part: np.ndarray, sim: np.ndarray, brief: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of a bucket that make its parts one where any left and right row of them are similar: a forest over
+    the parts."""
+    p, q = SIMILARITY
+    size = np.array([len(b) for b in brief])
+    names, at = np.unique(part, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out_a, out_b = [], []
+    for i, j in within(sim[left], sim[right], RADIUS):
+        a, b = left[i], right[j]
+        near = (at[a] != at[b]) & (np.minimum(size[a], size[b]) * q >= np.maximum(size[a], size[b]) * p)
+        a, b = a[near], b[near]
+        if not len(a):
+            continue
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cut = np.flatnonzero(np.diff(a, prepend=-1))
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(a)], strict=True):
+            own, others = int(a[s]), b[s:e]
+            home = root(int(at[own]))
+            others = others[[root(k) != home for k in at[others].tolist()]]
+            if not len(others):
+                continue
+            held = np.concatenate([brief[k] for k in others])
+            place = np.searchsorted(brief[own], held)
+            place[place == size[own]] = 0
+            shared = np.add.reduceat((brief[own][place] == held).astype(np.int64), np.cumsum(size[others]) - size[others])
+            for k in others[shared * (p + q) >= (size[own] + size[others]) * p].tolist():
+                x, y = root(int(at[own])), root(int(at[k]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out_a.append(own)
+                    out_b.append(k)
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+FOUND = "a long, b long"
+
+
+def _pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], names=["a", "b"])
+
+
+def _arrays(t: pa.Table, *names: str) -> list:
+    """Columns of a table as numpy, fingerprints as rows of numbers and briefs as a list."""
+    out = [t.column(c).to_numpy() for c in names]
+    sim = np.frombuffer(b"".join(t.column("sim").to_pylist()), np.uint64).reshape(len(t), BITS // 64)
+    return [*out, sim, [np.frombuffer(b, np.uint32) for b in t.column("brief").to_pylist()]]
+
+
+def found_links(members: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """(a, b) of buckets (key, fp, part, rest, sim, brief): links between rows of `rest`, those outside a bucket's main part,
+    and all rows of other parts. sizes (key, n, m): rows and rest of each bucket."""
     n = parts(members)
 
     def run(batches):
@@ -175,18 +205,19 @@ def proposals(members: DataFrame, sizes: DataFrame, most: int, tile: int) -> Dat
             yield from buckets(held)
 
     def buckets(t: pa.Table):
-        t = t.combine_chunks()
-        keys, fp, part, rest = (t.column(c).to_numpy() for c in ("key", "fp", "part", "rest"))
-        sim = _words(t.column("sim"))
+        keys, fp, part, rest, sim, brief = _arrays(t, "key", "fp", "part", "rest")
         cut = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-        out = []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
-            where = np.arange(s, e)
-            out.append(_propose(fp, part, sim, where[rest[s:e]], where, most))
-        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-
-    small = members.join(sizes.where(F.col("n") <= tile).select("key"), "key").select("key", "fp", "part", "rest", "sim")
-    found = small.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, PROPOSED)
+            where = np.arange(e - s)
+            x, y = bucket_links(part[s:e], sim[s:e], brief[s:e], where[rest[s:e]], where)
+            a.append(x + s)
+            b.append(y + s)
+        yield _pairs(fp, np.concatenate(a), np.concatenate(b))
+
+    columns = ["fp", "part", "sim", "brief"]
+    small = members.join(sizes.where(F.col("n") <= tile).select("key"), "key").select("key", *columns, "rest")
+    found = small.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, FOUND)
     hot = sizes.where(F.col("n") > tile)
     if hot.isEmpty():
         return found
@@ -195,25 +226,23 @@ def proposals(members: DataFrame, sizes: DataFrame, most: int, tile: int) -> Dat
     big = members.join(deal, "key")
     slice_ = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
     unit = lambda i, j: F.xxhash64("key", i, j).alias("unit")
-    left = big.where("rest").withColumn("i", slice_("sm")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sn") - 1))).select(unit("i", "j"), "fp", "part", "sim", F.lit(0).alias("side"))
-    right = big.withColumn("j", slice_("sn")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sm") - 1))).select(unit("i", "j"), "fp", "part", "sim", F.lit(1).alias("side"))
+    left = big.where("rest").withColumn("i", slice_("sm")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sn") - 1))).select(unit("i", "j"), *columns, F.lit(0).alias("side"))
+    right = big.withColumn("j", slice_("sn")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sm") - 1))).select(unit("i", "j"), *columns, F.lit(1).alias("side"))
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by([("side", "ascending"), ("fp", "ascending")])
-        fp, part, side, sim = t.column("fp").to_numpy(), t.column("part").to_numpy(), t.column("side").to_numpy(), _words(t.column("sim"))
-        return pa.Table.from_batches([_propose(fp, part, sim, np.flatnonzero(side == 0), np.flatnonzero(side == 1), most)])
+        fp, part, side, sim, brief = _arrays(t, "fp", "part", "side")
+        return pa.Table.from_batches([_pairs(fp, *bucket_links(part, sim, brief, np.flatnonzero(side == 0), np.flatnonzero(side == 1)))])
 
-    return found.union(left.union(right).groupBy("unit").applyInArrow(compare, PROPOSED))
+    return found.union(left.union(right).groupBy("unit").applyInArrow(compare, FOUND))
 
 
 def links(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
-    """(a, b): edges between the sets of rows (fp, set, keys, sim) whose components are those of all similar pairs that
-    share a bucket.
+    """(a, b): edges between the sets of rows (fp, set, keys, sim, brief) whose components are those of all similar pairs
+    that share a bucket.
 
-    First each set is checked against one other: of the smallest sets of its buckets the nearest. Then, as long as buckets
-    hold more than one part, sets outside a bucket's largest part propose their nearest sets of other parts, at first a few,
-    then ever more; what was checked once isn't checked again. All rounds are needed only for sets near the limit."""
-    distinct = scratch.put(rows.where("sim is not null").groupBy("fp").agg(F.first("keys").alias("keys"), F.first("sim").alias("sim")), "sets")
+    First each set is checked against one other: of the smallest sets of its buckets the nearest. Then, in buckets that
+    hold more than one part of what that links, sets outside the largest part are compared with all others."""
+    distinct = scratch.put(rows.where("sim is not null").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("keys", "sim", "brief"))), "sets")
     keyed, sims = distinct.select("fp", F.explode("keys").alias("key")), distinct.select("fp", "sim")
     hubs = scratch.put(keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     often = often_from(hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
@@ -221,31 +250,20 @@ def links(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
     star = met.where("fp <> hub").select("fp", "hub").distinct().join(sims, "fp").join(sims.select(F.col("fp").alias("hub"), F.col("sim").alias("sim2")), "hub")
     far = F.aggregate(F.array(*(F.bit_count(_word("sim", w).bitwiseXOR(_word("sim2", w))) for w in range(BITS // 64))), F.lit(0), lambda a, x: a + x)
     first = star.select("fp", "hub", far.alias("far")).where(F.col("far") <= RADIUS).groupBy("fp").agg(F.min(F.struct("far", "hub")).alias("h"))
-    fresh = scratch.put(first.select(F.least("fp", "h.hub").alias("a"), F.greatest("fp", "h.hub").alias("b")).distinct(), "fresh0")
-    members = met.select("key", "fp")
-    near = tested = None
-    most, round_ = FIRST, 0
-    while True:
-        if not fresh.isEmpty():
-            wanted = fresh.select(F.col("a").alias("fp")).union(fresh.select("b")).distinct()
-            sets = scratch.put(rows.select("fp", "set").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), f"wanted{round_}")
-            found = _similar(fresh, sets)
-            near = scratch.put(found if near is None else near.union(found), f"near{round_}")
-            tested = fresh if tested is None else scratch.put(tested.union(fresh), f"tested{round_}")
-            scratch.drop(f"wanted{round_}", f"near{round_ - 1}")
-        elif round_ and not truncated:
-            break
-        if near is None:
-            break
-        members_now = scratch.put(_placed(members, near, sims), f"placed{round_}")
-        sizes = scratch.put(members_now.groupBy("key").agg(F.count("*").alias("n"), F.count_if("rest").alias("m")).where("m > 0"), f"sizes{round_}")
-        asked = scratch.put(proposals(members_now, sizes, most, tile).groupBy("a", "b").agg(F.max("more").alias("more")), f"asked{round_}")
-        truncated = not asked.where("more").isEmpty()
-        round_ += 1
-        fresh = scratch.put(asked.select("a", "b").join(tested, ["a", "b"], "left_anti"), f"fresh{round_}")
-        members = members_now.select("key", "fp")
-        most *= MORE
-    return near if near is not None else rows.sparkSession.createDataFrame([], "a long, b long")
+    near = _checked(first.select(F.least("fp", "h.hub").alias("a"), F.greatest("fp", "h.hub").alias("b")).distinct(), rows, scratch, "star")
+    members = scratch.put(_placed(met.select("key", "fp"), near, distinct), "placed")
+    sizes = scratch.put(members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("rest").alias("m")).where("m > 0"), "sizes")
+    return near.union(_checked(found_links(members, sizes, tile).distinct(), rows, scratch, "rest"))
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs whose whole sets are similar. Only sets of these pairs travel."""
+    pairs = scratch.put(pairs, f"{name}-pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sets = scratch.put(rows.select("fp", "set").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), f"{name}-sets")
+    out = scratch.put(_similar(pairs, sets), name)
+    scratch.drop(f"{name}-sets", f"{name}-pairs")
+    return out
 
 
 def _word(c: str, w: int):
@@ -253,13 +271,14 @@ def _word(c: str, w: int):
     return F.conv(F.hex(F.substring(F.col(c), 8 * w + 1, 8)), 16, -10).cast("long")
 
 
-def _placed(members: DataFrame, near: DataFrame, sims: DataFrame) -> DataFrame:
-    """members of buckets that hold more than one part of the links so far: key, fp, part, sim, and rest, false for the
-    bucket's largest part (of as large ones the smallest)."""
+def _placed(members: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (key, fp) of buckets that hold more than one part of the links so far: with part, sim, brief, and rest, false
+    for the bucket's largest part (of as large ones the smallest)."""
     label = components(near, Scratch(near.sparkSession, "jaccard-near")).withColumnRenamed("node", "fp")
     placed = members.join(label, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
     main = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("kinds > 1")
-    return placed.join(main.select("key", (-F.col("m.p")).alias("main")), "key").select("key", "fp", "part", (F.col("part") != F.col("main")).alias("rest")).join(sims, "fp").select("key", "fp", "part", "sim", "rest")
+    kept = placed.join(main.select("key", (-F.col("m.p")).alias("main")), "key").select("key", "fp", "part", (F.col("part") != F.col("main")).alias("rest"))
+    return kept.join(sets.select("fp", "sim", "brief"), "fp").select("key", "fp", "part", "sim", "brief", "rest")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
