@@ -12,22 +12,25 @@ import hashlib
 import re
 import uuid
 import zlib
+from datetime import UTC, datetime
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, often_from, table
 
 #: Header lines by version, as the filedesc record spells them.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Pages of one WARC file.
-PAGES_A_FILE = 20_000
+#: Compressed bytes after which a new WARC file is begun.
+FILE_BYTES = 64 << 20
 
 
 def base32_sha1(data: bytes) -> str:
@@ -132,7 +135,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not data.startswith(b"WARC/", at) or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
         lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
-        head = dict(x.split(": ", 1) for x in lines)
+        head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         stop = end + 4 + int(head["Content-Length"])
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"WARC record at byte {at} doesn't end where it says")
@@ -140,53 +143,135 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def archive_pages(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
-    """Writes gzipped WARC files under path: each page goes through an ARC record (version 1 or 2 in turn) and the
-    converter. Of pages with equal payloads of at least `least` bytes the one with the smallest id is a response,
+def warcinfo(name: str) -> bytes:
+    """The record that opens a WARC file."""
+    about = b"software: parchment\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name, '', 'info')}\r\nWARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n"
+    return b"WARC/1.1\r\n" + head.encode() + about + b"\r\n\r\n"
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of each gzip member of a file, one after the other."""
+    while data:
+        d = zlib.decompressobj(31)
+        out = d.decompress(data) + d.flush()
+        if not d.eof:
+            raise ValueError("a gzip member is cut off")
+        yield out
+        data = d.unused_data.lstrip(b"\0")
+
+
+def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records of a WARC file, gzipped or not. A gzip member may hold a record, as they should, or
+    any number of them."""
+    if data[:2] != b"\x1f\x8b":
+        yield from parse_warc(data)
+        return
+    for part in members(data):
+        yield from parse_warc(part)
+
+
+def _files(path: str):
+    """(file system, path in it) that Python workers write to; Spark's own forms of local paths are understood."""
+    local = re.sub(r"^file:/+", "/", path)
+    return (pa.fs.LocalFileSystem(), local) if "://" not in local else pa.fs.FileSystem.from_uri(path)
+
+
+class ArchiveWriter:
+    """WARC files of about `most` bytes under a folder: a gzip member for each record, the first a warcinfo. A file has its
+    name only once it is whole; a task that runs again writes the same names."""
+
+    def __init__(self, path: str, stem: str, most: int):
+        self.fs, self.path = _files(path)
+        self.stem, self.most, self.n, self.parts, self.size = stem, most, 0, [], 0
+        self.fs.create_dir(self.path, recursive=True)
+
+    def add(self, record: bytes) -> None:
+        if not self.parts:
+            self._put(warcinfo(f"{self.stem}-{self.n:05d}.warc.gz"))
+        self._put(record)
+        if self.size >= self.most:
+            self.close()
+
+    def _put(self, record: bytes) -> None:
+        c = zlib.compressobj(6, wbits=31)
+        self.parts.append(c.compress(record) + c.flush())
+        self.size += len(self.parts[-1])
+
+    def close(self) -> str | None:
+        if not self.parts:
+            return None
+        name = f"{self.path}/{self.stem}-{self.n:05d}.warc.gz"
+        draft = f"{self.path}/_{self.stem}-{self.n:05d}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(draft) as f:
+            for p in self.parts:
+                f.write(p)
+        self.fs.move(draft, name)
+        self.n, self.parts, self.size = self.n + 1, [], 0
+        return name
+
+
+def archive_pages(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> int:
+    """Writes gzipped WARC files under path, and tells how many records: each page goes through an ARC record (version 1 or 2
+    in turn) and the converter. Of pages with equal payloads of at least `least` bytes the one with the smallest id is a response,
     the others revisit it; rows that repeat the smallest id are responses too. Null html is an empty payload; null
     ids never are the smallest, unless all of the group are null: then all are responses. Null urls are "-".
+
+    Payloads with very many copies don't meet in one task: which is the first of them is broadcast.
     """
     rows = pages.select(F.col(id).cast("long").alias("id"), F.coalesce(url, F.lit("-")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("same", F.when(F.length("payload") >= least, F.sha2("payload", 256)))
     first = rows.where("same is not null").groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 and not first.no_id")
-    rows = rows.join(first.select("same", F.col("first.id").alias("of"), F.col("first.url").alias("of_url")), "same", "left")
+    first = Scratch(pages.sparkSession, "warc-first").put(first.select("same", F.col("first.id").alias("of"), F.col("first.url").alias("of_url"), "n"), "first")
+    most = often_from(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hot, rest = first.where(F.col("n") > most).drop("n"), first.where(F.col("n") <= most).drop("n")
+    if hot.isEmpty():
+        rows = rows.join(rest, "same", "left")
+    else:
+        keys = F.broadcast(hot.select("same"))
+        rows = rows.join(keys, "same", "left_anti").join(rest, "same", "left").unionByName(rows.join(F.broadcast(hot), "same"))
     rows = rows.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("of")), F.col("of")).alias("of"), "of_url")
 
     def run(batches):
+        context = TaskContext.get()
+        out, n = ArchiveWriter(path, f"part-{context.partitionId():06d}", file_bytes), 0
         for batch in batches:
-            out = []
             for i, link, payload, of, of_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Source-Id: {i}\r\n" if i is not None else "") + f"Content-Length: {len(payload)}\r\n\r\n"
                 arc = write_arc([ArcRecord(link, "0.0.0.0", "20000101000000", "text/html", head.encode() + payload)], 1 + (i or 0) % 2)
                 for r in parse_arc(arc):
                     more = {} if of is None else {"X-Refers-To-Source-Id": str(of)}
-                    out.append(to_warc(r, str(i), None if of is None else (of_url, str(of)), more)[:-1])  # the writer adds the last line end
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out.add(to_warc(r, str(i), None if of is None else (of_url, str(of)), more))
+                    n += 1
+        out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", PAGES_A_FILE).text(path)
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under path. Responses are measured; a revisit tells what it declares."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """The records of the WARC files under path, of all gzip members. Responses are measured; a revisit tells what it
+    declares. Other records, and such of other writers that name no source page, have nulls there."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
 
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
                 out = []
-                for head, block in parse_warc(zlib.decompress(content.as_py(), 31)):
-                    http, payload = split_http(block)
+                for head, block in read_warc(content.as_py()):
+                    if head["WARC-Type"] not in ("response", "revisit", "resource"):
+                        continue
+                    http, payload = split_http(block) or (b"", block)
                     fields = dict(x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:] if x)
                     own, of = fields.get("X-Source-Id"), head.get("X-Refers-To-Source-Id")
                     revisit = head["WARC-Type"] == "revisit"
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or (None if revisit else base32_sha1(payload))
                     if not revisit and digest != base32_sha1(payload):
                         raise ValueError(f"digest of page {own} differs")
-                    out.append((own and int(own), int(fields["Content-Length"]) if revisit else len(payload), digest, head["WARC-Type"], of and int(of)))
+                    out.append((own and int(own), int(fields.get("Content-Length", 0)) if revisit else len(payload), digest, head["WARC-Type"], of and int(of)))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 columns = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PAGES.split(", ")])

@@ -313,8 +313,26 @@ def test_warc(spark, tmp_path):
             of = first[x or ""] if len(b) >= least else i
             want.append((str(i), len(b), warc.base32_sha1(b), "response" if of == i else "revisit", None if of == i else of))
         assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(want, key=lambda x: (x[0], x[1]))
-    warc.archive_pages(df.limit(0), str(tmp_path / "none"))
+    assert warc.archive_pages(df.limit(0), str(tmp_path / "none")) == 0
+    (tmp_path / "none").mkdir(exist_ok=True)
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+    many = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 256).alias("html")).repartition(2)
+    warc.archive_pages(many, str(tmp_path / "many"), file_bytes=5000)
+    files = sorted((tmp_path / "many").iterdir())
+    assert len(files) > 4 and all(f.name.endswith(".warc.gz") for f in files) and warc.read_archives(spark, str(tmp_path / "many")).count() == 300
+    heads = [h for h, _ in warc.read_warc(files[0].read_bytes())]
+    assert heads[0]["WARC-Type"] == "warcinfo" and heads[0]["WARC-Filename"] == files[0].name and len(list(warc.members(files[0].read_bytes()))) == len(heads)
+
+
+def test_warc_of_several_members():
+    """A file as others write it: a member a record, two records in a member, and padding between."""
+    import gzip
+
+    records = [warc.to_warc(warc.ArcRecord(f"http://{i}", "-", "2001", "text/plain", b"x" * i), str(i)) for i in range(4)]
+    data = gzip.compress(records[0]) + gzip.compress(records[1] + records[2]) + b"\0\0" + gzip.compress(records[3])
+    assert [len(b) for _, b in warc.read_warc(data)] == [0, 1, 2, 3] == [len(b) for _, b in warc.read_warc(b"".join(records))]
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.read_warc(data[:-5]))
 
 
 @pytest.mark.parametrize("version", [1, 2])
