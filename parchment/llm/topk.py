@@ -19,6 +19,8 @@ from .common import Scratch, parts, table
 SCALE, EVERY, K = 256, 50, 5
 #: Vectors of a chunk, queries that one pass broadcasts, leading coordinates of the partial sums.
 CHUNK, QUERIES, LEAD = 4096, 65536, 16
+#: Bytes of queries that one pass broadcasts at most, which a worker holds three times.
+QUERY_BYTES = 32 << 20
 #: Below any score.
 NONE = -(2**62)
 RESULT = "query bigint, id bigint, score bigint"
@@ -94,6 +96,7 @@ def _scan(batches, shared, width: int, k: int, lead: int):
             xf = x.astype(float)
             xr = xf @ rotation
             x_rest, longest = np.sqrt(np.maximum(0, (xr[:, lead:] ** 2).sum(1))), np.sqrt((xf**2).sum(1).max())
+            any_alive = False
             exact = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * width < 2**53
             for i in range(0, len(q), 1024):
                 at = slice(i, i + 1024)
@@ -102,6 +105,7 @@ def _scan(batches, shared, width: int, k: int, lead: int):
                 alive = np.flatnonzero(longest * q_len[at] + slack >= need)
                 if not len(alive):
                     continue
+                any_alive = True
                 part = rotated[at][alive, :lead] @ xr[:, :lead].T
                 part += q_rest[at][alive, None] * x_rest[None, :]
                 a, b = np.nonzero(part + slack[alive, None] >= need[alive, None])
@@ -112,8 +116,14 @@ def _scan(batches, shared, width: int, k: int, lead: int):
                     s = np.concatenate([np.einsum("ij,ij->i", q[a[j : j + 65536]], x[b[j : j + 65536]]) for j in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
                 ok = (ids[b] != qid[a]) & (s >= np.maximum(best.score[a, -1], floor[a]))
                 best.add(a[ok], ids[b][ok], s[ok])
+            if not any_alive and len(q):  # chunks come by descending length, so no later one can reach any query
+                return (yield _found(best))
+    yield _found(best)
+
+
+def _found(best: Best) -> pa.RecordBatch:
     r, c = np.nonzero(best.id != np.iinfo(np.int64).max)
-    yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["query", "id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["query", "id", "score"])
 
 
 def top_k(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, scale: int = SCALE, chunk: int = CHUNK, block: int = QUERIES, lead: int = LEAD) -> DataFrame:
@@ -122,7 +132,8 @@ def top_k(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
     Vectors that are null or hold null or non-finite components take no part; shorter ones count as filled up with
     zeros. A query doesn't meet rows of its own id. Repeated rows are candidates each; repeated queries with equal
     vectors count once. Null ids are no queries and, as candidates, come last in ties. An empty table gives no rows.
-    Queries are broadcast in blocks of at most `block`, each of which scans all chunks.
+    Components beyond 2**55 / scale, where a double is no whole number's equal any more, saturate at 64 bits. Queries are
+    broadcast in blocks of at most `block`, and of QUERY_BYTES, each of which scans all chunks.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -139,7 +150,7 @@ def top_k(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
         moments[c.cell] = c.s
     rotation = np.linalg.eigh(moments.reshape(width, width))[1][:, ::-1].copy()
     queries = scratch.put(rows.where(F.col("id") % every == 0).select("id", "v").distinct(), "queries")
-    blocks = max(1, -(-queries.count() // block))
+    blocks = max(1, -(-queries.count() // max(1, min(block, QUERY_BYTES // (8 * width)))))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
     out = None
     for b in range(blocks):
