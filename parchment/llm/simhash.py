@@ -1,13 +1,16 @@
 """SimHash near-duplicates by exact comparison in tiles.
 
-Fingerprints of 64 bits within `radius` bits agree on at least one of radius + 1 bit fields. The distinct
-fingerprints that share a field form a bucket; buckets are compared exactly in tiles, sorted by population count,
+Fingerprints of 64 bits within `radius` bits agree on at least AGREE of radius + AGREE bit fields. The distinct
+fingerprints that share so many fields form a bucket, one for each choice of them (38 bits in ten tables for a radius of 2, so
+that buckets stay small in corpora of billions); buckets are compared exactly in tiles, sorted by population count,
 by numpy's exclusive-or and bit counts; pairs of tiles whose population counts differ by more than the radius are
 skipped. Of the links of a tile, only a spanning forest goes on, so a group of n copies gives n - 1 rows.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,6 +21,8 @@ from .common import LOWER, SPACES, Scratch, parts, slices, table, text_bytes, wo
 from .graph import components, local_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: Fields that linked fingerprints surely agree on.
+AGREE = 3
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt out in pairs of tiles of this size.
 TILE = 4096
 EDGES = "a long, b long"
@@ -135,12 +140,13 @@ def _bucket_links(keys: np.ndarray, values: np.ndarray, radius: int) -> pa.Recor
 def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): edges between the fingerprints (column fp, each once) whose components are those of all pairs within
     radius bits. Every edge lies within components of such pairs; not every pair is an edge."""
-    width, fields = 64 // (radius + 1), []
-    for f in range(radius + 1):
-        last = f == radius
-        mask = (1 << (64 - f * width if last else width)) - 1
-        fields.append(F.struct(F.lit(f).alias("field"), F.shiftrightunsigned("fp", f * width).bitwiseAND(F.lit(mask if mask < 2**63 else -1)).alias("value")))
-    rows = distinct.select("fp", F.explode(F.array(*fields)).alias("k")).select("fp", F.xxhash64("k.field", "k.value").alias("key"))
+    n_fields = radius + AGREE
+    edges = [64 * f // n_fields for f in range(n_fields + 1)]
+    keys = []
+    for chosen in combinations(range(n_fields), AGREE):
+        mask = sum((1 << edges[f + 1]) - (1 << edges[f]) for f in chosen)
+        keys.append(F.struct(F.lit(mask - (1 << 64) if mask >> 63 else mask).alias("mask"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("value")))
+    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", F.xxhash64("k.mask", "k.value").alias("key"))
     sizes = scratch.put(rows.groupBy("key").count().where("count > 1"), "sizes")
     n = parts(distinct)
 
@@ -221,7 +227,8 @@ def first_rows(docs: DataFrame, found: DataFrame, mark, id: str, text: str) -> D
     """The rows of docs that stay by components `found`; mark adds the column fp to rows with texts t."""
     n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
-        return docs.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")), F.col(id) == F.col("_id"), "left_semi")
+        stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(id))
+        return docs.join(stay, id, "left_semi").select(*docs.columns)
     # Ids that are null or not unique: rows are told apart by id, fingerprint and content.
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.fp").alias("_fp"))
     rest = docs.select(F.struct(*(c for c in docs.columns if c not in (id, text))).alias("rest"), F.col(id).alias("i"), F.col(text).alias("t")) if len(docs.columns) > 2 else docs.select(F.lit(0).alias("rest"), F.col(id).alias("i"), F.col(text).alias("t"))
