@@ -5,7 +5,8 @@ sets of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.9999
 BITS bits, one SimHash of the set, are compared in tiles by numpy's exclusive-or and bit counts, tiles being skipped by
 population counts; RADIUS is where sets of similarity 0.8 differ at most, but for 1 in 5,000. Pairs within it are compared
 by their whole sets where they are found, so that pairs near the limit, of which there may be the square of a bucket's
-size, never become rows. Of a bucket's links only a forest goes on, and those are checked once more by 64-bit hashes.
+size, never become rows; of a bucket's links only a forest goes on. Shingles of a set are told by 32-bit hashes: two unlike
+ones of 300 shingles are taken to share one in 50,000 pairs, which moves their similarity by less than 0.002.
 """
 
 from __future__ import annotations
@@ -73,12 +74,13 @@ def simhash_of(hashes: np.ndarray, starts: np.ndarray, bits: int = BITS) -> np.n
     return out
 
 
-def shingled(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = False, sets: bool = False, prints: bool = False) -> DataFrame:
+def shingled(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = False, keys: bool = False, prints: bool = False) -> DataFrame:
     """docs, without `text` unless keep_text, with a column fp (long, a hash of the set of shingles, 0 for texts without words), and if
-    `sets` the set and its buckets (array<long>, empty for texts without words), and if `prints` its fingerprint, sim, and the upper halves of its hashes in order, brief (both binary)."""
-    keep = [c for c in docs.columns if c not in ("fp", "set", "keys", "sim", "brief") and (keep_text or c != text)]
-    extra = [F.lit(None).cast("array<long>").alias(c) for c in ("set", "keys")] if sets else []
-    extra += [F.lit(None).cast("binary").alias(c) for c in ("sim", "brief")] if prints else []
+    `keys` its buckets (array<long>, empty for texts without words), and if `prints` its fingerprint, sim (binary), and the upper
+    halves of its hashes, brief (array<int>), both null for texts without words."""
+    keep = [c for c in docs.columns if c not in ("fp", "keys", "sim", "brief") and (keep_text or c != text)]
+    extra = [F.lit(None).cast("array<long>").alias("keys")] if keys else []
+    extra += [F.lit(None).cast("binary").alias("sim"), F.lit(None).cast("array<int>").alias("brief")] if prints else []
     schema = docs.select(*keep, F.lit(0).cast("long").alias("fp"), *extra).schema
 
     def run(batches):
@@ -88,30 +90,21 @@ def shingled(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed:
                 hashes, starts, fp = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed)
                 cols = [*(batch.column(c).slice(i, j - i) for c in keep), pa.array(fp.view(np.int64))]
                 full = np.flatnonzero(np.diff(starts))
-                if sets:
-                    keys = bands_of(hashes, np.append(starts[full], len(hashes))) if len(full) else np.zeros((0, BANDS), np.uint64)
+                if keys:
+                    held = bands_of(hashes, np.append(starts[full], len(hashes))) if len(full) else np.zeros((0, BANDS), np.uint64)
                     at = np.concatenate([[0], np.cumsum(np.diff(starts) > 0)]) * BANDS
-                    for o, v in ((starts, hashes), (at, keys.ravel())):
-                        cols.append(pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v.view(np.int64))))
+                    cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(held.ravel().view(np.int64))))
                 if prints:
                     sim, brief = [None] * (j - i), [None] * (j - i)
                     half = (hashes >> np.uint64(32)).astype(np.uint32)
                     for r, v in zip(full.tolist(), simhash_of(hashes, starts[full]) if len(full) else (), strict=True):
-                        sim[r], brief[r] = v.tobytes(), np.unique(half[starts[r] : starts[r + 1]]).tobytes()
-                    cols += [pa.array(sim, pa.binary()), pa.array(brief, pa.binary())]
+                        sim[r], brief[r] = v.tobytes(), np.unique(half[starts[r] : starts[r + 1]]).view(np.int32)
+                    cols += [pa.array(sim, pa.binary()), pa.array(brief, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have the similarity."""
-    p, q = SIMILARITY
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
-
-
 def within(x: np.ndarray, y: np.ndarray, radius: int, tile: int = 512):
     """(rows of x, rows of y) of all pairs within the radius, tile by tile; tiles are skipped whose population counts are
     too far apart."""
@@ -183,7 +176,9 @@ def _arrays(t: pa.Table, *names: str) -> list:
     """Columns of a table as numpy, fingerprints as rows of numbers and briefs as a list."""
     out = [t.column(c).to_numpy() for c in names]
     sim = np.frombuffer(b"".join(t.column("sim").to_pylist()), np.uint64).reshape(len(t), BITS // 64)
-    return [*out, sim, [np.frombuffer(b, np.uint32) for b in t.column("brief").to_pylist()]]
+    brief = t.column("brief").combine_chunks()
+    flat, cut = brief.values.to_numpy().view(np.uint32), brief.offsets.to_numpy()
+    return [*out, sim, [flat[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]]
 
 
 def found_links(members: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
@@ -237,12 +232,12 @@ def found_links(members: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
 
 
 def links(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
-    """(a, b): edges between the sets of rows (fp, set, keys, sim, brief) whose components are those of all similar pairs
+    """(a, b): edges between the sets of rows (fp, keys, sim, brief) whose components are those of all similar pairs
     that share a bucket.
 
     First each set is checked against one other: of the smallest sets of its buckets the nearest. Then, in buckets that
     hold more than one part of what that links, sets outside the largest part are compared with all others."""
-    distinct = scratch.put(rows.where("sim is not null").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("keys", "sim", "brief"))), "sets")
+    distinct = scratch.put(rows.where("sim is not null").groupBy("fp").agg(F.first("keys").alias("keys"), F.first("sim").alias("sim")), "sets")
     keyed, sims = distinct.select("fp", F.explode("keys").alias("key")), distinct.select("fp", "sim")
     hubs = scratch.put(keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     often = often_from(hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
@@ -250,20 +245,25 @@ def links(rows: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
     star = met.where("fp <> hub").select("fp", "hub").distinct().join(sims, "fp").join(sims.select(F.col("fp").alias("hub"), F.col("sim").alias("sim2")), "hub")
     far = F.aggregate(F.array(*(F.bit_count(_word("sim", w).bitwiseXOR(_word("sim2", w))) for w in range(BITS // 64))), F.lit(0), lambda a, x: a + x)
     first = star.select("fp", "hub", far.alias("far")).where(F.col("far") <= RADIUS).groupBy("fp").agg(F.min(F.struct("far", "hub")).alias("h"))
-    near = _checked(first.select(F.least("fp", "h.hub").alias("a"), F.greatest("fp", "h.hub").alias("b")).distinct(), rows, scratch, "star")
-    members = scratch.put(_placed(met.select("key", "fp"), near, distinct), "placed")
+    near = scratch.put(_similar(first.select(F.least("fp", "h.hub").alias("a"), F.greatest("fp", "h.hub").alias("b")).distinct(), rows, scratch), "near")
+    members = scratch.put(_placed(met.select("key", "fp"), near, sims, rows), "placed")
     sizes = scratch.put(members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("rest").alias("m")).where("m > 0"), "sizes")
-    return near.union(_checked(found_links(members, sizes, tile).distinct(), rows, scratch, "rest"))
+    return near.union(found_links(members, sizes, tile))
 
 
-def _checked(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs whose whole sets are similar. Only sets of these pairs travel."""
-    pairs = scratch.put(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = scratch.put(rows.select("fp", "set").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), f"{name}-sets")
-    out = scratch.put(_similar(pairs, sets), name)
-    scratch.drop(f"{name}-sets", f"{name}-pairs")
-    return out
+def _briefs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, brief) of the wanted fingerprints, each once."""
+    return rows.select("fp", "brief").join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("brief").alias("brief"))
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have the similarity. Only sets of these pairs travel."""
+    p, q = SIMILARITY
+    pairs = scratch.put(pairs, "pairs")
+    sets = scratch.put(_briefs(rows, pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))), "pair-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("brief").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("brief").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
 def _word(c: str, w: int):
@@ -271,21 +271,22 @@ def _word(c: str, w: int):
     return F.conv(F.hex(F.substring(F.col(c), 8 * w + 1, 8)), 16, -10).cast("long")
 
 
-def _placed(members: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+def _placed(members: DataFrame, near: DataFrame, sims: DataFrame, rows: DataFrame) -> DataFrame:
     """members (key, fp) of buckets that hold more than one part of the links so far: with part, sim, brief, and rest, false
     for the bucket's largest part (of as large ones the smallest)."""
     label = components(near, Scratch(near.sparkSession, "jaccard-near")).withColumnRenamed("node", "fp")
     placed = members.join(label, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
     main = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("kinds > 1")
     kept = placed.join(main.select("key", (-F.col("m.p")).alias("main")), "key").select("key", "fp", "part", (F.col("part") != F.col("main")).alias("rest"))
-    return kept.join(sets.select("fp", "sim", "brief"), "fp").select("key", "fp", "part", "sim", "brief", "rest")
+    held = _briefs(rows, kept.select("fp")).join(sims, "fp")
+    return kept.join(held, "fp").select("key", "fp", "part", "sim", "brief", "rest")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id, component) as of simhash.near_duplicates(), with fp a hash of the shingle set. Texts
     of fewer words than a shingle are one shingle; texts without words are equal."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.put(shingled(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), sets=True, prints=True), "rows")
+    rows = scratch.put(shingled(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), keys=True, prints=True), "rows")
     fps = scratch.put(rows.select("doc_id", "fp"), "fps")
     distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = scratch.put(links(rows, scratch, tile), "edges")

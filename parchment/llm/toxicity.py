@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     """
     sample = F.broadcast(labelled_sample(labels, label, folds, rows))
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
-    keyed = jaccard.shingled(texts.select("doc_id", "label", "text"), sets=True).drop("set").toArrow()
+    keyed = jaccard.shingled(texts.select("doc_id", "label", "text"), keys=True).toArrow()
     chosen = _distinct(*(keyed.column(c) for c in ("doc_id", "label", "fp", "keys")))
     n1 = sum(label for _, label in chosen)
     n0 = len(chosen) - n1
