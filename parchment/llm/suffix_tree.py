@@ -1,39 +1,42 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Contexts of one, two, ... words are grown level by level from all training text. A context counts if it and the word
-behind it are frequent enough together (SUPPORT, a share of all tokens), and becomes a state if its next-word
-distribution diverges enough from that of its longest shorter state. Distributions are smoothed by absolute
+Contexts of one, two, ... words are grown level by level from all training text. A context and the word behind it are an
+entry if they occur SUPPORT times or more together, whatever the corpus's size; the context becomes a state if its
+next-word distribution diverges enough from that of its longest shorter state. Distributions are smoothed by absolute
 discounting into that shorter state, down to the add-one unigram; each word is scored in the longest state that is a
 suffix of its history.
 
-Words are looked up by block: each block of text lists its distinct words once, those lists meet the corpus's counts
-in one join, and come back to their block. So no token travels alone, and no vocabulary is held anywhere whole.
+The tree is nowhere whole. Text is cut into blocks; words, and contexts with their next words, are told by 64-bit hashes of
+their words. A block asks for the counts of its distinct hashes, sorted and packed, by ranges of hashes (parts of bounded
+size), and gets back those that are frequent enough. One block that holds an entry describes it; levels are then worked out
+as tables of entries, and asked for in the same way. Tokens never travel but with their block.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, Scratch, crc_mod, nullable, table
+from .common import LOWER, Scratch, crc_mod, mix, table
 
-#: Share of all training tokens that a context and its next word have together at least in a small corpus, words of a
-#: context, nats by which a state's predictions beat those of its shorter state over the training text, and the discount.
-SUPPORT, DEPTH, DIVERGENCE, DISCOUNT = 1e-6, 3, 12.0, 0.75
-#: The tree grows with the corpus: the share falls by 1 + cube root of the tokens / GROWTH. A level of the tree, which is
-#: broadcast, has 1 / share entries at most: 1.5 million for 10**8 tokens, 28 million (24 bytes each) for 2 * 10**13.
-GROWTH = 1000
-#: Text bytes of a block.
-BLOCK_BYTES = 16 << 20
+#: Occurrences of a context with its next word that make an entry, words of a context, nats by which a state's predictions
+#: beat those of its shorter state over the training text, and the discount.
+SUPPORT, DEPTH, DIVERGENCE, DISCOUNT = 8, 3, 12.0, 0.75
+#: Text bytes of a block, and hashes that meet in one task on average.
+BLOCK_BYTES, PART_KEYS = 8 << 20, 1 << 20
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
+#: Turns the hash of an entry into that of the same words as a context.
+AS_CONTEXT = np.uint64(0x5851F42D4C957F2D)
 
 
 class _Numbers(dict):
@@ -42,39 +45,141 @@ class _Numbers(dict):
         return n
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """int32 numbers as bytes, all first bytes before all second ones and so on, which packs far better."""
-    return ids.view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones and so on, which packs far better."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+def unpack(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _blocks(docs: DataFrame, id: str, text: str, block_bytes: int) -> DataFrame:
-    """Rows of documents (block, doc, learn, compressed ids) and of blocks (block, words, counts of learning documents)."""
-    schema = nullable(docs.select(F.lit(0).cast("long").alias("block"), F.col(id).alias("doc"), F.lit(True).alias("learn"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<binary>").alias("words"), F.lit(None).cast("array<long>").alias("counts")))
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes by their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context followed by a word, of their hashes."""
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(word))
+
+
+#: What a step gives: rows of state (body), of asks (part, keys; n: counts, or null where values are wanted), and of entries.
+STEP = {"block": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary(), "body": pa.list_(pa.binary()), "ctx": pa.int64(), "key": pa.int64(), "times": pa.int64(), "short": pa.float64(), "of": pa.int64()}
+STEP_DDL = "block long, part int, keys binary, n binary, body array<binary>, ctx long, key long, times long, short double, of long"
+
+
+def _rows(kind: pa.DataType, docs: list | None = None, **columns: list) -> pa.Table:
+    """Rows of STEP and docs, from lists of some columns; the others are null."""
+    n = max(map(len, columns.values()))
+    cols = [pa.array(columns.get(c, [None] * n), t) for c, t in STEP.items()]
+    return pa.table([*cols, pa.array([docs] * n, pa.list_(kind))], names=[*STEP, "docs"])
+
+
+def _ask(block: int, keys: np.ndarray, n: np.ndarray | None, parts: int, kind: pa.DataType) -> pa.Table:
+    """Rows that ask for sorted hashes, one for each part that they fall in."""
+    at = part_of(keys, parts)
+    cut = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+    runs = list(zip(cut, [*cut[1:], len(keys)], strict=True)) if cut else []
+    counts = [None if n is None else pack(n[s:e]) for s, e in runs]
+    return _rows(kind, block=[block] * len(runs), part=at[cut].tolist(), keys=[pack_keys(keys[s:e]) for s, e in runs], n=counts)
+
+
+REPLY = {"block": pa.int64(), "part": pa.int32(), "what": pa.int32(), "at": pa.binary(), "v": pa.binary(), "lead": pa.binary()}
+REPLY_DDL = "block long, part int, what int, at binary, v binary, lead binary"
+COUNTS, VALUES = 0, 1
+
+
+def _replies(rows: list[tuple], what: int) -> pa.Table:
+    block, part, at, v, lead = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip((block, part, [what] * len(block), at, v, lead), REPLY.values(), strict=True)], names=list(REPLY))
+
+
+def _answers(replies: pa.Table, what: int, keys: np.ndarray, parts: int, *kinds) -> list[np.ndarray]:
+    """Places among the sorted hashes that were asked for, and what was answered for each."""
+    mine = replies.filter(pc.equal(replies.column("what"), what))
+    first = np.searchsorted(part_of(keys, parts), np.arange(parts + 1)) if len(keys) else np.zeros(parts + 1, np.int64)
+    got = [[np.zeros(0, np.int64)], *([np.zeros(0, k)] for k in kinds)]
+    for part, at, v, lead in zip(*(mine.column(c).to_pylist() for c in ("part", "at", "v", "lead")), strict=True):
+        got[0].append(np.cumsum(unpack(at, np.int32), dtype=np.int64) + first[part])
+        for held, data, k in zip(got[1:], (v, lead), kinds, strict=False):
+            held.append(unpack(data, k))
+    order = np.argsort(np.concatenate(got[0]), kind="stable")
+    return [np.concatenate(g)[order] for g in got]
+
+
+def counted(asks: DataFrame, least: int) -> DataFrame:
+    """Replies to asks for counts: of each block's hashes those with `least` or more in all blocks, how many, and whether this
+    block is the first to hold it. With least 0 all are answered. Block -1 tells how many hashes of a part occur."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column("block").to_numpy())))
+        held = [unpack_keys(k) for k in t.column("keys").to_pylist()]
+        _, first, of = np.unique(np.concatenate(held), return_index=True, return_inverse=True)
+        total = np.bincount(of, np.concatenate([unpack(x, np.int32) for x in t.column("n").to_pylist()])).astype(np.int64)
+        lead = np.zeros(len(of), np.uint8)
+        lead[first] = 1
+        each, out, s = total[of], [], 0
+        for block, part, m in zip(t.column("block").to_pylist(), t.column("part").to_pylist(), map(len, held), strict=True):
+            at = np.flatnonzero(each[s : s + m] >= least)
+            if len(at):
+                out.append((block, part, pack(np.diff(at, prepend=0).astype(np.int32)), pack(each[s : s + m][at]), pack(lead[s : s + m][at])))
+            s += m
+        none = pack(np.zeros(1, np.int32))
+        return _replies([*out, (-1, t.column("part")[0].as_py(), none, pack(np.array([(total > 0).sum()])), none)], COUNTS)
+
+    return asks.select("block", "part", "keys", "n").groupBy("part").applyInArrow(run, REPLY_DDL)
+
+
+def answered(asks: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """Replies to asks for values, of a table (key, value) with each key once."""
+    mine = F.shiftright(F.shiftrightunsigned("key", 32) * parts, 32).cast("int")
+
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values, out = known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy(), []
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        for block, part, k in zip(*(t.column(c).to_pylist() for c in ("block", "part", "keys")), strict=True):
+            want = unpack_keys(k)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == want) if len(keys) else at[:0]
+            if len(hit):
+                out.append((block, part, pack(np.diff(hit, prepend=0).astype(np.int32)), pack(values[at[hit]]), None))
+        return _replies(out, VALUES)
+
+    return asks.select("block", "part", "keys").groupBy("part").cogroup(known.select("key", "value", mine.alias("p")).groupBy("p")).applyInArrow(run, REPLY_DDL)
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """One row per block: its documents; packed, whether each is learned from, how many tokens it has, the tokens as
+    numbers, and of each number the word's hash and count in learned documents; and how many tokens are there and learned."""
+    schema = docs.select(F.lit(0).cast("long").alias("block"), F.array("doc").alias("docs"), F.array(F.lit(None).cast("binary")).alias("body"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("learned")).schema
     lower = bytes(LOWER)
 
     def run(batches):
         block, numbers, size, kind = TaskContext.get().partitionId() << 32, _Numbers(), 0, None
         rows: list[tuple] = []
-        squeeze = zstandard.ZstdCompressor(level=1)
 
         def flush():
             nonlocal block, numbers, size, rows
-            n, width = len(rows), len(numbers)
-            every = np.bincount(np.concatenate([r[2] for r in rows]), minlength=width)
-            counts = np.bincount(np.concatenate([r[2] for r in rows if r[1]] or [np.zeros(0, np.int32)]), minlength=width)
-            order = np.argsort(-every, kind="stable")  # frequent words get small numbers
-            rank = np.empty(width, np.int32)
-            rank[order] = np.arange(width, dtype=np.int32)
-            words = list(numbers)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * (n + 1), pa.int64()), pa.array([r[0] for r in rows] + [None], kind), pa.array([r[1] for r in rows] + [None], pa.bool_()), pa.array([squeeze.compress(_planes(rank[r[2]])) for r in rows] + [None], pa.binary()),
-                    pa.array([None] * n + [[words[i] for i in order.tolist()]], pa.list_(pa.binary())), pa.array([None] * n + [counts[order]], pa.list_(pa.int64())),
-                ], names=["block", "doc", "learn", "ids", "words", "counts"])
+            ids, learn = np.concatenate([r[2] for r in rows]), np.array([r[1] for r in rows], bool)
+            sizes = np.array([len(r[2]) for r in rows], np.int32)
+            order = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            counts = np.bincount(ids[np.repeat(learn, sizes)], minlength=len(numbers)).astype(np.int32)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+            body = [pack(learn.view(np.uint8)), pack(sizes), pack(rank[ids]), pack(hashes[order]), pack(counts[order])]
+            out = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([[r[0] for r in rows]], pa.list_(kind)), pa.array([body], pa.list_(pa.binary())), pa.array([len(ids)]), pa.array([int(counts.sum())])], names=schema.names)
             block, numbers, size, rows = block + 1, _Numbers(), 0, []
             return out
 
@@ -91,177 +196,214 @@ def _blocks(docs: DataFrame, id: str, text: str, block_bytes: int) -> DataFrame:
         if rows:
             yield flush()
 
-    return docs.select(F.col(id).alias("doc"), F.col("learn"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc", "learn", "text").mapInArrow(run, schema)
 
 
-@dataclass
 class Level:
-    """Entries (context, next word) in the order of key = context * width + word: their share beyond the shorter
-    state, and for each context what weight the shorter state keeps (1 where the context is no state)."""
-
-    keys: np.ndarray
-    add: np.ndarray
-    keep: np.ndarray
-    suffix: np.ndarray = field(repr=False, default=None)
-    prob: np.ndarray = field(repr=False, default=None)
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted keys, -1 where missing or where wanted is negative."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where((keys[at] == wanted) & (wanted >= 0), at, -1)
-
-
-@dataclass
-class Tree:
-    """root: unigram probabilities of the frequent words, by their number; the number of END is `end`."""
-
-    root: np.ndarray
-    end: int
-    levels: list[Level] = field(default_factory=list)
-
-    def histories(self, words: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """words: numbers, -1 for rare ones; fresh: True at the first word of a document. The context of each word
-        at the next level, and of the levels so far, -1 where there is none."""
-        before = np.concatenate([[-1], words[:-1]])
-        context = np.where(fresh, self.end, before)
-        out, width = [], len(self.root)
-        for level in self.levels:
-            out.append(context)
-            here = find(level.keys, np.where((context >= 0) & (words >= 0), context * width + words, -1))
-            before = np.concatenate([[-1], here[:-1]])
-            context = np.where(fresh, -1, before)
-        return context, out
-
-    def log10(self, words: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability; for rare words without their unigram part."""
-        p, width = np.where(words >= 0, self.root[np.maximum(words, 0)], 1.0), len(self.root)
-        for level, context in zip(self.levels, self.histories(words, fresh)[1], strict=True):
-            on = np.flatnonzero(context >= 0)
-            p[on] *= level.keep[context[on]]
-            at = find(level.keys, np.where(words[on] >= 0, context[on] * width + words[on], -1))
-            hit = at >= 0
-            p[on[hit]] += level.add[at[hit]]
-        return np.log10(p)
-
-    def grow(self, keys: np.ndarray, n: np.ndarray, context_counts: np.ndarray, divergence: float, discount: float) -> None:
-        """Adds the level of these entries. context_counts: how often each context of this level occurs."""
-        order, width = np.argsort(keys), len(self.root)
-        keys, n = keys[order], n[order].astype(float)
-        context, word = keys // width, keys % width
-        if self.levels:
-            last = self.levels[-1]
-            suffix = find(last.keys, last.suffix[context] * width + word)
-            short = np.where(suffix >= 0, last.prob[suffix], self.root[word])
-        else:
-            suffix, short = word, self.root[word]
-        count = np.maximum(context_counts[context], 1)
-        add = np.maximum(n - discount, 0) / count
-        keep = np.maximum(1 - np.bincount(context, add, len(context_counts)), 1e-9)
-        prob = add + keep[context] * short
-        gain = np.bincount(context, n * np.log(prob / short), len(context_counts))
-        kept_n = np.bincount(context, n, len(context_counts))
-        gain += (context_counts - kept_n) * np.log(keep)  # words of the context that have no entry
-        state = gain >= divergence
-        add[~state[context]] = 0
-        keep[~state] = 1
-        self.levels.append(Level(keys, add, keep, suffix, np.where(state[context], prob, short)))
-
-
-def _chunks(batch: pa.RecordBatch, tokens: int = 1 << 20):
-    """(first row, sizes, words, fresh) of runs of rows of about so many tokens."""
-    cells, i = batch.column("words"), 0
-    while i < len(cells):
-        rows, n, first = [], 0, i
-        while i < len(cells) and (not rows or n < tokens):
-            rows.append(_numbers(cells[i].as_py()))
-            n, i = n + len(rows[-1]), i + 1
-        sizes = np.array([len(r) for r in rows])
-        fresh = np.zeros(n, bool)
-        fresh[np.cumsum(sizes) - sizes] = True
-        yield first, sizes, np.concatenate(rows).astype(np.int64), fresh
-
-
-def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", support: float = SUPPORT, depth: int = DEPTH, divergence: float = DIVERGENCE, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What a block knows at one level. Of its live tokens, those whose context is an entry of the level before: place,
+    document, word (-1: not frequent), context, probability so far, and whether they are learned from. Of contexts hash and
+    count, and of frequent words the hash."""
+
+    FIELDS = {"place": np.int32, "doc": np.int32, "word": np.int32, "context": np.int32, "p": np.float32, "learn": np.uint8, "keys": np.uint64, "counts": np.int64, "words": np.uint64}
+
+    def __init__(self, **arrays: np.ndarray):
+        for name, kind in self.FIELDS.items():
+            setattr(self, name, np.asarray(arrays[name], kind))
+
+    def pack(self) -> list[bytes]:
+        return [pack(np.diff(getattr(self, n), prepend=np.int32(0)) if n in ("place", "doc") else getattr(self, n)) for n in self.FIELDS]
+
+    @classmethod
+    def unpack(cls, body: list[bytes]) -> Level:
+        got = {n: unpack(b, k) for (n, k), b in zip(cls.FIELDS.items(), body, strict=True)}
+        return cls(**got | {n: np.cumsum(got[n], dtype=np.int32) for n in ("place", "doc")})
+
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        """(tokens with a frequent word, the place of each one's pair, and of each pair, in the order of hashes: hash,
+        occurrences in learned documents, a token that holds it)."""
+        on = np.flatnonzero(self.word >= 0)
+        width = max(len(self.words), 1)
+        pair, first, of = np.unique(self.context[on].astype(np.int64) * width + self.word[on], return_index=True, return_inverse=True)
+        n = np.bincount(of[self.learn[on] > 0], minlength=len(pair)).astype(np.int32)
+        hashes = join_keys(self.keys[pair // width], self.words[pair % width])
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return on, rank[of], hashes[order], n[order], on[first][order]
+
+    def wanted(self, entries: np.ndarray) -> np.ndarray:
+        """The hashes whose values are asked for: of entries, and of the contexts of tokens."""
+        return np.unique(np.concatenate([entries, self.keys[np.unique(self.context)] ^ AS_CONTEXT]))
+
+    def applied(self, entry: np.ndarray, entries: np.ndarray, replies: pa.Table, parts: int) -> np.ndarray:
+        """The tokens' probabilities in this level's states. entry: the entry of each token, or -1."""
+        want = self.wanted(entries)
+        value = np.full(len(want), np.nan)
+        at, values = _answers(replies, VALUES, want, parts, np.float64)
+        value[at] = values
+        keep, used = np.ones(len(self.keys)), np.unique(self.context)
+        if len(used):
+            keep[used] = np.nan_to_num(value[np.searchsorted(want, self.keys[used] ^ AS_CONTEXT)], nan=1.0)
+        p = self.p.astype(float) * keep[self.context]
+        on = np.flatnonzero(entry >= 0)
+        if len(on):
+            p[on] += np.nan_to_num(value[np.searchsorted(want, entries)], nan=0.0)[entry[on]]
+        return p
+
+    def next(self, entry: np.ndarray, entries: np.ndarray, counts: np.ndarray, p: np.ndarray) -> tuple[Level, np.ndarray]:
+        """The level of tokens behind one whose context and word are an entry, which is their context; and which tokens of
+        this level those are."""
+        at = np.flatnonzero((self.place[1:] == self.place[:-1] + 1) & (self.doc[1:] == self.doc[:-1]) & (entry[:-1] >= 0)) + 1
+        return Level(place=self.place[at], doc=self.doc[at], word=self.word[at], context=entry[at - 1], p=p[at], learn=self.learn[at], keys=entries, counts=counts, words=self.words), at
+
+
+#: Packed arrays of a block's documents: tokens, known tokens, score of the unigram, score so far.
+HEAD = (np.int32, np.int64, np.float64, np.float64)
+
+
+class Block:
+    """A block's state between steps: arrays by document, a level, and of its tokens' entries: which (or -1), hash and count."""
+
+    def __init__(self, state: pa.Table):
+        state = state.combine_chunks()
+        self.block, body = state.column("block")[0].as_py(), state.column("body")[0].as_py()
+        self.docs, self.kind = state.column("docs"), state.column("docs").type.value_type
+        self.head = [unpack(b, t).copy() for b, t in zip(body, HEAD, strict=False)]
+        rest, n = body[len(HEAD) :], len(Level.FIELDS)
+        self.level = Level.unpack(rest[:n]) if len(rest) >= n else None
+        self.entry, self.entries, self.counts = (unpack(b, t) for b, t in zip(rest[n:], (np.int32, np.uint64, np.int64), strict=True)) if len(rest) > n else (None, None, None)
+
+    def finish(self, tokens: np.ndarray | slice, p: np.ndarray, doc: np.ndarray) -> None:
+        self.head[3] += np.bincount(doc[tokens], np.log10(p[tokens]), len(self.head[3]))
+
+    def row(self, level: Level, *survivors: np.ndarray) -> pa.Table:
+        return _rows(self.kind, self.docs[0].as_py(), block=[self.block], body=[[*map(pack, self.head), *level.pack(), *map(pack, survivors)]])
+
+
+def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", support: int = SUPPORT, depth: int = DEPTH, divergence: float = DIVERGENCE, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     learn: a Column, True for rows to learn from (null: no). Null texts are empty and hold the end alone. base_score
-    is the add-one unigram's log10 probability, score the tree's. With nothing to learn from, both are log10(1).
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffixtree")
-    rows = scratch.put(_blocks(docs.select(F.col(id), F.col(text), F.coalesce(learn, F.lit(False)).alias("learn")), id, text, block_bytes), "blocks")
-    words = rows.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "w")).select("block", "lid", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counts = scratch.put(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(support * total / (1 + math.cbrt(total) / GROWTH)))
-    # At most total / least words are frequent; they get numbers.
-    frequent = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END)))
-    frequent = scratch.put(frequent.select("word", "c", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("number")), "frequent")
-    found = frequent.select("number", "c", (F.col("word") == F.lit(END)).alias("end")).toArrow()
-    number = found.column("number").to_numpy()
-    c = np.zeros(len(number), np.int64)
-    c[number] = found.column("c").to_numpy()
-    ends = number[found.column("end").to_numpy(zero_copy_only=False)]
-    whole = total + kinds + 1
-    tree = Tree((c + 1) / whole, int(ends[0]) if len(ends) else -1)
-    numbered = counts.join(frequent.select("word", "number"), "word", "left")
-    known = words.join(numbered, "word", "left").select(F.col("block").alias("of"), "lid", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("number", F.lit(-1)).alias("number"))
-    schema = rows.select(F.col("doc").alias("doc_id"), "learn", *(F.lit(0).cast("long").alias(x) for x in ("n_tokens", "n_known")), *(F.lit(0.0).alias(x) for x in ("base_score", "rare")), F.col("ids").alias("words")).schema
-
-    def look_up(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        lid = lists.column("lid").to_numpy()
-        c, number = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int32)
-        c[lid], number[lid] = lists.column("c").to_numpy(), lists.column("number").to_numpy()
-        log = np.log10((c + 1) / whole)
-        out: list[tuple] = []
-        unpack = zstandard.ZstdDecompressor()
-        for ids in texts.column("ids"):
-            ids = _numbers(unpack.decompress(ids.as_py()))
-            logs, numbers = log[ids], number[ids]
-            out.append((len(ids), int((c[ids] > 0).sum()), float(logs.sum()), float(logs[numbers < 0].sum()), _planes(numbers)))
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-        made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)]
-        return pa.table([texts.column("doc"), texts.column("learn"), *made], names=schema.names)
-
-    docs_of = rows.where("ids is not null").select(F.col("block").alias("at"), "doc", "learn", "ids")
-    texts = scratch.put(docs_of.groupBy("at").cogroup(known.groupBy("of")).applyInArrow(look_up, schema), "texts")
-    context_counts = c.astype(float)
-    for _ in range(depth if total and len(c) else 0):
-        shared = spark.sparkContext.broadcast(tree)  # at most total / least entries a level
-
-        def pairs(batches, shared=shared):
-            for batch in batches:
-                for _, _, words, fresh in _chunks(batch):
-                    tree = shared.value
-                    context, _ = tree.histories(words, fresh)
-                    ok = (context >= 0) & (words >= 0)
-                    keys, n = np.unique(context[ok] * len(tree.root) + words[ok], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
-
-        entries = texts.where("learn").select("words").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        if not len(entries):
-            break
-        keys, n = entries.column("key").to_numpy(), entries.column("n").to_numpy()
-        tree.grow(keys, n, context_counts, divergence, discount)
-        context_counts = n[np.argsort(keys)].astype(float)
-    shared = spark.sparkContext.broadcast(Tree(tree.root, tree.end, [Level(x.keys, x.add, x.keep) for x in tree.levels]))
-    out = texts.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", F.lit(0.0).alias("score")).schema
-
-    def finish(batches):
+    is the add-one unigram's log10 probability, score the tree's. With nothing to learn from, both are log10(1). Words with
+    equal 64-bit hashes count as one (of a billion distinct words, a chance of 3 % that any two do)."""
+    scratch = Scratch(docs.sparkSession, "suffixtree")
+    rows = docs.select(F.col(id).alias("doc"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
+    blocks = scratch.put(_blocks(rows, block_bytes), "blocks")
+    tokens, total = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
+    parts = max(1, -(-tokens // part_keys))
+    doc_type = rows.schema["doc"].dataType
+    step = T.StructType([*T._parse_datatype_string(STEP_DDL).fields, T.StructField("docs", T.ArrayType(doc_type))])
+
+    def ask_words(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            score = batch.column("rare").to_numpy().copy()
-            for first, sizes, words, fresh in _chunks(batch):
-                if len(shared.value.root):
-                    logs = shared.value.log10(words, fresh)
-                    score[first : first + len(sizes)] += np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), batch.column("n_known"), pa.array(np.full(len(batch), total, np.int64)), batch.column("base_score"), pa.array(score)], names=out.names)
-
-    scratch.drop("blocks", "counts", "frequent")
-    return texts.mapInArrow(finish, out)
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                keys = unpack(body[3], np.uint64)
+                order = np.argsort(keys)
+                yield from _ask(block, keys[order], unpack(body[4], np.int32)[order], parts, pa.int8()).select(["block", "part", "keys", "n"]).to_batches()
+
+    replies = scratch.put(counted(blocks.select("block", "body").mapInArrow(ask_words, "block long, part int, keys binary, n binary"), 0), "words")
+    kinds = sum(int(unpack(r.v, np.int64)[0]) for r in replies.where("block = -1").select("v").toLocalIterator())  # one row a part
+    whole = total + kinds + 1
+
+    def together(name: str, state: DataFrame, replies: DataFrame, f: Callable) -> DataFrame:
+        """Each block's state with its replies, through f."""
+        return scratch.put(state.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(f, step), name)
+
+    def begin(state: pa.Table, replies: pa.Table) -> pa.Table:
+        """Counts of words are known: scores of the unigram, and level 1, whose contexts are the words before."""
+        state = state.combine_chunks()
+        body, kind = state.column("body")[0].as_py(), state.column("docs").type.value_type
+        learned, sizes, ids, keys = (unpack(b, k) for b, k in zip(body, (np.uint8, np.int32, np.int32, np.uint64), strict=False))
+        order = np.argsort(keys)
+        at, n = _answers(replies, COUNTS, keys[order], parts, np.int64)
+        c = np.zeros(len(keys), np.int64)
+        c[order[at]] = n
+        starts, root = np.cumsum(sizes) - sizes, (c + 1) / whole
+        often = np.flatnonzero(c >= support)
+        number = np.full(len(keys), -1, np.int32)
+        number[often] = np.arange(len(often), dtype=np.int32)
+        word, doc, p = number[ids], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), root[ids]
+        end = np.flatnonzero(keys[often] == np.uint64(xxhash.xxh3_64_intdigest(END)))
+        context = np.concatenate([[-1], word[:-1]]).astype(np.int32)
+        context[starts] = end[0] if len(end) else -1
+        b = Block.__new__(Block)
+        b.block, b.docs, b.kind = state.column("block")[0].as_py(), state.column("docs"), kind
+        b.head = [sizes, np.add.reduceat((c[ids] > 0).astype(np.int64), starts), np.add.reduceat(np.log10(p), starts), np.zeros(len(sizes))]
+        # Rare words keep their unigram probability apart: only the weights that states leave to it go with them.
+        b.finish((context < 0) | (word < 0), p, doc)
+        p[word < 0] = 1.0
+        at = np.flatnonzero(context >= 0)
+        level = Level(place=at, doc=doc[at], word=word[at], context=context[at], p=p[at], learn=learned[doc[at]], keys=keys[often], counts=c[often], words=keys[often])
+        _, _, hashes, n, _ = level.pairs()
+        return pa.concat_tables([b.row(level), *([_ask(b.block, hashes, n, parts, kind)] if depth else [])])
+
+    def grow(k: int) -> Callable:
+        """Step k, from 1 on: entries of level k are known, and values of level k - 1."""
+
+        def run(state: pa.Table, replies: pa.Table) -> pa.Table:
+            b = Block(state)
+            level = b.level
+            if k > 1:
+                p = level.applied(b.entry, b.entries, replies, parts)
+                level, at = level.next(b.entry, b.entries, b.counts, p)
+                last = np.ones(len(p), bool)
+                last[at] = False
+                b.finish(last, p, b.level.doc)  # of tokens that go no further
+            on, pair, keys, _, token = level.pairs()
+            at, n, lead = _answers(replies, COUNTS, keys, parts, np.int64, np.uint8)
+            held = np.full(len(keys), -1, np.int32)
+            held[at] = np.arange(len(at), dtype=np.int32)
+            entry = np.full(len(level.word), -1, np.int32)
+            entry[on] = held[pair]
+            mine = np.flatnonzero(lead)
+            one = token[at][mine]
+            out = [b.row(level, entry, keys[at], n), _ask(b.block, level.wanted(keys[at]), None, parts, b.kind)]
+            out.append(_rows(b.kind, ctx=level.keys[level.context[one]].view(np.int64).tolist(), key=keys[at][mine].view(np.int64).tolist(), times=n[mine].tolist(), short=level.p[one].astype(float).tolist(), of=level.counts[level.context[one]].tolist()))
+            if k < depth:
+                _, _, hashes, m, _ = level.next(entry, keys[at], n, level.p)[0].pairs()
+                out.append(_ask(b.block, hashes, m, parts, b.kind))
+            return pa.concat_tables(out)
+
+        return run
+
+    state, known = together("level0", blocks.select("block", "docs", "body"), replies, begin), None
+    scratch.drop("blocks", "words")
+    for k in range(1, depth + 1):
+        answers = counted(state.where("n is not null"), support)
+        if known is not None:
+            answers = answers.unionByName(answered(state.where("part is not null and n is null"), known, parts))
+        answers = scratch.put(answers, f"answers{k}")
+        state = together(f"level{k}", state.where("body is not null").select("block", "docs", "body"), answers, grow(k))
+        known = scratch.put(_values(state.where("ctx is not null"), divergence, discount), f"known{k}")
+        scratch.drop(f"level{k - 1}", f"answers{k}", f"known{k - 1}")
+    out = T.StructType([T.StructField("doc_id", doc_type), *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
+
+    def end(state: pa.Table, replies: pa.Table) -> pa.Table:
+        b = Block(state)
+        p = b.level.applied(b.entry, b.entries, replies, parts) if b.entry is not None else b.level.p.astype(float)
+        b.finish(slice(None), p, b.level.doc)
+        sizes, n_known, base, score = b.head
+        return pa.table([b.docs.combine_chunks().values, pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=out.names)
+
+    last = answered(state.where("part is not null and n is null"), known, parts) if known is not None else docs.sparkSession.createDataFrame([], REPLY_DDL)
+    return state.where("body is not null").select("block", "docs", "body").groupBy("block").cogroup(last.groupBy("block")).applyInArrow(end, out)
+
+
+def _values(entries: DataFrame, divergence: float, discount: float) -> DataFrame:
+    """(key, value) of a level's states: of an entry its share beyond the shorter state, of a context what weight that keeps.
+
+    entries: ctx, key, times, short (the word's probability in the shorter state) and of (occurrences of the context). A
+    context is a state if its predictions beat the shorter state's by `divergence` nats over the training text, words
+    without an entry included."""
+    e = entries.select("ctx", "key", F.col("times").cast("double").alias("n"), "short", F.greatest(F.col("of"), F.lit(1)).cast("double").alias("of"))
+    e = e.withColumn("add", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("of"))
+    mass = e.groupBy("ctx").agg(F.greatest(1 - F.sum("add"), F.lit(1e-9)).alias("keep"), F.sum("n").alias("seen"))
+    both = e.join(mass, "ctx").withColumn("gain", F.col("n") * F.ln((F.col("add") + F.col("keep") * F.col("short")) / F.col("short")))
+    gain = both.groupBy("ctx").agg(F.sum("gain").alias("gain"), F.max("of").alias("of"), F.max("keep").alias("keep"), F.max("seen").alias("seen"))
+    states = gain.where(F.col("gain") + (F.col("of") - F.col("seen")) * F.ln("keep") >= divergence).select("ctx", "keep")
+    salt = int(AS_CONTEXT.view(np.int64))
+    shares = e.join(states.select("ctx"), "ctx", "left_semi").select("key", F.col("add").alias("value"))
+    return shares.union(states.select(F.col("ctx").bitwiseXOR(F.lit(salt)).alias("key"), F.col("keep").alias("value")))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,36 +86,68 @@ def test_quality(spark, odd, none, sf):
     assert ((f.predict(x) > 0.5) == y).mean() > 0.97
 
 
-def test_suffix_tree(spark, odd, none):
+def plain_tree(texts, learn, support, depth, divergence, discount):
+    """log10 probability of each text by a suffix tree of dicts: contexts are tuples of words."""
+    seqs = [[*words(t), "\n"] for t in texts]
+    c = collections.Counter(w for s, on in zip(seqs, learn, strict=True) if on for w in s)
+    whole = sum(c.values()) + len(c) + 1
+    root = lambda w: (c[w] + 1) / whole
+    history = lambda s, i, k: tuple(s[i - k : i]) if i >= k else ("\n", *s[:i]) if i == k - 1 else None
+    grams = [None, *(collections.Counter(h + (s[i],) for s, on in zip(seqs, learn, strict=True) if on for i in range(len(s)) if (h := history(s, i, k))) for k in range(1, depth + 1))]
+    often = lambda g: c[g[0]] >= support if len(g) == 1 else grams[len(g) - 1][g] >= support
+    states: dict = {}
+
+    def p(h, w):
+        if not h:
+            return root(w)
+        short = p(h[1:], w)
+        return states[h][1].get(w, 0.0) + states[h][0] * short if h in states else short
+
+    for k in range(1, depth + 1):
+        held = collections.defaultdict(dict)
+        for g, n in grams[k].items():
+            if n >= support and often(g[:-1]) and c[g[-1]] >= support:
+                held[g[:-1]][g[-1]] = n
+        for h, ws in held.items():
+            # How often a context occurs is how often its words do; one that opens a text is the end's, or an entry's.
+            of = c[h[0]] if k == 1 else grams[k - 1][h]
+            add = {w: (n - discount) / of for w, n in ws.items()}
+            keep = max(1 - sum(add.values()), 1e-9)
+            gain = sum(n * math.log((add[w] + keep * p(h[1:], w)) / p(h[1:], w)) for w, n in ws.items()) + (of - sum(ws.values())) * math.log(keep)
+            if gain >= divergence:
+                states[h] = (keep, add)
+    out = []
+    for s in seqs:
+        total = 0.0
+        for i, w in enumerate(s):
+            h = next((h for k in range(depth, 0, -1) if (h := history(s, i, k)) and all(often(h[: j + 1]) for j in range(len(h)))), ())
+            total += math.log10(p(h, w))
+        out.append(total)
+    return out, len(states)
+
+
+@pytest.mark.parametrize(("support", "depth", "block"), [(2, 3, 3000), (3, 2, 1 << 20), (2, 0, 500)])
+def test_suffix_tree(spark, odd, none, support, depth, block):
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
-    got = suffix_tree.lm_score(odd, learn, support=1e-3, block_bytes=3000).collect()
+    got = suffix_tree.lm_score(odd, learn, support=support, depth=depth, divergence=1.0, block_bytes=block, part_keys=300).collect()
     rows = odd.select("doc_id", "text").collect()
-    c = collections.Counter(w for r in rows if r.doc_id is not None and r.doc_id % 3 for w in [*words(r.text), "\n"])
+    on = [r.doc_id is not None and r.doc_id % 3 != 0 for r in rows]
+    c = collections.Counter(w for r, x in zip(rows, on, strict=True) if x for w in [*words(r.text), "\n"])
     n, v = sum(c.values()), len(c)
+    scores, states = plain_tree([r.text for r in rows], on, support, depth, 1.0, suffix_tree.DISCOUNT)
+    assert states > 20 or not depth
     want = sorted((str(r.doc_id), len(words(r.text)) + 1, sum(c[w] > 0 for w in [*words(r.text), "\n"]), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(r.text), "\n"]), 6)) for r in rows)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert {r.train_tokens for r in got} == {n} and sum(r.score for r in got) > sum(r.base_score for r in got)
-    assert suffix_tree.lm_score(none, learn).count() == 0
-    untaught = suffix_tree.lm_score(odd, F.lit(False)).collect()
-    assert {(r.train_tokens, r.base_score, r.score) for r in untaught} == {(0, 0.0, 0.0)}
+    near = lambda x: sorted(x, key=lambda t: (t[0], t[1]))
+    for (a, s, k), (b, t) in zip(near((str(r.doc_id), r.score, r.n_tokens) for r in got), near((str(r.doc_id), s) for r, s in zip(rows, scores, strict=True)), strict=True):
+        assert a == b and s == pytest.approx(t, abs=1e-5 + 1e-7 * k)  # between steps probabilities have 24 bits
+    assert {r.train_tokens for r in got} == {n} and sum(r.score for r in got) >= sum(r.base_score for r in got) - 1e-6
 
 
-def test_suffix_tree_is_a_distribution():
-    """Over the frequent words, the rare mass and the unknown word, the probabilities of any history sum to 1."""
-    rng = np.random.default_rng(1)
-    c = np.array([50.0, 30.0, 15.0, 5.0])
-    rare, kinds = 7, 5
-    whole = c.sum() + rare + kinds + 4 + 1
-    tree = suffix_tree.Tree((c + 1) / whole, 3)
-    seq = np.concatenate([[*rng.choice(3, 20, p=[0.6, 0.3, 0.1]), 3] for _ in range(5)])
-    fresh = np.r_[True, seq[:-1] == 3]
-    context, _ = tree.histories(seq, fresh)
-    keys, n = np.unique(context * 4 + seq, return_counts=True)
-    tree.grow(keys, n, np.bincount(context, minlength=4).astype(float), 0.0, 0.75)
-    for h in range(4):
-        known = 10 ** np.array([tree.log10(np.array([h, w]), np.array([False, False]))[1] for w in range(4)])
-        other = 10 ** tree.log10(np.array([h, -1]), np.array([False, False]))[1] * (1 - tree.root.sum())
-        assert known.sum() + other == pytest.approx(1.0)
+def test_suffix_tree_without_text(spark, odd, none):
+    assert suffix_tree.lm_score(none, F.lit(True)).count() == 0
+    untaught = suffix_tree.lm_score(odd, F.lit(False)).collect()
+    assert {(r.train_tokens, r.base_score, r.score) for r in untaught} == {(0, 0.0, 0.0)}
 
 
 def test_chat_folds_events(spark):
