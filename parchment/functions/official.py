@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import document_similarity, edit_distance, table_similarity, text_similarity
+from .distance import edit_distance
+from .tables import document_similarity, table_similarity, text_similarity
 
 # Names of the tasks that have an official score.
 TEXT_TASKS = ("Full-page OCR", "Fine-grained text recognition", "Handwritten content extraction")

@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .distance import edit_distance
 from .text import canonical, canonical_text
 
 FIELDS = T.MapType(T.StringType(), T.StringType())
@@ -271,25 +272,6 @@ def tree_distance(a: tuple, b: tuple, rename) -> float:
     return d[-1][-1]
 
 
-def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance, a column of the matrix at a time as the bits of two integers (where it rises, where it falls)."""
-    if not a:
-        return len(b)
-    at: dict = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = every, 0, len(a)
-    for y in b:
-        same = at.get(y, 0)
-        diagonal = ((same & up) + up ^ up) | same | down
-        right, left = down | ~(diagonal | up) & every, up & diagonal
-        score += bool(right & last) - bool(left & last)
-        right, left = (right << 1 | 1) & every, left << 1 & every
-        up, down = left | ~(diagonal | right) & every, right & diagonal
-    return score
-
-
 VOID = frozenset(("br", "img", "hr", "input", "col", "wbr"))
 #: Tags that an opening tag closes first, up to the table around them.
 CLOSES = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), **dict.fromkeys(("thead", "tbody", "tfoot"), ("td", "th", "tr", "thead", "tbody", "tfoot"))}

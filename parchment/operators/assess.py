@@ -211,5 +211,15 @@ def register(spark) -> list[str]:
     }
     for name, f in made.items():
         spark.udf.register(name, f)
-    return sorted(made)
+    spark.udtf.register("reply_fields", F.udtf(ReplyFields, returnType="field string, value string"))
+    return sorted([*made, "reply_fields"])
+
+
+class ReplyFields:
+    """A table function for SQL: the fields of a JSON reply as rows."""
+
+    def eval(self, reply: str):
+        from ..functions.tables import json_fields
+
+        yield from json_fields(reply)[0].items()
 

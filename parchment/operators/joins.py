@@ -44,6 +44,12 @@ def with_predictions(manifest: DataFrame, predictions: DataFrame, keys: list[str
     return out.withColumn("missing", F.col(found).isNull()).drop(found)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions of the session by its keys, whatever its size: for rows that take long each, which
+    a small file, or adaptive coalescing by bytes, would leave to few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 PARTIAL = r"^\d+ of \d+ blocks failed$"
 
 

@@ -86,6 +86,6 @@ def bin_quotas(df: DataFrame, value: str, keys: list[str], n: int) -> DataFrame:
     return sizes.groupBy(*keys).applyInPandas(settle, schema)
 
 
-def seed_of(*keys: str) -> Column:
+def seed_of(*keys: str | Column) -> Column:
     """The number of the first eight hex digits of the SHA-256 of keys joined by a bar."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 8), 16, 10).cast("long")

@@ -39,6 +39,12 @@ def level(flags: Column) -> Column:
     return F.when(F.bool_and(flags), "yes").when(F.bool_or(flags), "partial").otherwise("no")
 
 
+def matrix(rows: DataFrame, capability: str, model: str, flags: str, models: list[str]) -> DataFrame:
+    """(capability, one column a model): levels; a model without rows for a capability has no."""
+    per = rows.groupBy(capability).pivot(model, models).agg(level(F.col(flags)))
+    return per.na.fill("no", models)
+
+
 def looped(tokens: Column, most: int) -> Column:
     return F.size(tokens) >= most
 

@@ -51,7 +51,7 @@ _PAGES_SQL = r"""pages_ AS (SELECT concat_ws('-p', conv_id, turn) AS doc_id, rol
 def _scores(spark, d):
     pages = _pages(spark, d)
     pred = pages.where("NOT contains(truth, 'q')").select("doc_id", F.lit("m1").alias("model"), F.translate("truth", "e", "a").alias("pred")).union(pages.where("NOT contains(truth, 'z')").select("doc_id", F.lit("m2").alias("model"), F.replace("truth", F.lit("the"), F.lit("th")).alias("pred")))
-    rows = joins.with_predictions(pages, pred, ["doc_id"], ["m1", "m2"])
+    rows = joins.spread(joins.with_predictions(pages, pred, ["doc_id"], ["m1", "m2"]), "doc_id", "model")
     return rows.withColumn("cer", F.when(F.col("missing"), 1.0).otherwise(text.cer(F.col("pred"), F.col("truth"))))
 
 

@@ -538,3 +538,22 @@ def balance_ranges(spark, d):
     rows = t(spark, d, "customer").select("c_custkey", "c_acctbal", (F.col("c_acctbal") + 0.5).alias("high"))
     bands = spark.range(1).select(F.explode(F.array(*(F.struct(S(b).alias("band"), S(lo).alias("s"), S(hi).alias("e")) for b, lo, hi in (("low", -500.0, 3000.0), ("mid", 3000.0, 9000.0))))).alias("b")).select("b.*")
     return joins.range_match(rows, bands, "c_acctbal", "high", "band", "s", "e", 1000.0, "c_custkey").select("c_custkey", "band")
+
+
+@query("""SELECT l_returnflag, max(CASE WHEN l_linestatus = 'F' THEN lv END) AS "F", coalesce(max(CASE WHEN l_linestatus = 'O' THEN lv END), 'no') AS "O" FROM (SELECT l_returnflag, l_linestatus, CASE WHEN bool_and(l_quantity > 25) THEN 'yes' WHEN bool_or(l_quantity > 25) THEN 'partial' ELSE 'no' END AS lv FROM lineitem GROUP BY ALL) GROUP BY l_returnflag""")
+def probe_matrix(spark, d):
+    rows = t(spark, d, "lineitem").withColumn("ok", F.col("l_quantity") > 25)
+    return serving.matrix(rows, "l_returnflag", "l_linestatus", "ok", ["F", "O"])
+
+
+@query("""SELECT o_orderkey, CAST('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR) || '|clean'), 1, 8) AS BIGINT) AS seed, strftime(o_orderdate + INTERVAL 12 MONTH, '%Y-%m-%d') AS expires, least((o_custkey % 100) * 2.0 + 5, 150.0)::DOUBLE AS x1, least((o_custkey % 100)::DOUBLE, 60.0) AS cut, (o_custkey % 100) * 200 / 72.0::DOUBLE AS scaled, CASE WHEN (o_custkey % 100) / 10.0 < 2 THEN 'lt2' WHEN (o_custkey % 100) / 10.0 < 4 THEN '2to4' WHEN (o_custkey % 100) / 10.0 <= 6.05 THEN '4to6' ELSE 'gt6' END AS aspect FROM orders""")
+def page_geometry(spark, d):
+    """Seeds by sample and condition, ends of reviews, boxes mapped by a homography and cut to the page, words in pixels."""
+    o, x = t(spark, d, "orders"), (F.col("o_custkey") % 100).cast("double")
+    box = F.struct(S(0.0).alias("x0"), S(0.0).alias("y0"), x.alias("x1"), S(9.0).alias("y1"))
+    h = F.array(*(F.array(*map(S, row)) for row in ((2.0, 0.0, 5.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))))
+    words = F.array(F.struct(S("w").alias("text"), *(c.alias(n) for n, c in (("x0", S(0.0)), ("y0", S(0.0)), ("x1", x), ("y1", S(1.0))))))
+    return o.select(
+        "o_orderkey", sampling.seed_of("o_orderkey", F.lit("clean")).alias("seed"), F.date_format(readers.expires_on(F.col("o_orderdate")), "yyyy-MM-dd").alias("expires"), readers.warped(box, h, S(150), S(100)).x1.alias("x1"),
+        readers.clipped(box, S(60), S(100)).x1.alias("cut"), pages.scale_words(words, S(200))[0].x1.alias("scaled"), readers.aspect_bucket(x, S(10)).alias("aspect"),
+    )

@@ -168,6 +168,7 @@ def test_small_reports(spark):
     assert one(assess.compute("divide", F.lit(1), F.lit(0)), assess.compute("add", F.lit("0.10"), F.lit("0.20")).cast("string"))[0] is None
     assert one(assess.unknown_flags(F.array(F.lit("page_gap"), F.lit("x")))) == (["x"],)
     assert "json_fields" in assess.register(spark) and spark.sql("SELECT json_fields('{\"a\": 1}')['a']").first()[0] == "1"
+    assert [tuple(r) for r in spark.sql("SELECT * FROM reply_fields('{\"a\": [1]}')").collect()] == [("a[0]", "1")]
 
 
 def test_review_sample_is_a_share(spark):
