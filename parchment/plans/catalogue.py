@@ -322,7 +322,7 @@ def calibration_error(spark, d):
     return e.select("model", r6("ece").alias("ece"))
 
 
-@query("WITH " + _CONF_SQL + " SELECT model, CASE WHEN conf < 0.5 THEN '0.0-0.5' WHEN conf < 0.8 THEN '0.5-0.8' WHEN conf < 0.9 THEN '0.8-0.9' WHEN conf < 0.95 THEN '0.9-0.95' ELSE '0.95-1.0' END AS band, CAST(count(*) AS BIGINT) AS n, round(avg(quality), 6) AS accuracy FROM c GROUP BY ALL")
+@query("WITH " + _CONF_SQL + " SELECT model, CAST(CASE WHEN conf < 0.5 THEN 1 WHEN conf < 0.75 THEN 2 WHEN conf < 0.9 THEN 3 WHEN conf < 0.98 THEN 4 ELSE 5 END AS INTEGER) AS band, CAST(count(*) AS BIGINT) AS n, round(avg(quality), 6) AS accuracy FROM c GROUP BY ALL")
 def confidence_bands(spark, d):
     return _confidences(spark, d).groupBy("model", calibration.band_of(F.col("conf")).alias("band")).agg(F.count("*").alias("n"), r6(F.avg("quality")).alias("accuracy"))
 
