@@ -218,6 +218,18 @@ class Level:
         got = {n: unpack(b, k) for (n, k), b in zip(cls.FIELDS.items(), body, strict=True)}
         return cls(**got | {n: np.cumsum(got[n], dtype=np.int32) for n in ("place", "doc")})
 
+    @classmethod
+    def first(cls, word: np.ndarray, learned: np.ndarray, counts: np.ndarray, words: np.ndarray, sizes: np.ndarray, whole: int) -> Level:
+        """Level 1, of all tokens of documents of these sizes: contexts are the words before, or the end, and probabilities
+        those of the unigram; rare words keep theirs apart, as only the weights that states leave to it go with them."""
+        starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        end = np.flatnonzero(words == np.uint64(xxhash.xxh3_64_intdigest(END)))
+        context = np.concatenate([[-1], word[:-1]]).astype(np.int32)
+        context[starts] = end[0] if len(end) else -1
+        at = np.flatnonzero(context >= 0)
+        p = np.append((counts + 1) / whole, 1.0)[word[at]]  # -1 is the last
+        return cls(place=at, doc=doc[at], word=word[at], context=context[at], p=p, learn=learned[doc[at]], keys=words, counts=counts, words=words)
+
     def pairs(self) -> tuple[np.ndarray, ...]:
         """(tokens with a frequent word, the place of each one's pair, and of each pair, in the order of hashes: hash,
         occurrences in learned documents, a token that holds it)."""
@@ -261,23 +273,32 @@ class Level:
 HEAD = (np.int32, np.int64, np.float64, np.float64)
 
 
+#: Packed arrays of which level 1 is made: of all tokens the word, of documents whether they are learned from, and of words
+#: count and hash.
+FIRST = (np.int32, np.uint8, np.int64, np.uint64)
+
+
 class Block:
     """A block's state between steps: arrays by document, a level, and of its tokens' entries: which (or -1), hash and count."""
 
-    def __init__(self, state: pa.Table):
+    def __init__(self, state: pa.Table, whole: int):
         state = state.combine_chunks()
         self.block, body = state.column("block")[0].as_py(), state.column("body")[0].as_py()
         self.docs, self.kind = state.column("docs"), state.column("docs").type.value_type
-        self.head = [unpack(b, t).copy() for b, t in zip(body, HEAD, strict=False)]
-        rest, n = body[len(HEAD) :], len(Level.FIELDS)
-        self.level = Level.unpack(rest[:n]) if len(rest) >= n else None
+        self.head = [unpack(b, t).copy() for b, t in zip(body[: len(HEAD)], HEAD, strict=True)]
+        first, rest = body[len(HEAD)] == b"1", body[len(HEAD) + 1 :]
+        n = len(FIRST) if first else len(Level.FIELDS)
+        self.raw = [body[len(HEAD)], *rest[:n]]
+        self.level = Level.first(*(unpack(b, t) for b, t in zip(rest[:n], FIRST, strict=True)), self.head[0], whole) if first else Level.unpack(rest[:n])
         self.entry, self.entries, self.counts = (unpack(b, t) for b, t in zip(rest[n:], (np.int32, np.uint64, np.int64), strict=True)) if len(rest) > n else (None, None, None)
 
     def finish(self, tokens: np.ndarray | slice, p: np.ndarray, doc: np.ndarray) -> None:
+        """Adds probabilities that are final to the scores of their documents."""
         self.head[3] += np.bincount(doc[tokens], np.log10(p[tokens]), len(self.head[3]))
 
     def row(self, level: Level, *survivors: np.ndarray) -> pa.Table:
-        return _rows(self.kind, self.docs[0].as_py(), block=[self.block], body=[[*map(pack, self.head), *level.pack(), *map(pack, survivors)]])
+        kept = self.raw if level is self.level else [b"n", *level.pack()]
+        return _rows(self.kind, self.docs[0].as_py(), block=[self.block], body=[[*map(pack, self.head), *kept, *map(pack, survivors)]])
 
 
 def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", support: int = SUPPORT, depth: int = DEPTH, divergence: float = DIVERGENCE, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
@@ -318,30 +339,29 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         at, n = _answers(replies, COUNTS, keys[order], parts, np.int64)
         c = np.zeros(len(keys), np.int64)
         c[order[at]] = n
-        starts, root = np.cumsum(sizes) - sizes, (c + 1) / whole
+        starts, log = np.cumsum(sizes) - sizes, np.log10((c + 1) / whole)
         often = np.flatnonzero(c >= support)
         number = np.full(len(keys), -1, np.int32)
         number[often] = np.arange(len(often), dtype=np.int32)
-        word, doc, p = number[ids], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), root[ids]
-        end = np.flatnonzero(keys[often] == np.uint64(xxhash.xxh3_64_intdigest(END)))
-        context = np.concatenate([[-1], word[:-1]]).astype(np.int32)
-        context[starts] = end[0] if len(end) else -1
-        b = Block.__new__(Block)
-        b.block, b.docs, b.kind = state.column("block")[0].as_py(), state.column("docs"), kind
-        b.head = [sizes, np.add.reduceat((c[ids] > 0).astype(np.int64), starts), np.add.reduceat(np.log10(p), starts), np.zeros(len(sizes))]
-        # Rare words keep their unigram probability apart: only the weights that states leave to it go with them.
-        b.finish((context < 0) | (word < 0), p, doc)
-        p[word < 0] = 1.0
-        at = np.flatnonzero(context >= 0)
-        level = Level(place=at, doc=doc[at], word=word[at], context=context[at], p=p[at], learn=learned[doc[at]], keys=keys[often], counts=c[often], words=keys[often])
-        _, _, hashes, n, _ = level.pairs()
-        return pa.concat_tables([b.row(level), *([_ask(b.block, hashes, n, parts, kind)] if depth else [])])
+        word = number[ids]
+        level = Level.first(word, learned, c[often], keys[often], sizes, whole)
+        apart = word < 0  # and tokens without a context, whose scores are final, too
+        rest = np.ones(len(ids), bool)
+        rest[level.place] = False
+        score = np.add.reduceat(np.where(apart | rest, log[ids], 0.0), starts)
+        head = [sizes, np.add.reduceat((c[ids] > 0).astype(np.int64), starts), np.add.reduceat(log[ids], starts), score]
+        block = state.column("block")[0].as_py()
+        out = [_rows(kind, state.column("docs")[0].as_py(), block=[block], body=[[*map(pack, head), b"1", pack(word), pack(learned), pack(c[often]), pack(keys[often])]])]
+        if depth:
+            _, _, hashes, n, _ = level.pairs()
+            out.append(_ask(block, hashes, n, parts, kind))
+        return pa.concat_tables(out)
 
     def grow(k: int) -> Callable:
         """Step k, from 1 on: entries of level k are known, and values of level k - 1."""
 
         def run(state: pa.Table, replies: pa.Table) -> pa.Table:
-            b = Block(state)
+            b = Block(state, whole)
             level = b.level
             if k > 1:
                 p = level.applied(b.entry, b.entries, replies, parts)
@@ -379,7 +399,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     out = T.StructType([T.StructField("doc_id", doc_type), *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def end(state: pa.Table, replies: pa.Table) -> pa.Table:
-        b = Block(state)
+        b = Block(state, whole)
         p = b.level.applied(b.entry, b.entries, replies, parts) if b.entry is not None else b.level.p.astype(float)
         b.finish(slice(None), p, b.level.doc)
         sizes, n_known, base, score = b.head
