@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, mix, slices, table, text_bytes, word_spans
+from .common import LOWER, RollingHash, Scratch, mix, slices, table, text_bytes, word_spans
 
 #: Words of a window, of a gram, and grams of a window.
 WINDOW, K = 8, 4
@@ -46,27 +46,42 @@ def _least(grams: np.ndarray, w: int) -> np.ndarray:
 
 
 class Fingerprints:
-    """The fingerprints and windows of one block of a benchmark."""
+    """The fingerprints and windows of one block of a benchmark: sorted hashes, and where each window stands in the items'
+    words, so that hits are compared byte by byte. Holds about five bytes a byte of text."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW, k: int = K):
         self.window, self.k, self.hash = window, min(k, window), RollingHash(9)
-        self.windows: dict[tuple, set] = defaultdict(set)  # words of a window -> item ids
-        prints: list[np.ndarray] = []
-        short: dict[int, list] = defaultdict(list)
-        for item, text in items:
+        self.items = [item for item, _ in items]
+        prints, short, rows, texts, at = [], defaultdict(list), defaultdict(list), [], 0
+        for i, (_, text) in enumerate(items):
             words = WORD_RE.findall((text or "").encode().translate(bytes(LOWER)))
             n = min(len(words), window)
             if not n:
                 continue
-            hashes = self.words(words)
-            for i in range(len(words) - n + 1):
-                self.windows[tuple(words[i : i + n])].add(item)
+            hashes, size = self.words(words), np.array([len(w) for w in words])
+            ends = at + np.cumsum(size + 1) - 1
+            texts.append(b" ".join(words) + b" ")
+            at += len(texts[-1])
+            grams = _grams(hashes, n)
+            rows[n].append((grams, np.full(len(grams), i, np.int32), (ends - size)[: len(grams)], ends[n - 1 :]))
             if n < window:
-                short[n].append(_grams(hashes, n))
+                short[n].append(grams)
             else:
                 prints.append(_least(_grams(hashes, self.k), window - self.k + 1))
+        self.text = b"".join(texts)
         self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
         self.short = {n: np.unique(np.concatenate(x)) for n, x in sorted(short.items())}
+        self.windows = {}
+        for n, parts in rows.items():
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.windows[n] = [c[order] for c in columns]
+
+    def items_of(self, n: int, gram: int, words: bytes) -> set:
+        """The items that hold a window of n words, joined by spaces, with this hash."""
+        hashes, item, start, end = self.windows[n]
+        low, high = np.searchsorted(hashes, gram), np.searchsorted(hashes, gram, "right")
+        return {self.items[item[j]] for j in range(low, high) if self.text[start[j] : end[j]] == words}
 
     def words(self, words: list[bytes]) -> np.ndarray:
         ends = np.cumsum([len(w) for w in words])
@@ -100,7 +115,9 @@ def _match(batches, bench, text: str):
             low = LOWER[data[offsets[i] : offsets[j]]]
             starts, ends, counts = word_spans(WORD[low], off)
             sums = prints.hash.sums(low)
-            found = prints.candidates(prints.hash.spans(sums, starts, ends), counts)
+            hashes = prints.hash.spans(sums, starts, ends)
+            found = prints.candidates(hashes, counts)
+            grams = {n: _grams(hashes, n) for n in set(found[:, 1].tolist())}
             first = np.concatenate([[0], np.cumsum(counts)])
             by_row = defaultdict(list)
             for row, (at, n) in zip(np.searchsorted(first, found[:, 0], "right") - 1, found.tolist(), strict=True):
@@ -113,9 +130,8 @@ def _match(batches, bench, text: str):
                 got = set(old_items[i + r] or [])
                 any_hit = bool(old_hits[i + r])
                 for at, n in by_row.get(r, ()):
-                    key = tuple(raw[starts[x] : ends[x]] for x in range(at, at + n))
-                    if key in prints.windows:
-                        got |= prints.windows[key]
+                    if hit := prints.items_of(n, grams[n][at], b" ".join(raw[starts[x] : ends[x]] for x in range(at, at + n))):
+                        got |= hit
                         mask[at - first[r] : at - first[r] + n] = any_hit = True
                 n_words.append(int(counts[r]))
                 n_hit.append(int(mask.sum()))
@@ -136,14 +152,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    blocks, scratch = max(1, -(-total // block_bytes)), Scratch(spark, "decontamination")
     keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items")]
-    df = docs.select(*keep, *(F.lit(0).cast("long").alias(c) for c in ("_n", "_nh")), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
+    rest = [F.col(c) for c in keep if c != text] or [F.lit(0).alias("none")]  # as one, so that no name can clash
+    df = docs.select(F.struct(*rest).alias("rest"), F.col(text).alias("t"), *(F.lit(0).cast("long").alias(c) for c in ("_n", "_nh")), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         bench = spark.sparkContext.broadcast(Fingerprints([(r.i, r.t) for r in rows], window, k))
-        df = df.mapInArrow(lambda x, bench=bench: _match(x, bench, text), df.schema)
-    return df.select(*keep, F.col("_n").alias("n_words"), F.col("_nh").alias("n_hit"), F.col("_items").alias("hit_items"))
+        df = df.mapInArrow(lambda x, bench=bench: _match(x, bench, "t"), df.schema)
+        if blocks > 1:  # one block is held at a time
+            df = scratch.put(df, f"block{b}")
+            scratch.drop(f"block{b - 1}")
+            bench.destroy()
+    columns = [F.col("t").alias(c) if c == text else F.col("rest")[c].alias(c) for c in keep]
+    return df.select(*columns, F.col("_n").alias("n_words"), F.col("_nh").alias("n_hit"), F.col("_items").alias("hit_items"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
