@@ -96,7 +96,13 @@ def weigh(text: str, automaton) -> tuple[float, int]:
             free.append((start, end))
         elif start not in at or at[start][0] < n:
             at[start] = (n, w)
-    return sum(w for s, (_, w) in at.items() if not any(a <= s < b for a, b in free)), words
+    total, k, reach = 0.0, 0, -1
+    free.sort()
+    for s in sorted(at):  # both lists by place: each exception is looked at once
+        while k < len(free) and free[k][0] <= s:
+            reach, k = max(reach, free[k][1]), k + 1
+        total += at[s][1] if s >= reach else 0.0
+    return total, words
 
 
 def _stems(folded: str) -> set[str]:
@@ -171,9 +177,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         return Lexicon({}, given, curve)
     spark = docs.sparkSession
     few = spark.createDataFrame(chosen, sample.schema)
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of a repeated id the first text
     counts = texts.select("text", "label").mapInArrow(_count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where(f"toxic >= {LEAST}").orderBy(F.desc("toxic"), "stem").limit(200_000).collect()
+    # At most `rows` texts are counted, and of their stems only telling ones, or whole words of stems that may be, come here.
+    counts = counts.where(f"toxic >= {LEAST}").collect()
     odds = lambda t, c: math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))
     all_odds = {r.stem: (odds(r.toxic, r.clean), r.toxic) for r in counts}
     telling = {s: o for s, (o, _) in all_odds.items() if o > math.log(8) and not s.endswith(" ")}
