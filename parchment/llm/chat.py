@@ -21,8 +21,9 @@ from .common import table
 @dataclass(frozen=True)
 class Template:
     """Marks each turn as open + role + after_role + text + close. Texts and roles are escaped: a backslash is
-    doubled, and one is put behind the first character of each control string, so that no control string of this
-    or another common template is left in a text. unescape() takes it back."""
+    doubled, and one is put behind the first character of each control string, so that none of this template's, nor of
+    those with <|marks|>, </s>, <<SYS>> or [INST], is left in a text. Templates with other marks need their own `control`.
+    unescape() takes it back."""
 
     begin: str = "<|begin|>"
     open: str = "<|turn|>"

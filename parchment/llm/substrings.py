@@ -23,7 +23,7 @@ from .common import RollingHash, Scratch, meet, mix, often_from, slices, table,
 
 LENGTH, GRAM = 200, 32
 #: Bytes of surroundings in a shard; different surroundings of one anchor beyond which its windows are counted by
-#: content hash, dealt out over the cluster, as one shard can't hold them.
+#: content hash (of 128 bits), dealt out over the cluster, as one shard can't hold them.
 SHARD_BYTES, HOT = 1 << 20, 6000
 #: Bytes that are searched for anchors at once; a dozen arrays of eight bytes each go with them.
 CHUNK, PLACE = 1 << 18, np.uint64((1 << 23) - 1)

@@ -327,6 +327,12 @@ def test_decontamination(spark, odd, none):
     for block in (1 << 25, 40):
         found = decontamination.decontaminate(odd, bench, block_bytes=block).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.hit_items) for r in found) == sorted(want)
+    clash = odd.select("doc_id", "text", *(F.lit("mine").alias(c) for c in ("_n", "_hits", "t", "rest", "_id", "none")))
+    got = decontamination.decontaminate(clash, bench)
+    assert got.columns == [*clash.columns, "n_words", "n_hit", "hit_items"] and {r._n for r in got.collect()} == {"mine"}
+    assert simhash.one_of_each(clash.where("doc_id is not null").dropDuplicates(["doc_id"])).columns == clash.columns
+    assert substrings.remove_repeats(clash).first()["none"] == "mine"
+    assert decontamination.decontaminate(odd.select("text"), bench).count() == len(want)
     assert decontamination.decontaminate(none, bench).count() == 0
     assert decontamination.decontaminate(odd, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
