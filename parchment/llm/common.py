@@ -47,14 +47,28 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """The rows of df as a table. Its shuffle files go as soon as it is written: nothing reads them again."""
-        path, before = f"{self.at}/{name}", self.spark.conf.get(CLEAN)
+        self._write(df.write.mode("overwrite"), name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+
+    def add(self, df: DataFrame, name: str, *by: str) -> None:
+        """Adds the rows of df to a table in folders by the values of columns, which read() and drop() take one by one."""
+        self._write(df.write.mode("append").partitionBy(*by), name)
+
+    def _write(self, writer, name: str) -> None:
+        before = self.spark.conf.get(CLEAN)
         self.spark.conf.set(CLEAN, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            writer.option("compression", "zstd").parquet(f"{self.at}/{name}")
         finally:
             self.spark.conf.set(CLEAN, before)
         self.names.append(name)
-        return self.spark.read.schema(df.schema).parquet(path)
+
+    def read(self, name: str, schema: T.StructType) -> DataFrame:
+        """A table or one of its folders; empty if no row went there."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:

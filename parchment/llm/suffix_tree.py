@@ -33,6 +33,8 @@ from .common import LOWER, Scratch, crc_mod, mix, table
 SUPPORT, DEPTH, DIVERGENCE, DISCOUNT = 8, 3, 12.0, 0.75
 #: Text bytes of a block, and hashes that meet in one task on average.
 BLOCK_BYTES, PART_KEYS = 8 << 20, 1 << 20
+#: In how many passes blocks meet their replies: a pass's shuffle files and input go before the next begins.
+PASSES = 4
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
 #: Turns the hash of an entry into that of the same words as a context.
@@ -309,7 +311,10 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     equal 64-bit hashes count as one (of a billion distinct words, a chance of 3 % that any two do)."""
     scratch = Scratch(docs.sparkSession, "suffixtree")
     rows = docs.select(F.col(id).alias("doc"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
-    blocks = scratch.put(_blocks(rows, block_bytes), "blocks")
+    made = _blocks(rows, block_bytes)
+    turn = F.pmod(F.xxhash64("block"), F.lit(PASSES)).cast("int")
+    scratch.add(made.withColumn("turn", turn), "blocks", "turn")
+    blocks = scratch.read("blocks", made.schema)
     tokens, total = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
     parts = max(1, -(-tokens // part_keys))
     doc_type = rows.schema["doc"].dataType
@@ -326,9 +331,17 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     kinds = sum(int(unpack(r.v, np.int64)[0]) for r in replies.where("block = -1").select("v").toLocalIterator())  # one row a part
     whole = total + kinds + 1
 
-    def together(name: str, state: DataFrame, replies: DataFrame, f: Callable) -> DataFrame:
-        """Each block's state with its replies, through f."""
-        return scratch.put(state.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(f, step), name)
+    def together(name: str, state: Callable[[int], DataFrame], drop: Callable[[int], str], replies: DataFrame, f: Callable) -> None:
+        """Each block's state with its replies, through f, in passes, as a table by kinds of rows and passes."""
+        kind = F.when(F.col("body").isNotNull(), "state").when(F.col("n").isNotNull(), "counts").when(F.col("part").isNotNull(), "values").otherwise("entries")
+        for k in range(PASSES):
+            mine = replies.where((F.col("block") >= 0) & (turn == k))
+            out = state(k).groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(f, step)
+            scratch.add(out.withColumn("kind", kind).withColumn("turn", F.when(F.col("kind") == "state", F.lit(k)).otherwise(0)), name, "kind", "turn")
+            scratch.drop(drop(k))
+
+    def part(name: str, kind: str, k: int = 0) -> DataFrame:
+        return scratch.read(f"{name}/kind={kind}/turn={k}", step)
 
     def begin(state: pa.Table, replies: pa.Table) -> pa.Table:
         """Counts of words are known: scores of the unigram, and level 1, whose contexts are the words before."""
@@ -386,16 +399,20 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
 
         return run
 
-    state, known = together("level0", blocks.select("block", "docs", "body"), replies, begin), None
-    scratch.drop("blocks", "words")
+    small = ("block", "docs", "body")
+    together("level0", lambda k: scratch.read(f"blocks/turn={k}", made.schema).select(*small), lambda k: f"blocks/turn={k}", replies, begin)
+    scratch.drop("words")
+    known = None
     for k in range(1, depth + 1):
-        answers = counted(state.where("n is not null"), support)
+        before, name = f"level{k - 1}", f"level{k}"
+        answers = counted(part(before, "counts"), support)
         if known is not None:
-            answers = answers.unionByName(answered(state.where("part is not null and n is null"), known, parts))
+            answers = answers.unionByName(answered(part(before, "values"), known, parts))
         answers = scratch.put(answers, f"answers{k}")
-        state = together(f"level{k}", state.where("body is not null").select("block", "docs", "body"), answers, grow(k))
-        known = scratch.put(_values(state.where("ctx is not null"), divergence, discount), f"known{k}")
-        scratch.drop(f"level{k - 1}", f"answers{k}", f"known{k - 1}")
+        scratch.drop(f"{before}/kind=counts", f"{before}/kind=values", f"known{k - 1}")
+        together(name, lambda j, at=before: part(at, "state", j).select(*small), lambda j, at=before: f"{at}/kind=state/turn={j}", answers, grow(k))
+        known = scratch.put(_values(part(name, "entries"), divergence, discount), f"known{k}")
+        scratch.drop(before, f"answers{k}", f"{name}/kind=entries")
     out = T.StructType([T.StructField("doc_id", doc_type), *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def end(state: pa.Table, replies: pa.Table) -> pa.Table:
@@ -405,8 +422,10 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         sizes, n_known, base, score = b.head
         return pa.table([b.docs.combine_chunks().values, pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=out.names)
 
-    last = answered(state.where("part is not null and n is null"), known, parts) if known is not None else docs.sparkSession.createDataFrame([], REPLY_DDL)
-    return state.where("body is not null").select("block", "docs", "body").groupBy("block").cogroup(last.groupBy("block")).applyInArrow(end, out)
+    name = f"level{depth}"
+    last = answered(part(name, "values"), known, parts) if known is not None else docs.sparkSession.createDataFrame([], REPLY_DDL)
+    states = scratch.read(f"{name}/kind=state", T.StructType([*step.fields, T.StructField("turn", T.IntegerType())])).select(*small)
+    return states.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(end, out)
 
 
 def _values(entries: DataFrame, divergence: float, discount: float) -> DataFrame:
