@@ -288,11 +288,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", til
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.put(shingled(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), keys=True, prints=True), "rows")
     fps = scratch.put(rows.select("doc_id", "fp"), "fps")
-    distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     edges = scratch.put(links(rows, scratch, tile), "edges")
     scratch.drop_all_but("fps", "distinct", "edges")
     out = named(fps, distinct, components(edges, scratch), scratch)
-    scratch.drop("distinct", "edges")
+    scratch.drop("distinct", "edges", "names")
     return out
 
 

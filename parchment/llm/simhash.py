@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, Scratch, parts, slices, table, text_bytes, word_spans
+from .common import LOWER, SPACES, Scratch, meet, often_from, parts, slices, table, text_bytes, word_spans
 from .graph import components, local_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.put(fingerprint(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, seed), "fps")
-    distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     nodes = components(links(distinct.select("fp"), scratch, radius, tile), scratch)
     out = named(fps, distinct, nodes, scratch)
     scratch.drop("sizes", "distinct", "big", "tiles", "pairs")
@@ -208,11 +208,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def named(fps: DataFrame, distinct: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """What near_duplicates() returns, of rows (doc_id, fp), (fp, least doc_id) and components of fingerprints."""
-    members = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = scratch.put(members.join(names, "component").select("fp", "component_id", "component"), "named")
-    return fps.join(known, "fp").select("doc_id", "fp", "component_id", "component")
+    """What near_duplicates() returns, of rows (doc_id, fp), of (fp, least doc_id, number of rows) and components of
+    fingerprints. Neither the copies of one text nor the texts of one component meet in one task."""
+    members = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("component"))
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    names = scratch.put(names, "names")
+    kinds, rows = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    known = meet(members, names.drop("rows"), ["component"], often_from(kinds)).select("fp", "component_id", "component", F.col("rows").alias("n"))
+    return meet(fps, scratch.put(known, "named"), ["fp"], often_from(rows)).select("doc_id", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
