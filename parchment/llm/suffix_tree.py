@@ -34,7 +34,7 @@ SUPPORT, DEPTH, DIVERGENCE, DISCOUNT = 8, 3, 12.0, 0.75
 #: Text bytes of a block, and hashes that meet in one task on average.
 BLOCK_BYTES, PART_KEYS = 8 << 20, 1 << 20
 #: In how many passes blocks meet their replies: a pass's shuffle files and input go before the next begins.
-PASSES = 4
+PASSES = 6
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
 #: Turns the hash of an entry into that of the same words as a context.
@@ -206,19 +206,8 @@ class Level:
     document, word (-1: not frequent), context, probability so far, and whether they are learned from. Of contexts hash and
     count, and of frequent words the hash."""
 
-    FIELDS = {"place": np.int32, "doc": np.int32, "word": np.int32, "context": np.int32, "p": np.float32, "learn": np.uint8, "keys": np.uint64, "counts": np.int64, "words": np.uint64}
-
     def __init__(self, **arrays: np.ndarray):
-        for name, kind in self.FIELDS.items():
-            setattr(self, name, np.asarray(arrays[name], kind))
-
-    def pack(self) -> list[bytes]:
-        return [pack(np.diff(getattr(self, n), prepend=np.int32(0)) if n in ("place", "doc") else getattr(self, n)) for n in self.FIELDS]
-
-    @classmethod
-    def unpack(cls, body: list[bytes]) -> Level:
-        got = {n: unpack(b, k) for (n, k), b in zip(cls.FIELDS.items(), body, strict=True)}
-        return cls(**got | {n: np.cumsum(got[n], dtype=np.int32) for n in ("place", "doc")})
+        self.place, self.doc, self.word, self.context, self.p, self.learn, self.keys, self.counts, self.words = (arrays[n] for n in ("place", "doc", "word", "context", "p", "learn", "keys", "counts", "words"))
 
     @classmethod
     def first(cls, word: np.ndarray, learned: np.ndarray, counts: np.ndarray, words: np.ndarray, sizes: np.ndarray, whole: int) -> Level:
@@ -249,8 +238,8 @@ class Level:
         """The hashes whose values are asked for: of entries, and of the contexts of tokens."""
         return np.unique(np.concatenate([entries, self.keys[np.unique(self.context)] ^ AS_CONTEXT]))
 
-    def applied(self, entry: np.ndarray, entries: np.ndarray, replies: pa.Table, parts: int) -> np.ndarray:
-        """The tokens' probabilities in this level's states. entry: the entry of each token, or -1."""
+    def values(self, entries: np.ndarray, replies: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """What weight each context leaves to the shorter state, and the share of each entry, as answered."""
         want = self.wanted(entries)
         value = np.full(len(want), np.nan)
         at, values = _answers(replies, VALUES, want, parts, np.float64)
@@ -258,10 +247,14 @@ class Level:
         keep, used = np.ones(len(self.keys)), np.unique(self.context)
         if len(used):
             keep[used] = np.nan_to_num(value[np.searchsorted(want, self.keys[used] ^ AS_CONTEXT)], nan=1.0)
-        p = self.p.astype(float) * keep[self.context]
+        add = np.nan_to_num(value[np.searchsorted(want, entries)], nan=0.0) if len(entries) else np.zeros(0)
+        return keep.astype(np.float32), add.astype(np.float32)
+
+    def applied(self, entry: np.ndarray, keep: np.ndarray, add: np.ndarray) -> np.ndarray:
+        """The tokens' probabilities in this level's states. entry: the entry of each token, or -1."""
+        p = self.p * keep[self.context]
         on = np.flatnonzero(entry >= 0)
-        if len(on):
-            p[on] += np.nan_to_num(value[np.searchsorted(want, entries)], nan=0.0)[entry[on]]
+        p[on] += add[entry[on]]
         return p
 
     def next(self, entry: np.ndarray, entries: np.ndarray, counts: np.ndarray, p: np.ndarray) -> tuple[Level, np.ndarray]:
@@ -271,7 +264,7 @@ class Level:
         return Level(place=self.place[at], doc=self.doc[at], word=self.word[at], context=entry[at - 1], p=p[at], learn=self.learn[at], keys=entries, counts=counts, words=self.words), at
 
 
-#: Packed arrays of a block's documents: tokens, known tokens, score of the unigram, score so far.
+#: Packed arrays of a block's documents: tokens, known tokens, score of the unigram, and of tokens that no state scores.
 HEAD = (np.int32, np.int64, np.float64, np.float64)
 
 
@@ -281,26 +274,40 @@ FIRST = (np.int32, np.uint8, np.int64, np.uint64)
 
 
 class Block:
-    """A block's state between steps: arrays by document, a level, and of its tokens' entries: which (or -1), hash and count."""
+    """A block's state between steps: arrays by document; the tokens, from which level 1 is made; for each level known so far
+    which entry each live token is (or -1), and but for the last what its contexts keep and its entries add; and of the last
+    level the hashes of contexts and entries, and how often entries occur."""
 
     def __init__(self, state: pa.Table, whole: int):
         state = state.combine_chunks()
         self.block, body = state.column("block")[0].as_py(), state.column("body")[0].as_py()
-        self.docs, self.kind = state.column("docs"), state.column("docs").type.value_type
-        self.head = [unpack(b, t).copy() for b, t in zip(body[: len(HEAD)], HEAD, strict=True)]
-        first, rest = body[len(HEAD)] == b"1", body[len(HEAD) + 1 :]
-        n = len(FIRST) if first else len(Level.FIELDS)
-        self.raw = [body[len(HEAD)], *rest[:n]]
-        self.level = Level.first(*(unpack(b, t) for b, t in zip(rest[:n], FIRST, strict=True)), self.head[0], whole) if first else Level.unpack(rest[:n])
-        self.entry, self.entries, self.counts = (unpack(b, t) for b, t in zip(rest[n:], (np.int32, np.uint64, np.int64), strict=True)) if len(rest) > n else (None, None, None)
-
-    def finish(self, tokens: np.ndarray | slice, p: np.ndarray, doc: np.ndarray) -> None:
-        """Adds probabilities that are final to the scores of their documents."""
-        self.head[3] += np.bincount(doc[tokens], np.log10(p[tokens]), len(self.head[3]))
-
-    def row(self, level: Level, *survivors: np.ndarray) -> pa.Table:
-        kept = self.raw if level is self.level else [b"n", *level.pack()]
-        return _rows(self.kind, self.docs[0].as_py(), block=[self.block], body=[[*map(pack, self.head), *kept, *map(pack, survivors)]])
+        self.docs, self.kind, self.tokens = state.column("docs"), state.column("docs").type.value_type, body[: len(HEAD) + len(FIRST)]
+        self.head = [unpack(b, t) for b, t in zip(body, HEAD, strict=False)]
+        self.first = Level.first(*(unpack(b, t) for b, t in zip(body[len(HEAD) :], FIRST, strict=False)), self.head[0], whole)
+        rest = body[len(self.tokens) :]
+        self.levels = (len(rest) - 3 + 2) // 3 if rest else 0
+        n = self.levels
+        self.entry = [unpack(b, np.int32) for b in rest[:n]]
+        self.held = [unpack(b, np.float32) for b in rest[n : n + 2 * (n - 1)]] if n else []
+        if n:
+            self.contexts, self.entries, self.counts = (unpack(b, t) for b, t in zip(rest[n + 2 * (n - 1) :], (np.uint64, np.uint64, np.int64), strict=True))
+
+    def last(self) -> tuple[Level, np.ndarray, np.ndarray]:
+        """The last level, before its own states; which of level 1's tokens are its; and the probabilities of all of those so
+        far."""
+        level, at = self.first, np.arange(len(self.first.place))
+        final, none = level.p.copy(), np.zeros(0, np.uint64)
+        for entry, keep, add in zip(self.entry[:-1], self.held[::2], self.held[1::2], strict=True):
+            final[at] = p = level.applied(entry, keep, add)
+            level, on = level.next(entry, none, none, p)
+            at = at[on]
+        if self.levels:
+            level.keys = self.contexts
+        return level, at, final
+
+    def row(self, entry: list, held: list, *hashes: np.ndarray) -> pa.Table:
+        body = [*self.tokens, *(pack(x) for x in (*entry, *held, *hashes))]
+        return _rows(self.kind, self.docs[0].as_py(), block=[self.block], body=[body])
 
 
 def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", support: int = SUPPORT, depth: int = DEPTH, divergence: float = DIVERGENCE, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
@@ -364,7 +371,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         score = np.add.reduceat(np.where(apart | rest, log[ids], 0.0), starts)
         head = [sizes, np.add.reduceat((c[ids] > 0).astype(np.int64), starts), np.add.reduceat(log[ids], starts), score]
         block = state.column("block")[0].as_py()
-        out = [_rows(kind, state.column("docs")[0].as_py(), block=[block], body=[[*map(pack, head), b"1", pack(word), pack(learned), pack(c[often]), pack(keys[often])]])]
+        out = [_rows(kind, state.column("docs")[0].as_py(), block=[block], body=[[*map(pack, head), pack(word), pack(learned), pack(c[often]), pack(keys[often])]])]
         if depth:
             _, _, hashes, n, _ = level.pairs()
             out.append(_ask(block, hashes, n, parts, kind))
@@ -375,22 +382,21 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
 
         def run(state: pa.Table, replies: pa.Table) -> pa.Table:
             b = Block(state, whole)
-            level = b.level
+            level, held = b.first, []
             if k > 1:
-                p = level.applied(b.entry, b.entries, replies, parts)
-                level, at = level.next(b.entry, b.entries, b.counts, p)
-                last = np.ones(len(p), bool)
-                last[at] = False
-                b.finish(last, p, b.level.doc)  # of tokens that go no further
+                before, _, _ = b.last()
+                keep, add = before.values(b.entries, replies, parts)
+                level, _ = before.next(b.entry[-1], b.entries, b.counts, before.applied(b.entry[-1], keep, add))
+                held = [*b.held, keep, add]
             on, pair, keys, _, token = level.pairs()
             at, n, lead = _answers(replies, COUNTS, keys, parts, np.int64, np.uint8)
-            held = np.full(len(keys), -1, np.int32)
-            held[at] = np.arange(len(at), dtype=np.int32)
+            number = np.full(len(keys), -1, np.int32)
+            number[at] = np.arange(len(at), dtype=np.int32)
             entry = np.full(len(level.word), -1, np.int32)
-            entry[on] = held[pair]
+            entry[on] = number[pair]
             mine = np.flatnonzero(lead)
             one = token[at][mine]
-            out = [b.row(level, entry, keys[at], n), _ask(b.block, level.wanted(keys[at]), None, parts, b.kind)]
+            out = [b.row([*b.entry, entry], held, level.keys, keys[at], n), _ask(b.block, level.wanted(keys[at]), None, parts, b.kind)]
             out.append(_rows(b.kind, ctx=level.keys[level.context[one]].view(np.int64).tolist(), key=keys[at][mine].view(np.int64).tolist(), times=n[mine].tolist(), short=level.p[one].astype(float).tolist(), of=level.counts[level.context[one]].tolist()))
             if k < depth:
                 _, _, hashes, m, _ = level.next(entry, keys[at], n, level.p)[0].pairs()
@@ -417,9 +423,11 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
 
     def end(state: pa.Table, replies: pa.Table) -> pa.Table:
         b = Block(state, whole)
-        p = b.level.applied(b.entry, b.entries, replies, parts) if b.entry is not None else b.level.p.astype(float)
-        b.finish(slice(None), p, b.level.doc)
+        level, at, p = b.last()
+        if b.levels:
+            p[at] = level.applied(b.entry[-1], *level.values(b.entries, replies, parts))
         sizes, n_known, base, score = b.head
+        score = score + np.bincount(b.first.doc, np.log10(p), len(sizes))
         return pa.table([b.docs.combine_chunks().values, pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=out.names)
 
     name = f"level{depth}"
