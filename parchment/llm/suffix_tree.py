@@ -31,9 +31,11 @@ from .common import LOWER, Scratch, crc_mod, mix, table
 #: Occurrences of a context with its next word that make an entry, words of a context, nats by which a state's predictions
 #: beat those of its shorter state over the training text, and the discount.
 SUPPORT, DEPTH, DIVERGENCE, DISCOUNT = 8, 3, 12.0, 0.75
-#: Text bytes of a block, and hashes that meet in one task on average.
-BLOCK_BYTES, PART_KEYS = 8 << 20, 1 << 20
-#: In how many passes blocks meet their replies: a pass's shuffle files and input go before the next begins.
+#: Text bytes of a block, and tokens of the corpus for each part, whose hashes meet in one task. A block asks every part in a
+#: row of its own, so rows grow with blocks times parts; LEAST_PARTS are for small corpora, with PART_LEAST tokens or more each.
+BLOCK_BYTES, PART_KEYS = 8 << 20, 4 << 20
+LEAST_PARTS, PART_LEAST = 64, 1 << 16
+#: In how many passes parts are counted, and blocks meet their replies: a pass's shuffle files and input go before the next begins.
 PASSES = 4
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
@@ -47,13 +49,17 @@ class _Numbers(dict):
         return n
 
 
+#: One of each a process, as making them takes longer than packing a short array.
+PACKER, UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
     """Numbers as bytes, all first bytes before all second ones and so on, which packs far better."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return PACKER.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(UNPACKER.decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -66,6 +72,11 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def parts_for(tokens: int, part_keys: int = PART_KEYS) -> int:
+    """Into how many ranges of hashes the asks of a corpus of so many tokens fall."""
+    return max(1, -(-tokens // part_keys), min(LEAST_PARTS, tokens // PART_LEAST))
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -142,8 +153,8 @@ def counted(asks: DataFrame, least: int) -> DataFrame:
     return asks.select("block", "part", "keys", "n").groupBy("part").applyInArrow(run, REPLY_DDL)
 
 
-def answered(asks: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """Replies to asks for values, of a table (key, value) with each key once."""
+def answered(asks: DataFrame, known: DataFrame, parts: int, only: int | None = None) -> DataFrame:
+    """Replies to asks for values, of a table (key, value) with each key once. only: the pass whose parts alone are asked."""
     mine = F.shiftright(F.shiftrightunsigned("key", 32) * parts, 32).cast("int")
 
     def run(t: pa.Table, known: pa.Table) -> pa.Table:
@@ -158,7 +169,9 @@ def answered(asks: DataFrame, known: DataFrame, parts: int) -> DataFrame:
                 out.append((block, part, pack(np.diff(hit, prepend=0).astype(np.int32)), pack(values[at[hit]]), None))
         return _replies(out, VALUES)
 
-    return asks.select("block", "part", "keys").groupBy("part").cogroup(known.select("key", "value", mine.alias("p")).groupBy("p")).applyInArrow(run, REPLY_DDL)
+    known = known.select("key", "value", mine.alias("p"))
+    known = known if only is None else known.where(F.col("p") % PASSES == only)
+    return asks.select("block", "part", "keys").groupBy("part").cogroup(known.groupBy("p")).applyInArrow(run, REPLY_DDL)
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -316,7 +329,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     scratch.add(made.withColumn("turn", turn), "blocks", "turn")
     blocks = scratch.read("blocks", made.schema)
     tokens, total = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
-    parts = max(1, -(-tokens // part_keys))
+    parts = parts_for(tokens, part_keys)
     doc_type = rows.schema["doc"].dataType
     step = T.StructType([*T._parse_datatype_string(STEP_DDL).fields, T.StructField("docs", T.ArrayType(doc_type))])
 
@@ -327,18 +340,30 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
                 order = np.argsort(keys)
                 yield from _ask(block, keys[order], unpack(body[4], np.int32)[order], parts, pa.int8()).select(["block", "part", "keys", "n"]).to_batches()
 
-    replies = scratch.put(counted(blocks.select("block", "body").mapInArrow(ask_words, "block long, part int, keys binary, n binary"), 0), "words")
-    kinds = sum(int(unpack(r.v, np.int64)[0]) for r in replies.where("block = -1").select("v").toLocalIterator())  # one row a part
+    def replied(name: str, replies: DataFrame) -> None:
+        """Adds replies to a table by the pass in which their blocks are, or -1 for block -1."""
+        scratch.add(replies.withColumn("turn", F.when(F.col("block") < 0, -1).otherwise(turn)), name, "turn")
+
+    def replies(name: str, k: int) -> DataFrame:
+        return scratch.read(f"{name}/turn={k}", T._parse_datatype_string(REPLY_DDL))
+
+    def occurring(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(unpack(v, np.int64)[0]) for v in batch.column("v").to_pylist()], pa.int64())], names=["n"])
+
+    replied("words", counted(blocks.select("block", "body").mapInArrow(ask_words, "block long, part int, keys binary, n binary"), 0))
+    kinds = replies("words", -1).select("v").mapInArrow(occurring, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     whole = total + kinds + 1
 
-    def together(name: str, state: Callable[[int], DataFrame], drop: Callable[[int], str], replies: DataFrame, f: Callable) -> None:
-        """Each block's state with its replies, through f, in passes, as a table by kinds of rows and passes."""
+    def together(name: str, state: Callable[[int], DataFrame], drop: Callable[[int], str], told: str, f: Callable) -> None:
+        """Each block's state with its replies, through f, in passes, as a table by kinds of rows and passes: a state is read
+        again in its block's, an ask in its part's."""
         kind = F.when(F.col("body").isNotNull(), "state").when(F.col("n").isNotNull(), "counts").when(F.col("part").isNotNull(), "values").otherwise("entries")
         for k in range(PASSES):
-            mine = replies.where((F.col("block") >= 0) & (turn == k))
-            out = state(k).groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(f, step)
-            scratch.add(out.withColumn("kind", kind).withColumn("turn", F.when(F.col("kind") == "state", F.lit(k)).otherwise(0)), name, "kind", "turn")
-            scratch.drop(drop(k))
+            out = state(k).groupBy("block").cogroup(replies(told, k).groupBy("block")).applyInArrow(f, step)
+            of = F.when(F.col("kind") == "state", F.lit(k)).when(F.col("part").isNotNull(), F.col("part") % PASSES).otherwise(0)
+            scratch.add(out.withColumn("kind", kind).withColumn("turn", of), name, "kind", "turn")
+            scratch.drop(drop(k), f"{told}/turn={k}")
 
     def part(name: str, kind: str, k: int = 0) -> DataFrame:
         return scratch.read(f"{name}/kind={kind}/turn={k}", step)
@@ -400,17 +425,19 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         return run
 
     small = ("block", "docs", "body")
-    together("level0", lambda k: scratch.read(f"blocks/turn={k}", made.schema).select(*small), lambda k: f"blocks/turn={k}", replies, begin)
+    together("level0", lambda k: scratch.read(f"blocks/turn={k}", made.schema).select(*small), lambda k: f"blocks/turn={k}", "words", begin)
     scratch.drop("words")
     known = None
     for k in range(1, depth + 1):
         before, name = f"level{k - 1}", f"level{k}"
-        answers = counted(part(before, "counts"), support)
-        if known is not None:
-            answers = answers.unionByName(answered(part(before, "values"), known, parts))
-        answers = scratch.put(answers, f"answers{k}")
-        scratch.drop(f"{before}/kind=counts", f"{before}/kind=values", f"known{k - 1}")
-        together(name, lambda j, at=before: part(at, "state", j).select(*small), lambda j, at=before: f"{at}/kind=state/turn={j}", answers, grow(k))
+        for j in range(PASSES):
+            answers = counted(part(before, "counts", j), support)
+            if known is not None:
+                answers = answers.unionByName(answered(part(before, "values", j), known, parts, j))
+            replied(f"answers{k}", answers)
+            scratch.drop(f"{before}/kind=counts/turn={j}", f"{before}/kind=values/turn={j}")
+        scratch.drop(f"known{k - 1}")
+        together(name, lambda j, at=before: part(at, "state", j).select(*small), lambda j, at=before: f"{at}/kind=state/turn={j}", f"answers{k}", grow(k))
         known = scratch.put(_values(part(name, "entries"), divergence, discount), f"known{k}")
         scratch.drop(before, f"answers{k}", f"{name}/kind=entries")
     out = T.StructType([T.StructField("doc_id", doc_type), *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
@@ -423,8 +450,9 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         return pa.table([b.docs.combine_chunks().values, pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=out.names)
 
     name = f"level{depth}"
-    last = answered(part(name, "values"), known, parts) if known is not None else docs.sparkSession.createDataFrame([], REPLY_DDL)
-    states = scratch.read(f"{name}/kind=state", T.StructType([*step.fields, T.StructField("turn", T.IntegerType())])).select(*small)
+    whole_step = T.StructType([*step.fields, T.StructField("turn", T.IntegerType())])
+    last = answered(scratch.read(f"{name}/kind=values", whole_step), known, parts) if known is not None else docs.sparkSession.createDataFrame([], REPLY_DDL)
+    states = scratch.read(f"{name}/kind=state", whole_step).select(*small)
     return states.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(end, out)
 
 
