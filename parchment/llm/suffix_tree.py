@@ -81,6 +81,22 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique with places and inverse, of numbers from 0 on: each is sorted in one number with its place, if they fit."""
+    n = len(x)
+    bits = max(n - 1, 1).bit_length()
+    if not n or int(x.max()) >> (64 - bits):
+        return np.unique(x, return_index=True, return_inverse=True)
+    both = np.sort((x.astype(np.uint64) << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+    at = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both >>= np.uint64(bits)
+    new = np.ones(n, bool)
+    new[1:] = both[1:] != both[:-1]
+    of = np.empty(n, np.int64)
+    of[at] = np.cumsum(new) - 1
+    return both[new].astype(x.dtype), at[new], of
+
+
 def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a context followed by a word, of their hashes."""
     return mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(word))
@@ -250,7 +266,7 @@ class Level:
         occurrences in learned documents, a token that holds it)."""
         on = np.flatnonzero(self.word >= 0)
         width = max(len(self.words), 1)
-        pair, first, of = np.unique(self.context[on].astype(np.int64) * width + self.word[on], return_index=True, return_inverse=True)
+        pair, first, of = distinct(self.context[on].astype(np.int64) * width + self.word[on])
         n = np.bincount(of[self.learn[on] > 0], minlength=len(pair)).astype(np.int32)
         hashes = join_keys(self.keys[pair // width], self.words[pair % width])
         order = np.argsort(hashes)

@@ -1,6 +1,8 @@
 import random
 from pathlib import Path
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parchment.llm import suffix_tree
@@ -32,3 +34,10 @@ def test_rows_of_asks_stay_few():
     """A row each of 768 blocks and the parts of 1.6 billion tokens, which is 6 GB of text: under 300,000."""
     assert 768 * suffix_tree.parts_for(1_600_000_000) < 300_000
     assert [suffix_tree.parts_for(n) for n in (0, 1, 10**6, 10**8)] == [1, 1, 15, 64]
+
+
+@pytest.mark.parametrize("x", [[], [0], [5, 3, 5, 0, 3, 5], [2**62, 1, 2**62, 2**61], [*range(50, 0, -1), *range(30)]])
+def test_distinct_numbers(x):
+    x = np.array(x, np.int64)
+    for got, want in zip(suffix_tree.distinct(x), np.unique(x, return_index=True, return_inverse=True), strict=True):
+        assert got.tolist() == want.tolist()
