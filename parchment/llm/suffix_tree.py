@@ -274,9 +274,21 @@ class Level:
         rank[order] = np.arange(len(order))
         return on, rank[of], hashes[order], n[order], on[first][order]
 
+    def used(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts that tokens have, and the hashes that ask for their values, in the order of those."""
+        seen = np.zeros(len(self.keys), bool)
+        seen[self.context] = True
+        at = np.flatnonzero(seen)
+        hashes = self.keys[at] ^ AS_CONTEXT
+        order = np.argsort(hashes)
+        return at[order], hashes[order]
+
     def wanted(self, entries: np.ndarray) -> np.ndarray:
         """The hashes whose values are asked for: of entries, and of the contexts of tokens."""
-        return np.unique(np.concatenate([entries, self.keys[np.unique(self.context)] ^ AS_CONTEXT]))
+        both = np.sort(np.concatenate([entries, self.used()[1]]))
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        return both[new]
 
     def applied(self, entry: np.ndarray, entries: np.ndarray, replies: pa.Table, parts: int) -> np.ndarray:
         """The tokens' probabilities in this level's states. entry: the entry of each token, or -1."""
@@ -284,9 +296,9 @@ class Level:
         value = np.full(len(want), np.nan)
         at, values = _answers(replies, VALUES, want, parts, np.float64)
         value[at] = values
-        keep, used = np.ones(len(self.keys)), np.unique(self.context)
+        keep, (used, hashes) = np.ones(len(self.keys)), self.used()
         if len(used):
-            keep[used] = np.nan_to_num(value[np.searchsorted(want, self.keys[used] ^ AS_CONTEXT)], nan=1.0)
+            keep[used] = np.nan_to_num(value[np.searchsorted(want, hashes)], nan=1.0)
         p = self.p.astype(float) * keep[self.context]
         on = np.flatnonzero(entry >= 0)
         if len(on):
