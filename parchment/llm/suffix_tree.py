@@ -353,7 +353,8 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     scratch = Scratch(docs.sparkSession, "suffixtree")
     rows = docs.select(F.col(id).alias("doc"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
     made = _blocks(rows, block_bytes)
-    turn = F.pmod(F.xxhash64("block"), F.lit(PASSES)).cast("int")
+    # Blocks are numbered within their partitions: dealt in turn, passes have as many.
+    turn = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(PASSES)).cast("int")
     scratch.add(made.withColumn("turn", turn), "blocks", "turn")
     blocks = scratch.read("blocks", made.schema)
     tokens, total = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
