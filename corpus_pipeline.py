@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the
-    smallest id stays."""
+    smallest id stays. Documents meet by bits of their SimHash fingerprints."""
     return jaccard.one_of_each(docs)
 
 
