@@ -274,6 +274,14 @@ class Level:
         rank[order] = np.arange(len(order))
         return on, rank[of], hashes[order], n[order], on[first][order]
 
+    def entry(self, on: np.ndarray, pair: np.ndarray, at: np.ndarray, pairs: int) -> np.ndarray:
+        """Which of the pairs at these places each token's pair is, or -1. on, pair: as of pairs(), of so many pairs."""
+        held = np.full(pairs, -1, np.int32)
+        held[at] = np.arange(len(at), dtype=np.int32)
+        entry = np.full(len(self.word), -1, np.int32)
+        entry[on] = held[pair]
+        return entry
+
     def used(self) -> tuple[np.ndarray, np.ndarray]:
         """The contexts that tokens have, and the hashes that ask for their values, in the order of those."""
         seen = np.zeros(len(self.keys), bool)
@@ -322,7 +330,8 @@ FIRST = (np.int32, np.uint8, np.int64, np.uint64)
 
 
 class Block:
-    """A block's state between steps: arrays by document, a level, and of its tokens' entries: which (or -1), hash and count."""
+    """A block's state between steps: arrays by document, a level, and which of its pairs are entries, with their counts. Of that
+    the entries' hashes and each token's entry (or -1) follow, as pairs of a level are always in the same order."""
 
     def __init__(self, state: pa.Table, whole: int):
         state = state.combine_chunks()
@@ -333,7 +342,11 @@ class Block:
         n = len(FIRST) if first else len(Level.FIELDS)
         self.raw = [body[len(HEAD)], *rest[:n]]
         self.level = Level.first(*(unpack(b, t) for b, t in zip(rest[:n], FIRST, strict=True)), self.head[0], whole) if first else Level.unpack(rest[:n])
-        self.entry, self.entries, self.counts = (unpack(b, t) for b, t in zip(rest[n:], (np.int32, np.uint64, np.int64), strict=True)) if len(rest) > n else (None, None, None)
+        self.entry = self.entries = self.counts = None
+        if len(rest) > n:
+            at, self.counts = np.cumsum(unpack(rest[n], np.int32), dtype=np.int64), unpack(rest[n + 1], np.int64)
+            on, pair, keys, _, _ = self.level.pairs()
+            self.entry, self.entries = self.level.entry(on, pair, at, len(keys)), keys[at]
 
     def finish(self, tokens: np.ndarray | slice, p: np.ndarray, doc: np.ndarray) -> None:
         """Adds probabilities that are final to the scores of their documents."""
@@ -438,13 +451,10 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
                 b.finish(last, p, b.level.doc)  # of tokens that go no further
             on, pair, keys, _, token = level.pairs()
             at, n, lead = _answers(replies, COUNTS, keys, parts, np.int64, np.uint8)
-            held = np.full(len(keys), -1, np.int32)
-            held[at] = np.arange(len(at), dtype=np.int32)
-            entry = np.full(len(level.word), -1, np.int32)
-            entry[on] = held[pair]
+            entry = level.entry(on, pair, at, len(keys))
             mine = np.flatnonzero(lead)
             one = token[at][mine]
-            out = [b.row(level, entry, keys[at], n), _ask(b.block, level.wanted(keys[at]), None, parts, b.kind)]
+            out = [b.row(level, np.diff(at, prepend=0).astype(np.int32), n), _ask(b.block, level.wanted(keys[at]), None, parts, b.kind)]
             out.append(_rows(b.kind, ctx=level.keys[level.context[one]].view(np.int64).tolist(), key=keys[at][mine].view(np.int64).tolist(), times=n[mine].tolist(), short=level.p[one].astype(float).tolist(), of=level.counts[level.context[one]].tolist()))
             if k < depth:
                 _, _, hashes, m, _ = level.next(entry, keys[at], n, level.p)[0].pairs()
