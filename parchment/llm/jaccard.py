@@ -8,8 +8,8 @@ exclusive-or and bit counts, tiles being skipped by population counts; RADIUS is
 but 1 in 100 million, and 1 in 100,000 of sets of four and five shingles, whose bits tie most often).
 
 Each set is checked against the nearest and the smallest one within the radius. Where a bucket then still holds sets within the
-radius that nothing links, these are compared by their whole sets in the bucket's task, so that pairs near the limit, of which
-there may be the square of a bucket's size, never become rows; of a bucket's links only a forest goes on. Shingles of a set are
+radius that nothing links and that met in no earlier table, these alone bring their whole sets to the bucket's task, so that pairs
+near the limit, of which there may be the square of a bucket's size, never become rows; of a bucket's links only a forest goes on. Shingles of a set are
 told by 32-bit hashes: two unlike ones of 300 shingles are taken to share one in 50,000 pairs, which moves their similarity by
 less than 0.002.
 """
@@ -17,6 +17,7 @@ less than 0.002.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,17 @@ def within(x: np.ndarray, y: np.ndarray | None, radius: int, tile: int = 128):
                 yield ox[i + p], oy[j + q], d[p, q]
 
 
+def unmet(sim: np.ndarray, a: np.ndarray, b: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """True for pairs of rows that agree on all bits of none of the masks: they met in no earlier table."""
+    out, at = np.zeros(len(a), bool), np.arange(len(a))
+    for mask in before:
+        if not len(at):
+            break
+        at = at[((sim[a[at]] ^ sim[b[at]]) & mask).any(1)]
+    out[at] = True
+    return out
+
+
 def bucket_links(part: np.ndarray, sim: np.ndarray, brief: list[np.ndarray], left: np.ndarray, right: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of a bucket that make its parts one where any left and right row of them are similar: a forest over
     the parts. Two rows that agree on all bits of a mask of `before` met in an earlier table, and aren't compared again."""
@@ -202,11 +214,8 @@ def bucket_links(part: np.ndarray, sim: np.ndarray, brief: list[np.ndarray], lef
         a, b = left[i], right[j]
         near = (at[a] != at[b]) & (np.minimum(size[a], size[b]) * q >= np.maximum(size[a], size[b]) * p)
         a, b = a[near], b[near]
-        for mask in before:
-            if not len(a):
-                break
-            new = ((sim[a] ^ sim[b]) & mask).any(1)
-            a, b = a[new], b[new]
+        new = unmet(sim, a, b, before)
+        a, b = a[new], b[new]
         if not len(a):
             continue
         order = np.argsort(a, kind="stable")
@@ -253,17 +262,8 @@ def found_links(members: DataFrame, sizes: DataFrame, tile: int, chosen: np.ndar
     n, masks, bits = parts(members), masks_of(chosen), chosen.shape[1]
 
     def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = held.column("key").to_numpy()
-            if keys[0] != keys[-1]:
-                cut = int(np.searchsorted(keys, keys[-1]))
-                yield from buckets(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield from buckets(held)
+        for t in whole_buckets(batches):
+            yield from buckets(t)
 
     def buckets(t: pa.Table):
         keys, fp, part, rest, sim, brief = _arrays(t, "key", "fp", "part", "rest")
@@ -327,16 +327,7 @@ def seen(rows: DataFrame) -> DataFrame:
     nearest, by how many bits, and the smallest."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = held.column("key").to_numpy()
-            if keys[0] != keys[-1]:
-                cut = int(np.searchsorted(keys, keys[-1]))
-                yield buckets(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield buckets(held)
+        return map(buckets, whole_buckets(batches))
 
     def buckets(t: pa.Table) -> pa.RecordBatch:
         keys, fp, sim = t.column("key").to_numpy(), t.column("fp").to_numpy(), _words(t)
@@ -355,8 +346,46 @@ def seen(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts(rows), "key").sortWithinPartitions("key", "fp").mapInArrow(run, SEEN)
 
 
-def seen_large(rows: DataFrame, label: DataFrame, scratch: Scratch, tile: int) -> DataFrame:
-    """(key, fp) of those rows of large buckets (key, fp, s0, s1, ...) that have others of another part within the radius.
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of their keys, with all rows of a key in one table."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = held.column("key").to_numpy()
+        if keys[0] != keys[-1]:
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield held.slice(0, cut)
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def crossing(members: DataFrame, label: DataFrame, sims: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """Those of the members (key, fp) of buckets that have another of another part and a like size within the radius, whom they
+    met in no earlier table: only these need their whole sets. label: (fp, component); sims: (fp, sim, size)."""
+    masks, bits, (p, q) = masks_of(chosen), chosen.shape[1], SIMILARITY
+
+    def run(batches):
+        for t in whole_buckets(batches):
+            keys, part, size = (t.column(c).to_numpy() for c in ("key", "part", "size"))
+            sim, hit = np.frombuffer(b"".join(t.column("sim").to_pylist()), np.uint64).reshape(len(t), -1), np.zeros(len(t), bool)
+            cut = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
+                for i, j, _ in within(sim[s:e], None, RADIUS):
+                    a, b = i + s, j + s
+                    other = (part[a] != part[b]) & (np.minimum(size[a], size[b]) * q >= np.maximum(size[a], size[b]) * p)
+                    a, b = a[other], b[other]
+                    new = unmet(sim, a, b, masks[: keys[s] >> bits])
+                    hit[a[new]] = hit[b[new]] = True
+            yield from t.select(["key", "fp"]).filter(pa.array(hit)).to_batches()
+
+    placed = members.join(label, "fp", "left").withColumn("part", F.coalesce("component", "fp")).join(sims, "fp").select("key", "fp", "part", "size", "sim")
+    return placed.repartition(parts(placed), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, fp long")
+
+
+def seen_large(rows: DataFrame, label: DataFrame, scratch: Scratch, tile: int, chosen: np.ndarray) -> DataFrame:
+    """(key, fp) of those rows of large buckets (key, fp, s0, s1, ...) that have others of another part within the radius, whom
+    they met in no earlier table.
     Slices of the rows outside a bucket's main part meet slices of all, each pair in a task of its own."""
     placed = rows.join(label, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component")
     main = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("m"))
@@ -364,7 +393,7 @@ def seen_large(rows: DataFrame, label: DataFrame, scratch: Scratch, tile: int) -
     big = scratch.put(placed.join(F.broadcast(main.where("sm > 0")), "key"), "big")
     slice_ = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
     unit = F.xxhash64("key", "i", "j").alias("unit")
-    columns = ["key", "fp", "part", *WORDS]
+    columns, masks, bits = ["key", "fp", "part", *WORDS], masks_of(chosen), chosen.shape[1]
     left = big.where("part <> main").withColumn("i", slice_("sm")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sn") - 1))).select(unit, *columns, F.lit(0).alias("side"))
     right = big.withColumn("j", slice_("sn")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sm") - 1))).select(unit, *columns, F.lit(1).alias("side"))
 
@@ -375,7 +404,9 @@ def seen_large(rows: DataFrame, label: DataFrame, scratch: Scratch, tile: int) -
             for i, j, _ in within(sim[x], sim[y], RADIUS):
                 a, b = x[i], y[j]
                 other = part[a] != part[b]
-                hit[a[other]] = hit[b[other]] = True
+                a, b = a[other], b[other]
+                new = unmet(sim, a, b, masks[: t.column("key")[0].as_py() >> bits])
+                hit[a[new]] = hit[b[new]] = True
         return t.select(["key", "fp"]).filter(pa.array(hit))
 
     return left.union(right).groupBy("unit").applyInArrow(compare, "key long, fp long").distinct()
@@ -388,7 +419,7 @@ def links(rows: DataFrame, scratch: Scratch, tile: int = TILE, bucket: int = BUC
     First each set is checked against the nearest and the smallest fingerprint within the radius, in buckets of over `tile`
     sets against the bucket's smallest. Then, of what that leaves in several parts in a bucket, sets outside the largest part
     are compared with all others."""
-    sims = scratch.put(rows.where("sim is not null").groupBy("fp").agg(F.first("sim").alias("sim")), "sets")
+    sims = scratch.put(rows.where("sim is not null").select("fp", "sim", F.size("brief").alias("size")).groupBy("fp").agg(F.first("sim").alias("sim"), F.first("size").alias("size")), "sets")
     chosen = samples(*tables_for(sims.count(), bucket))
     passes = [(f, keyed(sims, chosen[f : f + AT_ONCE], f)) for f in range(0, len(chosen), AT_ONCE)]
     pairs, members, large = [], [], []
@@ -410,9 +441,10 @@ def links(rows: DataFrame, scratch: Scratch, tile: int = TILE, bucket: int = BUC
     first = first.select("fp", F.explode(F.array("h.near", "least")).alias("other"))
     near = scratch.put(_similar(first.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), rows, scratch), "near")
     label = components(near, Scratch(near.sparkSession, "jaccard-near")).withColumnRenamed("node", "fp")
+    members = [scratch.put(crossing(_union(members), label, sims, chosen), "crossing")]
     for k, met in enumerate(large):
-        members.append(scratch.put(seen_large(met, label, scratch, tile), f"large{k}"))
-    placed = scratch.put(_placed(_union(members), label, sims, rows), "placed")
+        members.append(scratch.put(seen_large(met, label, scratch, tile, chosen), f"large{k}"))
+    placed = scratch.put(_placed(_union(members), label, sims, rows, scratch), "placed")
     sizes = scratch.put(placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("rest").alias("m")).where("m > 0"), "sizes")
     return near.union(found_links(placed, sizes, tile, chosen))
 
@@ -424,28 +456,47 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _briefs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, brief) of the wanted fingerprints, each once."""
-    return rows.select("fp", "brief").join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("brief").alias("brief"))
+#: Bits of a row of marks, and the rows of marks that are broadcast at most, of 4 KB each.
+MARKS, MOST_MARKS = 1 << 15, 1 << 12
+
+
+def _marked(rows: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """rows whose fp leaves the same mark as one of those wanted (fp): all with a wanted one, and few others as long as 16 marks
+    a wanted one fit. Rows are told where they are, before any of them travels."""
+    slots = MARKS * min(MOST_MARKS, max(1, -(-wanted.count() * 16 // MARKS)))
+    slot = F.pmod("fp", F.lit(slots))
+    group, place = F.floor(slot / MARKS).cast("int"), F.pmod(slot, F.lit(MARKS))
+    marks = scratch.put(wanted.groupBy(group.alias("group")).agg(F.bitmap_construct_agg(place).alias("marks")), name)
+    byte = F.conv(F.hex(F.substring("marks", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("group", group).join(F.broadcast(marks), "group")
+    return met.where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod(pmod(fp, {slots}), 8) as int))")) != 0).select(*rows.columns)
+
+
+def _briefs(rows: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(fp, brief) of the wanted fingerprints, each once. Of other sets only those travel that leave the mark of a wanted one."""
+    wanted = scratch.put(wanted.distinct(), f"{name}-wanted")
+    few = _marked(rows.select("fp", "brief"), wanted, scratch, f"{name}-marks")
+    # An inner join, as Spark moves a semi join below the one with the marks, where all rows travel.
+    return few.join(wanted, "fp").groupBy("fp").agg(F.first("brief").alias("brief"))
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose sets have the similarity. Only sets of these pairs travel."""
     p, q = SIMILARITY
     pairs = scratch.put(pairs, "pairs")
-    sets = scratch.put(_briefs(rows, pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))), "pair-sets")
+    sets = scratch.put(_briefs(rows, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")), scratch, "pairs"), "pair-sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("brief").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("brief").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
-def _placed(members: DataFrame, label: DataFrame, sims: DataFrame, rows: DataFrame) -> DataFrame:
+def _placed(members: DataFrame, label: DataFrame, sims: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """members (key, fp) of buckets that hold more than one part of the links so far: with part, sim, brief, and rest, false
     for the bucket's largest part (of as large ones the smallest)."""
     placed = members.join(label, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
     main = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).where("kinds > 1")
-    kept = placed.join(main.select("key", (-F.col("m.p")).alias("main")), "key").select("key", "fp", "part", (F.col("part") != F.col("main")).alias("rest"))
-    held = _briefs(rows, kept.select("fp")).join(sims, "fp")
+    kept = scratch.put(placed.join(main.select("key", (-F.col("m.p")).alias("main")), "key").select("key", "fp", "part", (F.col("part") != F.col("main")).alias("rest")), "kept")
+    held = _briefs(rows, kept.select("fp"), scratch, "kept").join(sims.select("fp", "sim"), "fp")
     return kept.join(held, "fp").select("key", "fp", "part", "sim", "brief", "rest")
 
 
