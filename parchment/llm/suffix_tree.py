@@ -39,8 +39,6 @@ LEAST_PARTS, PART_LEAST = 64, 1 << 16
 PASSES = 4
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
-#: Turns the hash of an entry into that of the same words as a context.
-AS_CONTEXT = np.uint64(0x5851F42D4C957F2D)
 
 
 class _Numbers(dict):
@@ -103,8 +101,8 @@ def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 #: What a step gives: rows of state (body), of asks (part, keys; n: counts, or null where values are wanted), and of entries.
-STEP = {"block": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary(), "body": pa.list_(pa.binary()), "ctx": pa.int64(), "key": pa.int64(), "times": pa.int64(), "short": pa.float64(), "of": pa.int64()}
-STEP_DDL = "block long, part int, keys binary, n binary, body array<binary>, ctx long, key long, times long, short double, of long"
+STEP = {"block": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary(), "body": pa.list_(pa.binary()), "ctx": pa.int64(), "times": pa.int64(), "short": pa.float64(), "of": pa.int64()}
+STEP_DDL = "block long, part int, keys binary, n binary, body array<binary>, ctx long, times long, short double, of long"
 
 
 def _rows(kind: pa.DataType, docs: list | None = None, **columns: list) -> pa.Table:
@@ -232,23 +230,15 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 class Level:
     """What a block knows at one level. Of its live tokens, those whose context is an entry of the level before: place,
-    document, word (-1: not frequent), context, probability so far, and whether they are learned from. Of contexts hash and
-    count, and of frequent words the hash."""
+    document, word (-1: makes no entry here), context, probability so far, and whether they are learned from. Of contexts hash
+    and count, and of frequent words the hash."""
 
-    FIELDS = {"place": np.int32, "doc": np.int32, "word": np.int32, "context": np.int32, "p": np.float32, "learn": np.uint8, "keys": np.uint64, "counts": np.int64, "words": np.uint64}
+    FIELDS = {"place": np.int32, "doc": np.int32, "word": np.int32, "context": np.int32, "p": np.float64, "learn": np.uint8, "keys": np.uint64, "counts": np.int64, "words": np.uint64}
 
     def __init__(self, **arrays: np.ndarray):
         for name, kind in self.FIELDS.items():
             setattr(self, name, np.asarray(arrays[name], kind))
 
-    def pack(self) -> list[bytes]:
-        return [pack(np.diff(getattr(self, n), prepend=np.int32(0)) if n in ("place", "doc") else getattr(self, n)) for n in self.FIELDS]
-
-    @classmethod
-    def unpack(cls, body: list[bytes]) -> Level:
-        got = {n: unpack(b, k) for (n, k), b in zip(cls.FIELDS.items(), body, strict=True)}
-        return cls(**got | {n: np.cumsum(got[n], dtype=np.int32) for n in ("place", "doc")})
-
     @classmethod
     def first(cls, word: np.ndarray, learned: np.ndarray, counts: np.ndarray, words: np.ndarray, sizes: np.ndarray, whole: int) -> Level:
         """Level 1, of all tokens of documents of these sizes: contexts are the words before, or the end, and probabilities
@@ -262,7 +252,7 @@ class Level:
         return cls(place=at, doc=doc[at], word=word[at], context=context[at], p=p, learn=learned[doc[at]], keys=words, counts=counts, words=words)
 
     def pairs(self) -> tuple[np.ndarray, ...]:
-        """(tokens with a frequent word, the place of each one's pair, and of each pair, in the order of hashes: hash,
+        """(tokens whose word may make an entry, the place of each one's pair, and of each pair, in the order of hashes: hash,
         occurrences in learned documents, a token that holds it)."""
         on = np.flatnonzero(self.word >= 0)
         width = max(len(self.words), 1)
@@ -283,44 +273,36 @@ class Level:
         return entry
 
     def used(self) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts that tokens have, and the hashes that ask for their values, in the order of those."""
+        """The contexts that tokens have, and their hashes, which ask for what weight they keep, in the order of those."""
         seen = np.zeros(len(self.keys), bool)
         seen[self.context] = True
         at = np.flatnonzero(seen)
-        hashes = self.keys[at] ^ AS_CONTEXT
-        order = np.argsort(hashes)
-        return at[order], hashes[order]
-
-    def wanted(self, entries: np.ndarray) -> np.ndarray:
-        """The hashes whose values are asked for: of entries, and of the contexts of tokens."""
-        both = np.sort(np.concatenate([entries, self.used()[1]]))
-        new = np.ones(len(both), bool)
-        new[1:] = both[1:] != both[:-1]
-        return both[new]
-
-    def applied(self, entry: np.ndarray, entries: np.ndarray, replies: pa.Table, parts: int) -> np.ndarray:
-        """The tokens' probabilities in this level's states. entry: the entry of each token, or -1."""
-        want = self.wanted(entries)
-        value = np.full(len(want), np.nan)
-        at, values = _answers(replies, VALUES, want, parts, np.float64)
-        value[at] = values
-        keep, (used, hashes) = np.ones(len(self.keys)), self.used()
-        if len(used):
-            keep[used] = np.nan_to_num(value[np.searchsorted(want, hashes)], nan=1.0)
-        p = self.p.astype(float) * keep[self.context]
-        on = np.flatnonzero(entry >= 0)
-        if len(on):
-            p[on] += np.nan_to_num(value[np.searchsorted(want, entries)], nan=0.0)[entry[on]]
+        order = np.argsort(self.keys[at])
+        return at[order], self.keys[at][order]
+
+    def applied(self, entry: np.ndarray, counts: np.ndarray, at: np.ndarray, keep: np.ndarray, discount: float) -> np.ndarray:
+        """The tokens' probabilities in this level's states. entry: the entry of each token, or -1; counts: of entries; at, keep:
+        which of the used contexts are states, and what weight each keeps for its shorter state. What an entry adds in a state
+        follows from its count and that of its context."""
+        kept = np.full(len(self.keys), np.nan)
+        kept[self.used()[0][at]] = keep
+        weight = kept[self.context]
+        on = np.flatnonzero(~np.isnan(weight))
+        p = self.p.copy()
+        p[on] *= weight[on]
+        on = on[entry[on] >= 0]
+        p[on] += np.maximum(counts[entry[on]] - discount, 0.0) / np.maximum(self.counts[self.context[on]], 1)
         return p
 
-    def next(self, entry: np.ndarray, entries: np.ndarray, counts: np.ndarray, p: np.ndarray) -> tuple[Level, np.ndarray]:
-        """The level of tokens behind one whose context and word are an entry, which is their context; and which tokens of
-        this level those are."""
+    def next(self, entry: np.ndarray, entries: np.ndarray, counts: np.ndarray, p: np.ndarray) -> Level:
+        """The level of tokens behind one whose context and word are an entry, which is their context. A longer context with
+        its word occurs no more often than the shorter one with that word: if this is no entry, neither is that."""
         at = np.flatnonzero((self.place[1:] == self.place[:-1] + 1) & (self.doc[1:] == self.doc[:-1]) & (entry[:-1] >= 0)) + 1
-        return Level(place=self.place[at], doc=self.doc[at], word=self.word[at], context=entry[at - 1], p=p[at], learn=self.learn[at], keys=entries, counts=counts, words=self.words), at
+        word = np.where(entry[at] >= 0, self.word[at], -1)
+        return Level(place=self.place[at], doc=self.doc[at], word=word, context=entry[at - 1], p=p[at], learn=self.learn[at], keys=entries, counts=counts, words=self.words)
 
 
-#: Packed arrays of a block's documents: tokens, known tokens, score of the unigram, score so far.
+#: Packed arrays of a block's documents: tokens, known tokens, score of the unigram, score of tokens that no level has.
 HEAD = (np.int32, np.int64, np.float64, np.float64)
 
 
@@ -330,31 +312,60 @@ FIRST = (np.int32, np.uint8, np.int64, np.uint64)
 
 
 class Block:
-    """A block's state between steps: arrays by document, a level, and which of its pairs are entries, with their counts. Of that
-    the entries' hashes and each token's entry (or -1) follow, as pairs of a level are always in the same order."""
+    """A block's state between steps: arrays by document, those of level 1, and of each level done which of its pairs are
+    entries, with their counts, and, of all but the last, which of its contexts are states, with the weights they keep.
+    Tokens, contexts and probabilities of longer levels follow from these, as pairs of a level are always in the same order:
+    a state grows with the text, and hardly with how much of it is frequent."""
 
-    def __init__(self, state: pa.Table, whole: int):
+    def __init__(self, state: pa.Table, whole: int, discount: float = DISCOUNT):
         state = state.combine_chunks()
-        self.block, body = state.column("block")[0].as_py(), state.column("body")[0].as_py()
+        self.block, self.body = state.column("block")[0].as_py(), state.column("body")[0].as_py()
         self.docs, self.kind = state.column("docs"), state.column("docs").type.value_type
-        self.head = [unpack(b, t).copy() for b, t in zip(body[: len(HEAD)], HEAD, strict=True)]
-        first, rest = body[len(HEAD)] == b"1", body[len(HEAD) + 1 :]
-        n = len(FIRST) if first else len(Level.FIELDS)
-        self.raw = [body[len(HEAD)], *rest[:n]]
-        self.level = Level.first(*(unpack(b, t) for b, t in zip(rest[:n], FIRST, strict=True)), self.head[0], whole) if first else Level.unpack(rest[:n])
+        self.head = [unpack(b, t) for b, t in zip(self.body[: len(HEAD)], HEAD, strict=True)]
+        n = len(HEAD) + 1 + len(FIRST)
+        first = [unpack(b, t) for b, t in zip(self.body[len(HEAD) + 1 : n], FIRST, strict=True)]
+        self.level, self.discount, self.done = Level.first(*first, self.head[0], whole), discount, int(self.body[len(HEAD)])
+        self.place, self.doc, self.p = self.level.place, self.level.doc, self.level.p.copy()
         self.entry = self.entries = self.counts = None
-        if len(rest) > n:
-            at, self.counts = np.cumsum(unpack(rest[n], np.int32), dtype=np.int64), unpack(rest[n + 1], np.int64)
+        for k in range(self.done):
+            if k:
+                self._longer(np.cumsum(unpack(self.body[n], np.int32), dtype=np.int64), unpack(self.body[n + 1], np.float32))
+                n += 2
             on, pair, keys, _, _ = self.level.pairs()
+            at, self.counts = np.cumsum(unpack(self.body[n], np.int32), dtype=np.int64), unpack(self.body[n + 1], np.int64)
             self.entry, self.entries = self.level.entry(on, pair, at, len(keys)), keys[at]
+            n += 2
+
+    def _applied(self, at: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """Probabilities in the last level's states; those of all its tokens go into p."""
+        p = self.level.applied(self.entry, self.counts, at, keep, self.discount)
+        self.p[np.searchsorted(self.place, self.level.place)] = p
+        return p
 
-    def finish(self, tokens: np.ndarray | slice, p: np.ndarray, doc: np.ndarray) -> None:
-        """Adds probabilities that are final to the scores of their documents."""
-        self.head[3] += np.bincount(doc[tokens], np.log10(p[tokens]), len(self.head[3]))
+    def _longer(self, at: np.ndarray, keep: np.ndarray) -> None:
+        self.level = self.level.next(self.entry, self.entries, self.counts, self._applied(at, keep))
 
-    def row(self, level: Level, *survivors: np.ndarray) -> pa.Table:
-        kept = self.raw if level is self.level else [b"n", *level.pack()]
-        return _rows(self.kind, self.docs[0].as_py(), block=[self.block], body=[[*map(pack, self.head), *kept, *map(pack, survivors)]])
+    def _told(self, replies: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        at, keep = _answers(replies, VALUES, self.level.used()[1], parts, np.float64)
+        return at, keep.astype(np.float32)
+
+    def longer(self, replies: pa.Table, parts: int) -> None:
+        """To the next level, by replies on the last one's contexts, which the state holds from now on."""
+        at, keep = self._told(replies, parts)
+        self.body = [*self.body, pack(np.diff(at, prepend=0).astype(np.int32)), pack(keep)]
+        self._longer(at, keep)
+
+    def scores(self, replies: pa.Table, parts: int) -> np.ndarray:
+        """The scores of documents, after the last level."""
+        if self.done:
+            self._applied(*self._told(replies, parts))
+        return self.head[3] + np.bincount(self.doc, np.log10(self.p), len(self.head[3]))
+
+    def row(self, at: np.ndarray, counts: np.ndarray) -> pa.Table:
+        """The state with the last level's entries, by their places among its pairs."""
+        n = len(HEAD)
+        body = [*self.body[:n], b"%d" % (self.done + 1), *self.body[n + 1 :], pack(np.diff(at, prepend=0).astype(np.int32)), pack(counts)]
+        return _rows(self.kind, self.docs[0].as_py(), block=[self.block], body=[body])
 
 
 def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", support: int = SUPPORT, depth: int = DEPTH, divergence: float = DIVERGENCE, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
@@ -431,7 +442,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         score = np.add.reduceat(np.where(apart | rest, log[ids], 0.0), starts)
         head = [sizes, np.add.reduceat((c[ids] > 0).astype(np.int64), starts), np.add.reduceat(log[ids], starts), score]
         block = state.column("block")[0].as_py()
-        out = [_rows(kind, state.column("docs")[0].as_py(), block=[block], body=[[*map(pack, head), b"1", pack(word), pack(learned), pack(c[often]), pack(keys[often])]])]
+        out = [_rows(kind, state.column("docs")[0].as_py(), block=[block], body=[[*map(pack, head), b"0", pack(word), pack(learned), pack(c[often]), pack(keys[often])]])]
         if depth:
             _, _, hashes, n, _ = level.pairs()
             out.append(_ask(block, hashes, n, parts, kind))
@@ -441,23 +452,18 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         """Step k, from 1 on: entries of level k are known, and values of level k - 1."""
 
         def run(state: pa.Table, replies: pa.Table) -> pa.Table:
-            b = Block(state, whole)
-            level = b.level
+            b = Block(state, whole, discount)
             if k > 1:
-                p = level.applied(b.entry, b.entries, replies, parts)
-                level, at = level.next(b.entry, b.entries, b.counts, p)
-                last = np.ones(len(p), bool)
-                last[at] = False
-                b.finish(last, p, b.level.doc)  # of tokens that go no further
+                b.longer(replies, parts)
+            level = b.level
             on, pair, keys, _, token = level.pairs()
             at, n, lead = _answers(replies, COUNTS, keys, parts, np.int64, np.uint8)
-            entry = level.entry(on, pair, at, len(keys))
             mine = np.flatnonzero(lead)
             one = token[at][mine]
-            out = [b.row(level, np.diff(at, prepend=0).astype(np.int32), n), _ask(b.block, level.wanted(keys[at]), None, parts, b.kind)]
-            out.append(_rows(b.kind, ctx=level.keys[level.context[one]].view(np.int64).tolist(), key=keys[at][mine].view(np.int64).tolist(), times=n[mine].tolist(), short=level.p[one].astype(float).tolist(), of=level.counts[level.context[one]].tolist()))
+            out = [b.row(at, n), _ask(b.block, level.used()[1], None, parts, b.kind)]
+            out.append(_rows(b.kind, ctx=level.keys[level.context[one]].view(np.int64).tolist(), times=n[mine].tolist(), short=level.p[one].tolist(), of=level.counts[level.context[one]].tolist()))
             if k < depth:
-                _, _, hashes, m, _ = level.next(entry, keys[at], n, level.p)[0].pairs()
+                _, _, hashes, m, _ = level.next(level.entry(on, pair, at, len(keys)), keys[at], n, level.p).pairs()
                 out.append(_ask(b.block, hashes, m, parts, b.kind))
             return pa.concat_tables(out)
 
@@ -482,11 +488,9 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
     out = T.StructType([T.StructField("doc_id", doc_type), *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def end(state: pa.Table, replies: pa.Table) -> pa.Table:
-        b = Block(state, whole)
-        p = b.level.applied(b.entry, b.entries, replies, parts) if b.entry is not None else b.level.p.astype(float)
-        b.finish(slice(None), p, b.level.doc)
-        sizes, n_known, base, score = b.head
-        return pa.table([b.docs.combine_chunks().values, pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=out.names)
+        b = Block(state, whole, discount)
+        sizes, n_known, base, _ = b.head
+        return pa.table([b.docs.combine_chunks().values, pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(b.scores(replies, parts))], names=out.names)
 
     name = f"level{depth}"
     whole_step = T.StructType([*step.fields, T.StructField("turn", T.IntegerType())])
@@ -496,20 +500,17 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
 
 
 def _values(entries: DataFrame, divergence: float, discount: float) -> DataFrame:
-    """(key, value) of a level's states: of an entry its share beyond the shorter state, of a context what weight that keeps.
+    """(key, value) of a level's states: the context, and what weight it keeps for the shorter state.
 
-    entries: ctx, key, times, short (the word's probability in the shorter state) and of (occurrences of the context). A
+    entries: ctx, times, short (the word's probability in the shorter state) and of (occurrences of the context). A
     context is a state if its predictions beat the shorter state's by `divergence` nats over the training text, words
     without an entry included."""
-    e = entries.select("ctx", "key", F.col("times").cast("double").alias("n"), "short", F.greatest(F.col("of"), F.lit(1)).cast("double").alias("of"))
+    e = entries.select("ctx", F.col("times").cast("double").alias("n"), "short", F.greatest(F.col("of"), F.lit(1)).cast("double").alias("of"))
     e = e.withColumn("add", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("of"))
     mass = e.groupBy("ctx").agg(F.greatest(1 - F.sum("add"), F.lit(1e-9)).alias("keep"), F.sum("n").alias("seen"))
     both = e.join(mass, "ctx").withColumn("gain", F.col("n") * F.ln((F.col("add") + F.col("keep") * F.col("short")) / F.col("short")))
     gain = both.groupBy("ctx").agg(F.sum("gain").alias("gain"), F.max("of").alias("of"), F.max("keep").alias("keep"), F.max("seen").alias("seen"))
-    states = gain.where(F.col("gain") + (F.col("of") - F.col("seen")) * F.ln("keep") >= divergence).select("ctx", "keep")
-    salt = int(AS_CONTEXT.view(np.int64))
-    shares = e.join(states.select("ctx"), "ctx", "left_semi").select("key", F.col("add").alias("value"))
-    return shares.union(states.select(F.col("ctx").bitwiseXOR(F.lit(salt)).alias("key"), F.col("keep").alias("value")))
+    return gain.where(F.col("gain") + (F.col("of") - F.col("seen")) * F.ln("keep") >= divergence).select(F.col("ctx").alias("key"), F.col("keep").alias("value"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
