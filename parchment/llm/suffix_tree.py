@@ -492,11 +492,15 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         sizes, n_known, base, _ = b.head
         return pa.table([b.docs.combine_chunks().values, pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(b.scores(replies, parts))], names=out.names)
 
-    name = f"level{depth}"
-    whole_step = T.StructType([*step.fields, T.StructField("turn", T.IntegerType())])
-    last = answered(scratch.read(f"{name}/kind=values", whole_step), known, parts) if known is not None else docs.sparkSession.createDataFrame([], REPLY_DDL)
-    states = scratch.read(f"{name}/kind=state", whole_step).select(*small)
-    return states.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(end, out)
+    name, told = f"level{depth}", f"answers{depth + 1}"
+    for j in range(PASSES if depth else 0):
+        replied(told, answered(part(name, "values", j), known, parts, j))
+        scratch.drop(f"{name}/kind=values/turn={j}")
+    for j in range(PASSES):
+        scratch.add(part(name, "state", j).select(*small).groupBy("block").cogroup(replies(told, j).groupBy("block")).applyInArrow(end, out), "scores")
+        scratch.drop(f"{name}/kind=state/turn={j}", f"{told}/turn={j}")
+    scratch.drop(f"known{depth}")
+    return scratch.read("scores", out)
 
 
 def _values(entries: DataFrame, divergence: float, discount: float) -> DataFrame:

@@ -30,6 +30,24 @@ def test_states_and_asks_do_not_grow_with_levels(spark, monkeypatch):
     assert size["asked"] == 13  # twelve words and the end; pairs of them aren't asked for
 
 
+def test_states_go_as_blocks_are_scored(spark, monkeypatch):
+    """Of the last level's states, only those of later passes are still on disk, and none at the end."""
+    left, add = [], Scratch.add
+    size = lambda at: sum(f.stat().st_size for f in Path(at.removeprefix("file:"), "level1/kind=state").rglob("*.parquet"))
+
+    def spy(self, df, name, *by):
+        if name == "scores":
+            left.append((size(self.at), self.at))
+        add(self, df, name, *by)
+
+    monkeypatch.setattr(Scratch, "add", spy)
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice("abcd") for _ in range(60))) for i in range(80)], "doc_id long, text string").repartition(2)
+    assert st.lm_score(docs, F.lit(True), depth=1, block_bytes=2000).count() == 80
+    sizes = [x for x, _ in left]
+    assert len(sizes) == st.PASSES and all(x > y for x, y in zip(sizes, sizes[1:], strict=False)) and size(left[0][1]) == 0
+
+
 def test_only_pairs_whose_shorter_pair_is_an_entry_are_asked():
     """Three words can't be frequent if the last two aren't."""
     rnd = np.random.default_rng(4)
