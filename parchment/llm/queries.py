@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, packing, quality, simhash, substrings, suffix_tree, topk, toxicity, warc
+from . import balls, chat, decontamination, grouping, packing, quality, simhash, substrings, suffix_tree, topk, toxicity, turns, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_decontamination": decontamination.op9,
     "op10_warc": warc.op10,
+    "op11_grouping": grouping.op11,
+    "op12_turns": turns.op12,
+    "op13_balls": balls.op13,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op5_topk": topk.OP5_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_turns": turns.OP12_SQL,
+    "op13_balls": balls.OP13_SQL,
 }
