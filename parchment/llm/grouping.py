@@ -3,7 +3,7 @@
 Genes are whole sequences, not documents. A crossover puts well-filled sequences of one parent into the other, takes out
 those of the other that hold any of the same documents, and best-fits the documents that lost their place. Documents lie
 in shards of bounded size; several islands breed packings of each shard, every one in a row of its own, and their elites
-migrate by a join between epochs. Sequences without any room are done. The documents of all others go on to the next
+migrate between epochs. Sequences without any room are done. The documents of all others go on to the next
 level, dealt to fewer shards, so that what each shard leaves open is filled from others.
 """
 
@@ -25,103 +25,116 @@ from .packing import END, Ids
 LENGTH = 2048
 #: Documents of a shard, islands that breed a shard, packings on an island, epochs, and children of an epoch.
 SHARD, ISLANDS, POPULATION, EPOCHS, CHILDREN = 2048, 4, 6, 3, 30
+ISLANDS_A_TASK = 16
 #: A level whose open sequences hold over this share of its documents again is the last: further ones gain nothing.
 SHRINKS = 0.9
 
 
-def best_fit(items: list[int], sizes: list[int], where: list[int], room: list[int], capacity: int) -> None:
-    """Puts each item, in this order, into the sequence where the least room stays, or into a new one.
+def best_fit(items: list[int], open_: list[int], rooms: list[int], n: int, capacity: int) -> tuple[list[int], dict[int, int]]:
+    """Puts each of some sizes, in this order, into the sequence where the least room stays, or into a new one.
 
-    where (sequence of each item) and room (of each sequence) change in place. Sequences wait by their room; one number
-    whose bits are the rooms that occur finds the least that is large enough.
+    open_ are the sequences with room, rooms how much they have, n the number of all. Returns the sequence of each item, and
+    the room left in those with room and the new ones, by number. Sequences wait by their room; one number whose bits are the
+    rooms that occur finds the least that is large enough.
     """
     waiting: dict[int, list[int]] = {}
-    rooms = 0
-    for b, r in enumerate(room):
-        if r:
-            waiting.setdefault(r, []).append(b)
-            rooms |= 1 << r
-    for i in items:
-        size = sizes[i]
-        fits = rooms >> size
+    bits, left_in, where = 0, dict(zip(open_, rooms)), []
+    for b, r in zip(open_, rooms):
+        if r in waiting:
+            waiting[r].append(b)
+        else:
+            waiting[r] = [b]
+            bits |= 1 << r
+    for size in items:
+        fits = bits >> size
         if fits:
             r = size + (fits & -fits).bit_length() - 1
             held = waiting[r]
             b = held.pop()
             if not held:
-                rooms ^= 1 << r
+                del waiting[r]
+                bits ^= 1 << r
             left = r - size
         else:
-            b, left = len(room), capacity - size
-            room.append(left)
-        room[b], where[i] = left, b
+            b, left, n = n, capacity - size, n + 1
+        left_in[b] = left
+        where.append(b)
         if left:
-            waiting.setdefault(left, []).append(b)
-            rooms |= 1 << left
+            if left in waiting:
+                waiting[left].append(b)
+            else:
+                waiting[left] = [b]
+                bits |= 1 << left
+    return where, left_in
 
 
 class Packing:
     """A packing of a shard: the sequence of each item, and the room in each sequence."""
 
-    def __init__(self, where: np.ndarray, sizes: np.ndarray, capacity: int):
-        self.where = where
-        self.room = capacity - np.bincount(where, sizes, int(where.max(initial=-1)) + 1).astype(np.int64)
+    def __init__(self, where: np.ndarray, room: np.ndarray):
+        self.where, self.room = where, room
         #: Less is better: fewer sequences, then the room in as few of them as possible.
-        self.cost = (len(self.room), -int((self.room**2).sum()))
+        self.cost = (len(room), -int(room @ room))
+
+    @classmethod
+    def of(cls, where: np.ndarray, sizes: np.ndarray, capacity: int) -> Packing:
+        return cls(where, capacity - np.bincount(where, sizes).astype(np.int64))
 
     def ideal(self, sizes: np.ndarray, capacity: int) -> bool:
         """Nothing can be better: the least number of sequences, at most one of which has room."""
-        return len(self.room) == -(-int(sizes.sum()) // capacity) and np.count_nonzero(self.room) <= 1
+        return np.count_nonzero(self.room) <= 1 and len(self.room) == -(-int(sizes.sum()) // capacity)
 
 
-def rebuilt(base: Packing, out: np.ndarray, inside: np.ndarray, new: np.ndarray, sizes: np.ndarray, capacity: int, noise: np.ndarray) -> Packing:
-    """base without the sequences `out`, with the items `inside` in new sequences (numbers `new`, from 0 gapless), and the
-    items that lost their place best-fitted by descending size, disturbed by noise."""
-    kept = np.cumsum(~out) - 1
-    n_kept = int((~out).sum())
-    lost = out[base.where] & ~inside
-    where = np.where(inside, n_kept + new, kept[base.where])
-    room = np.concatenate([base.room[~out], capacity - np.bincount(new[inside], sizes[inside], int(new[inside].max(initial=-1)) + 1).astype(np.int64)])
-    items = np.flatnonzero(lost)
-    items = items[np.argsort(-sizes[items] * noise[items], kind="stable")]
-    places, rooms = where.tolist(), room.tolist()
-    best_fit(items.tolist(), sizes.tolist(), places, rooms, capacity)
-    return Packing(np.array(places, np.int64), sizes, capacity)
+def rebuilt(lost: np.ndarray, where: np.ndarray, room: np.ndarray, sizes: np.ndarray, capacity: int, noise: float, rng: np.random.Generator) -> Packing:
+    """The packing (where, room), whose items `lost` have no place yet: they are best-fitted by descending size, disturbed by
+    up to a share of noise. where changes in place."""
+    n_kept = len(room)
+    key = sizes[lost] * (1 - noise * rng.random(len(lost))) if noise else sizes[lost]
+    lost = lost[np.argsort(-key, kind="stable")]
+    open_ = np.flatnonzero(room)
+    places, left_in = best_fit(sizes[lost].tolist(), open_.tolist(), room[open_].tolist(), n_kept, capacity)
+    where[lost] = places
+    after = np.zeros(max(n_kept, max(left_in, default=-1) + 1), np.int64)
+    after[: n_kept] = room
+    after[np.fromiter(left_in, np.int64, len(left_in))] = np.fromiter(left_in.values(), np.int64, len(left_in))
+    return Packing(where, after)
 
 
 def crossed(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
-    """a with up to an eighth of b's sequences, drawn from its better-filled half, injected whole."""
-    order = np.lexsort((rng.random(len(b.room)), b.room))
-    good = order[: max(1, len(order) // 2)]
-    pick = rng.choice(good, rng.integers(1, max(2, len(b.room) // 8 + 1)))
+    """a with up to an eighth of b's sequences, drawn from its better-filled half, injected whole: a's sequences that hold any
+    of the same items go, and what else they held is best-fitted."""
+    good = np.argpartition(b.room + rng.random(len(b.room)), len(b.room) // 2)[: max(1, len(b.room) // 2)]
     chosen = np.zeros(len(b.room), bool)
-    chosen[pick] = True
-    inside, new = chosen[b.where], (np.cumsum(chosen) - 1)[b.where]
+    chosen[good[rng.integers(0, len(good), rng.integers(1, max(2, len(b.room) // 8 + 1)))]] = True
+    inside = chosen[b.where]
     out = np.zeros(len(a.room), bool)
     out[a.where[inside]] = True
-    return rebuilt(a, out, inside, new, sizes, capacity, np.ones(len(sizes)))
+    stay = ~out
+    n = int(stay.sum())
+    where = np.where(inside, (n - 1 + np.cumsum(chosen))[b.where], (np.cumsum(stay) - 1)[a.where])
+    lost = np.flatnonzero(out[a.where] & ~inside)
+    return rebuilt(lost, where, np.concatenate([a.room[stay], b.room[chosen]]), sizes, capacity, 0, rng)
 
 
 def mutated(a: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
-    """a with some sequences that have room, and some that have none, dissolved and best-fitted again."""
+    """a with some sequences that have room, and half as many that have none, dissolved and best-fitted again."""
     open_, full = np.flatnonzero(a.room), np.flatnonzero(a.room == 0)
     n = max(2, len(a.room) // 16)
     out = np.zeros(len(a.room), bool)
-    out[rng.choice(open_, min(len(open_), n), replace=False)] = True
-    out[rng.choice(full, min(len(full), n // 2), replace=False)] = True
+    for some, k in ((open_, n), (full, n // 2)):
+        if len(some):
+            out[some[rng.integers(0, len(some), k)]] = True
     out[np.argmax(a.room)] = True
-    none = np.zeros(len(sizes), bool)
-    return rebuilt(a, out, none, np.zeros(len(sizes), np.int64), sizes, capacity, rng.uniform(0.7, 1.0, len(sizes)) if rng.random() < 0.5 else np.ones(len(sizes)))
+    stay = ~out
+    lost = np.flatnonzero(out[a.where])
+    return rebuilt(lost, (np.cumsum(stay) - 1)[a.where], a.room[stay], sizes, capacity, 0.3 * (rng.random() < 0.5), rng)
 
 
 def founders(sizes: np.ndarray, capacity: int, n: int, rng: np.random.Generator) -> list[Packing]:
     """Best fit by descending size, the first as it is, all others with disturbed sizes."""
-    out = []
+    none, out = np.zeros(0, np.int64), []
     for k in range(n):
-        noise = np.ones(len(sizes)) if k == 0 else rng.uniform(0.6, 1.0, len(sizes))
-        places: list[int] = [0] * len(sizes)
-        best_fit(np.argsort(-sizes * noise, kind="stable").tolist(), sizes.tolist(), places, [], capacity)
-        out.append(Packing(np.array(places, np.int64), sizes, capacity))
+        out.append(rebuilt(np.arange(len(sizes)), np.zeros(len(sizes), np.int64), none, sizes, capacity, 0.4 * (k > 0), rng))
         if out[-1].ideal(sizes, capacity):
             break
     return out
@@ -133,7 +146,8 @@ def breed(population: list[Packing], sizes: np.ndarray, capacity: int, children:
     for _ in range(children):
         if population[0].ideal(sizes, capacity):
             break
-        a, b = (population[min(rng.integers(0, len(population), 2))] for _ in range(2))
+        i, j = rng.integers(0, len(population), (2, 2)).min(axis=1)
+        a, b = population[i], population[j]
         child = crossed(a, b, sizes, capacity, rng) if a is not b and rng.random() < 0.5 else mutated(a, sizes, capacity, rng)
         if all(child.cost != p.cost for p in population):
             population.append(child)
@@ -142,24 +156,38 @@ def breed(population: list[Packing], sizes: np.ndarray, capacity: int, children:
     return population
 
 
-#: An island: its shard's sizes, and its packings' sequences as 16-bit numbers, best first.
-ISLAND = "level int, shard long, island int, epoch int, sizes binary, packings array<binary>, sequences long, spread double"
+#: An island, or a packing that migrates to it (then without sizes): packings are their sequences as 16-bit numbers, best first.
+ISLAND = "shard long, island int, migrates boolean, sizes binary, packings array<binary>, sequences long, spread double"
+_ISLAND = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("migrates", pa.bool_()), ("sizes", pa.binary()), ("packings", pa.list_(pa.binary())), ("sequences", pa.int64()), ("spread", pa.float64())])
 
 
-def _islands(batches: Iterator[pa.RecordBatch], capacity: int, children: int, population: int) -> Iterator[pa.RecordBatch]:
-    """Founds or breeds each row's island; migrants join it first. The same row gives the same island again."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            rng = np.random.default_rng([row["level"], row["shard"], row["island"], row["epoch"]])
-            sizes = np.frombuffer(row["sizes"], np.uint16).astype(np.int64)
-            held = [Packing(np.frombuffer(x, np.uint16).astype(np.int64), sizes, capacity) for x in [*(row["packings"] or []), *([row["migrant"]] if row["migrant"] else [])]]
-            held = breed(held or founders(sizes, capacity, population, rng), sizes, capacity, children, population, rng)
-            row |= {"packings": [p.where.astype(np.uint16).tobytes() for p in held], "sequences": held[0].cost[0], "spread": float(held[0].cost[1]), "epoch": row["epoch"] + 1}
-            row.pop("migrant")
-            yield pa.RecordBatch.from_pylist([row], schema=_ISLAND)
+def _islands(batches: Iterator[pa.RecordBatch], seed: tuple[int, int], capacity: int, islands: int, children: int, population: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Founds or breeds islands, each of which its migrant follows, if there is one; sends each one's best to the next island
+    of the shard, or, in the last epoch, gives that alone. The same rows give the same rows again."""
+    now = None
 
+    def end() -> pa.RecordBatch:
+        rng = np.random.default_rng([*seed, now["shard"], now["island"]])
+        sizes = np.frombuffer(now["sizes"], np.uint16).astype(np.int64)
+        held = [Packing.of(np.frombuffer(x, np.uint16).astype(np.int64), sizes, capacity) for x in now["packings"] or []]
+        held = breed(held or founders(sizes, capacity, population, rng), sizes, capacity, children, population, rng)
+        found = [p.where.astype(np.uint16).tobytes() for p in held]
+        best = {"shard": now["shard"], "packings": found[:1], "sequences": held[0].cost[0], "spread": float(held[0].cost[1])}
+        if last:
+            return pa.RecordBatch.from_pylist([best | {"island": now["island"]}], schema=_ISLAND)
+        return pa.RecordBatch.from_pylist([now | {"packings": found}, best | {"island": (now["island"] + 1) % islands, "migrates": True}], schema=_ISLAND)
 
-_ISLAND = pa.schema([("level", pa.int32()), ("shard", pa.int64()), ("island", pa.int32()), ("epoch", pa.int32()), ("sizes", pa.binary()), ("packings", pa.list_(pa.binary())), ("sequences", pa.int64()), ("spread", pa.float64())])
+    for batch in batches:
+        for i in range(len(batch)):
+            (row,) = batch.slice(i, 1).to_pylist()
+            if row["migrates"]:
+                now["packings"] += row["packings"]
+            else:
+                if now:
+                    yield end()
+                now = row
+    if now:
+        yield end()
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,19 +231,16 @@ def group(items: DataFrame, scratch: Scratch, capacity: int = LENGTH, shard: int
         deal = F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).alias("shard")
         held = scratch.put(now.select(deal, F.struct("uid", *(c for c in names if c != "uid")).alias("item")).groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items")), f"shards{level}")
         sizes = held.mapInArrow(_sizes, "shard long, sizes binary")
-        start = sizes.select(F.lit(level).alias("level"), "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(0).alias("epoch"), "sizes", F.lit(None).cast("array<binary>").alias("packings"), F.lit(None).cast("binary").alias("migrant"))
-        spread = max(parts(items), min(shards * islands, 4 * parts(items)))
-        alive = None
+        alive = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(False).alias("migrates"), "sizes", F.lit(None).cast("array<binary>").alias("packings"))
+        # About ISLANDS_A_TASK islands a task, or fewer where there aren't enough for all cores.
+        spread = max(min(shards * islands, items.sparkSession.sparkContext.defaultParallelism), shards * islands // ISLANDS_A_TASK)
         for epoch in range(epochs):
-            if epoch:
-                migrants = alive.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.get("packings", F.lit(0)).alias("migrant"))
-                start = alive.join(migrants, ["shard", "island"]).select("level", "shard", "island", "epoch", "sizes", "packings", "migrant")
-            alive = scratch.put(start.repartition(spread, "shard", "island").mapInArrow(lambda b: _islands(b, capacity, children, population), ISLAND), f"islands{level}_{epoch}")
-            scratch.drop(f"islands{level}_{epoch - 1}")
+            alive = alive.repartition(spread, "shard", "island").sortWithinPartitions("shard", "island", "migrates")
+            alive = alive.mapInArrow(lambda b, seed=(level, epoch): _islands(b, seed, capacity, islands, children, population, seed[1] == epochs - 1), ISLAND)
         best = alive.groupBy("shard").agg(F.min_by(F.get("packings", F.lit(0)), F.struct("sequences", "spread", "island")).alias("packing"))
         schema = T.StructType([*(items.schema[c] for c in sorted(names, key=lambda c: c != "uid")), *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "room"))])
         put = scratch.put(held.join(best, "shard").mapInArrow(lambda b, level=level: _placed(b, level, capacity), schema), f"placed{level}")
-        scratch.drop(f"shards{level}", f"islands{level}_{epochs - 1}")
+        scratch.drop(f"shards{level}")
         left = put.where("room > 0").count() if shards > 1 else 0
         last = shards == 1 or left == 0 or left > SHRINKS * n
         out = (put if last else put.where("room = 0")).drop("room")
