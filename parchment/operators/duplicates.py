@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays as sets; 0 if either is empty."""
@@ -23,11 +25,9 @@ def sign_bits(v: Column) -> Column:
 
 
 def circular_neighbours(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Each row of a group with two or more paired with the next, the last with the first."""
-    w = Window.partitionBy(group).orderBy(order)
-    whole = Window.partitionBy(group)
-    nxt = F.coalesce(F.lead(order).over(w), F.min(order).over(whole))
-    return df.select(group, F.col(order).alias("original"), nxt.alias("candidate"), F.count("*").over(whole).alias("_n")).where("_n > 1").drop("_n")
+    """Each row of a group with two or more paired with the next, the last with the first. Groups may be of any size."""
+    near = ordered.neighbours(df.select(group, order), [group], [order], [order], circular=True)
+    return near.where("group_size > 1").select(group, F.col(order).alias("original"), F.col("after")[order].alias("candidate"))
 
 
 def sweep(pairs: DataFrame, thresholds: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9)) -> DataFrame:

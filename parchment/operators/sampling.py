@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def seeded(*keys: str, seed: int = 42) -> Column:
     """A pseudo-random order that depends on keys and seed alone."""
@@ -26,9 +28,9 @@ def quotas(df: DataFrame, stratum: str, cap: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, stratum: str, cap: int, order: Column) -> DataFrame:
-    """The first rows by `order` of each stratum, as many as its quota."""
+    """The first rows by `order` of each stratum, as many as its quota. Strata may be of any size."""
     named = df.withColumn(stratum, F.coalesce(F.col(stratum), F.lit("")))
-    ranked = named.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
+    ranked = ordered.rank(named, [stratum], [order], "_rank")
     return ranked.join(quotas(df, stratum, cap).drop("size"), stratum).where("_rank <= quota").drop("_rank", "quota")
 
 
