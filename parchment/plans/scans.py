@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import ledger_scan as scan_of_ledgers
 from ..operators import ordered
 from ..operators.ledger import MONEY
-from ..sources.scratch import keep
+from ..sources import commits, lines
+from ..sources.scratch import keep, shared_dir
+from ..streaming import state
 from .catalogue import query, r6, t
 
 # --- ledgers: all orders of a priority are one ledger; some balances are missing or wrong, some sums have no side ---
@@ -63,3 +68,47 @@ def event_order(spark, d):
     dealt = ordered.ranged(t(spark, d, "events").select("event_id", "event_type", "ts"), ["event_type"], order)
     near = ordered.with_neighbours(ordered.with_rank(dealt, order, "place"), order, ["event_id"])
     return near.select("event_id", "place", F.col("before.event_id").alias("previous"), F.col("after.event_id").alias("next"))
+
+
+# --- lines, commits and state of logs -----------------------------------------------------------------------------
+
+
+def _folder(spark, what):
+    return f"{shared_dir(spark)}/parchment-{what}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS in_order FROM events")
+def event_lines(spark, d):
+    """Events as JSON Lines, an ordered file a type, read back with their numbers: does a line's number tell its event's
+    place in the file?"""
+    e = t(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    path = _folder(spark, "lines")
+    e.repartition("event_type").sortWithinPartitions("event_type", "event_id").withColumn("type", F.col("event_type")).write.partitionBy("type").option("maxRecordsPerFile", 20_000).json(path)
+    rows = lines.typed_rows(spark, f"{path}/*", StructType([StructField("event_id", LongType(), False), StructField("event_type", StringType(), False), StructField("k", LongType())]))
+    return ordered.rank(rows, ["file"], ["event_id"], "place").select("event_id", "event_type", "k", (F.col("place") == F.col("number")).alias("in_order"))
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def committed_events(spark, d):
+    """A table to which a write of each type is one commit, one of them twice under one name."""
+    e = t(spark, d, "events").select("event_id", "event_type", "value")
+    path = _folder(spark, "commits")
+    types = [r.event_type for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # few types
+    for name in [*types, *types[:1]]:
+        commits.append(e.where(F.col("event_type") == name), path, name)
+    rows = commits.read(spark, path, e.schema)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def latest_state(spark, d):
+    """The last event of each user, kept as state of a stream over the log."""
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")  # a glob, as it may be one file
+    at = _folder(spark, "state")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        state.keep_latest(stream, ["user_id"], "event_id", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return state.read_state(spark, f"{at}/checkpoint", ["user_id"]).select("user_id", "event_id", "event_type", "value")
