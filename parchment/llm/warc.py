@@ -136,7 +136,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no WARC record at byte {at}")
         lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
         head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        stop = end + 4 + int(head["Content-Length"])
+        declared = next((v for k, v in head.items() if k.lower() == "content-length"), "")
+        if not declared.isdecimal():
+            raise ValueError(f"WARC record at byte {at} declares no length")
+        stop = end + 4 + int(declared)
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"WARC record at byte {at} doesn't end where it says")
         yield head, data[end + 4 : stop]
@@ -150,15 +153,21 @@ def warcinfo(name: str) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + about + b"\r\n\r\n"
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The contents of each gzip member of a file, one after the other."""
-    while data:
-        d = zlib.decompressobj(31)
-        out = d.decompress(data) + d.flush()
-        if not d.eof:
-            raise ValueError("a gzip member is cut off")
-        yield out
-        data = d.unused_data.lstrip(b"\0")
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of each gzip member of a file, one after the other. Bytes are fed in slices of `step`, so that what is
+    left behind a member's end, and copied, is less than that."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            part = view[at : at + step]
+            out.append(d.decompress(part))
+            at += len(part) - len(d.unused_data)
+        yield b"".join(out)
+        while at < len(view) and view[at] == 0:
+            at += 1
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -179,11 +188,12 @@ def _files(path: str):
 
 class ArchiveWriter:
     """WARC files of about `most` bytes under a folder: a gzip member for each record, the first a warcinfo. A file has its
-    name only once it is whole; a task that runs again writes the same names."""
+    name only once it is whole. Names hold the stem, which is an attempt's own: attempts never write over each other."""
 
     def __init__(self, path: str, stem: str, most: int):
         self.fs, self.path = _files(path)
         self.stem, self.most, self.n, self.parts, self.size = stem, most, 0, [], 0
+        self.names: list[str] = []
         self.fs.create_dir(self.path, recursive=True)
 
     def add(self, record: bytes) -> None:
@@ -208,15 +218,27 @@ class ArchiveWriter:
                 f.write(p)
         self.fs.move(draft, name)
         self.n, self.parts, self.size = self.n + 1, [], 0
+        self.names.append(name.rsplit("/", 1)[1])
         return name
 
 
+MANIFEST = "n long, names array<string>"
+
+
+def manifest_of(path: str) -> str:
+    """The table (records, files) of the tasks that wrote an archive."""
+    return f"{path.rstrip('/')}.manifest"
+
+
 def archive_pages(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> int:
     """Writes gzipped WARC files under path, and tells how many records: each page goes through an ARC record (version 1 or 2
     in turn) and the converter. Of pages with equal payloads of at least `least` bytes the one with the smallest id is a response,
     the others revisit it; rows that repeat the smallest id are responses too. Null html is an empty payload; null
     ids never are the smallest, unless all of the group are null: then all are responses. Null urls are "-".
 
+    Which files a finished task wrote is told by a table beside the folder (manifest_of()), which read_archives() goes by: files
+    of attempts that failed, were lost or came second are no part of the archive.
+
     Payloads with very many copies don't meet in one task: which is the first of them is broadcast.
     """
     rows = pages.select(F.col(id).cast("long").alias("id"), F.coalesce(url, F.lit("-")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
@@ -234,7 +256,7 @@ def archive_pages(pages: DataFrame, path: str, id: str = "page_id", url: str = "
 
     def run(batches):
         context = TaskContext.get()
-        out, n = ArchiveWriter(path, f"part-{context.partitionId():06d}", file_bytes), 0
+        out, n = ArchiveWriter(path, f"part-{context.partitionId():06d}-{uuid.uuid4().hex[:12]}", file_bytes), 0
         for batch in batches:
             for i, link, payload, of, of_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Source-Id: {i}\r\n" if i is not None else "") + f"Content-Length: {len(payload)}\r\n\r\n"
@@ -244,34 +266,57 @@ def archive_pages(pages: DataFrame, path: str, id: str = "page_id", url: str = "
                     out.add(to_warc(r, str(i), None if of is None else (of_url, str(of)), more))
                     n += 1
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([out.names], pa.list_(pa.string()))], names=["n", "names"])
 
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(manifest_of(path))
+    return pages.sparkSession.read.schema(MANIFEST).parquet(manifest_of(path)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
+def measured(head: dict[str, str], block: bytes) -> tuple | None:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a record; None if it is no response, revisit or
+    resource. Header names count in any case; what isn't there, or is no number, is null. A declared SHA-1 must be right."""
+    head = {k.lower(): v for k, v in head.items()}
+    kind = head.get("warc-type", "").lower()
+    if kind not in ("response", "revisit", "resource"):
+        return None
+    http, payload = split_http(block) or (b"", block)
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\n")[1:])}
+    own, of, revisit = fields.get("x-source-id"), head.get("x-refers-to-source-id"), kind == "revisit"
+    label, _, digest = head.get("warc-payload-digest", "").partition(":")
+    declared = digest.upper() if label.lower() == "sha1" and digest else None
+    if revisit:
+        return _number(own), _number(fields.get("content-length")) if fields else 0, declared, kind, _number(of)
+    if declared and declared != base32_sha1(payload):
+        raise ValueError(f"digest of page {own} differs")
+    return _number(own), len(payload), base32_sha1(payload), kind, _number(of)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under path, of all gzip members. Responses are measured; a revisit tells what it
-    declares. Other records, and such of other writers that name no source page, have nulls there."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
+    """The records of the WARC files under path, of all gzip members: of the files that the archive's manifest names, or of all
+    where there is none. Responses are measured; a revisit tells what it declares. Other records are left out; such of other
+    writers that name no source page have nulls there."""
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(manifest_of(path))
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz")
+    if manifest.getFileSystem(spark._jsc.hadoopConfiguration()).exists(manifest):
+        # Names of files, as Spark's own listing holds them on the driver.
+        names = [r.name for r in spark.read.schema(MANIFEST).parquet(manifest_of(path)).select(F.explode("names").alias("name")).collect()]
+        if not names:
+            return spark.createDataFrame([], PAGES)
+        files = reader.load([f"{path.rstrip('/')}/{name}" for name in names]).select("content")
+    else:
+        files = reader.load(path).select("content")
 
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                out = []
-                for head, block in read_warc(content.as_py()):
-                    if head["WARC-Type"] not in ("response", "revisit", "resource"):
-                        continue
-                    http, payload = split_http(block) or (b"", block)
-                    fields = dict(x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:] if x)
-                    own, of = fields.get("X-Source-Id"), head.get("X-Refers-To-Source-Id")
-                    revisit = head["WARC-Type"] == "revisit"
-                    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or (None if revisit else base32_sha1(payload))
-                    if not revisit and digest != base32_sha1(payload):
-                        raise ValueError(f"digest of page {own} differs")
-                    out.append((own and int(own), int(fields.get("Content-Length", 0)) if revisit else len(payload), digest, head["WARC-Type"], of and int(of)))
+                out = [m for head, block in read_warc(content.as_py()) if (m := measured(head, block))]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 columns = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PAGES.split(", ")])
