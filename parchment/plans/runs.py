@@ -235,7 +235,7 @@ def official_scores(spark, d):
     return c.select("c_custkey", official.short_answer_udf(pred, truth).alias("short"), official.field_score_udf(reply, want).alias("field"))
 
 
-@query("""SELECT p_partkey, p_name AS text, CAST(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS blocks, (CASE p_partkey % 3 WHEN 1 THEN p_size * 2 ELSE p_size * 4 END)::DOUBLE AS x1, CASE p_partkey % 3 WHEN 0 THEN 'truncated JSON: salvaged 2 complete blocks' END AS parse_error, CAST((p_partkey % 3 = 2)::INT AS INTEGER) AS tables FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 1 THEN p_name ELSE '' END AS text, CAST(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS blocks, (CASE p_partkey % 3 WHEN 1 THEN p_size * 2 ELSE p_size * 4 END)::DOUBLE AS x1, CASE p_partkey % 3 WHEN 0 THEN 'truncated JSON: salvaged 2 complete blocks' END AS parse_error, CAST((p_partkey % 3 = 2)::INT AS INTEGER) AS tables FROM part""")
 def layout_replies(spark, d):
     """Layout JSON that was cut off, layout lines, and a pipeline's result, with boxes in pixels of the original."""
     p, k = t(spark, d, "part"), F.col("p_partkey") % 3
@@ -246,8 +246,7 @@ def layout_replies(spark, d):
     raw, name = F.when(k == 0, a).when(k == 1, b).otherwise(c), chosen(k, "dots_layout_json", "teleocr_layout", "paddle_layout")
     size = lambda w, h: F.array(S(w), S(h))
     page = p.select("p_partkey", "p_name", pages.parse_page(name, raw, original=size(2000, 2000), sent=size(1000, 1000)).alias("g"))
-    said = F.when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.split("g.text", "\n")[0])  # layout lines hold no text
-    return page.select("p_partkey", said.alias("text"), F.size("g.blocks").alias("blocks"), F.col("g.blocks")[0]["box"]["x1"].alias("x1"), "g.parse_error", F.size("g.tables").alias("tables"))
+    return page.select("p_partkey", F.split("g.text", "\n")[0].alias("text"), F.size("g.blocks").alias("blocks"), F.col("g.blocks")[0]["box"]["x1"].alias("x1"), "g.parse_error", F.size("g.tables").alias("tables"))
 
 
 @query("""SELECT p_partkey, CAST(p_size AS INTEGER) AS x1, CAST(least(greatest(round_even(p_size * 640 / 1000, 0), 0), 639) AS BIGINT) AS px1, CAST(CASE WHEN h * w > 11289600 THEN floor(p_size * 100 / sqrt(p_size * 100 * p_size * 90 / 11289600.0) / 28) * 28 ELSE h END AS BIGINT) AS height FROM (SELECT *, greatest(28, round_even(p_size * 100 / 28.0, 0) * 28) AS h, greatest(28, round_even(p_size * 90 / 28.0, 0) * 28) AS w FROM part)""")
@@ -318,7 +317,7 @@ def class_fields(spark, d):
 # --- confidence -------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 3 THEN NULL ELSE 4 END AS INTEGER) AS start, CASE c_custkey % 4 WHEN 3 THEN -0.25 - (c_custkey % 10) / 6.0::DOUBLE ELSE -(c_custkey % 10)::DOUBLE / 2 - 0.5 END AS mean_logprob, CASE WHEN c_custkey % 4 = 2 THEN NULL WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 END AS agree FROM customer""")
+@query("""SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 3 THEN NULL ELSE 4 END AS INTEGER) AS start, CASE c_custkey % 4 WHEN 3 THEN (-(c_custkey % 10) - 1) / 7.0::DOUBLE ELSE -(c_custkey % 10)::DOUBLE / 2 - 0.5 END AS mean_logprob, CASE WHEN c_custkey % 4 = 2 THEN NULL WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 END AS agree FROM customer""")
 def field_features(spark, d):
     """Where values stand among tokens, what their probabilities are, and whether another model agrees."""
     c, k = t(spark, d, "customer"), F.col("c_custkey")
@@ -331,8 +330,7 @@ def field_features(spark, d):
     r = confidence.field_records(mine.unionByName(other).drop("c_custkey"), p).where("model = 'm'")
     # The records keep no span; it is looked at here.
     s = mine.join(p, ["sample_id", "condition", "model"]).select("sample_id", "c_custkey", confidence.span_of("tokens", "pred_raw").start.alias("start"), "token_logprobs")
-    mean = F.when(F.col("start").isNull(), -0.25 + lp / 6.0).otherwise(F.col("mean_logprob"))
-    return r.join(s, "sample_id").select("c_custkey", "start", mean.alias("mean_logprob"), "agree")
+    return r.join(s, "sample_id").select("c_custkey", "start", "mean_logprob", "agree")
 
 
 def _confs(spark, d):
@@ -362,7 +360,7 @@ def confidence_buckets(spark, d):
 
 
 def _readings(spark, d):
-    p = t(spark, d, "part").where("p_partkey % 10 <> 9")
+    p = t(spark, d, "part")
     lines = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "statement").otherwise("tob").alias("source"), F.col("p_brand").alias("bank"), S("clean").alias("condition"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_retailprice").cast("decimal(12,2)").cast("string")).otherwise(F.col("p_name")).alias("gt"), F.col("p_size").alias("crop_width"), S(10).alias("crop_height"))
     a = lines.select(S("a").alias("reader"), "id", S(1).alias("seq"), F.replace("gt", S("e"), S("")).alias("text"), F.lit(None).cast("string").alias("error"))
     b = lines.where("id % 7 <> 0").select(S("b").alias("reader"), "id", S(1).alias("seq"), F.concat("gt", S("x")).alias("text"), F.lit(None).cast("string").alias("error"))
@@ -370,7 +368,7 @@ def _readings(spark, d):
     return lines, readers.latest_readings(a.union(b).union(retry))
 
 
-_READ_SQL = """l AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'statement' ELSE 'tob' END AS source, p_brand AS bank, CASE WHEN p_partkey % 4 = 0 THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) ELSE p_name END AS gt, p_size / 10.0 AS a FROM part WHERE p_partkey % 10 <> 9 AND p_partkey % 7 <> 0),
+_READ_SQL = """l AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'statement' ELSE 'tob' END AS source, p_brand AS bank, CASE WHEN p_partkey % 4 = 0 THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) ELSE p_name END AS gt, p_size / 10.0 AS a FROM part WHERE p_partkey % 7 <> 0),
 r AS (SELECT 'a' AS reader, id, replace(gt, 'e', '') AS p FROM l UNION ALL SELECT 'b', id, gt || 'x' FROM l), j AS (SELECT r.reader, l.*, trim(regexp_replace(p, ' +', ' ', 'g')) AS p FROM r JOIN l USING (id)),
 s AS (SELECT *, levenshtein(p, gt) AS e, levenshtein(replace(p, ' ', ''), replace(gt, ' ', '')) AS en, replace(gt, ' ', '') AS gn FROM j)"""
 
@@ -401,9 +399,9 @@ def cold_starts(spark, d):
     return serving.cold_starts(e, ["event_type"], "value", "failures")
 
 
-@query("""SELECT event_type, CAST(4 AS INTEGER) AS concurrency, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.99), 6) AS p99, round(3600 * 4 / avg(value), 6) AS pages_per_hour, round(1000 / (3600 * 4 / avg(value)) * 0.69, 6) AS cost_per_1000 FROM events WHERE value > 0 GROUP BY event_type""")
+@query("""SELECT event_type, CAST(4 AS INTEGER) AS concurrency, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.99), 6) AS p99, round(3600 * 4 / avg(value), 6) AS pages_per_hour, round(1000 / (3600 * 4 / avg(value)) * 0.69, 6) AS cost_per_1000 FROM events GROUP BY event_type""")
 def throughput_table(spark, d):
-    e = t(spark, d, "events").where("value > 0").withColumn("concurrency", S(4))
+    e = t(spark, d, "events").withColumn("concurrency", S(4))
     r = serving.throughput(e, ["event_type"], "value", "concurrency", 0.69)
     return r.select("event_type", "concurrency", "n", *(r6(c).alias(c) for c in ("p99", "pages_per_hour", "cost_per_1000")))
 
