@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import ledger_scan as scan_of_ledgers
-from ..operators import ordered
+from ..operators import ordered, percentiles
 from ..operators.ledger import MONEY
 from ..sources import commits, lines
 from ..sources.scratch import keep, shared_dir
@@ -112,3 +112,10 @@ def latest_state(spark, d):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return state.read_state(spark, f"{at}/checkpoint", ["user_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""SELECT event_type, n, CAST(share AS DOUBLE) AS share, round(value, 6) AS value FROM (SELECT event_type, CAST(count(value) AS BIGINT) AS n, unnest([0.5, 0.95, 0.99]) AS share, unnest([quantile_cont(value, 0.5), quantile_cont(value, 0.95), quantile_cont(value, 0.99)]) AS value FROM events GROUP BY event_type)""")
+def exact_percentiles(spark, d):
+    """Percentiles of latencies by refining histograms."""
+    found = percentiles.percentiles(t(spark, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
+    return found.select("event_type", "n", "share", r6("value").alias("value"))
