@@ -47,17 +47,23 @@ def probe_pages(df: DataFrame, group: str, page: str, id: str, n: int = 5) -> Da
     return chosen.orderBy(F.desc("chosen"), id).limit(n)
 
 
-def review_queue(cells: DataFrame, keys: list[str], share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Cells (keys, model, value, and normal, what is compared, if there is such a column) worth a look: all on which models
-    differ (null against a value included), and a share of those on which they agree, by a hash. Cells that are null everywhere
-    go. Of a cell that a model gives twice its greatest value counts."""
+def compared(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, known, differs, values) of cells (keys, model, value, and normal, what is compared, if there is such a column):
+    how many models have a value, whether models differ (null against a value included), and all values by model. Of a cell
+    that a model gives twice its greatest value counts."""
     normal = "normal" if "normal" in cells.columns else "value"
     one = cells.groupBy(*keys, "model").agg(F.max(F.struct("value", F.col(normal).alias("normal"))).alias("v"))
     per = one.groupBy(*keys).agg(F.count("v.value").alias("known"), F.count("*").alias("n"), F.count_distinct("v.normal").alias("kinds"), F.count("v.normal").alias("told"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "v.value")))).alias("values"))
     differs = (F.col("kinds") > 1) | ((F.col("told") < F.col("n")) & (F.col("told") > 0))
+    return per.select(*keys, "known", differs.alias("differs"), "values")
+
+
+def review_queue(cells: DataFrame, keys: list[str], share: float = 0.1, seed: int = 42) -> DataFrame:
+    """Cells worth a look: all on which models differ, and a share of those on which they agree, by a hash. Cells that are
+    null everywhere go. See compared()."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
     drawn = F.crc32(text.cast("binary")) % 1000 < round(share * 1000)
-    return per.where("known > 0").where(differs | drawn).select(*keys, differs.alias("differs"), "values")
+    return compared(cells, keys).where("known > 0").where(F.col("differs") | drawn).select(*keys, "differs", "values")
 
 
 def dense(df: DataFrame, keys: list[str], index: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import ledger_scan as scan_of_ledgers
-from ..operators import ordered, percentiles
+from ..operators import draws, ordered, percentiles
 from ..operators.ledger import MONEY
 from ..sources import commits, lines
 from ..sources.scratch import keep, shared_dir
@@ -119,3 +119,18 @@ def exact_percentiles(spark, d):
     """Percentiles of latencies by refining histograms."""
     found = percentiles.percentiles(t(spark, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
     return found.select("event_type", "n", "share", r6("value").alias("value"))
+
+
+@query()
+def drawn_sample(spark, d):
+    """Up to 500 documents, by language, as Python's generator draws them."""
+    return draws.stratified(t(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 500, "documents").select("lang", "draw", "doc_id")
+
+
+@query()
+def drawn_queue(spark, d):
+    """Order lines on which two readers differ, and a tenth of all others, a draw each in their order."""
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("q"))
+    other = F.when(F.col("l_orderkey") % 11 != 0, F.col("q"))
+    cells = x.select("l_orderkey", "l_linenumber", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("q").alias("value")), F.struct(F.lit("b").alias("model"), other.alias("value")))).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
+    return draws.review_queue(cells, ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "differs")
