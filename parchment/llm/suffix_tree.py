@@ -37,6 +37,8 @@ BLOCK_BYTES, PART_KEYS = 8 << 20, 4 << 20
 LEAST_PARTS, PART_LEAST = 64, 1 << 16
 #: In how many passes parts are counted, and blocks meet their replies: a pass's shuffle files and input go before the next begins.
 PASSES = 4
+#: In how many rounds a level's pairs are asked for, by ranges of parts: a round's asks go before the next ones are made.
+ROUNDS = 2
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
 
@@ -112,9 +114,12 @@ def _rows(kind: pa.DataType, docs: list | None = None, **columns: list) -> pa.Ta
     return pa.table([*cols, pa.array([docs] * n, pa.list_(kind))], names=[*STEP, "docs"])
 
 
-def _ask(block: int, keys: np.ndarray, n: np.ndarray | None, parts: int, kind: pa.DataType) -> pa.Table:
-    """Rows that ask for sorted hashes, one for each part that they fall in."""
+def _ask(block: int, keys: np.ndarray, n: np.ndarray | None, parts: int, kind: pa.DataType, turn: int | None = None) -> pa.Table:
+    """Rows that ask for sorted hashes, one for each part that they fall in, of one round alone if it is given."""
     at = part_of(keys, parts)
+    if turn is not None:
+        mine = slice(*np.searchsorted(at * ROUNDS // parts, [turn, turn + 1]))
+        at, keys, n = at[mine], keys[mine], n[mine]
     cut = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
     runs = list(zip(cut, [*cut[1:], len(keys)], strict=True)) if cut else []
     counts = [None if n is None else pack(n[s:e]) for s, e in runs]
@@ -349,6 +354,12 @@ class Block:
         at, keep = _answers(replies, VALUES, self.level.used()[1], parts, np.float64)
         return at, keep.astype(np.float32)
 
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose counts the next step needs, in the order of hashes, and how often each occurs in the block."""
+        level = self.level.next(self.entry, self.entries, self.counts, self.level.p) if self.done else self.level
+        _, _, hashes, n, _ = level.pairs()
+        return hashes, n
+
     def longer(self, replies: pa.Table, parts: int) -> None:
         """To the next level, by replies on the last one's contexts, which the state holds from now on."""
         at, keep = self._told(replies, parts)
@@ -398,7 +409,9 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         scratch.add(replies.withColumn("turn", F.when(F.col("block") < 0, -1).otherwise(turn)), name, "turn")
 
     def replies(name: str, k: int) -> DataFrame:
-        return scratch.read(f"{name}/turn={k}", T._parse_datatype_string(REPLY_DDL))
+        """Replies to blocks of a pass, in all rounds."""
+        ddl = T._parse_datatype_string(REPLY_DDL)
+        return scratch.read(f"{name}/turn={k}", ddl).union(scratch.read(f"{name}again/turn={k}", ddl))
 
     def occurring(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -416,7 +429,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
             out = state(k).groupBy("block").cogroup(replies(told, k).groupBy("block")).applyInArrow(f, step)
             of = F.when(F.col("kind") == "state", F.lit(k)).when(F.col("part").isNotNull(), F.col("part") % PASSES).otherwise(0)
             scratch.add(out.withColumn("kind", kind).withColumn("turn", of), name, "kind", "turn")
-            scratch.drop(drop(k), f"{told}/turn={k}")
+            scratch.drop(drop(k), f"{told}/turn={k}", f"{told}again/turn={k}")
 
     def part(name: str, kind: str, k: int = 0) -> DataFrame:
         return scratch.read(f"{name}/kind={kind}/turn={k}", step)
@@ -445,7 +458,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         out = [_rows(kind, state.column("docs")[0].as_py(), block=[block], body=[[*map(pack, head), b"0", pack(word), pack(learned), pack(c[often]), pack(keys[often])]])]
         if depth:
             _, _, hashes, n, _ = level.pairs()
-            out.append(_ask(block, hashes, n, parts, kind))
+            out.append(_ask(block, hashes, n, parts, kind, 0))
         return pa.concat_tables(out)
 
     def grow(k: int) -> Callable:
@@ -464,12 +477,24 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
             out.append(_rows(b.kind, ctx=level.keys[level.context[one]].view(np.int64).tolist(), times=n[mine].tolist(), short=level.p[one].tolist(), of=level.counts[level.context[one]].tolist()))
             if k < depth:
                 _, _, hashes, m, _ = level.next(level.entry(on, pair, at, len(keys)), keys[at], n, level.p).pairs()
-                out.append(_ask(b.block, hashes, m, parts, b.kind))
+                out.append(_ask(b.block, hashes, m, parts, b.kind, 0))
             return pa.concat_tables(out)
 
         return run
 
+    def ask_again(turn: int) -> Callable:
+        """Asks of a later round, worked out from the states once more."""
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                for i in range(len(batch)):
+                    b = Block(pa.Table.from_batches([batch.slice(i, 1)]), whole, discount)
+                    yield from _ask(b.block, *b.asked(), parts, b.kind, turn).select(["block", "part", "keys", "n"]).to_batches()
+
+        return run
+
     small = ("block", "docs", "body")
+    ask = T._parse_datatype_string("block long, part int, keys binary, n binary")
     together("level0", lambda k: scratch.read(f"blocks/turn={k}", made.schema).select(*small), lambda k: f"blocks/turn={k}", "words", begin)
     scratch.drop("words")
     known = None
@@ -481,10 +506,16 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
                 answers = answers.unionByName(answered(part(before, "values", j), known, parts, j))
             replied(f"answers{k}", answers)
             scratch.drop(f"{before}/kind=counts/turn={j}", f"{before}/kind=values/turn={j}")
+        for r in range(1, ROUNDS):
+            again = scratch.read(f"{before}/kind=state", step).select(*small).mapInArrow(ask_again(r), ask)
+            scratch.add(again.withColumn("turn", F.col("part") % PASSES), f"again{k}_{r}", "turn")
+            for j in range(PASSES):
+                replied(f"answers{k}again", counted(scratch.read(f"again{k}_{r}/turn={j}", ask), support))
+                scratch.drop(f"again{k}_{r}/turn={j}")
         scratch.drop(f"known{k - 1}")
         together(name, lambda j, at=before: part(at, "state", j).select(*small), lambda j, at=before: f"{at}/kind=state/turn={j}", f"answers{k}", grow(k))
         known = scratch.put(_values(part(name, "entries"), divergence, discount), f"known{k}")
-        scratch.drop(before, f"answers{k}", f"{name}/kind=entries")
+        scratch.drop(before, f"answers{k}", f"answers{k}again", f"{name}/kind=entries")
     out = T.StructType([T.StructField("doc_id", doc_type), *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def end(state: pa.Table, replies: pa.Table) -> pa.Table:
