@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -36,6 +40,17 @@ def means(clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
     return clusters.groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"), F.count("*").alias("clusters"))
 
 
+def _interval(total: np.ndarray, n: np.ndarray, resamples: int, seed: int, alpha: float) -> tuple[float, float, float]:
+    """Micro mean of clusters in order, and its percentile interval, which holds it."""
+    rng, mean, means = np.random.default_rng(seed), float(total.sum() / n.sum()), []
+    rows = max(1, (1 << 20) // len(n))  # resamples drawn at once; the generator goes on where it stopped
+    for i in range(0, resamples, rows):
+        pick = rng.integers(0, len(n), (min(rows, resamples - i), len(n)))
+        means.append(total[pick].sum(1) / n[pick].sum(1))
+    lo, hi = np.percentile(np.concatenate(means), [100 * alpha / 2, 100 * (1 - alpha / 2)])
+    return mean, min(float(lo), mean), max(float(hi), mean)
+
+
 def bootstrap_numpy(clusters: DataFrame, keys: Sequence[str], resamples: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """(keys, mean, n, lo, hi): percentile intervals of the micro mean, whole clusters resampled by numpy's default
     generator in the order of cluster names. A cell's clusters (sums only) are held by one task."""
@@ -43,29 +58,33 @@ def bootstrap_numpy(clusters: DataFrame, keys: Sequence[str], resamples: int = 1
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
-        total, n = pdf["total"].to_numpy(), pdf["n"].to_numpy()
-        rng, mean, means = np.random.default_rng(seed), total.sum() / n.sum(), []
-        rows = max(1, (1 << 20) // len(n))  # resamples drawn at once; the generator goes on where it stopped
-        for i in range(0, resamples, rows):
-            pick = rng.integers(0, len(n), (min(rows, resamples - i), len(n)))
-            means.append(total[pick].sum(1) / n[pick].sum(1))
-        means = np.concatenate(means)
-        lo, hi = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-        return pd.DataFrame([[*pdf.iloc[0][list(keys)], mean, n.sum(), min(lo, mean), max(hi, mean)]], columns=[*keys, "mean", "n", "lo", "hi"])
+        mean, lo, hi = _interval(pdf["total"].to_numpy(), pdf["n"].to_numpy(), resamples, seed, alpha)
+        return pd.DataFrame([[*pdf.iloc[0][list(keys)], mean, pdf["n"].sum(), lo, hi]], columns=[*keys, "mean", "n", "lo", "hi"])
 
     return clusters.groupBy(*keys).applyInPandas(cell, schema)
 
 
-def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int = 200, alpha: float = 0.05) -> DataFrame:
+def hashed_uniform() -> Column:
+    """A number from 0 to under 1 by a hash of (cluster, r)."""
+    return F.pmod(F.xxhash64("cluster", "r"), F.lit(1_000_000)) / 1e6
+
+
+def digest_uniform() -> Column:
+    """hashed_uniform() by MD5 of `cluster:r`, which other engines can work out as well; slower."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "cluster", "r").cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
+#: Where Poisson(1)'s distribution function passes to 1, 2, ..., 8.
+POISSON = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
+
+
+def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int = 200, alpha: float = 0.05, uniform: Callable[[], Column] = hashed_uniform) -> DataFrame:
     """(keys, mean, n, lo, hi) without holding a cell: a Poisson bootstrap. Each cluster gets, in resample r, the
     weight that a hash of (cluster, r) draws from Poisson(1), so sums of any size aggregate in parts. A cluster isn't
     written out once a resample: Spark's partial sums take each expanded row as it comes, before anything is shuffled."""
-    u = F.pmod(F.xxhash64("cluster", "r"), F.lit(1_000_000)) / 1e6
-    weight, p, acc = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        acc += p
+    weight, u = F.lit(0), uniform()
+    for k, acc in enumerate(POISSON, 1):
         weight = F.when(u >= acc, k).otherwise(weight)
-        p /= k
     r = clusters.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
     per = r.groupBy(*keys, "r").agg(F.try_divide(F.sum(F.col("total") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("m"))
     ends = per.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
@@ -88,11 +107,11 @@ def field_rates(fields: DataFrame) -> DataFrame:
     return fields.withColumn("_m", F.explode(F.array_compact(F.array(*rows)))).select("*", "_m.metric", "_m.value").drop("_m")
 
 
-def paired_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], resamples: int = 200, alpha: float = 0.05) -> DataFrame:
+def paired_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], resamples: int = 200, alpha: float = 0.05, uniform: Callable[[], Column] = hashed_uniform) -> DataFrame:
     """Bootstrap of the difference of two runs' values, cluster by cluster; better if the interval excludes 0."""
     both = a.join(b.select(*keys, "cluster", F.col("total").alias("t2"), F.col("n").alias("n2")), [*keys, "cluster"])
     diff = both.select(*keys, "cluster", (F.col("total") / F.col("n") - F.col("t2") / F.col("n2")).alias("total"), F.lit(1).cast("long").alias("n"))
-    out = bootstrap(diff, keys, resamples, alpha)
+    out = bootstrap(diff, keys, resamples, alpha, uniform)
     return out.withColumn("verdict", F.when(F.col("lo") > 0, "better").when(F.col("hi") < 0, "worse").otherwise("same"))
 
 
@@ -116,3 +135,11 @@ def aggregates(scores: DataFrame, keys: Sequence[str] = ("table", "task", "subta
     """(keys, metric, mean, n, lo, hi) of the standard tables, ordered by table and keys."""
     rows, tables = standard_slices(scores)
     return bootstrap_numpy(sliced(rows, tables), [*keys, "metric"], resamples, seed).orderBy(*keys, "metric")
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def interval(cluster: pa.Array, total: pa.Array, n: pa.Array) -> list[float]:
+    """An aggregate, also for SQL text: mean, lo and hi of bootstrap_numpy() of a group's clusters, 1,000 resamples. Null
+    sums don't count. A group's clusters are held by one task, as there."""
+    rows = pa.table([cluster, total.cast(pa.float64()), n.cast(pa.int64())], names=["cluster", "total", "n"]).drop_null().sort_by("cluster")
+    return list(_interval(rows.column("total").to_numpy(), rows.column("n").to_numpy(), 1000, 42, 0.05)) if len(rows) else []

@@ -100,20 +100,32 @@ def bootstrap_slices(spark, d):
     return b.select("role", "model", r6("mean").alias("mean"), "n", ((F.col("lo") <= F.col("mean")) & (F.col("mean") <= F.col("hi"))).alias("inside"))
 
 
-@query("WITH " + _SCORES_SQL + " SELECT role, model, round(avg(cer), 6) AS mean, CAST(count(*) AS BIGINT) AS n, true AS inside FROM scores GROUP BY role, model")
+#: Intervals of cells c (keys, cluster, total, n) by the weights of slices.digest_uniform(); keys and name of a table q.
+_RESAMPLED = 40
+_POISSON_SQL = """r AS (SELECT *, unnest(range(1, {n} + 1)) AS r FROM c),
+u AS (SELECT *, list_reduce(list_transform(string_split(substr(md5(concat_ws(':', cluster, r)), 1, 8), ''), lambda x: CAST(strpos('0123456789abcdef', x) - 1 AS BIGINT)), lambda a, x: a * 16 + x) / 4294967296.0::DOUBLE AS u FROM r),
+w AS (SELECT *, list_sum(list_transform([{cuts}], lambda x: (u >= x)::INT)) AS w FROM u),
+m AS (SELECT {keys}, r, sum(total * w) / nullif(sum(n * w), 0) AS m FROM w GROUP BY {keys}, r),
+q AS (SELECT {keys}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY {keys}), b AS (SELECT {keys}, sum(total) / sum(n) AS mean, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY {keys})"""
+
+
+def _poisson_sql(keys):
+    return _POISSON_SQL.format(n=_RESAMPLED, cuts=", ".join(f"{x!r}::DOUBLE" for x in slices.POISSON), keys=keys)
+
+
+@query("WITH " + _SCORES_SQL + ", c AS (SELECT role, model, doc_id AS cluster, sum(cer) AS total, count(*) AS n FROM scores GROUP BY role, model, doc_id), " + _poisson_sql("role, model") + " SELECT role, model, round(mean, 6) AS mean, n, round(least(lo, mean), 6) AS lo, round(greatest(hi, mean), 6) AS hi FROM b JOIN q USING (role, model)")
 def bootstrap_poisson(spark, d):
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
-    b = slices.bootstrap(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"])
-    return b.select("role", "model", r6("mean").alias("mean"), "n", ((F.col("lo") <= F.col("mean")) & (F.col("mean") <= F.col("hi"))).alias("inside"))
+    b = slices.bootstrap(slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer"), ["table", "role", "model", "metric"], _RESAMPLED, uniform=slices.digest_uniform)
+    return b.select("role", "model", r6("mean").alias("mean"), "n", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-@query("WITH " + _SCORES_SQL + " SELECT a.role, round(avg(a.cer - b.cer), 6) AS mean, CAST(count(*) AS BIGINT) AS n, true AS inside FROM scores a JOIN scores b ON a.doc_id = b.doc_id WHERE a.model = 'm1' AND b.model = 'm2' GROUP BY a.role")
+@query("WITH " + _SCORES_SQL + ", c AS (SELECT a.role, a.doc_id AS cluster, a.cer - b.cer AS total, 1 AS n FROM scores a JOIN scores b ON a.doc_id = b.doc_id WHERE a.model = 'm1' AND b.model = 'm2'), " + _poisson_sql("role") + ", e AS (SELECT role, mean, n, least(lo, mean) AS lo, greatest(hi, mean) AS hi FROM b JOIN q USING (role)) SELECT role, round(mean, 6) AS mean, n, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE 'same' END AS verdict FROM e")
 def paired_difference(spark, d):
     long = _scores(spark, d).withColumns({"metric": F.lit("cer"), "sample_id": F.col("doc_id")})
     c = slices.sliced(long, [slices.Slice("role_model", ("role", "model"))], value="cer")
-    p = slices.paired_difference(c.where("model = 'm1'"), c.where("model = 'm2'"), ["role", "metric"])
-    side = F.when(F.col("lo") > 0, "better").when(F.col("hi") < 0, "worse").otherwise("same")
-    return p.select("role", r6("mean").alias("mean"), "n", ((F.col("lo") <= F.col("mean")) & (F.col("mean") <= F.col("hi")) & (F.col("verdict") == side)).alias("inside"))
+    p = slices.paired_difference(c.where("model = 'm1'"), c.where("model = 'm2'"), ["role", "metric"], _RESAMPLED, uniform=slices.digest_uniform)
+    return p.select("role", r6("mean").alias("mean"), "n", r6("lo").alias("lo"), r6("hi").alias("hi"), "verdict")
 
 
 # --- joins over logs ---------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from parchment.plans import catalogue, runs, scans  # noqa: F401
+from parchment.plans import catalogue, checks, runs, scans  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
