@@ -15,6 +15,7 @@ as tables of entries, and asked for in the same way. Tokens never travel but wit
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,18 @@ def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(word))
 
 
+@contextmanager
+def one_row_a_batch(spark: SparkSession):
+    """Rows of several megabytes reach Python workers one by one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: What a step gives: rows of state (body), of asks (part, keys; n: counts, or null where values are wanted), and of entries.
 STEP = {"block": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary(), "body": pa.list_(pa.binary()), "ctx": pa.int64(), "times": pa.int64(), "short": pa.float64(), "of": pa.int64()}
 STEP_DDL = "block long, part int, keys binary, n binary, body array<binary>, ctx long, times long, short double, of long"
@@ -483,13 +496,16 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         return run
 
     def ask_again(turn: int) -> Callable:
-        """Asks of a later round, worked out from the states once more."""
+        """Asks of a later round, worked out from the states once more, one at a time."""
+
+        def of(state: pa.RecordBatch) -> list[pa.RecordBatch]:
+            b = Block(pa.Table.from_batches([state]), whole, discount)
+            return _ask(b.block, *b.asked(), parts, b.kind, turn).select(["block", "part", "keys", "n"]).to_batches()
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
                 for i in range(len(batch)):
-                    b = Block(pa.Table.from_batches([batch.slice(i, 1)]), whole, discount)
-                    yield from _ask(b.block, *b.asked(), parts, b.kind, turn).select(["block", "part", "keys", "n"]).to_batches()
+                    yield from of(batch.slice(i, 1))
 
         return run
 
@@ -508,7 +524,8 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
             scratch.drop(f"{before}/kind=counts/turn={j}", f"{before}/kind=values/turn={j}")
         for r in range(1, ROUNDS):
             again = scratch.read(f"{before}/kind=state", step).select(*small).mapInArrow(ask_again(r), ask)
-            scratch.add(again.withColumn("turn", F.col("part") % PASSES), f"again{k}_{r}", "turn")
+            with one_row_a_batch(docs.sparkSession):
+                scratch.add(again.withColumn("turn", F.col("part") % PASSES), f"again{k}_{r}", "turn")
             for j in range(PASSES):
                 replied(f"answers{k}again", counted(scratch.read(f"again{k}_{r}/turn={j}", ask), support))
                 scratch.drop(f"again{k}_{r}/turn={j}")
