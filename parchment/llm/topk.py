@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import Scratch, parts, table
@@ -23,7 +24,7 @@ CHUNK, QUERIES, LEAD = 4096, 65536, 16
 QUERY_BYTES = 32 << 20
 #: Below any score.
 NONE = -(2**62)
-RESULT = "query bigint, id bigint, score bigint"
+RESULT = "query bigint, query_id bigint, id bigint, score bigint"
 
 
 def quantise(vectors: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
@@ -83,9 +84,9 @@ class Best:
         self.score[q[top], rank[top]], self.id[q[top], rank[top]] = scores[top], ids[top]
 
 
-def _scan(batches, shared, width: int, k: int, lead: int):
+def _scan(batches, shared, floors, rotation: np.ndarray, width: int, k: int, lead: int):
     """Each query's k best of this partition's chunks, which come by descending length."""
-    qid, q, rotation, floor = shared.value
+    (qid, q), floor = shared.value, floors.value
     rotated = q @ rotation
     q_rest = np.sqrt(np.maximum(0, (rotated[:, lead:] ** 2).sum(1)))
     q_len = np.sqrt((q.astype(float) ** 2).sum(1))
@@ -117,13 +118,27 @@ def _scan(batches, shared, width: int, k: int, lead: int):
                 ok = (ids[b] != qid[a]) & (s >= np.maximum(best.score[a, -1], floor[a]))
                 best.add(a[ok], ids[b][ok], s[ok])
             if not any_alive and len(q):  # chunks come by descending length, so no later one can reach any query
-                return (yield _found(best))
-    yield _found(best)
+                return (yield _found(best, qid))
+    yield _found(best, qid)
 
 
-def _found(best: Best) -> pa.RecordBatch:
+def _found(best: Best, qid: np.ndarray) -> pa.RecordBatch:
     r, c = np.nonzero(best.id != np.iinfo(np.int64).max)
-    return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["query", "id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)), pa.array(qid[r]), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["query", "query_id", "id", "score"])
+
+
+def _first_look(batches, shared, width: int, k: int):
+    """A score that each query's k-th best reaches at least, from the chunk of the longest vectors."""
+    qid, q = shared.value
+    floor = np.full(len(q), NONE)
+    for batch in batches:
+        for ids, vs in zip(batch.column("ids"), batch.column("vs"), strict=True):
+            ids, x = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(vs.as_py(), np.int64).reshape(-1, width)
+            for i in range(0, len(q) if len(x) >= k else 0, 256):
+                s = q[i : i + 256] @ x.T
+                s[ids[None, :] == qid[i : i + 256, None]] = NONE
+                floor[i : i + 256] = np.partition(s, -k, axis=1)[:, -k]
+    yield pa.RecordBatch.from_arrays([pa.array([floor.tobytes()], pa.binary())], names=["floor"])
 
 
 def top_k(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, scale: int = SCALE, chunk: int = CHUNK, block: int = QUERIES, lead: int = LEAD) -> DataFrame:
@@ -133,7 +148,7 @@ def top_k(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
     zeros. A query doesn't meet rows of its own id. Repeated rows are candidates each; repeated queries with equal
     vectors count once. Null ids are no queries and, as candidates, come last in ties. An empty table gives no rows.
     Components beyond 2**55 / scale, where a double is no whole number's equal any more, saturate at 64 bits. Queries are
-    broadcast in blocks of at most `block`, and of QUERY_BYTES, each of which scans all chunks.
+    broadcast in blocks of at most `block`, and of QUERY_BYTES, one after the other, each of which scans all chunks.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -152,30 +167,22 @@ def top_k(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
     queries = scratch.put(rows.where(F.col("id") % every == 0).select("id", "v").distinct(), "queries")
     blocks = max(1, -(-queries.count() // max(1, min(block, QUERY_BYTES // (8 * width)))))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    out = None
+    schema = "query_id long, rank int, vec_id long, score long"
     for b in range(blocks):
+        # One block at a time: its rows are written, and its broadcasts destroyed, before the next one's queries are read.
         got = queries.where(F.col("block") == b).select("id", "v").toArrow()
-        q = _matrix(got.column("v").combine_chunks(), width) if len(got) else np.zeros((0, width), np.int64)
-        qid = got.column("id").to_numpy().astype(np.int64)
-        # A first look at the longest vectors gives each query a score that its k-th best reaches at least.
-        floor = np.full(len(q), NONE)
-        if first := chunks.limit(1).collect():
-            ids, x = np.frombuffer(first[0].ids, np.int64), np.frombuffer(first[0].vs, np.int64).reshape(-1, width)
-            for i in range(0, len(q), 256):
-                s = q[i : i + 256] @ x.T
-                s[ids[None, :] == qid[i : i + 256, None]] = NONE
-                if s.shape[1] >= k:
-                    floor[i : i + 256] = np.partition(s, -k, axis=1)[:, -k]
-        shared = spark.sparkContext.broadcast((qid, q, rotation, floor))
-        found = chunks.mapInArrow(lambda x, shared=shared: _scan(x, shared, width, k, lead), RESULT)
-        names = spark.createDataFrame(pa.table({"query": np.arange(len(qid)), "query_id": qid})) if len(qid) else None
-        if names is None:
+        if not len(got):
             continue
+        shared = spark.sparkContext.broadcast((got.column("id").to_numpy().astype(np.int64), _matrix(got.column("v").combine_chunks(), width)))
+        looked = chunks.limit(1).mapInArrow(lambda x, shared=shared: _first_look(x, shared, width, k), "floor binary").collect()
+        floors = spark.sparkContext.broadcast(np.frombuffer(looked[0].floor, np.int64) if looked else np.full(len(got), NONE))
+        found = chunks.mapInArrow(lambda x, shared=shared, floors=floors: _scan(x, shared, floors, rotation, width, k, lead), RESULT)
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-        best = found.withColumn("rank", rank).where(F.col("rank") <= k).join(names, "query")
-        best = best.select("query_id", "rank", F.when(F.col("id") != 2**63 - 2, F.col("id")).alias("vec_id"), "score")
-        out = best if out is None else out.union(best)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+        scratch.add(best.select("query_id", "rank", F.when(F.col("id") != 2**63 - 2, F.col("id")).alias("vec_id"), "score"), "best")
+        shared.destroy()
+        floors.destroy()
+    return scratch.read("best", T._parse_datatype_string(schema))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
