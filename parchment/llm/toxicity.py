@@ -156,16 +156,16 @@ def _distinct(ids: pa.Array, labels: pa.Array, fp: pa.Array, keys: pa.Array) ->
     return sorted(set(best.values()))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, folds: int = 5, exceptions: Iterable[str] = (), most: int = 5000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, folds: int = 5, exceptions: Iterable[str] = ()) -> Lexicon:
     """A lexicon from at most `rows` labelled documents outside the held-out fold.
 
     Near copies would make chance words look telling: of rows that share SHARED of the
     buckets of five-word shingles (jaccard.bands_of), and of rows linked by such, one is used. A stem
     is kept if LEAST toxic rows hold it and its log odds, smoothed, are over log(8); of stems that stand for the
     same rows the shortest stays. Words that start with a stem but are as common in clean rows become exceptions.
-    Without toxic rows the lexicon is empty.
+    Without toxic rows the lexicon is empty. A label over 0 is toxic, any other isn't. `rows` alone bounds the lexicon.
     """
-    sample = F.broadcast(labelled_sample(labels, label, folds, rows))
+    sample = F.broadcast(labelled_sample(labels, label, folds, rows).withColumn("label", (F.col("label") > 0).cast("int")))
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
     keyed = jaccard.shingled(texts.select("doc_id", "label", "text"), keys=True).toArrow()
     chosen = _distinct(*(keyed.column(c) for c in ("doc_id", "label", "fp", "keys")))
@@ -192,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     for s, (o, _) in all_odds.items():  # whole short words that are no stem
         if s.endswith(" ") and o > math.log(8) and len(s) <= SHORTEST:
             weights[s] = o
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:most])
+    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0])))
     learned = {s.strip() for s, (o, _) in all_odds.items() if s.endswith(" ") and o < math.log(2) and any(s.startswith(w) for w in (s[:n] for n in range(SHORTEST, LONGEST + 1)) if w in weights)}
     lexicon = Lexicon(weights, given | frozenset(learned), curve)
     fitted = score(texts, lexicon).select("label", "total", "words").collect()
@@ -207,7 +207,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_text: bool
     """
     keep = [c for c in docs.columns if c not in ("total", "words", "score") and (keep_text or c != text)]
     schema = docs.select(*keep, F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("score")).schema
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded: `most` stems of learn()
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded: stems of at most `rows` texts of learn()
 
     def run(batches):
         automaton = shared.value.automaton()
