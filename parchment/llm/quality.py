@@ -176,9 +176,11 @@ def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, folds: int = 5) -> Forest:
-    """A forest from at most `rows` labelled documents outside the held-out fold; repeated documents count once."""
+    """A forest from at most `rows` labelled documents outside the held-out fold; of a repeated id the least text counts, once
+    (null as empty). A label over 0 is 1, any other 0."""
     sample = F.broadcast(labelled_sample(labels, label, folds, rows))
-    known = features(docs.select("doc_id", "text").join(sample, "doc_id")).dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", "x").toArrow()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max((F.col("label") > 0).cast("int")).alias("label"))
+    known = features(texts).orderBy("doc_id").select("label", "x").toArrow()
     x = np.array(known.column("x").to_pylist()).reshape(-1, len(FEATURES))
     return boost(x, np.array(known.column("label").to_pylist(), float))
 
