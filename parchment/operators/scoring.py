@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import normalize_field
 from ..functions.text import canonical_text, fuzzy, lenient, null_if_blank
+from ..functions.values import values
 from .joins import prf
 
 
@@ -17,9 +17,8 @@ def score_fields(pairs: DataFrame, miss: Column | None = None) -> DataFrame:
     Blank values are null. Two nulls agree in all three; one null is wrong. A prediction where the truth is null is a
     false accept; none where it isn't is a false reject. Near matches are told on the texts, not on the typed values.
     miss: true for rows of failed requests, which get no credit and accept nothing."""
-    raw = pairs.withColumns({"_p": null_if_blank(F.col("pred")), "_g": null_if_blank(F.col("gt"))})
-    typed = lambda c: normalize_field(F.col("field"), F.col(c)).value
-    raw = raw.withColumns({"pred": typed("_p"), "gt": typed("_g"), "_p": canonical_text(F.col("_p")), "_g": canonical_text(F.col("_g"))})
+    raw = pairs.withColumns({"_p": canonical_text(null_if_blank(F.col("pred"))), "_g": canonical_text(null_if_blank(F.col("gt")))})
+    raw = raw.withColumns({"pred": values(F.col("field"), F.col("_p")), "gt": values(F.col("field"), F.col("_g"))})
     no_p, no_g, live = F.col("_p").isNull(), F.col("_g").isNull(), ~miss if miss is not None else F.lit(True)
     exact = (no_p & no_g) | (~no_p & ~no_g & F.coalesce(F.col("pred") == F.col("gt"), F.lit(False)))
     both = ~no_p & ~no_g

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fields, pages, tables, text
+from ..functions import fields, pages, tables, text, values
 from ..operators import calibration, duplicates, joins, ledger, sampling, scoring, serving, slices
 
 FLAGSHIP = "score_slices"
@@ -234,7 +234,7 @@ def parse_dates(spark, d):
     o = t(spark, d, "orders")
     day, month, year = F.dayofmonth("o_orderdate"), F.month("o_orderdate"), F.year("o_orderdate")
     name = F.element_at(F.array(*map(F.lit, fields.THAI_MONTHS)), month)
-    return o.select("o_orderkey", fields.parse_date(F.format_string("%d/%d/%d", day, month, year + 543)).alias("thai"), fields.parse_date(F.concat_ws(" ", day, name, year + 543)).alias("named"), fields.parse_date(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("english"))
+    return o.select("o_orderkey", values.dates(F.format_string("%d/%d/%d", day, month, year + 543)).alias("thai"), values.dates(F.concat_ws(" ", day, name, year + 543)).alias("named"), values.dates(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("english"))
 
 
 @query("SELECT c_custkey, round(CAST(c_acctbal AS DECIMAL(20,2)), 2)::DOUBLE AS value, CASE WHEN c_acctbal < 0 THEN 'debit' WHEN c_custkey % 2 = 0 THEN 'credit' END AS side FROM customer")
