@@ -38,7 +38,8 @@ BLOCK_BYTES, PART_KEYS = 8 << 20, 4 << 20
 LEAST_PARTS, PART_LEAST = 64, 1 << 16
 #: In how many passes parts are counted, and blocks meet their replies: a pass's shuffle files and input go before the next begins.
 PASSES = 4
-#: In how many rounds a level's pairs are asked for, by ranges of parts: a round's asks go before the next ones are made.
+#: In how many rounds level 1's pairs, the most of all, are asked for, by ranges of parts: a round's asks go before the next
+#: ones are made.
 ROUNDS = 2
 #: The end of a document among words, of which none holds white space.
 END = b"\n"
@@ -367,12 +368,6 @@ class Block:
         at, keep = _answers(replies, VALUES, self.level.used()[1], parts, np.float64)
         return at, keep.astype(np.float32)
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs whose counts the next step needs, in the order of hashes, and how often each occurs in the block."""
-        level = self.level.next(self.entry, self.entries, self.counts, self.level.p) if self.done else self.level
-        _, _, hashes, n, _ = level.pairs()
-        return hashes, n
-
     def longer(self, replies: pa.Table, parts: int) -> None:
         """To the next level, by replies on the last one's contexts, which the state holds from now on."""
         at, keep = self._told(replies, parts)
@@ -490,17 +485,18 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
             out.append(_rows(b.kind, ctx=level.keys[level.context[one]].view(np.int64).tolist(), times=n[mine].tolist(), short=level.p[one].tolist(), of=level.counts[level.context[one]].tolist()))
             if k < depth:
                 _, _, hashes, m, _ = level.next(level.entry(on, pair, at, len(keys)), keys[at], n, level.p).pairs()
-                out.append(_ask(b.block, hashes, m, parts, b.kind, 0))
+                out.append(_ask(b.block, hashes, m, parts, b.kind))
             return pa.concat_tables(out)
 
         return run
 
     def ask_again(turn: int) -> Callable:
-        """Asks of a later round, worked out from the states once more, one at a time."""
+        """Asks of level 1's later round, worked out from the states once more, one at a time."""
 
         def of(state: pa.RecordBatch) -> list[pa.RecordBatch]:
             b = Block(pa.Table.from_batches([state]), whole, discount)
-            return _ask(b.block, *b.asked(), parts, b.kind, turn).select(["block", "part", "keys", "n"]).to_batches()
+            _, _, hashes, n, _ = b.level.pairs()
+            return _ask(b.block, hashes, n, parts, b.kind, turn).select(["block", "part", "keys", "n"]).to_batches()
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
@@ -522,7 +518,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
                 answers = answers.unionByName(answered(part(before, "values", j), known, parts, j))
             replied(f"answers{k}", answers)
             scratch.drop(f"{before}/kind=counts/turn={j}", f"{before}/kind=values/turn={j}")
-        for r in range(1, ROUNDS):
+        for r in range(1, ROUNDS if k == 1 else 1):
             again = scratch.read(f"{before}/kind=state", step).select(*small).mapInArrow(ask_again(r), ask)
             with one_row_a_batch(docs.sparkSession):
                 scratch.add(again.withColumn("turn", F.col("part") % PASSES), f"again{k}_{r}", "turn")
