@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import fields, official
+from ..functions import cmaps, fields, official
 from ..operators import assess, ingest, run, sampling, serving, slices
 from ..sources import registry
 from .catalogue import _SCORES_SQL, _scores, query, r6, t
@@ -145,3 +146,13 @@ def sql_bootstrap(spark, d):
     told = spark.sql("SELECT model, bootstrap_interval(cluster, total, n) AS i FROM parchment_clusters GROUP BY model")
     want = slices.bootstrap_numpy(c, ["model"])
     return told.join(want, "model").select("model", r6("mean").alias("mean"), (F.col("i") == F.array("mean", "lo", "hi")).alias("equal"))
+
+
+@query("""WITH c AS (SELECT DISTINCT lang, unnest(list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1))) AS ch FROM documents WHERE text <> '')
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY ch) - 1 AS BIGINT) AS code, ch AS text FROM c""")
+def code_maps(spark, d):
+    """All characters of the documents of a language, as a code map that is written and read back."""
+    docs = t(spark, d, "documents").where("text <> ''")
+    chars = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", S("(?s)."), S(0)))).alias("text")).distinct()
+    rows = chars.withColumn("code", (F.row_number().over(Window.partitionBy("lang").orderBy("text")) - 1).cast("long"))
+    return cmaps.entries(cmaps.written(rows, "lang"), "cmap", "lang").select("lang", "code", "text")
