@@ -128,12 +128,9 @@ def _rows(kind: pa.DataType, docs: list | None = None, **columns: list) -> pa.Ta
     return pa.table([*cols, pa.array([docs] * n, pa.list_(kind))], names=[*STEP, "docs"])
 
 
-def _ask(block: int, keys: np.ndarray, n: np.ndarray | None, parts: int, kind: pa.DataType, turn: int | None = None) -> pa.Table:
-    """Rows that ask for sorted hashes, one for each part that they fall in, of one round alone if it is given."""
+def _ask(block: int, keys: np.ndarray, n: np.ndarray | None, parts: int, kind: pa.DataType) -> pa.Table:
+    """Rows that ask for sorted hashes, one for each part that they fall in."""
     at = part_of(keys, parts)
-    if turn is not None:
-        mine = slice(*np.searchsorted(at * ROUNDS // parts, [turn, turn + 1]))
-        at, keys, n = at[mine], keys[mine], n[mine]
     cut = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
     runs = list(zip(cut, [*cut[1:], len(keys)], strict=True)) if cut else []
     counts = [None if n is None else pack(n[s:e]) for s, e in runs]
@@ -283,6 +280,18 @@ class Level:
         rank[order] = np.arange(len(order))
         return on, rank[of], hashes[order], n[order], on[first][order]
 
+    def asked(self, parts: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of one round's pairs, in order, and their occurrences in learned documents: as of pairs(), but only these are
+        put in order."""
+        on = np.flatnonzero(self.word >= 0)
+        width = max(len(self.words), 1)
+        pair, _, of = distinct(self.context[on].astype(np.int64) * width + self.word[on])
+        n = np.bincount(of[self.learn[on] > 0], minlength=len(pair)).astype(np.int32)
+        hashes = join_keys(self.keys[pair // width], self.words[pair % width])
+        mine = np.flatnonzero(part_of(hashes, parts) * ROUNDS // parts == turn)
+        mine = mine[np.argsort(hashes[mine])]
+        return hashes[mine], n[mine]
+
     def entry(self, on: np.ndarray, pair: np.ndarray, at: np.ndarray, pairs: int) -> np.ndarray:
         """Which of the pairs at these places each token's pair is, or -1. on, pair: as of pairs(), of so many pairs."""
         held = np.full(pairs, -1, np.int32)
@@ -465,8 +474,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
         block = state.column("block")[0].as_py()
         out = [_rows(kind, state.column("docs")[0].as_py(), block=[block], body=[[*map(pack, head), b"0", pack(word), pack(learned), pack(c[often]), pack(keys[often])]])]
         if depth:
-            _, _, hashes, n, _ = level.pairs()
-            out.append(_ask(block, hashes, n, parts, kind, 0))
+            out.append(_ask(block, *level.asked(parts, 0), parts, kind))
         return pa.concat_tables(out)
 
     def grow(k: int) -> Callable:
@@ -495,8 +503,7 @@ def lm_score(docs: DataFrame, learn, id: str = "doc_id", text: str = "text", sup
 
         def of(state: pa.RecordBatch) -> list[pa.RecordBatch]:
             b = Block(pa.Table.from_batches([state]), whole, discount)
-            _, _, hashes, n, _ = b.level.pairs()
-            return _ask(b.block, hashes, n, parts, b.kind, turn).select(["block", "part", "keys", "n"]).to_batches()
+            return _ask(b.block, *b.level.asked(parts, turn), parts, b.kind).select(["block", "part", "keys", "n"]).to_batches()
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
