@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import cmaps, fields, official
+from ..functions import cmaps, fields, official, words
 from ..operators import assess, ingest, run, sampling, serving, slices
 from ..sources import registry
 from .catalogue import _SCORES_SQL, _scores, query, r6, t
@@ -156,3 +156,14 @@ def code_maps(spark, d):
     chars = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", S("(?s)."), S(0)))).alias("text")).distinct()
     rows = chars.withColumn("code", (F.row_number().over(Window.partitionBy("lang").orderBy("text")) - 1).cast("long"))
     return cmaps.entries(cmaps.written(rows, "lang"), "cmap", "lang").select("lang", "code", "text")
+
+
+@query("SELECT p_partkey, true AS whole, true AS known, true AS few FROM part")
+def word_cuts(spark, d):
+    """Names of parts without their spaces, cut by a dictionary of their words: nothing is lost, all pieces are words, and
+    there are no more of them than the name has."""
+    p = t(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), "[^a-z]+").alias("own"))
+    known = p.select(F.explode("own").alias("word")).where("word <> ''").distinct()
+    cut = p.select("p_partkey", F.filter("own", lambda w: w != "").alias("own")).withColumn("cut", words.tokenizer(known, letters="a-z")(F.array_join("own", "")))
+    pieces = cut.select("p_partkey", F.explode("cut").alias("word")).join(known.withColumn("is", S(True)), "word", "left").groupBy("p_partkey").agg(F.every(F.coalesce("is", S(False))).alias("known"))
+    return cut.join(pieces, "p_partkey").select("p_partkey", (F.array_join("cut", "") == F.array_join("own", "")).alias("whole"), "known", (F.size("cut") <= F.size("own")).alias("few"))
