@@ -43,13 +43,13 @@ def probed_orders(spark, d):
     return sampling.probe_pages(o, "o_orderpriority", "page", "o_orderkey", 9).select("o_orderkey", "chosen")
 
 
-@query("WITH " + _SCORES_SQL + " SELECT doc_id AS sample_id, 'clean' AS condition, model, 'cer' AS metric, round(cer, 6) AS value, role AS task, CAST(NULL AS BOOLEAN) AS is_critical FROM scores UNION ALL SELECT doc_id, 'clean', model, 'missing', missing::INT, NULL, part = 'first' FROM scores")
+@query("WITH " + _SCORES_SQL + " SELECT doc_id AS sample_id, 'clean' AS condition, model, 'cer' AS metric, round(cer, 6) AS value, role AS task, CAST(NULL AS VARCHAR) AS is_critical FROM scores UNION ALL SELECT doc_id, 'clean', model, 'missing', missing::INT, NULL, CAST(part = 'first' AS VARCHAR) FROM scores")
 def united_scores(spark, d):
     """Scores of two checks, of which each lacks a column, as one table in the order of their keys."""
     s = _scores(spark, d).select(F.col("doc_id").alias("sample_id"), S("clean").alias("condition"), "model", "role", "part", "cer", "missing")
     key = ["sample_id", "condition", "model"]
     a = s.select(*key, S("cer").alias("metric"), r6("cer").alias("value"), F.col("role").alias("task"))
-    b = s.select(*key, S("missing").alias("metric"), F.col("missing").cast("double").alias("value"), (F.col("part") == "first").alias("is_critical"))
+    b = s.select(*key, S("missing").alias("metric"), F.col("missing").cast("double").alias("value"), (F.col("part") == "first").cast("string").alias("is_critical"))
     return run.ordered(assess.union_scores(a, b), "metric")
 
 

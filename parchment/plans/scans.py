@@ -54,11 +54,11 @@ def ledger_scan_files(spark, d):
     return f.select("k", "n_rows", F.col("n_judged").alias("judged"), F.col("n_mismatches").alias("mismatches"), F.col("first_break_row").alias("first_break"), F.col("n_gaps").alias("gaps"), r6("row_consistency_rate").alias("rate"), F.col("sum_credit").cast("double").alias("credit"), F.col("sum_debit").cast("double").alias("debit"), F.col("file_reconciles").alias("reconciles"))
 
 
-@query("WITH " + _LONG_SQL + " SELECT k, CAST(n AS INTEGER) AS row_index, page_no, CAST(running + side AS DOUBLE) AS expected, CAST(balance AS DOUBLE) AS actual, ok AS consistent, CASE WHEN unsigned AND side IS NOT NULL THEN CASE WHEN side > 0 THEN 'credit' ELSE 'debit' END END AS inferred, coalesce(NOT ok AND starts, false) AS gap FROM x")
+@query("WITH " + _LONG_SQL + " SELECT k, CAST(n AS INTEGER) AS row_index, page_no, CAST(running + side AS DOUBLE) AS expected, CAST(balance AS DOUBLE) AS actual, CAST(ok AS VARCHAR) AS consistent, CASE WHEN unsigned AND side IS NOT NULL THEN CASE WHEN side > 0 THEN 'credit' ELSE 'debit' END END AS inferred, coalesce(NOT ok AND starts, false) AS gap FROM x")
 def ledger_scan(spark, d):
     """What is expected of every balance of these ledgers."""
     checks, _ = _scan(spark, d)
-    return checks.select("k", "row_index", F.col("page_no").cast("long").alias("page_no"), F.col("expected").cast("double").alias("expected"), F.col("actual").cast("double").alias("actual"), "consistent", "inferred", "gap")
+    return checks.select("k", "row_index", F.col("page_no").cast("long").alias("page_no"), F.col("expected").cast("double").alias("expected"), F.col("actual").cast("double").alias("actual"), F.col("consistent").cast("string").alias("consistent"), "inferred", "gap")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place, lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS previous, lead(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS next FROM events")
