@@ -66,11 +66,13 @@ def cold_starts(runs: DataFrame, keys: list[str], seconds: str, failures: str) -
     return runs.groupBy(*keys).agg(F.count(good).alias("n"), *(F.bround(F.percentile(good, F.lit(q)), 1).alias(f"p{round(q * 100)}") for q in (0.5, 0.95)))
 
 
-def page_latency(pages: DataFrame, keys: list[str], error: str, tokens: str, latency_ms: str, most: int) -> DataFrame:
+def page_latency(pages: DataFrame, keys: list[str], error: str, tokens: str, latency_ms: str, most: int, digits: int | None = 2) -> DataFrame:
     """(keys, pages, errors, loop_pages, loop_max_s, page_p50_s, page_p95_s, all_p50_s, all_p95_s): seconds of pages without
-    an error, those that ran into the token limit apart."""
+    an error, those that ran into the token limit apart. Percentiles have so many digits; None leaves them as they are, for
+    callers that round themselves, as rounding twice can end on another figure."""
     ok, loop, s = F.col(error).isNull(), looped(F.col(tokens), most), F.col(latency_ms) / 1000
-    q = lambda on, share, name: F.bround(F.percentile(F.when(on, s), F.lit(share)), 2).alias(name)
+    rounded = lambda c: c if digits is None else F.bround(c, digits)
+    q = lambda on, share, name: rounded(F.percentile(F.when(on, s), F.lit(share))).alias(name)
     return pages.groupBy(*keys).agg(
         F.count("*").alias("pages"), F.count(error).alias("errors"), F.count_if(ok & loop).alias("loop_pages"), F.bround(F.max(F.when(ok & loop, s)), 1).alias("loop_max_s"),
         q(ok & ~loop, 0.5, "page_p50_s"), q(ok & ~loop, 0.95, "page_p95_s"), q(ok, 0.5, "all_p50_s"), q(ok, 0.95, "all_p95_s"),
