@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import keep
+
 
 @dataclass(frozen=True)
 class Slice:
@@ -28,11 +30,12 @@ def sliced(scores: DataFrame, slices: Sequence[Slice], metric: str = "metric", v
     """(table, keys..., metric, cluster, total, n): sums of each slice's clusters, one shuffle for all tables.
 
     Each row is expanded to the slices that take it; keys a table doesn't have are null there, which its name tells
-    from null keys. Null values don't count."""
+    from null keys. Null values don't count; they go after the sums, as a filter on a value would work it out a second
+    time."""
     names = list(dict.fromkeys(k for s in slices for k in s.keys))
     rows = [F.when(s.where if s.where is not None else F.lit(True), F.struct(F.lit(s.table).alias("table"), *((F.col(k) if k in s.keys else F.lit(None)).cast("string").alias(k) for k in names))) for s in slices]
-    long = scores.where(F.col(value).isNotNull()).select(F.explode(F.array_compact(F.array(*rows))).alias("s"), F.col(metric).alias("metric"), F.col(cluster).alias("cluster"), F.col(value).cast("double").alias("v"))
-    return long.groupBy("s.table", *(F.col(f"s.{k}").alias(k) for k in names), "metric", "cluster").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    long = scores.select(F.explode(F.array_compact(F.array(*rows))).alias("s"), F.col(metric).alias("metric"), F.col(cluster).alias("cluster"), F.col(value).cast("double").alias("v"))
+    return long.groupBy("s.table", *(F.col(f"s.{k}").alias(k) for k in names), "metric", "cluster").agg(F.sum("v").alias("total"), F.count("v").alias("n")).where("n > 0")
 
 
 def means(clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,21 +84,17 @@ POISSON = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
 def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int = 200, alpha: float = 0.05, uniform: Callable[[], Column] = hashed_uniform) -> DataFrame:
     """(keys, mean, n, lo, hi) without holding a cell: a Poisson bootstrap. Each cluster gets, in resample r, the
     weight that a hash of (cluster, r) draws from Poisson(1), so sums of any size aggregate in parts. A cluster isn't
-    written out once a resample: Spark's partial sums take each expanded row as it comes, before anything is shuffled."""
-    weight, u = F.lit(0), uniform()
+    written out once a resample: Spark's partial sums take each expanded row as it comes, before anything is shuffled.
+    Resample 0 weighs all clusters 1 and gives the mean, so that clusters are worked out once."""
+    weight = F.lit(0)
     for k, acc in enumerate(POISSON, 1):
-        weight = F.when(u >= acc, k).otherwise(weight)
-    r = clusters.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    per = r.groupBy(*keys, "r").agg(F.try_divide(F.sum(F.col("total") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("m"))
-    ends = per.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    base, on = means(clusters, keys), [F.lit(True)]
-    b = ends.select(*(F.col(k).alias(f"_{k}") for k in keys), "q")
-    for k in keys:
-        on.append(F.col(k).eqNullSafe(F.col(f"_{k}")))
-    cond = on[1]
-    for c in on[2:]:
-        cond = cond & c
-    return base.join(b, cond, "left").select(*keys, "mean", "n", F.least("mean", F.col("q")[0]).alias("lo"), F.greatest("mean", F.col("q")[1]).alias("hi"))
+        weight = F.when(F.col("u") >= acc, k).otherwise(weight)
+    r = clusters.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples)))).withColumn("u", uniform())
+    r = r.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(weight))
+    per = r.groupBy(*keys, "r").agg(F.try_divide(F.sum(F.col("total") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("m"), F.sum("n").alias("n"))
+    drawn, all_ = F.when(F.col("r") > 0, F.col("m")), F.col("r") == 0
+    ends = per.groupBy(*keys).agg(F.max(F.when(all_, F.col("m"))).alias("mean"), F.max(F.when(all_, F.col("n"))).alias("n"), F.percentile(drawn, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    return ends.select(*keys, "mean", "n", F.least("mean", F.col("q")[0]).alias("lo"), F.greatest("mean", F.col("q")[1]).alias("hi"))
 
 
 def field_rates(fields: DataFrame) -> DataFrame:
@@ -134,7 +133,8 @@ def standard_slices(scores: DataFrame) -> tuple[DataFrame, list[Slice]]:
 def aggregates(scores: DataFrame, keys: Sequence[str] = ("table", "task", "subtask", "model", "condition", "bank", "doc_type", "domain"), resamples: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, metric, mean, n, lo, hi) of the standard tables, ordered by table and keys."""
     rows, tables = standard_slices(scores)
-    return bootstrap_numpy(sliced(rows, tables), [*keys, "metric"], resamples, seed).orderBy(*keys, "metric")
+    # Ordering samples its rows in a pass of its own, so the few of them are written first.
+    return keep(bootstrap_numpy(sliced(rows, tables), [*keys, "metric"], resamples, seed), "aggregates").orderBy(*keys, "metric")
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
