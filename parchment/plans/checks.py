@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cmaps, fields, official, words
 from ..operators import assess, ingest, run, sampling, serving, slices
 from ..sources import registry
+from ..sources.scratch import keep
 from .catalogue import _SCORES_SQL, _scores, query, r6, t
 from .scans import _LONG_SQL, _scan
 
@@ -140,7 +141,7 @@ def sql_functions(spark, d):
 @query("WITH " + _SCORES_SQL + " SELECT model, round(avg(cer), 6) AS mean, true AS equal FROM scores GROUP BY model")
 def sql_bootstrap(spark, d):
     """The interval as an aggregate of SQL text, which is that of bootstrap_numpy()."""
-    c = slices.sliced(_scores(spark, d).withColumns({"metric": S("cer"), "sample_id": F.col("doc_id")}), [slices.Slice("model", ("model",))], value="cer")
+    c = keep(slices.sliced(_scores(spark, d).withColumns({"metric": S("cer"), "sample_id": F.col("doc_id")}), [slices.Slice("model", ("model",))], value="cer"), "clusters")
     spark.udf.register("bootstrap_interval", slices.interval)
     c.createOrReplaceTempView("parchment_clusters")
     told = spark.sql("SELECT model, bootstrap_interval(cluster, total, n) AS i FROM parchment_clusters GROUP BY model")
