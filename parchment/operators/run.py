@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as typed
 from ..functions import official, statement, tables
 from ..functions.text import anls, canonical_text, cer, null_if_blank, plain_text, tokens, wer
+from ..sources.scratch import keep
 from . import ledger, scoring
 from .joins import is_full_miss, is_partial, prf, with_predictions
 
@@ -214,8 +215,9 @@ def score_run(manifest: DataFrame, predictions: DataFrame, truth: DataFrame, rul
 
 
 def ordered(scores: DataFrame, *last: str) -> DataFrame:
-    """Scores (or fields) in the order of their keys."""
-    return scores.orderBy(*KEYS, *last)
+    """Scores (or fields) in the order of their keys. They are written first, as ordering samples its rows in a pass of its
+    own, which would work them out a second time."""
+    return keep(scores, "ordered").orderBy(*KEYS, *last)
 
 
 # --- statement files --------------------------------------------------------------------------------------------------
