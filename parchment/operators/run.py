@@ -22,7 +22,7 @@ from ..functions import official, statement, tables
 from ..functions.text import anls, canonical_text, cer, null_if_blank, plain_text, tokens, wer
 from ..sources.scratch import keep
 from . import ledger, scoring
-from .joins import is_full_miss, is_partial, prf, with_predictions
+from .joins import is_full_miss, is_partial, prf, spread, with_predictions
 
 # Tasks by how they are scored, metrics of each way, and those whose worst value is 1.
 TEXT_TASKS, FIELD_TASKS = ("ocr_fullpage", "handwriting", "ocr_line"), ("kie", "kie_map")
@@ -136,7 +136,7 @@ def _joined(manifest, predictions, truth, rules, manual) -> DataFrame:
     """Each manifest row and model with its prediction, truth, miss and partial."""
     models = sorted(r.model for r in predictions.select("model").distinct().collect())  # names of models only
     p = predictions.select(*KEYS, "prompt_version", "error", "raw_text", "text", "tables", "blocks", "fields", "label")
-    r = with_predictions(with_truth(manifest, truth, rules, manual), p, KEYS[:2], models)
+    r = spread(with_predictions(with_truth(manifest, truth, rules, manual), p, KEYS[:2], models), *KEYS)  # pages take long each
     output = F.concat(F.coalesce("raw_text", F.lit("")), F.coalesce("text", F.lit("")))
     miss = is_full_miss(F.col("missing"), F.col("error"), output)
     r = r.withColumns({"miss": miss, "partial": ~miss & F.col("error").isNotNull() & is_partial(F.col("error"), output), "official": official_task(F.col("source"), F.col("subtask"))})
@@ -229,7 +229,7 @@ def map_pages(manifest: DataFrame, predictions: DataFrame, rules: dict[str, stat
     rows = manifest.where(F.col("task") == "statement")
     models = sorted(r.model for r in predictions.select("model").distinct().collect())  # names of models only
     p = predictions.select(*KEYS, "error", "raw_text", "text", "tables", "blocks")
-    r = with_predictions(rows, p, KEYS[:2], models)
+    r = spread(with_predictions(rows, p, KEYS[:2], models), *KEYS)  # pages take long each
     miss = is_full_miss(F.col("missing"), F.col("error"), F.concat(F.coalesce("raw_text", F.lit("")), F.coalesce("text", F.lit(""))))
     good = lambda c: F.when(~miss, F.col(c))
     page = statement.mapped_page(good("tables"), good("blocks"), good("text"), *bank_rules(F.col("bank"), rules))
@@ -321,11 +321,13 @@ def pair_flag_precision(pairs: DataFrame, manual: DataFrame) -> DataFrame:
 
 def statement_checks(manifest: DataFrame, predictions: DataFrame, rules: dict[str, statement.Bank] | None = None, manual: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, files): arithmetic of each file, agreement of each two models, and, with manual labels (sample_id, page),
-    how often their flags were right."""
-    pages = map_pages(manifest, predictions, rules)
-    files, pairs = file_checks(pages), page_pairs(pages)
+    how often their flags were right. Pages, files and labels are read by several of the scores, so each is worked out once
+    and written."""
+    pages = keep(map_pages(manifest, predictions, rules), "pages")
+    files, pairs = keep(file_checks(pages), "files"), page_pairs(pages)
     parts = [file_scores(files), pair_scores(pairs).drop("n_compared")]
     if manual is not None:
+        manual = keep(manual.select("sample_id", "page"), "labels")
         parts += [file_flag_precision(pages, files, manual).drop("n_flags"), pair_flag_precision(pairs, manual).drop("n_flags")]
     return reduce(DataFrame.unionByName, parts), files
 
