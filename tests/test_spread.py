@@ -38,3 +38,10 @@ def test_pages_are_spread(spark):
 @pytest.mark.parametrize("name", ["line_segments", "table_similarity", "text_layer_rows", "statement_pages"])
 def test_small_files_are_spread(spark, sf, name):
     assert __spark_entry__.queries()[name](spark, sf).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["text_layer_rows", "statement_pages"])
+def test_pages_are_read_once(spark, sf, name):
+    """A filter on a page's rows, which Spark infers from their expansion, would have each page read before the shuffle too."""
+    plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
