@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from parchment.operators import run
+from parchment.plans import runs
 
 
 def _run(spark, count=None):
@@ -45,3 +46,22 @@ def test_pages_are_read_once(spark, sf, name):
     """A filter on a page's rows, which Spark infers from their expansion, would have each page read before the shuffle too."""
     plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_grids_of_both_models_take_one_pass(spark, sf):
+    _, p, _ = runs._statement_run(spark, sf)
+    assert "Window" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_scores_work_keys_out_once(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<struct<d:string,a:int>>")
+    def keys(n):
+        count.add(1)
+        return [("x", i % 3) for i in range(n)]
+
+    df = spark.createDataFrame([(4, 2), (0, 0), (3, 0), (0, 2), (2, 5)], "a int, b int")
+    got = [tuple(r[0]) for r in df.select(run.row_scores(keys("a"), keys("b"))).collect()]
+    assert got == [(0.5, 1.0, 2 / 3), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.0, 0.4, 2 * 0.4 / 1.4)]
+    assert count.value == 10
