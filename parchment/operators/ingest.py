@@ -3,13 +3,14 @@ parity sets, and review labels read back."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import fields as typed
 from ..functions import official, pages, statement
-from ..functions.text import canonical_text, nfc
+from ..functions.text import canonical_text, each, nfc
 from .run import FIELD_TASKS, TEXT_TASKS
 
 # What makes a field critical, by key or else by value, and words that every readable statement holds.
@@ -40,9 +41,9 @@ def critical_fields(fields: Column) -> Column:
     return F.transform(F.filter(F.map_entries(fields), lambda e: is_critical(e.key, e.value)), lambda e: e.key)
 
 
-@F.pandas_udf(StringType())
-def _table_html(s):
-    return s.map(pages.answer_table_html, na_action="ignore")
+@F.arrow_udf(StringType())
+def _table_html(texts: pa.Array) -> pa.Array:
+    return each(pages.answer_table_html, pa.string(), texts)
 
 
 def to_samples(rows: DataFrame, code: Column, task: Column, subtask: Column, domain: Column | None = None, source: str = "thaiocrbench") -> DataFrame:
