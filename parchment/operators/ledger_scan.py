@@ -39,21 +39,23 @@ def _facts(t: DataFrame) -> DataFrame:
     return before.join(file, KEY)
 
 
-def scan_files(rows: DataFrame, pages: DataFrame, key: list[str], parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def scan_files(rows: DataFrame, pages: DataFrame, key: list[str], parts: int | None = None, only_files: bool = False) -> tuple[DataFrame, DataFrame]:
     """(checks, files) of ledger.check_files(), without an array of a file's rows.
 
     checks has a row for each one of rows: key, row_index in reading order, page_no, page_row_index, expected, actual,
     consistent, inferred, gap. files has a row for each file that pages name: newest_first, opening_balance, n_rows, sums,
     n_judged, n_mismatches, first_break_row, n_gaps, row_consistency_rate, total_mismatch, closing_mismatch, flags,
-    file_reconciles. Null keys are keys. Rows of files without pages are left out, as there."""
+    file_reconciles. Null keys are keys. Rows of files without pages are left out, as there. With only_files, checks aren't
+    written: files are summed as rows are checked, and checks would be worked out anew."""
     r = rows.select(*key, F.col("page_no").cast("int").alias("page_no"), F.col("pos").cast("int").alias("pos"), "date", net(F.col("debit"), F.col("credit")).cast(MONEY).alias("net"), F.col("amount").cast(MONEY).alias("amount"), F.col("balance").cast(MONEY).alias("balance"))
     heads = _heads(pages, key)
     dealt = ordered.ranged(r, key, ORDER, parts)
-    t = keep(ordered.with_neighbours(dealt, ORDER, ["page_no", "balance"]).drop("group_size"), "ledger")
+    t = keep(ordered.with_neighbours(dealt, ORDER, ["page_no", "balance"], place_in_part="_at").drop("group_size"), "ledger")
     facts = _facts(t).join(heads.select(KEY, F.col("opening_balance").alias("printed")), KEY)
     head = F.col("head")
     facts = facts.select(KEY, PART, "newest_first", "total", "earlier", F.col("printed").isNull().alias("derived"), F.coalesce("printed", (head.balance - head.net).cast(MONEY), head.balance).alias("opening"))
-    x = ordered.with_rank(t.join(facts, [KEY, PART]), ORDER, "n")
+    facts = keep(facts, "facts")  # of known size: few are broadcast
+    x = t.join(facts, [KEY, PART]).withColumn("n", F.col("_at") + F.col("earlier"))
     newest = F.col("newest_first")
     x = x.withColumns({"seq": F.when(newest, -F.col("n")).otherwise(F.col("n")), "part_seq": F.when(newest, -F.col(PART)).otherwise(F.col(PART)), "row_index": F.when(newest, F.col("total") - F.col("n") + 1).otherwise(F.col("n"))})
     previous = F.when(newest, F.col("after")).otherwise(F.col("before"))
@@ -65,6 +67,7 @@ def scan_files(rows: DataFrame, pages: DataFrame, key: list[str], parts: int | N
     kind = F.when(actual.isNotNull() | change.isNull(), SET).when(said.isNotNull(), RESET).otherwise(ADD)
     value = F.when(actual.isNotNull(), actual).when(change.isNull(), F.lit(None)).when(said.isNotNull(), said + change).otherwise(change)
     x = x.withColumn("_m", ordered.mapped(kind, value))
+    x = x.select(KEY, PART, "seq", "part_seq", "opening", "_m", "newest_first", "derived", "row_index", "page_no", "pos", "starts", "said", "net", "amount", "balance")
     x = ordered.running_before(x, "_m", "seq", "part_seq", "opening")
     running = F.col("running")
     x = x.withColumns({"_gap": F.coalesce(said != running, F.lit(False)), "running": F.when(said.isNotNull() & running.isNotNull(), said).otherwise(running)})
@@ -76,7 +79,8 @@ def scan_files(rows: DataFrame, pages: DataFrame, key: list[str], parts: int | N
     open_ = F.col("_asked") | ((F.col("row_index") == 1) & F.col("derived"))
     x = x.withColumn("consistent", F.when(F.col("_asked") & F.col("inferred").isNull(), F.lit(False)).when(~open_, actual == F.col("expected")))
     x = x.withColumn("gap", F.col("_gap") | (F.coalesce(~F.col("consistent"), F.lit(False)) & F.col("starts")))
-    checks = keep(x.select(KEY, "newest_first", "opening", F.col("row_index").cast("int").alias("row_index"), "page_no", F.col("pos").alias("page_row_index"), "expected", actual.alias("actual"), "consistent", "inferred", "gap", "net"), "checks")
+    checks = x.select(KEY, "newest_first", "opening", F.col("row_index").cast("int").alias("row_index"), "page_no", F.col("pos").alias("page_row_index"), "expected", actual.alias("actual"), "consistent", "inferred", "gap", "net")
+    checks = checks if only_files else keep(checks, "checks")
     zero = F.lit(0).cast(MONEY)
     wrong = F.col("consistent") == F.lit(False)
     file = checks.groupBy(KEY).agg(

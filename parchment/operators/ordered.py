@@ -40,9 +40,20 @@ def with_rank(dealt: DataFrame, order: list[str | Column], name: str = "rank") -
     return local.join(before, [KEY, PART]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
-def with_neighbours(dealt: DataFrame, order: list[str], values: list[str], circular: bool = False) -> DataFrame:
+def with_running(dealt: DataFrame, order: list[str | Column], value: str, name: str = "rank", running: str = "running") -> DataFrame:
+    """with_rank(), and the sum of `value` over the rows in front of each one in its group, in the same pass."""
+    sums = dealt.groupBy(KEY, PART).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    before = sums.select(KEY, PART, *(F.coalesce(F.sum(c).over(earlier()), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_s")))
+    inside = F.sum(value).over(_inside(order).rowsBetween(Window.unboundedPreceding, -1))
+    local = dealt.withColumns({name: F.row_number().over(_inside(order)).cast("long"), running: F.coalesce(inside, F.lit(0))})
+    out = local.join(before, [KEY, PART]).withColumns({name: F.col(name) + F.col("_n_before"), running: F.col(running) + F.col("_s_before")})
+    return out.drop("_n_before", "_s_before")
+
+
+def with_neighbours(dealt: DataFrame, order: list[str], values: list[str], circular: bool = False, place_in_part: str | None = None) -> DataFrame:
     """A ranged() table with structs `before` and `after`, values of the rows around each one in its group, null at its ends,
-    or, if circular, of the group's other end, and `group_size`. Rows of equal order are in any order."""
+    or, if circular, of the group's other end, and `group_size`. Rows of equal order are in any order; place_in_part names a
+    column of each row's place in its part, from 1, in that order."""
     value = F.struct(*values)
     w = _inside(order)
     place = F.struct(*order, value.alias("_v"))
@@ -53,7 +64,7 @@ def with_neighbours(dealt: DataFrame, order: list[str], values: list[str], circu
         before = F.coalesce(before, F.max_by("_hi", PART).over(whole))
         after = F.coalesce(after, F.min_by("_lo", PART).over(whole))
     edges = edges.select(KEY, PART, before["_v"].alias("_from"), after["_v"].alias("_to"), F.sum("_n").over(whole).alias("group_size"))
-    local = dealt.withColumns({"before": F.lag(value).over(w), "after": F.lead(value).over(w)})
+    local = dealt.withColumns({"before": F.lag(value).over(w), "after": F.lead(value).over(w), **({} if place_in_part is None else {place_in_part: F.row_number().over(w).cast("long")})})
     out = local.join(edges, [KEY, PART])
     return out.withColumns({"before": F.coalesce("before", "_from"), "after": F.coalesce("after", "_to")}).drop("_from", "_to")
 
@@ -108,12 +119,14 @@ def composed(df: DataFrame, m: str, by: list[str], order: str | Column, name: st
 
 def running_before(rows: DataFrame, m: str, seq: str, part_seq: str, start: str, name: str = "running") -> DataFrame:
     """A ranged() table with the running value in front of each row. rows: _key, _part, a map, its order in the group and
-    its part's (seq, part_seq), and the value in front of the group's first row (start, the same in all of a group's rows)."""
+    its part's (seq, part_seq), and the value in front of the group's first row (start, the same in all of a group's rows).
+    What the parts do is asked for before their rows, so these are worked out once and written."""
     inside = composed(rows, m, [KEY, PART], seq, "_upto")
     w = Window.partitionBy(KEY, PART).orderBy(seq)
-    inside = inside.withColumn("_prefix", F.coalesce(F.lag("_upto").over(w), identity()))
+    inside = keep(inside.withColumn("_prefix", F.coalesce(F.lag("_upto").over(w), identity())), "inside")
     whole = inside.groupBy(KEY, PART).agg(F.max(F.struct(seq, "_upto"))["_upto"].alias("_map"), F.min(part_seq).alias("_at"), F.min(start).alias("_start"))
     whole = composed(whole, "_map", [KEY], "_at", "_whole")
     before = F.coalesce(F.lag("_whole").over(Window.partitionBy(KEY).orderBy("_at")), identity())
-    carry = whole.select(KEY, PART, applied(before, F.col("_start").cast(WIDE)).alias("_carry"))
+    # Written, its size is known: a short one is broadcast, and the rows stay where they are.
+    carry = keep(whole.select(KEY, PART, applied(before, F.col("_start").cast(WIDE)).alias("_carry")), "carry")
     return inside.join(carry, [KEY, PART]).withColumn(name, applied(F.col("_prefix"), F.col("_carry"))).drop("_upto", "_prefix", "_carry")

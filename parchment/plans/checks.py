@@ -83,7 +83,7 @@ def listed_rows(spark, d):
 @query("WITH " + _LONG_SQL + " SELECT k, count_if(NOT ok) = 0 AS valid, true AS nothing_asked FROM x GROUP BY k")
 def cross_checked_files(spark, d):
     """A document class's rules over whole files."""
-    _, files = _scan(spark, d)
+    _, files = _scan(spark, d, only_files=True)
     return files.select("k", registry.cross_valid(("running_balance",)).alias("valid"), registry.cross_valid(()).alias("nothing_asked"))
 
 
