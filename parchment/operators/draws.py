@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.scratch import keep
 from . import ordered, sampling
 
 #: Words of the state, bits of the polynomial, draws that are worked out together.
@@ -87,9 +88,20 @@ def draws(seed: int | str, first: int, n: int) -> np.ndarray:
     return state.random_sample(n)
 
 
+#: The generator where the last block that was worked out ends, by seed and the block that follows.
+_next: dict[tuple[int | str, int], np.random.RandomState] = {}
+
+
 @lru_cache(maxsize=32)
 def _block(seed: int | str, number: int) -> np.ndarray:
-    return draws(seed, number * BLOCK, BLOCK)
+    """A block's draws. Only a block that doesn't follow the one before it takes a jump."""
+    state = _next.pop((seed, number), None)
+    if state is None:
+        state = np.random.RandomState(0)
+        state.set_state(("MT19937", state_after(seed, 2 * number * BLOCK), WORDS))
+    _next.clear()
+    _next[seed, number + 1] = state
+    return state.random_sample(BLOCK)
 
 
 def draw(seed: int | str, number: Column) -> Column:
@@ -109,8 +121,9 @@ def draw(seed: int | str, number: Column) -> Column:
 
 def review_queue(cells: DataFrame, keys: list[str], order: list[str | Column], share: float = 0.1, seed: int = 42, parts: int | None = None) -> DataFrame:
     """sampling.review_queue(), whose share of agreeing cells is what one pass over the cells by `order` (columns of keys)
-    draws, a draw for each agreeing one: their numbers come from an order over all parts."""
-    per = sampling.compared(cells, keys).where("known > 0")
+    draws, a draw for each agreeing one: their numbers come from an order over all parts. Cells are compared once and
+    written, as their ranges, their order and the differing ones are read from them."""
+    per = keep(sampling.compared(cells, keys).where("known > 0").drop("known"), "compared")
     agreeing = ordered.rank(per.where("not differs").withColumn("_all", F.lit(0)), ["_all"], order, "_n", parts)
     drawn = agreeing.where(draw(seed, F.col("_n") - 1) < share)
     return per.where("differs").select(*keys, "differs", "values").unionByName(drawn.select(*keys, "differs", "values"))

@@ -53,8 +53,8 @@ def compared(cells: DataFrame, keys: list[str]) -> DataFrame:
     that a model gives twice its greatest value counts."""
     normal = "normal" if "normal" in cells.columns else "value"
     one = cells.groupBy(*keys, "model").agg(F.max(F.struct("value", F.col(normal).alias("normal"))).alias("v"))
-    per = one.groupBy(*keys).agg(F.count("v.value").alias("known"), F.count("*").alias("n"), F.count_distinct("v.normal").alias("kinds"), F.count("v.normal").alias("told"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "v.value")))).alias("values"))
-    differs = (F.col("kinds") > 1) | ((F.col("told") < F.col("n")) & (F.col("told") > 0))
+    per = one.groupBy(*keys).agg(F.count("v.value").alias("known"), F.count("*").alias("n"), F.min("v.normal").alias("least"), F.max("v.normal").alias("most"), F.count("v.normal").alias("told"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "v.value")))).alias("values"))
+    differs = F.coalesce(F.col("least") != F.col("most"), F.lit(False)) | ((F.col("told") < F.col("n")) & (F.col("told") > 0))
     return per.select(*keys, "known", differs.alias("differs"), "values")
 
 

@@ -1,10 +1,10 @@
-"""Scans work their rows out once."""
+"""Scans and queues work their rows out once."""
 
 import random
 
 from pyspark.sql import functions as F
 
-from parchment.operators import ledger_scan, ordered
+from parchment.operators import draws, ledger_scan, ordered
 from parchment.operators.ledger import MONEY
 
 
@@ -45,3 +45,26 @@ def test_files_alone_are_those_with_checks(spark):
     key = lambda df: sorted(map(str, df.collect()))
     both, alone = ledger_scan.scan_files(r, pages, ["k"], 5), ledger_scan.scan_files(r, pages, ["k"], 5, only_files=True)
     assert key(both[1]) == key(alone[1]) and key(both[0]) == key(alone[0]) and len(key(alone[1])) == 3
+
+
+def test_cells_are_compared_once(spark):
+    cells = [(s, m, s % 5 if m == "a" or s % 7 else 9) for s in range(200) for m in ("a", "b")]
+    count, told = _counted(spark)
+    df = spark.createDataFrame(cells, "s int, model string, v int").select("s", "model", told("v").alias("value"))
+    got = draws.review_queue(df, ["s"], ["s"], 0.3, 9, parts=5)
+    r, want = random.Random(9), set()
+    for s in range(200):
+        differs = s % 7 == 0 and s % 5 != 9
+        if differs or r.random() < 0.3:
+            want.add((s, differs))
+    assert {(x.s, x.differs) for x in got.collect()} == want
+    assert count.value == len(cells)
+
+
+def test_blocks_in_order_take_one_jump(monkeypatch):
+    jumps, jump = [], draws.state_after
+    monkeypatch.setattr(draws, "state_after", lambda *at: (jumps.append(at), jump(*at))[1])
+    got = [draws._block("once", n) for n in (2, 3, 4, 1, 3, 2, 5)]
+    assert len(jumps) == 3  # 2, 1 and 5: blocks 3 and 2 are held, and 5 doesn't follow block 1
+    for n, x in zip((2, 3, 4, 1, 3, 2, 5), got, strict=True):
+        assert x.tolist() == draws.draws("once", n * draws.BLOCK, draws.BLOCK).tolist()
