@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fields as typed
 from ..functions import official, statement, tables
@@ -246,10 +247,11 @@ FILE = ["file_id", "condition", "model"]
 def file_checks(pages: DataFrame) -> DataFrame:
     """ledger.check_files() of mapped pages: one row per file, condition and model, with the sample_id and slices of its
     first page, on which its scores stand."""
-    rows = pages.select(*FILE, "page_no", F.posexplode("page.rows").alias("pos", "r")).select(*FILE, "page_no", "pos", "r.*")
-    heads = pages.select(*FILE, "page_no", *(F.col(f"page.{c}") for c in ("opening_balance", "closing_balance", "total_debit", "total_credit")))
-    first = pages.groupBy(*FILE).agg(F.min(F.struct("page_no", "sample_id", *SLICES)).alias("first")).select(*FILE, "first.*").drop("page_no")
-    return ledger.check_files(rows, heads, FILE).join(first, FILE)
+    row = F.transform("page.rows", lambda r, i: ledger.file_row(F.col("page_no"), i, r))
+    own = pages.select(*FILE, F.struct("page_no", "sample_id", *SLICES).alias("first"), F.coalesce(row, F.array()).alias("rows"), ledger.file_page(F.col("page_no"), F.col("page")).alias("page"))
+    files = own.groupBy(*FILE).agg(F.min("first").alias("first"), F.flatten(F.collect_list("rows")).alias("rows"), F.collect_list("page").alias("pages"))
+    files = files.select(*FILE, "first.sample_id", *(f"first.{c}" for c in SLICES), F.sort_array("rows").alias("rows"), F.sort_array("pages").alias("pages"))
+    return ledger.checked(files)
 
 
 def file_scores(files: DataFrame) -> DataFrame:
@@ -259,13 +261,6 @@ def file_scores(files: DataFrame) -> DataFrame:
     return files.select(*KEYS, *SLICES, F.explode(both).alias("m")).select(*KEYS, *SLICES, "m.*")
 
 
-def normal_cells(page: Column) -> Column:
-    """map of a page's cells by key (account_no, row[3].debit), typed, so that equal values are equal text."""
-    value = lambda c: F.when(c.field == "account_no", typed.parse_account(c.value)).otherwise(c.value)
-    key = lambda c: F.when(c.row_index.isNull(), c.field).otherwise(F.concat(F.lit("row["), c.row_index.cast("string"), F.lit("]."), c.field))
-    return F.map_from_entries(F.transform(statement.cell_map(page), lambda c: F.struct(key(c).alias("k"), value(c).alias("v"))))
-
-
 def _precision(flags: Column) -> Column:
     """Share of flags that were true errors; null without any."""
     return F.try_divide(F.size(F.filter(flags, lambda v: v)), F.size(flags))
@@ -291,36 +286,52 @@ def page_pairs(pages: DataFrame) -> DataFrame:
     return sides.select("sample_id", "condition", *SLICES, F.explode(pairs).alias("p")).select("sample_id", "condition", *SLICES, F.col("p.a.model").alias("left"), F.col("p.b.model").alias("right"), F.col("p.a.page").alias("a"), F.col("p.b.page").alias("b"))
 
 
-def agreements(pairs: DataFrame) -> DataFrame:
-    """pairs with verdicts (array of booleans, null where nothing can be compared): of each scored header field, and of
-    the balances of rows aligned by date, amount and place among equals, where a row of one side alone disagrees."""
-    a, b = normal_cells(F.col("a")), normal_cells(F.col("b"))
-    heads = F.array(*(F.col("_a")[f] == F.col("_b")[f] for f in statement.SCORED))
-    entry = lambda r: F.struct(typed.row_key(r.date, r.debit, r.credit, r.amount).alias("k"), r.balance.alias("balance"))
-    rows = lambda c: F.transform(F.col(c)["rows"], entry)
-    of = lambda side, k: F.filter(F.col(side), lambda x: x.k.eqNullSafe(k))
-    keys = F.array_distinct(F.concat(F.transform("_ra", lambda x: x.k), F.transform("_rb", lambda x: x.k)))
-    zipped = F.flatten(F.transform(keys, lambda k: F.zip_with(of("_ra", k), of("_rb", k), lambda x, y: F.when(x.isNull() | y.isNull(), False).otherwise(x.balance == y.balance))))
-    p = pairs.withColumns({"_a": a, "_b": b, "_ra": rows("a"), "_rb": rows("b")})
-    return p.withColumn("verdicts", F.concat(heads, zipped)).drop("_a", "_b", "_ra", "_rb")
-
-
-def pair_scores(pairs: DataFrame) -> DataFrame:
-    """(keys, slices, metric, value, n_compared) of pairs of models: the share of comparable keys that agree."""
-    known = F.filter("verdicts", lambda v: v.isNotNull())
-    return agreements(pairs).select(
-        "sample_id", "condition", F.concat_ws("|", "left", "right").alias("model"), *SLICES, F.lit("agreement_rate").alias("metric"), _precision(known).alias("value"), F.size(known).alias("n_compared"),
-    )
+def _head(page: Column, field: str) -> Column:
+    """A scored header field, so that equal values are equal."""
+    return typed.parse_account(page[field]) if field == "account_no" else page[field]
 
 
-def pair_flag_precision(pairs: DataFrame, manual: DataFrame) -> DataFrame:
-    """(keys, slices, metric, value, n_flags): of each labelled page's cells on which two models differ, a value of one
-    side alone included, the share where the label differs from either."""
-    m = pairs.join(manual.select("sample_id", F.col("page").alias("label")), "sample_id")
-    m = m.withColumns({"_a": normal_cells(F.col("a")), "_b": normal_cells(F.col("b")), "_l": normal_cells(F.col("label"))})
-    keys = F.filter(F.array_union(F.map_keys("_a"), F.map_keys("_b")), lambda k: ~F.col("_a")[k].eqNullSafe(F.col("_b")[k]))
-    wrong = F.transform(keys, lambda k: ~F.col("_a")[k].eqNullSafe(F.col("_l")[k]) | ~F.col("_b")[k].eqNullSafe(F.col("_l")[k]))
-    return m.select("sample_id", "condition", F.concat_ws("|", "left", "right").alias("model"), *SLICES, F.lit("agreement_flag_precision").alias("metric"), _precision(wrong).alias("value"), F.size(wrong).alias("n_flags"))
+def verdicts(a: Column, b: Column) -> Column:
+    """array of booleans of two pages, null where nothing can be compared: of each scored header field, and of the balances
+    of rows aligned by date, amount and place among equals, where a row of one side alone disagrees. Pages whose keys are in
+    the same order, as most are, align row by row."""
+    heads = F.array(*(_head(a, f) == _head(b, f) for f in statement.SCORED))
+    entry = lambda r: F.struct(typed.row_key(r.date, r.debit, r.credit, r.amount).alias("k"), r.balance.alias("balance"))
+    ks = lambda rows: F.transform(rows, lambda x: x.k)
+    same = lambda x, y: F.when(x.isNull() | y.isNull(), False).otherwise(x.balance == y.balance)
+
+    def aligned(s: Column) -> Column:
+        of = lambda rows, k: F.filter(rows, lambda x: x.k.eqNullSafe(k))
+        keys = F.array_distinct(F.concat(ks(s.a), ks(s.b)))
+        apart = F.flatten(F.transform(keys, lambda k: F.zip_with(of(s.a, k), of(s.b, k), same)))
+        return F.when(ks(s.a).eqNullSafe(ks(s.b)), F.zip_with(s.a, s.b, same)).otherwise(apart)
+
+    return F.concat(heads, let(F.struct(F.transform(a["rows"], entry).alias("a"), F.transform(b["rows"], entry).alias("b")), aligned))
+
+
+def flags(a: Column, b: Column, label: Column) -> Column:
+    """array of booleans: of each cell on which two pages differ, a value of one side alone included, whether the label
+    differs from either."""
+    verdict = lambda x, y, z: F.when(~x.eqNullSafe(y), ~x.eqNullSafe(z) | ~y.eqNullSafe(z))
+    heads = F.array(*(verdict(*(_head(p, f) for p in (a, b, label))) for f in statement.SCORED))
+    rows = lambda p: F.coalesce(p["rows"], F.array().cast(statement.PAGE["rows"].dataType))
+    lines = F.arrays_zip(rows(a).alias("a"), rows(b).alias("b"), rows(label).alias("z"))
+    cells = F.transform(lines, lambda r: F.when(~r.a.eqNullSafe(r.b), F.array(*(verdict(r.a[c], r.b[c], r.z[c]) for c in statement.CELLS))).otherwise(F.array().cast("array<boolean>")))
+    return F.filter(F.concat(heads, F.flatten(cells)), lambda v: v.isNotNull())
+
+
+def pair_scores(pairs: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """(keys, slices, metric, value, n) of pairs of models: agreement_rate, the share of n comparable keys that agree, and
+    agreement_flag_precision, of each labelled page's n cells on which they differ the share where the label differs from
+    either. Pairs are read once for both; each label (sample_id, page) of a page counts."""
+    metric = lambda m, v: F.struct(F.lit(m).alias("metric"), v.alias("v"))
+    both = F.array(metric("agreement_rate", F.filter(verdicts(F.col("a"), F.col("b")), lambda v: v.isNotNull())))
+    if manual is not None:
+        pairs = pairs.join(manual.groupBy("sample_id").agg(F.collect_list(F.struct("page")).alias("labels")), "sample_id", "left")
+        labels = F.coalesce("labels", F.array().cast(T.ArrayType(T.StructType([T.StructField("page", statement.PAGE)]))))
+        both = F.concat(both, F.transform(labels, lambda x: metric("agreement_flag_precision", flags(F.col("a"), F.col("b"), x.page))))
+    m = pairs.select("sample_id", "condition", F.concat_ws("|", "left", "right").alias("model"), *SLICES, F.explode(both).alias("m"))
+    return m.select(*KEYS, *SLICES, "m.metric", _precision(F.col("m.v")).alias("value"), F.size("m.v").alias("n"))
 
 
 def statement_checks(manifest: DataFrame, predictions: DataFrame, rules: dict[str, statement.Bank] | None = None, manual: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -329,10 +340,10 @@ def statement_checks(manifest: DataFrame, predictions: DataFrame, rules: dict[st
     and written."""
     pages = keep(map_pages(manifest, predictions, rules), "pages")
     files, pairs = keep(file_checks(pages), "files"), page_pairs(pages)
-    parts = [file_scores(files), pair_scores(pairs).drop("n_compared")]
+    manual = None if manual is None else keep(manual.select("sample_id", "page"), "labels")
+    parts = [file_scores(files), pair_scores(pairs, manual).drop("n")]
     if manual is not None:
-        manual = keep(manual.select("sample_id", "page"), "labels")
-        parts += [file_flag_precision(pages, files, manual).drop("n_flags"), pair_flag_precision(pairs, manual).drop("n_flags")]
+        parts.append(file_flag_precision(pages, files, manual).drop("n_flags"))
     return reduce(DataFrame.unionByName, parts), files
 
 
